@@ -6,11 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from panemill.llm import mix, urls
+from panemill.llm import blocks, lengths, mix, stream, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_poisson_mix": mix.op1_poisson_mix,
     "op2_url_filter": urls.op2_url_filter,
+    "op5_transport_stream": stream.op5_transport_stream,
+    "op6_length_histogram": lengths.op6_length_histogram,
+    "op8_token_files": blocks.op8_token_files,
 }
 
 ORACLE_SQL: dict[str, str] = {
