@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from panemill.llm import blocks, lengths, mix, stream, urls
+from panemill.llm import blocks, lengths, mix, neardup, stream, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_poisson_mix": mix.op1_poisson_mix,
     "op2_url_filter": urls.op2_url_filter,
+    "op3_near_duplicates": neardup.op3_near_duplicates,
     "op5_transport_stream": stream.op5_transport_stream,
     "op6_length_histogram": lengths.op6_length_histogram,
     "op8_token_files": blocks.op8_token_files,
@@ -19,4 +20,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLE_SQL: dict[str, str] = {
     "op1_poisson_mix": mix.SQL,
     "op2_url_filter": urls.SQL,
+    "op3_near_duplicates": neardup.SQL,
 }
