@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from panemill.llm import blocks, lengths, mix, neardup, stream, urls
+from panemill.llm import blocks, decon, lengths, mix, neardup, stream, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_poisson_mix": mix.op1_poisson_mix,
@@ -14,6 +14,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_near_duplicates": neardup.op3_near_duplicates,
     "op5_transport_stream": stream.op5_transport_stream,
     "op6_length_histogram": lengths.op6_length_histogram,
+    "op7_decontamination": decon.op7_decontamination,
     "op8_token_files": blocks.op8_token_files,
 }
 
@@ -21,4 +22,5 @@ ORACLE_SQL: dict[str, str] = {
     "op1_poisson_mix": mix.SQL,
     "op2_url_filter": urls.SQL,
     "op3_near_duplicates": neardup.SQL,
+    "op7_decontamination": decon.SQL,
 }
