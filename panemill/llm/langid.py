@@ -8,8 +8,6 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -84,8 +82,6 @@ def read_words(texts: list[str]) -> Words:
     a, b, z = two[here], one[here], c[here]
     three = (a * np.uint64(0x9E3779B1) ^ b * np.uint64(0x85EBCA77)) * np.uint64(31) + z * np.uint64(0xC2B2AE3D)
     pair = b * np.uint64(0x27D4EB2F) ^ z * np.uint64(0x165667B1) ^ np.uint64(0x5BD1E995)
-    rolled = np.cumsum(c * np.uint64(0x100000001B3) ** (np.arange(len(c), dtype=np.uint64) % np.uint64(1 << 20)))
-    del rolled
     lengths = ends - starts
     place = here - np.repeat(starts, lengths + 1)
     power = np.cumprod(np.full(int(lengths.max()) + 1, 0x100000001B3, np.uint64))
@@ -108,7 +104,6 @@ class LanguageModel:
     languages: list[str]
     scores: np.ndarray  # log probability of a bucket, (buckets, languages)
     own: np.ndarray  # whether a script is a language's own, (scripts, languages)
-    prior: int  # the language with the most documents
 
 
 def learn(docs: DataFrame) -> LanguageModel:
@@ -125,10 +120,9 @@ def learn(docs: DataFrame) -> LanguageModel:
             texts = np.array(batch.column(0).to_pylist(), object)
             for lang in set(langs.tolist()):
                 w = read_words(texts[langs == lang].tolist())
-                held = sums.setdefault(lang, np.zeros(BUCKETS + len(SCRIPT_NAMES) + 1, np.int64))
+                held = sums.setdefault(lang, np.zeros(BUCKETS + len(SCRIPT_NAMES), np.int64))
                 held[:BUCKETS] += np.bincount(w.buckets, minlength=BUCKETS)
-                held[BUCKETS:-1] += np.bincount(w.script, w.length, len(SCRIPT_NAMES)).astype(np.int64)
-                held[-1] += int((langs == lang).sum())
+                held[BUCKETS:] += np.bincount(w.script, w.length, len(SCRIPT_NAMES)).astype(np.int64)
         for lang, held in sums.items():
             some = np.flatnonzero(held)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(some)), pa.array(some), pa.array(held[some])], names=["lang", "bucket", "n"])
@@ -137,13 +131,13 @@ def learn(docs: DataFrame) -> LanguageModel:
     counts = rows.mapInArrow(count, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     got = counts.toArrow()
     languages = sorted(set(got.column("lang").to_pylist()))
-    held = np.zeros((len(languages), BUCKETS + len(SCRIPT_NAMES) + 1))
+    held = np.zeros((len(languages), BUCKETS + len(SCRIPT_NAMES)))
     where = {lang: i for i, lang in enumerate(languages)}
     held[[where[x] for x in got.column("lang").to_pylist()], got.column("bucket").to_numpy()] = got.column("n").to_numpy()
-    features, scripts, of_docs = held[:, :BUCKETS] + 0.3, held[:, BUCKETS:-1], held[:, -1]
+    features, scripts = held[:, :BUCKETS] + 0.3, held[:, BUCKETS:]
     scores = np.log(features / features.sum(axis=1, keepdims=True)).T.astype(np.float32) if languages else np.zeros((BUCKETS, 0), np.float32)
     own = (scripts >= OWN_SHARE * np.maximum(scripts.sum(axis=1, keepdims=True), 1)) & (scripts > 0)
-    return LanguageModel(languages, np.ascontiguousarray(scores), own.T, int(of_docs.argmax()) if languages else -1)
+    return LanguageModel(languages, np.ascontiguousarray(scores), own.T)
 
 
 def label_words(model: LanguageModel, w: Words) -> np.ndarray:
@@ -207,8 +201,7 @@ def predict(model: LanguageModel, texts: list[str | None]) -> list[tuple[str, fl
     out = []
     for d in range(len(texts)):
         if total[d] and model.languages:
-            own = model.own[w.script[w.start.size and int(np.searchsorted(doc, d))]].any() if w.count[d] == 1 else True
-            out.append((model.languages[top[d] if own else model.prior], float(letters[d, top[d]] / total[d]), spans[d]))
+            out.append((model.languages[top[d]], float(letters[d, top[d]] / total[d]), spans[d]))
         else:
             out.append((UNKNOWN, 0.0, []))
     return out
