@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from panemill.llm import blocks, decon, langid, lengths, mix, neardup, stream, urls
+from panemill.llm import blocks, decon, langid, lengths, lm, mix, neardup, stream, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_poisson_mix": mix.op1_poisson_mix,
     "op2_url_filter": urls.op2_url_filter,
     "op3_near_duplicates": neardup.op3_near_duplicates,
+    "op4_context_mixing": lm.op4_context_mixing,
     "op5_transport_stream": stream.op5_transport_stream,
     "op6_length_histogram": lengths.op6_length_histogram,
     "op7_decontamination": decon.op7_decontamination,
