@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from panemill.llm import blocks, decon, langid, lengths, lm, mix, neardup, stream, urls
+from panemill.llm import blocks, decon, langid, lengths, lm, mix, neardup, pii, stream, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_poisson_mix": mix.op1_poisson_mix,
@@ -17,6 +17,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_length_histogram": lengths.op6_length_histogram,
     "op7_decontamination": decon.op7_decontamination,
     "op8_token_files": blocks.op8_token_files,
+    "op9_personal_data": pii.op9_personal_data,
     "op10_language_spans": langid.op10_language_spans,
 }
 
