@@ -21,7 +21,8 @@ SAMPLE_DOCS = 5_000
 #: No feature of a single token weighs more than this against another label, so that repetition can outweigh it.
 UNARY_BOUND = 3.0
 PAIR_BOUND = 6.0
-#: What equal labels of a repeated token weigh at least: the sample may hold too few repetitions to show it.
+#: What equal labels of a repeated token weigh at least (and unequal ones lose at least a quarter of it): the sample
+#: may hold too few repetitions to show it.
 SAME = 4.0
 ROUNDS, DAMPING, ACCEPT = 12, 0.3, 0.6
 
@@ -182,7 +183,8 @@ def learn(docs: DataFrame) -> Field:
 
     other = np.full(len(LABELS), -UNARY_BOUND)
     other[0] = 0
-    skip = np.maximum(_pair(by["s"]), np.where(np.eye(len(LABELS), dtype=bool), SAME, -PAIR_BOUND))
+    seen = _pair(by["s"])
+    skip = np.where(np.eye(len(LABELS), dtype=bool), np.maximum(seen, SAME), np.minimum(seen, -SAME / 4))
     return Field({b: bounded(c) for b, c in unary.items()}, other, _pair(by["c"]) / PAIR_BOUND, skip)
 
 
