@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panemill.llm.common import fold, table
+from panemill.llm.common import fold, table, utf8
 
 UNKNOWN = "und"
 FOLDS = 5
@@ -106,6 +106,16 @@ class LanguageModel:
     own: np.ndarray  # whether a script is a language's own, (scripts, languages)
 
 
+def _portions(batch: pa.RecordBatch, text: int, size: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """A batch in slices of some 1 MB of text: a letter takes a few hundred bytes while it is worked on."""
+    _, at = utf8(batch.column(text))
+    first = 0
+    while first < len(batch):
+        last = max(first + 1, int(np.searchsorted(at, at[first] + size)) - 1)
+        yield batch.slice(first, last - first)
+        first = last
+
+
 def learn(docs: DataFrame) -> LanguageModel:
     """Count the features of all ``docs`` (text, lang) for each language.
 
@@ -116,13 +126,14 @@ def learn(docs: DataFrame) -> LanguageModel:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
         for batch in batches:
-            langs = np.array(batch.column(1).to_pylist(), object)
-            texts = np.array(batch.column(0).to_pylist(), object)
-            for lang in set(langs.tolist()):
-                w = read_words(texts[langs == lang].tolist())
-                held = sums.setdefault(lang, np.zeros(BUCKETS + len(SCRIPT_NAMES), np.int64))
-                held[:BUCKETS] += np.bincount(w.buckets, minlength=BUCKETS)
-                held[BUCKETS:] += np.bincount(w.script, w.length, len(SCRIPT_NAMES)).astype(np.int64)
+            for some in _portions(batch, 0):
+                langs = np.array(some.column(1).to_pylist(), object)
+                texts = np.array(some.column(0).to_pylist(), object)
+                for lang in set(langs.tolist()):
+                    w = read_words(texts[langs == lang].tolist())
+                    held = sums.setdefault(lang, np.zeros(BUCKETS + len(SCRIPT_NAMES), np.int64))
+                    held[:BUCKETS] += np.bincount(w.buckets, minlength=BUCKETS)
+                    held[BUCKETS:] += np.bincount(w.script, w.length, len(SCRIPT_NAMES)).astype(np.int64)
         for lang, held in sums.items():
             some = np.flatnonzero(held)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(some)), pa.array(some), pa.array(held[some])], names=["lang", "bucket", "n"])
@@ -222,8 +233,7 @@ def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first in range(0, len(batch), 2500):
-                some = batch.slice(first, 2500)
+            for some in _portions(batch, text):
                 rows = predict(held.value, some.column(text).to_pylist())
                 columns = [pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.float64()), pa.array([",".join(f"{s}:{a}:{b}" for s, a, b in r[2]) for r in rows], pa.string())]
                 yield pa.RecordBatch.from_arrays([*some.columns, *columns], names=[*kept, *added])
