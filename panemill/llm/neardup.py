@@ -16,15 +16,26 @@ from panemill.llm.shingles import shingle_sets
 
 #: Links join sets with 100 * intersection >= SIMILAR * union.
 SIMILAR = 80
-#: Values of a sketch.
-SKETCH = 32
-#: Of two sketches of linked sets so many values agree at least: of 32 values of the union's sketch each is shared
-#: with a chance of 0.8, and fewer than 12 are with one of 3e-8.
-AGREE = 12
-#: Of the union's own sketch so many must be shared for a pair to be confirmed (12 or fewer: 2e-7).
+#: Values of a sketch, and of the finer sketches of documents that meet in long lists.
+SKETCH, FINE = 32, 512
+#: A list whose members are in more components than this is long.
+LONG = 50
+#: Of the union's own sketch of 32 so many must be shared for a pair to be confirmed (12 or fewer: a chance of 2e-7).
 ESTIMATE = 13
 #: Two of the values by which sketches are indexed must agree.
 HITS = 2
+
+
+def agreeing(size: int) -> int:
+    """How many values of two linked sets' sketches of ``size`` agree at least.
+
+    Each value of the union's sketch is shared with a chance of 0.8. Six standard deviations below the mean: of 32
+    values 12 (fewer: a chance of 3e-8), of 512 values 355.
+    """
+    share = SIMILAR / 100
+    return int(size * share - 6 * (size * share * (1 - share)) ** 0.5)
+
+
 #: Ids up to so many are broadcast (16 MB); more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 
@@ -46,44 +57,73 @@ def sketches(docs: DataFrame, *, words: int, size: int = SKETCH) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(sketch, "doc_id long, n long, content binary, sketch array<long>")
 
 
-def index_rows(classes: DataFrame) -> DataFrame:
-    """The inverted lists: (value, id, n) for the rarest retained values of each class.
+def index_rows(classes: DataFrame, size: int = SKETCH) -> DataFrame:
+    """The inverted lists of sketches of up to ``size`` values: each class's rarest (value, id, n, alone, rest).
 
-    Two linked sketches of ``size`` values agree in AGREE of them (or in 80 % of a set that is no larger than any
-    sketch can cut). Sort the values of every sketch by how many sketches hold them: then the first
-    size - AGREE + HITS of both agree in HITS of them. Frequent shingles stay out of the lists without a cap, as long
-    as a document has rarer ones. A value that no other sketch holds needs no list, but takes its place in the order.
+    Two linked sketches agree in agreeing(size) values (or in 80 % of a set that is no larger than any sketch can cut).
+    Sort the values of every sketch by how many sketches hold them: then the first (length - agreeing + HITS) of both
+    agree in HITS of them. Frequent shingles stay out of the lists without a cap, as long as a document has rarer
+    ones. A value that no other sketch holds needs no list, but takes its place in the order; ``alone`` counts them
+    and ``rest`` the values after the listed ones.
     """
-    each = classes.select("id", "n", F.size("sketch").alias("size"), F.explode("sketch").alias("value"))
-    held = each.groupBy("value").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-    shared = each.join(held, "value")
-    # a set of up to 25 shingles has partners of up to 31, whose sketches are whole sets
-    agree = F.when(F.col("n") * 100 < SKETCH * SIMILAR, F.ceil(F.col("size") * (SIMILAR / 100))).otherwise(AGREE)
-    by_class = shared.groupBy("id", "n", "size").agg(F.array_sort(F.collect_list(F.struct("df", "value"))).alias("values"))
-    places = by_class.withColumn("places", (F.col("size") - agree + HITS - (F.col("size") - F.size("values"))).cast("int")).where("places > 0")
-    return places.select("id", "n", F.explode(F.slice("values", F.lit(1), F.col("places"))).alias("v")).select("v.value", "id", "n")
+    each = classes.select("id", F.explode("sketch").alias("value"))
+    held = each.groupBy("value").agg(F.count(F.lit(1)).cast("int").alias("df")).where("df > 1")
+    shared = each.join(held, "value").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("df", "value"))).alias("values"))
+    # a small set's partners are small enough for their sketches to be whole sets
+    agree = F.when(F.col("n") * 100 < size * SIMILAR, F.ceil(F.col("size") * (SIMILAR / 100))).otherwise(agreeing(size))
+    sized = shared.join(classes.select("id", "n", F.size("sketch").alias("size")), "id")
+    places = sized.withColumn("places", (F.size("values") - agree + HITS).cast("int")).where("places > 0")
+    alone = F.col("size") - F.size("values")
+    return places.select("id", "n", alone.alias("alone"), F.explode(F.slice("values", F.lit(1), F.col("places"))).alias("v"), F.greatest(F.size("values") - F.col("places"), F.lit(0)).alias("rest")).select("v.value", "id", "n", "alone", "rest")
+
+
+def _may_link(size: int, n: str, alone: str, other_n: str, other_alone: str, least_n: str | None = None, least_other_n: str | None = None) -> Column:
+    """Whether two classes of ``n`` and ``other_n`` shingles can be similar enough.
+
+    The sizes must be. A value that one sketch holds alone is not shared, which bounds the intersection of whole sets.
+    Of larger sets' sketches, at least 0.8 of whose values are in the union's, such values may be six standard
+    deviations more than 0.2 of it. ``least_n``: the least sizes of two groups of classes, whose
+    largest are n and other_n and whose least counts are alone and other_alone.
+    """
+    share = 1 - SIMILAR / 100
+    most = int((size * share + 6 * (size * share * (1 - share)) ** 0.5) / (1 - share))
+    whole = f"{n} <= {size} AND {other_n} <= {size}"
+    few = f"CASE WHEN {whole} THEN {100 + SIMILAR} * least({n} - {alone}, {other_n} - {other_alone}) >= {SIMILAR} * ({least_n or n} + {least_other_n or other_n}) ELSE {alone} + {other_alone} <= {most} END"
+    return F.expr(f"100 * {n} >= {SIMILAR} * {least_other_n or other_n} AND 100 * {other_n} >= {SIMILAR} * {least_n or n} AND {few}")
+
 
+def _star_pairs(lists: DataFrame, size: int = SKETCH) -> DataFrame:
+    """Each member of a list with three of its members: the one with the fewest values of its own, which is nearest to
+    what the others are copies of, and the first ones by two fixed orders of all documents."""
+    orders = [F.col("alone").cast("long"), F.col("id"), F.xxhash64("id")]
+    centers = lists.groupBy("value").agg(*[F.min(F.struct(o.alias("o"), "id", "n", "alone")).alias(f"c{i}") for i, o in enumerate(orders)]).select("value", F.explode(F.array("c0", "c1", "c2")).alias("c"))
+    centers = centers.select("value", F.col("c.id").alias("center"), F.col("c.n").alias("center_n"), F.col("c.alone").alias("center_alone")).distinct()
+    pairs = lists.join(centers, "value").where((F.col("id") != F.col("center")) & _may_link(size, "n", "alone", "center_n", "center_alone"))
+    return pairs.groupBy(F.least("center", "id").alias("a"), F.greatest("center", "id").alias("b")).count().where(f"count >= {HITS}").select("a", "b")
 
-def _sizes_fit(a: Column, b: Column) -> Column:
-    return (a * 100 >= b * SIMILAR) & (b * 100 >= a * SIMILAR)
 
+def _in_components(lists: DataFrame, known: DataFrame) -> DataFrame:
+    """The lists with each member's component so far, without those that lie in one component; (value, c) once more
+    summed up as n_components."""
+    placed = lists.join(known, lists["id"] == known["node"], "left").select("value", "id", "n", "alone", "rest", F.coalesce("component", "id").alias("c"))
+    several = placed.select("value", "c").distinct().groupBy("value").agg(F.count(F.lit(1)).alias("n_components")).where("n_components > 1")
+    return written(placed.join(several, "value"), "placed")
 
-def _star_pairs(lists: DataFrame) -> DataFrame:
-    """Each member of a list with the list's first member: one pair a row."""
-    first = lists.groupBy("value").agg(F.min(F.struct("id", "n")).alias("first"))
-    pairs = lists.join(first, "value").where((F.col("id") != F.col("first.id")) & _sizes_fit(F.col("n"), F.col("first.n")))
-    return pairs.groupBy(F.col("first.id").alias("a"), F.col("id").alias("b")).count().where(f"count >= {HITS}").select("a", "b")
 
+def _other_pairs(placed: DataFrame, size: int = SKETCH) -> DataFrame:
+    """All pairs of a list's members that are not in one component yet, if they meet in enough lists.
 
-def _other_pairs(lists: DataFrame, known: DataFrame) -> DataFrame:
-    """All pairs of a list's members that are not in one component yet, if they meet in HITS lists."""
-    placed = lists.join(known, lists["id"] == known["node"], "left").select("value", "id", "n", F.coalesce("component", "id").alias("c"))
-    groups = placed.groupBy("value", "c").agg(F.min("n").alias("least"), F.max("n").alias("most"))
-    met = groups.alias("x").join(groups.alias("y"), F.expr(f"x.value = y.value and x.c < y.c and 100 * x.most >= {SIMILAR} * y.least and 100 * y.most >= {SIMILAR} * x.least"))
+    Of whole sets, shared values that come after the listed ones are in the rest of one of the two sets; all others
+    are lists in which both meet.
+    """
+    groups = placed.groupBy("value", "c").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.min("alone").alias("alone"))
+    met = groups.alias("x").join(groups.alias("y"), F.expr("x.value = y.value and x.c < y.c") & _may_link(size, "x.most", "x.alone", "y.most", "y.alone", "x.least", "y.least"))
     met = met.select(F.col("x.value").alias("value"), F.col("x.c").alias("c"), F.col("y.c").alias("other"))
-    left = met.join(placed, ["value", "c"]).select("value", F.col("other").alias("c"), F.col("id").alias("p"), F.col("n").alias("p_n"))
-    pairs = left.join(placed, ["value", "c"]).where(_sizes_fit(F.col("n"), F.col("p_n")))
-    return pairs.groupBy(F.least("p", "id").alias("a"), F.greatest("p", "id").alias("b")).count().where(f"count >= {HITS}").select("a", "b")
+    left = met.join(placed, ["value", "c"]).select("value", F.col("other").alias("c"), F.col("id").alias("p"), F.col("n").alias("p_n"), F.col("alone").alias("p_alone"), F.col("rest").alias("p_rest"))
+    pairs = left.join(placed, ["value", "c"]).where(_may_link(size, "n", "alone", "p_n", "p_alone"))
+    need = F.expr(f"CASE WHEN n <= {size} AND p_n <= {size} THEN greatest({HITS}, ceil({SIMILAR} * (n + p_n) / {100 + SIMILAR}) - greatest(rest, p_rest)) ELSE {HITS} END")
+    met_in = pairs.groupBy(F.least("p", "id").alias("a"), F.greatest("p", "id").alias("b")).agg(F.count(F.lit(1)).alias("lists"), F.max(need).alias("need"))
+    return met_in.where("lists >= need").select("a", "b")
 
 
 def _likely(pairs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -98,12 +138,16 @@ def _likely(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return both.where(likely).select("a", "b")
 
 
+def _texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(id, text) of the documents with these ids; up to a million ids are broadcast, more are joined by a shuffle."""
+    few = ids.count() <= BROADCAST_IDS
+    return docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(F.broadcast(ids) if few else ids, "id", "left_semi")
+
+
 def _confirmed(pairs: DataFrame, docs: DataFrame, words: int) -> DataFrame:
     """The pairs whose whole shingle sets are similar enough, from the texts of the two documents."""
-    wanted = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text")
-    few = wanted.count() <= BROADCAST_IDS
-    texts = written(texts.join(F.broadcast(wanted) if few else wanted, "id", "left_semi"), "texts")
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    texts = written(_texts(docs, wanted), "texts")
     both = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("x")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("y")), "b")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -130,9 +174,11 @@ def near_duplicates(docs: DataFrame, *, words: int) -> DataFrame:
     Extra columns are left out; an empty table gives an empty result.
 
     Documents with one set form a class, found by a hash of the whole set; only the first of a class goes on. Lists of
-    rare retained values pair classes twice: first each list's members with its first one, so that thousands of near
-    copies meet in one component; then all members that are in different components yet. Sketches filter the pairs
-    and the texts confirm them. No step gathers a list, a group or a component in one place.
+    rare retained values pair classes twice: first each list's members with a few of them, so that thousands of near
+    copies meet in one component; then all members that are in different components yet. Where these are many, because
+    many documents share a passage, their documents get finer sketches, in whose lists only documents meet that share
+    most of what they hold. Sketches filter the pairs and the texts confirm them. No step gathers a list, a group or a
+    component in one place.
     """
     spark = docs.sparkSession
     if not spark.sparkContext.getCheckpointDir():
@@ -141,10 +187,18 @@ def near_duplicates(docs: DataFrame, *, words: int) -> DataFrame:
     # below four shingles only equal sets are similar enough
     classes = each.where("n > 0 and doc_id is not null").groupBy("content").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
     classes = written(classes, "classes")
-    lists = written(index_rows(classes.where("n >= 4").select("id", "n", "sketch")), "lists")
-    first = _confirmed(_likely(_star_pairs(lists), classes).checkpoint(), docs, words).checkpoint()
-    others = _likely(_other_pairs(lists, components(first)), classes).checkpoint()
-    links = first.union(_confirmed(others, docs, words)).checkpoint()
+    held = classes.where("n >= 4").select("id", "n", "sketch")
+    lists = written(index_rows(held), "lists")
+    links = _confirmed(_likely(_star_pairs(lists), classes).checkpoint(), docs, words).checkpoint()
+    placed = _in_components(lists, components(links))
+    others = _other_pairs(placed.where(f"n_components <= {LONG}"))
+    hot = placed.where(f"n_components > {LONG}").select("id").distinct().checkpoint()
+    if hot.count():
+        fine = sketches(_texts(docs, hot).withColumnRenamed("id", "doc_id"), words=words, size=FINE).select(F.col("doc_id").alias("id"), "n", "sketch")
+        lists = written(index_rows(written(fine, "fine"), FINE), "fine_lists")
+        links = links.union(_confirmed(_likely(_star_pairs(lists, FINE), classes).checkpoint(), docs, words)).checkpoint()
+        others = others.union(_other_pairs(_in_components(lists, components(links)), FINE)).distinct()
+    links = links.union(_confirmed(_likely(others, classes).checkpoint(), docs, words)).distinct().checkpoint()
     found = components(links)
     counts = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
     labels = classes.select("content", "id").join(found, F.col("id") == found["node"], "left").join(counts, F.col("id") == counts["node"], "left").select("content", F.coalesce("component", "id").alias("component"), F.coalesce("n_links", F.lit(0)).alias("n_links"))

@@ -33,8 +33,8 @@ _IP = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _NUMBER = re.compile(r"(?<![0-9A-Za-z+.])\(?[0-9][0-9\x20().-]{5,24}[0-9](?![0-9A-Za-z])")
-_SPELLED = re.compile(r"([A-Za-z0-9._%+-]{1,64})\x20?(?:\(at\)|\[at\])\x20?([A-Za-z0-9-]{1,63}(?:\x20?(?:\.|\(dot\)|\[dot\])\x20?[A-Za-z0-9-]{1,63}){1,8})")
-_DOT = re.compile(r"\x20?(?:\(dot\)|\[dot\]|\.)\x20?")
+_SPELLED = re.compile(r"([A-Za-z0-9._%+-]{1,64})\x20?(?:\(at\)|\[at\])\x20?([A-Za-z0-9-]{1,63}(?:(?:\.|\x20?(?:\(dot\)|\[dot\])\x20?)[A-Za-z0-9-]{1,63}){1,8})")
+_DOT = re.compile(r"\x20?(?:\(dot\)|\[dot\])\x20?")
 _CUE = re.compile(r"(call|phone|tel|fax|mobile|cell|contact|reach)[^A-Za-z]{0,3}$", re.IGNORECASE)
 
 Span = tuple[int, str, int]  # start, kind, end
