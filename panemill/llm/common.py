@@ -69,6 +69,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows of ids up to which a table may be broadcast: some 16 to 40 MB.
+BROADCAST_ROWS = 1_000_000
+
+
+def broadcast_if_small(df: DataFrame) -> DataFrame:
+    """Count a table and mark it for a broadcast if it has no more than a million rows; else joins shuffle it."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
 def keep_columns(df: DataFrame, taken: tuple[str, ...], within: str | None = None) -> list[Column]:
     """The columns of ``df`` but for those whose names an operator needs for its own results.
 

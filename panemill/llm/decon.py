@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panemill.llm.common import WORD, ascii_lower, table, written
+from panemill.llm.common import BROADCAST_ROWS, WORD, ascii_lower, broadcast_if_small, table, written
 
 WORDS = 5
 #: An item is found in a document that holds 100 * shared >= CONTAINED * its shingles.
@@ -14,8 +14,6 @@ CONTAINED = 80
 SKETCH, SHARE = 16, 8
 #: Of an item's retained values a quarter must stand in a document: of 16, fewer than 4 do with a chance of 1e-7.
 HITS = 4
-#: Rows up to which a table is broadcast (some 40 MB); beyond, the join shuffles.
-BROADCAST_ROWS = 1_000_000
 
 
 def words_of(text: Column) -> Column:
@@ -88,7 +86,7 @@ def contained_items(docs: DataFrame, items: DataFrame) -> DataFrame:
 def decontaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The rows of ``docs`` in which no item is found; rows without an id stay."""
     bad = written(contained_items(docs, items).select("doc_id").distinct(), "contaminated")
-    return docs.join(_small(bad, bad.count()), "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(broadcast_if_small(bad), "doc_id", "left_anti").select(*docs.columns)
 
 
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

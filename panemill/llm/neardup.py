@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from panemill.llm.common import shared_folder, table, utf8, written
+from panemill.llm.common import broadcast_if_small, shared_folder, table, utf8, written
 from panemill.llm.components import components
 from panemill.llm.shingles import shingle_sets
 
@@ -36,8 +36,6 @@ def agreeing(size: int) -> int:
     return int(size * share - 6 * (size * share * (1 - share)) ** 0.5)
 
 
-#: Ids up to so many are broadcast (16 MB); more are joined by a shuffle.
-BROADCAST_IDS = 1_000_000
 
 
 def sketches(docs: DataFrame, *, words: int, size: int = SKETCH) -> DataFrame:
@@ -140,8 +138,7 @@ def _likely(pairs: DataFrame, classes: DataFrame) -> DataFrame:
 
 def _texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """(id, text) of the documents with these ids; up to a million ids are broadcast, more are joined by a shuffle."""
-    few = ids.count() <= BROADCAST_IDS
-    return docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(F.broadcast(ids) if few else ids, "id", "left_semi")
+    return docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(broadcast_if_small(ids), "id", "left_semi")
 
 
 def _confirmed(pairs: DataFrame, docs: DataFrame, words: int) -> DataFrame:
