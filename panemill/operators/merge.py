@@ -1,0 +1,31 @@
+"""The aggregation tree as explicit steps: partial windows of each node, merged by the next level."""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from panemill.functions.aggregates import Aggregate
+from panemill.plans.panes import lifted, lowered, merged, windows_over
+from panemill.plans.spec import WindowSpec
+
+GROUP = ("window_id", "window_start", "window_end", "key")
+
+
+def leaf_windows(events: DataFrame, windows: Sequence[WindowSpec], functions: Sequence[Aggregate], node: Column) -> DataFrame:
+    """(node_id, window, key, parts): what each leaf node, a function of the stream, makes of its own events."""
+    rows = events.select(node.alias("node_id"), "key", "value", F.explode(windows_over(F.col("event_ts"), windows)).alias("w")).select("node_id", "w.*", "key", "value")
+    return rows.groupBy("node_id", *GROUP).agg(*lifted(functions))
+
+
+def merge_windows(partials: DataFrame, functions: Sequence[Aggregate], node: Column | None = None) -> DataFrame:
+    """Merge the parts of equal windows and keys; with ``node`` for each node of the next level, else at the root."""
+    by = [node.alias("node_id")] if node is not None else []
+    return partials.groupBy(*by, *GROUP).agg(*merged(functions))
+
+
+def root_windows(partials: DataFrame, functions: Sequence[Aggregate]) -> DataFrame:
+    """Results of merged parts: (window, key, value_0, ...)."""
+    return merge_windows(partials, functions).select(*GROUP, *lowered(functions))
