@@ -1,0 +1,221 @@
+"""Hand-computed results of windows over small event lists, in batch and as streams."""
+
+import itertools
+import os
+import random
+import time
+
+import pytest
+from pyspark.sql import functions as F
+
+from panemill.functions.aggregates import Aggregate, Part, aggregate, aggregate_names, register_aggregate
+from panemill.operators.count_windows import with_place
+from panemill.operators.merge import leaf_windows, merge_windows, root_windows
+from panemill.plans.engine import long_results, run, run_text
+from panemill.plans.panes import fixed_windows
+from panemill.plans.spec import QuerySpec, sliding, tumbling
+from panemill.sources.events import NO_KEY, decode_events, union_streams
+from panemill.streaming.sinks import drained
+from panemill.streaming.windows import count_window_stream, query_stream
+
+FIRST = "0,10,1,0 0,20,1,1 0,30,1,0 0,40,1,1 0,50,1,0 1,10,1,1 1,20,1,0 1,30,1,1 1,40,1,0 1,50,1,1"
+FOUR = FIRST + " 2,10,1,1 2,20,1,0 2,30,1,1 2,40,1,0 2,50,1,1 3,10,1,1 3,20,1,0 3,30,1,1 3,40,1,0 3,50,1,2"
+SESSIONS = "0,0,1 0,2,2 0,4,3 0,5,4 0,7,5 0,10,6 0,120,0 0,140,5 0,170,10 0,400,0 0,405,5 0,410,15 0,550,100 0,560,0 0,730,3 0,930,0 1,0,1 1,15,2 1,30,3 1,460,15 1,530,5 1,590,20 1,700,2 1,750,1 1,900,0"
+KEY_0 = [(10, 1), (30, 1), (50, 1), (70, 1), (90, 1), (110, 10), (115, 20), (120, 30), (190, 40), (195, 50)]
+KEY_1 = [(20, 1), (40, 1), (60, 1), (80, 1), (85, 1), (185, 10), (186, 20), (187, 30), (190, 40), (195, 50)]
+KEY_1_LATER = [(20, 1), (40, 1), (60, 1), (80, 1), (85, 1), (175, 10), (180, 20), (185, 30), (190, 40), (195, 50)]
+
+
+def events(spark, text):
+    return decode_events(spark.createDataFrame([(x,) for x in text.split()], "value string"))
+
+
+def keyed(spark, *lists):
+    return events(spark, " ".join(f"0,{t},{v},{k}" for k, rows in enumerate(lists) for t, v in rows))
+
+
+def found(results):
+    return {(r.window_id, r.window_start, r.window_end, r.function_id, r.key): r.value for r in results.collect()}
+
+
+def test_tumbling_sum_of_two_and_four_streams(spark):
+    assert found(run_text(events(spark, FIRST), "TUMBLING,100,0", "SUM")) == {(0, 0, 100, 0, 0): 5, (0, 0, 100, 0, 1): 5}
+    assert found(run_text(events(spark, FOUR), "TUMBLING,100,0", "SUM")) == {(0, 0, 100, 0, 0): 9, (0, 0, 100, 0, 1): 10, (0, 0, 100, 0, 2): 1}
+
+
+def test_sessions_merge_over_streams(spark):
+    assert found(run_text(events(spark, SESSIONS), "SESSION,100,0", "MEDIAN")) == {
+        (0, 0, 270, 0, NO_KEY): 3, (0, 400, 690, 0, NO_KEY): 15, (0, 700, 850, 0, NO_KEY): 2, (0, 900, 1030, 0, NO_KEY): 0,
+    }
+
+
+def test_several_windows_and_keys(spark):
+    got = found(run_text(keyed(spark, KEY_0, KEY_1), "TUMBLING,100,0;SLIDING,100,50,1;SESSION,60,2", "SUM"))
+    assert got == {
+        (0, 0, 100, 0, 0): 5, (0, 100, 200, 0, 0): 150, (0, 0, 100, 0, 1): 5, (0, 100, 200, 0, 1): 150,
+        (1, 0, 100, 0, 0): 5, (1, 50, 150, 0, 0): 63, (1, 100, 200, 0, 0): 150, (1, 150, 250, 0, 0): 90,
+        (1, 0, 100, 0, 1): 5, (1, 50, 150, 0, 1): 3, (1, 100, 200, 0, 1): 150, (1, 150, 250, 0, 1): 150,
+        (2, 10, 180, 0, 0): 65, (2, 190, 255, 0, 0): 90, (2, 20, 145, 0, 1): 5, (2, 185, 255, 0, 1): 150,
+    }
+
+
+def test_average_is_truncated_and_median_is_upper(spark):
+    got = found(run_text(keyed(spark, KEY_0), "SLIDING,100,50,0", "AVG"))
+    assert [got[0, s, s + 100, 0, 0] for s in (0, 50, 100, 150)] == [1, 63 // 6, 30, 45]
+    got = found(run_text(keyed(spark, KEY_0, KEY_1_LATER), "SLIDING,100,50,0", "MEDIAN"))
+    assert [got[0, s, s + 100, 0, 0] for s in (0, 50, 100, 150)] == [1, 10, 30, 50]
+    assert [got[0, s, s + 100, 0, 1] for s in (0, 50, 100, 150)] == [1, 1, 30, 30]
+    assert found(run_text(events(spark, "0,1,-7 0,2,2"), "TUMBLING,10,0", "AVG")) == {(0, 0, 10, 0, NO_KEY): -2}
+
+
+@pytest.mark.parametrize(("values", "median"), [([1], 1), ([1, 2, 3], 2), ([1, 3, 5, 7, 9, 11], 7), ([1, 2], 2), ([2, 3, 4, 1, 2, 3], 3), ([2, 3, 4, 5, 6, 7, 4, 1, 2, 3], 4)])
+def test_upper_median(spark, values, median):
+    rows = " ".join(f"0,{i},{v}" for i, v in enumerate(values))
+    assert list(found(run_text(events(spark, rows), "TUMBLING,100,0", "MEDIAN")).values()) == [median]
+
+
+def test_functions_may_repeat(spark):
+    got = found(run_text(keyed(spark, KEY_0, KEY_1_LATER), "TUMBLING,100,0", "SUM;SUM;AVG;AVG;MEDIAN;MEDIAN"))
+    for key in (0, 1):
+        assert [got[0, 0, 100, i, key] for i in range(6)] == [5, 5, 1, 1, 1, 1]
+        assert [got[0, 100, 200, i, key] for i in range(6)] == [150, 150, 30, 30, 30, 30]
+
+
+def test_median_over_tumbling_and_sliding_panes(spark):
+    panes = [[1], [2], [3, 4], [5, 6, 7], [7, 3], [1, 4]]
+    rows = " ".join(f"0,{i * 500 + j},{v}" for i, p in enumerate(panes) for j, v in enumerate(p))
+    got = found(run_text(events(spark, rows), "TUMBLING,1000,0;SLIDING,1000,500,1", "MEDIAN"))
+    assert [got[0, s, s + 1000, 0, NO_KEY] for s in (0, 1000, 2000)] == [2, 5, 4]
+    assert [got[1, s, s + 1000, 0, NO_KEY] for s in (0, 500, 1000, 1500, 2000)] == [2, 3, 5, 6, 4]
+
+
+def test_latest_value_functions(spark):
+    rows = events(spark, "0,1,5 0,2,9 0,3,7")
+    assert list(found(run_text(rows, "TUMBLING,10,0", "M_SUM;M_AVG;M_MEDIAN;M_MIN;MIN;MAX")).values()) == [9, 9, 9, 9, 5, 9]
+
+
+def test_count_windows_beside_time_windows(spark):
+    rows = " ".join(f"{i % 2},{t},{v}" for i, (t, v) in enumerate([*[(10 * n, n) for n in range(1, 10)], (200, 0), (201, 0)]))
+    got = found(run_text(events(spark, rows), "TUMBLING,3,0,COUNT;TUMBLING,30,1", "SUM"))
+    assert got == {
+        (0, 0, 3, 0, NO_KEY): 6, (0, 3, 6, 0, NO_KEY): 15, (0, 6, 9, 0, NO_KEY): 24,
+        (1, 0, 30, 0, NO_KEY): 3, (1, 30, 60, 0, NO_KEY): 12, (1, 60, 90, 0, NO_KEY): 21, (1, 90, 120, 0, NO_KEY): 9, (1, 180, 210, 0, NO_KEY): 0,
+    }
+
+
+def test_count_windows_of_each_key_and_sliding(spark):
+    rows = events(spark, " ".join(f"0,{t},{t},{t % 2}" for t in range(10)))
+    spec = QuerySpec.parse("SLIDING,3,2,7,COUNT", "SUM;AVG", "key")
+    assert found(run(rows, spec)) == {(7, 0, 3, 0, 0): 6, (7, 0, 3, 1, 0): 2, (7, 2, 5, 0, 0): 18, (7, 2, 5, 1, 0): 6, (7, 0, 3, 0, 1): 9, (7, 0, 3, 1, 1): 3, (7, 2, 5, 0, 1): 21, (7, 2, 5, 1, 1): 7}
+    got = {r.event_ts: r.place for r in with_place(rows, span_ms=3).collect()}
+    assert got == {t: t for t in range(10)}
+
+
+def test_dense_windows(spark):
+    first = "0,10,1,0 0,30,1,0 0,50,1,0 0,70,1,1 0,90,1,0 0,110,10,1 0,115,20,1 0,120,30,1 0,190,40,2 0,195,50,2"
+    second = "1,20,1,1 1,40,1,0 1,60,1,0 1,80,1,0 1,85,1,1 1,175,10,1 1,180,20,0 1,185,30,1 1,190,40,0 1,195,50,1"
+    rows = events(spark, first + " " + second)
+    got = found(run_text(rows, "TUMBLING,100,0", "SUM", dense=True))
+    assert [got[0, 0, 100, 0, k] for k in (0, 1, 2)] == [7, 3, None]
+    assert [got[0, 100, 200, 0, k] for k in (0, 1, 2)] == [60, 150, 90]
+    assert (0, 0, 100, 0, 2) not in found(run_text(rows, "TUMBLING,100,0", "SUM"))
+
+
+def test_an_event_on_a_border_and_none_before_zero(spark):
+    got = found(run_text(events(spark, "0,30,1 0,29,2"), "TUMBLING,30,0;SLIDING,20,10,1", "SUM"))
+    assert got == {(0, 0, 30, 0, NO_KEY): 2, (0, 30, 60, 0, NO_KEY): 1, (1, 10, 30, 0, NO_KEY): 2, (1, 20, 40, 0, NO_KEY): 3, (1, 30, 50, 0, NO_KEY): 1}
+
+
+def test_empty_input(spark):
+    none = events(spark, FIRST).limit(0)
+    for windows in ("TUMBLING,100,0;SLIDING,100,30,1", "SESSION,10,0", "TUMBLING,3,0,COUNT"):
+        assert run_text(none, windows, "SUM;MEDIAN").count() == 0
+    assert run_text(none, "TUMBLING,100,0", "SUM", dense=True).count() == 0
+
+
+def test_results_do_not_depend_on_streams_or_order(spark):
+    rng = random.Random(5)
+    base = [(rng.randrange(5000), rng.randrange(100), rng.randrange(3)) for _ in range(400)]
+    results = []
+    for split in (1, 3):
+        rows = [f"{rng.randrange(split)},{t},{v},{k}" for t, v, k in base]
+        rng.shuffle(rows)
+        parts = [events(spark, " ".join(rows[i::2])) for i in range(2)]
+        results.append(found(run_text(union_streams(*parts), "TUMBLING,300,0;SLIDING,500,70,1;SESSION,20,2", "SUM;AVG;MEDIAN")))
+    assert results[0] == results[1] and results[0]
+
+
+def test_panes_agree_with_rows(spark):
+    rng = random.Random(6)
+    base = [(rng.randrange(4000), rng.randrange(-50, 50), rng.randrange(3)) for _ in range(300)]
+    rows = events(spark, " ".join(f"0,{t},{v},{k}" for t, v, k in base))
+    windows, functions = [tumbling(200, 0), sliding(500, 150, 1)], [aggregate(x) for x in ("SUM", "AVG", "MEDIAN", "MIN")]
+    got = found(long_results(fixed_windows(rows, windows, functions, 50)))
+    want = {}
+    for w in windows:
+        for start, key in itertools.product(range(0, 4000, w.slide), range(3)):
+            values = sorted(v for t, v, k in base if k == key and start <= t < start + w.size)
+            if values:
+                average = abs(sum(values)) // len(values) * (1 if sum(values) >= 0 else -1)
+                for i, x in enumerate((sum(values), average, values[len(values) // 2], values[0])):
+                    want[w.window_id, start, start + w.size, i, key] = x
+    assert got == want
+
+
+def test_merge_tree_agrees_with_one_step(spark):
+    rows, functions = events(spark, FOUR), [aggregate(x) for x in ("SUM", "AVG", "MEDIAN")]
+    leaves = leaf_windows(rows, [tumbling(30, 0)], functions, F.col("stream_id"))
+    tree = long_results(root_windows(merge_windows(leaves, functions, F.expr("node_id div 2")), functions))
+    assert found(tree) == found(run_text(rows, "TUMBLING,30,0", "SUM;AVG;MEDIAN"))
+
+
+def test_own_aggregate(spark):
+    if "RANGE" not in aggregate_names():
+        register_aggregate(Aggregate("RANGE", "algebraic", (Part("_low", F.min, F.min), Part("_high", F.max, F.max)), lambda low, high: high - low))
+    assert found(run_text(events(spark, "0,1,5 0,2,9 0,13,7"), "SLIDING,20,10,0", "RANGE")) == {(0, 0, 20, 0, NO_KEY): 4, (0, 10, 30, 0, NO_KEY): 0}
+    with pytest.raises(ValueError, match="of this name"):
+        register_aggregate(aggregate("SUM"))
+
+
+def test_malformed_event(spark):
+    with pytest.raises(Exception, match="CAST_INVALID_INPUT"):
+        events(spark, "0,x,1").collect()
+
+
+def stream_of(spark, tmp_path, *batches):
+    """A stream whose micro-batches are the given event lists."""
+    for i, rows in enumerate(batches):
+        rows.drop("ts").coalesce(1).write.parquet(f"{tmp_path}/in/{i}")
+    schema = batches[0].drop("ts").schema
+    found = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(f"{tmp_path}/in")
+    return found.withColumn("ts", F.timestamp_millis("event_ts"))
+
+
+def test_stream_gives_closed_windows_once(spark, tmp_path):
+    rows = keyed(spark, KEY_0, KEY_1)
+    spec = QuerySpec.parse("TUMBLING,50,0;SESSION,10,1", "SUM;MEDIAN")
+    got = long_results(drained(query_stream(stream_of(spark, tmp_path, rows), spec)))
+    assert got.count() == len(found(got))
+    assert found(got) == {k: v for k, v in found(run(rows, spec)).items() if k[2] <= 195 - 100}
+
+
+def test_late_events_count_while_their_window_is_open(spark, tmp_path):
+    first = events(spark, "0,10,1 0,450,1")  # the watermark passes 350
+    second = events(spark, "0,460,0")  # [0,100) goes out with this batch
+    late = events(spark, "0,20,1 0,340,1 0,370,5")  # of these, only [300,400) is still open
+    last = events(spark, "0,900,0")
+    stream = stream_of(spark, tmp_path, first, second, late, last)
+    for i in range(4):  # files are taken in the order of their times
+        for name in os.listdir(f"{tmp_path}/in/{i}"):
+            os.utime(f"{tmp_path}/in/{i}/{name}", (time.time() - 100 + i * 10,) * 2)
+    got = found(long_results(drained(query_stream(stream, QuerySpec.parse("TUMBLING,100,0", "SUM")))))
+    assert got == {(0, 0, 100, 0, NO_KEY): 1, (0, 300, 400, 0, NO_KEY): 6, (0, 400, 500, 0, NO_KEY): 1}
+
+
+def test_count_windows_of_a_stream(spark, tmp_path):
+    rows = events(spark, " ".join(f"0,{t},{t},{t % 2}" for t in range(20)))
+    for window in (tumbling(3, 5, "COUNT"), sliding(4, 3, 6, "COUNT")):
+        got = drained(count_window_stream(stream_of(spark, tmp_path / str(window.slide), rows), window))
+        spec = QuerySpec((window,), (aggregate("SUM"),), "key")
+        want = {k[:3] + k[4:]: v for k, v in found(run(rows, spec)).items()}
+        assert {(r.window_id, r.window_start, r.window_end, r.key): r.value for r in got.collect()} == want
