@@ -22,8 +22,8 @@ SKETCH, FINE = 32, 512
 LONG = 50
 #: Of the union's own sketch of 32 so many must be shared for a pair to be confirmed (12 or fewer: a chance of 2e-7).
 ESTIMATE = 13
-#: Two of the values by which sketches are indexed must agree.
-HITS = 2
+#: Of the values by which sketches are indexed so many must agree: more of whole sets, whose bounds are exact.
+HITS, MEET = 2, 6
 
 
 def agreeing(size: int) -> int:
@@ -56,13 +56,13 @@ def sketches(docs: DataFrame, *, words: int, size: int = SKETCH) -> DataFrame:
 
 
 def index_rows(classes: DataFrame, size: int = SKETCH) -> DataFrame:
-    """The inverted lists of sketches of up to ``size`` values: each class's rarest (value, id, n, alone, rest).
+    """The inverted lists of sketches of up to ``size`` values: each class's rarest (value, id, n, alone, place).
 
     Two linked sketches agree in agreeing(size) values (or in 80 % of a set that is no larger than any sketch can cut).
     Sort the values of every sketch by how many sketches hold them: then the first (length - agreeing + HITS) of both
-    agree in HITS of them. Frequent shingles stay out of the lists without a cap, as long as a document has rarer
-    ones. A value that no other sketch holds needs no list, but takes its place in the order; ``alone`` counts them
-    and ``rest`` the values after the listed ones.
+    agree in HITS of them (or, likewise, in MEET of whole sets). Frequent shingles stay out of the lists without a cap, as long as a document has rarer
+    ones. A value that no other sketch holds needs no list, but takes its place in the order; ``alone`` counts
+    them, and ``place`` tells how many values come before.
     """
     each = classes.select("id", F.explode("sketch").alias("value"))
     held = each.groupBy("value").agg(F.count(F.lit(1)).cast("int").alias("df")).where("df > 1")
@@ -70,23 +70,33 @@ def index_rows(classes: DataFrame, size: int = SKETCH) -> DataFrame:
     # a small set's partners are small enough for their sketches to be whole sets
     agree = F.when(F.col("n") * 100 < size * SIMILAR, F.ceil(F.col("size") * (SIMILAR / 100))).otherwise(agreeing(size))
     sized = shared.join(classes.select("id", "n", F.size("sketch").alias("size")), "id")
-    places = sized.withColumn("places", (F.size("values") - agree + HITS).cast("int")).where("places > 0")
+    hits = F.when(F.col("n") <= size, MEET).otherwise(HITS)
     alone = F.col("size") - F.size("values")
-    return places.select("id", "n", alone.alias("alone"), F.explode(F.slice("values", F.lit(1), F.col("places"))).alias("v"), F.greatest(F.size("values") - F.col("places"), F.lit(0)).alias("rest")).select("v.value", "id", "n", "alone", "rest")
+    listed = sized.select("id", "n", alone.alias("alone"), "values", (F.size("values") - agree + hits).cast("int").alias("places")).where("places > 0")
+    rows = listed.select("id", "n", "alone", F.posexplode(F.slice("values", F.lit(1), F.col("places"))).alias("place", "v"))
+    return rows.select("v.value", "id", "n", "alone", (F.col("place") + F.col("alone")).alias("place"))
 
 
-def _may_link(size: int, n: str, alone: str, other_n: str, other_alone: str, least_n: str | None = None, least_other_n: str | None = None) -> Column:
+def _shared(n: str, other_n: str) -> str:
+    """SQL for how many shingles sets of these sizes share at least if they are linked."""
+    return f"ceil({SIMILAR} * ({n} + {other_n}) / {100 + SIMILAR})"
+
+
+def _may_link(size: int, n: str, alone: str, other_n: str, other_alone: str, least_n: str | None = None, least_other_n: str | None = None, place: str = "", other_place: str = "") -> Column:
     """Whether two classes of ``n`` and ``other_n`` shingles can be similar enough.
 
     The sizes must be. A value that one sketch holds alone is not shared, which bounds the intersection of whole sets.
     Of larger sets' sketches, at least 0.8 of whose values are in the union's, such values may be six standard
-    deviations more than 0.2 of it. ``least_n``: the least sizes of two groups of classes, whose
+    deviations more than 0.2 of it. A pair of whole sets needs fewer of the listed values the closer their sizes are:
+    those at a place (of place, other_place) beyond are of no use to it. ``least_n``: the least sizes of two groups of classes, whose
     largest are n and other_n and whose least counts are alone and other_alone.
     """
     share = 1 - SIMILAR / 100
     most = int((size * share + 6 * (size * share * (1 - share)) ** 0.5) / (1 - share))
     whole = f"{n} <= {size} AND {other_n} <= {size}"
-    few = f"CASE WHEN {whole} THEN {100 + SIMILAR} * least({n} - {alone}, {other_n} - {other_alone}) >= {SIMILAR} * ({least_n or n} + {least_other_n or other_n}) ELSE {alone} + {other_alone} <= {most} END"
+    shared = _shared(least_n or n, least_other_n or other_n)
+    near = f" AND {place} < {n} - {shared} + {MEET} AND {other_place} < {other_n} - {shared} + {MEET}" if place else ""
+    few = f"CASE WHEN {whole} THEN least({n} - {alone}, {other_n} - {other_alone}) >= {shared}{near} ELSE {alone} + {other_alone} <= {most} END"
     return F.expr(f"100 * {n} >= {SIMILAR} * {least_other_n or other_n} AND 100 * {other_n} >= {SIMILAR} * {least_n or n} AND {few}")
 
 
@@ -103,24 +113,20 @@ def _star_pairs(lists: DataFrame, size: int = SKETCH) -> DataFrame:
 def _in_components(lists: DataFrame, known: DataFrame) -> DataFrame:
     """The lists with each member's component so far, without those that lie in one component; (value, c) once more
     summed up as n_components."""
-    placed = lists.join(known, lists["id"] == known["node"], "left").select("value", "id", "n", "alone", "rest", F.coalesce("component", "id").alias("c"))
+    placed = lists.join(known, lists["id"] == known["node"], "left").select("value", "id", "n", "alone", "place", F.coalesce("component", "id").alias("c"))
     several = placed.select("value", "c").distinct().groupBy("value").agg(F.count(F.lit(1)).alias("n_components")).where("n_components > 1")
     return written(placed.join(several, "value"), "placed")
 
 
 def _other_pairs(placed: DataFrame, size: int = SKETCH) -> DataFrame:
-    """All pairs of a list's members that are not in one component yet, if they meet in enough lists.
-
-    Of whole sets, shared values that come after the listed ones are in the rest of one of the two sets; all others
-    are lists in which both meet.
-    """
-    groups = placed.groupBy("value", "c").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.min("alone").alias("alone"))
-    met = groups.alias("x").join(groups.alias("y"), F.expr("x.value = y.value and x.c < y.c") & _may_link(size, "x.most", "x.alone", "y.most", "y.alone", "x.least", "y.least"))
+    """All pairs of a list's members that are not in one component yet, if they meet in enough lists."""
+    groups = placed.groupBy("value", "c").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.min("alone").alias("alone"), F.min("place").alias("place"))
+    met = groups.alias("x").join(groups.alias("y"), F.expr("x.value = y.value and x.c < y.c") & _may_link(size, "x.most", "x.alone", "y.most", "y.alone", "x.least", "y.least", "x.place", "y.place"))
     met = met.select(F.col("x.value").alias("value"), F.col("x.c").alias("c"), F.col("y.c").alias("other"))
-    left = met.join(placed, ["value", "c"]).select("value", F.col("other").alias("c"), F.col("id").alias("p"), F.col("n").alias("p_n"), F.col("alone").alias("p_alone"), F.col("rest").alias("p_rest"))
-    pairs = left.join(placed, ["value", "c"]).where(_may_link(size, "n", "alone", "p_n", "p_alone"))
-    need = F.expr(f"CASE WHEN n <= {size} AND p_n <= {size} THEN greatest({HITS}, ceil({SIMILAR} * (n + p_n) / {100 + SIMILAR}) - greatest(rest, p_rest)) ELSE {HITS} END")
-    met_in = pairs.groupBy(F.least("p", "id").alias("a"), F.greatest("p", "id").alias("b")).agg(F.count(F.lit(1)).alias("lists"), F.max(need).alias("need"))
+    left = met.join(placed, ["value", "c"]).select("value", F.col("other").alias("c"), *[F.col(x).alias(f"p_{x}") for x in ("id", "n", "alone", "place")])
+    pairs = left.join(placed, ["value", "c"]).where(_may_link(size, "n", "alone", "p_n", "p_alone", place="place", other_place="p_place"))
+    need = F.expr(f"CASE WHEN n <= {size} AND p_n <= {size} THEN least({MEET}, {_shared('n', 'p_n')}) ELSE {HITS} END")
+    met_in = pairs.groupBy(F.least("p_id", "id").alias("a"), F.greatest("p_id", "id").alias("b")).agg(F.count(F.lit(1)).alias("lists"), F.max(need).alias("need"))
     return met_in.where("lists >= need").select("a", "b")
 
 
