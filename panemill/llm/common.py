@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -49,6 +50,19 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return body[starts[0] : starts[-1]], starts - starts[0]
 
 
+def slices(batch: pa.RecordBatch, text: int, size: int) -> Iterator[pa.RecordBatch]:
+    """A batch in slices of about ``size`` bytes of the text column at this place; each has a row at least.
+
+    Work on arrays takes a hundred bytes and more for each byte of text: slices bound it, whatever the batch holds.
+    """
+    _, at = utf8(batch.column(text))
+    first = 0
+    while first < len(batch):
+        last = max(first + 1, int(np.searchsorted(at, at[first] + size)) - 1)
+        yield batch.slice(first, last - first)
+        first = last
+
+
 def shared_folder(spark: SparkSession) -> str:
     """A new folder below the cluster's shared checkpoint folder.
 

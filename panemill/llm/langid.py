@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panemill.llm.common import fold, table, utf8
+from panemill.llm.common import fold, slices, table
 
 UNKNOWN = "und"
 FOLDS = 5
@@ -23,6 +23,8 @@ SWITCH = 9.0
 CLIP = 8.0
 #: A script is a language's own if so much of its learned letters are of it.
 OWN_SHARE = 0.002
+#: Bytes of text whose features are worked out at once.
+PORTION = 1 << 18
 #: First and last code points of the scripts' letters (Unicode blocks).
 SCRIPTS = (
     ("Latin", 0x0041, 0x024F), ("Latin", 0x1E00, 0x1EFF), ("Greek", 0x0370, 0x03FF), ("Greek", 0x1F00, 0x1FFF),
@@ -106,16 +108,6 @@ class LanguageModel:
     own: np.ndarray  # whether a script is a language's own, (scripts, languages)
 
 
-def _portions(batch: pa.RecordBatch, text: int, size: int = 1 << 20) -> Iterator[pa.RecordBatch]:
-    """A batch in slices of some 1 MB of text: a letter takes a few hundred bytes while it is worked on."""
-    _, at = utf8(batch.column(text))
-    first = 0
-    while first < len(batch):
-        last = max(first + 1, int(np.searchsorted(at, at[first] + size)) - 1)
-        yield batch.slice(first, last - first)
-        first = last
-
-
 def learn(docs: DataFrame) -> LanguageModel:
     """Count the features of all ``docs`` (text, lang) for each language.
 
@@ -126,7 +118,7 @@ def learn(docs: DataFrame) -> LanguageModel:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
         for batch in batches:
-            for some in _portions(batch, 0):
+            for some in slices(batch, 0, PORTION):
                 langs = np.array(some.column(1).to_pylist(), object)
                 texts = np.array(some.column(0).to_pylist(), object)
                 for lang in set(langs.tolist()):
@@ -151,16 +143,22 @@ def learn(docs: DataFrame) -> LanguageModel:
     return LanguageModel(languages, np.ascontiguousarray(scores), own.T)
 
 
-def label_words(model: LanguageModel, w: Words) -> np.ndarray:
-    """The language of each word, by the best labelling of each text; all texts step forward together."""
-    n, size = len(w.start), len(model.languages)
-    score = np.add.reduceat(model.scores[w.buckets], w.first, axis=0) if n else np.zeros((0, size), np.float32)
+def word_scores(model: LanguageModel, w: Words) -> np.ndarray:
+    """What each word adds to a labelling with each language: (words, languages)."""
+    if not len(w.start):
+        return np.zeros((0, len(model.languages)), np.float32)
+    score = np.add.reduceat(model.scores[w.buckets], w.first, axis=0)
     own = model.own[w.script]
     some = own.any(axis=1)
     # where no language owns the script, all stay candidates but the word tells nothing
     score = np.where(own, score, -np.inf)
-    score = np.where(some[:, None], np.maximum(score - score.max(axis=1, keepdims=True, initial=-np.inf), -CLIP), 0).astype(np.float32)
-    score = np.where(own | ~some[:, None], score, -4 * CLIP).astype(np.float32)
+    score = np.where(some[:, None], np.maximum(score - score.max(axis=1, keepdims=True, initial=-np.inf), -CLIP), 0)
+    return np.where(own | ~some[:, None], score, -4 * CLIP).astype(np.float32)
+
+
+def label_words(w: Words, score: np.ndarray) -> np.ndarray:
+    """The language of each word, by the best labelling of each text; all texts step forward together."""
+    n, size = score.shape
     order = np.argsort(-w.count, kind="stable")
     count = w.count[order]
     base = (np.cumsum(w.count) - w.count)[order]
@@ -195,8 +193,19 @@ def predict(model: LanguageModel, texts: list[str | None]) -> list[tuple[str, fl
 
     A span (language, start, end in code points) runs from the first to the last word of one label.
     """
-    w = read_words([t or "" for t in texts])
-    label = label_words(model, w) if model.languages else np.zeros(len(w.start), np.uint8)
+    parts, scores, some, held = [], [], [], 0
+    for i, text in enumerate(texts):
+        some.append(text or "")
+        held += len(some[-1])
+        if held >= PORTION or i == len(texts) - 1:
+            w = read_words(some)
+            parts.append(w)
+            scores.append(word_scores(model, w))
+            some, held = [], 0
+    none = np.zeros(0, np.int64)
+    start, length, script, count = (np.concatenate([getattr(p, x) for p in parts] or [none]) for x in ("start", "length", "script", "count"))
+    w = Words(start, length, script, count, none, none)
+    label = label_words(w, np.concatenate(scores)) if model.languages and len(start) else np.zeros(len(start), np.uint8)
     size = max(1, len(model.languages))
     doc = np.repeat(np.arange(len(texts)), w.count)
     letters = np.bincount(doc * size + label, w.length, len(texts) * size).reshape(len(texts), size)
@@ -233,7 +242,7 @@ def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for some in _portions(batch, text):
+            for some in slices(batch, text, 16 * PORTION):
                 rows = predict(held.value, some.column(text).to_pylist())
                 columns = [pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.float64()), pa.array([",".join(f"{s}:{a}:{b}" for s, a, b in r[2]) for r in rows], pa.string())]
                 yield pa.RecordBatch.from_arrays([*some.columns, *columns], names=[*kept, *added])

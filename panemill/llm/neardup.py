@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from panemill.llm.common import broadcast_if_small, shared_folder, table, utf8, written
+from panemill.llm.common import broadcast_if_small, shared_folder, slices, table, utf8, written
 from panemill.llm.components import components
 from panemill.llm.shingles import shingle_sets
 
@@ -22,6 +22,8 @@ SKETCH, FINE = 32, 512
 LONG = 50
 #: Of the union's own sketch of 32 so many must be shared for a pair to be confirmed (12 or fewer: a chance of 2e-7).
 ESTIMATE = 13
+#: Bytes of text whose shingles are hashed at once.
+PORTION = 1 << 19
 #: Of the values by which sketches are indexed so many must agree: more of whole sets, whose bounds are exact.
 HITS, MEET = 2, 6
 
@@ -43,8 +45,7 @@ def sketches(docs: DataFrame, *, words: int, size: int = SKETCH) -> DataFrame:
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first in range(0, len(batch), 2000):
-                some = batch.slice(first, 2000)
+            for some in slices(batch, 1, PORTION):
                 sets = shingle_sets(*utf8(some.column(1)), words)
                 columns = [some.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary())]
                 kept = [s[:size] for s in sets]
@@ -155,8 +156,7 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, words: int) -> DataFrame:
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first in range(0, len(batch), 1000):
-                some = batch.slice(first, 1000)
+            for some in (part for half in slices(batch, 2, PORTION) for part in slices(half, 3, PORTION)):
                 keep = []
                 for x, y in zip(shingle_sets(*utf8(some.column(2)), words), shingle_sets(*utf8(some.column(3)), words), strict=True):
                     shared = len(np.intersect1d(x, y, assume_unique=True))
