@@ -214,7 +214,7 @@ def test_late_events_count_while_their_window_is_open(spark, tmp_path):
 
 def test_count_windows_of_a_stream(spark, tmp_path):
     rows = events(spark, " ".join(f"0,{t},{t},{t % 2}" for t in range(20)))
-    for window in (tumbling(3, 5, "COUNT"), sliding(4, 3, 6, "COUNT")):
+    for window in (tumbling(3, 5, "COUNT"), sliding(4, 2, 6, "COUNT")):
         got = drained(count_window_stream(stream_of(spark, tmp_path / str(window.slide), rows), window))
         spec = QuerySpec((window,), (aggregate("SUM"),), "key")
         want = {k[:3] + k[4:]: v for k, v in found(run(rows, spec)).items()}
