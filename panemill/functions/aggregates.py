@@ -32,6 +32,8 @@ class Aggregate:
     parts: tuple[Part, ...]
     #: From the parts, in their order, to the result.
     lower: Callable[..., Column]
+    #: For a function that picks one of the sorted values: its place (from 0) among so many.
+    rank: ColumnOf | None = None
 
     def over(self, value: Column) -> Column:
         """The result of a group in one aggregation."""
@@ -89,13 +91,18 @@ def aggregate_names() -> list[str]:
 
 _VALUES = (Part("_values", F.collect_list, _flat),)
 
+
+def _half(count: Column) -> Column:
+    return F.floor(count / 2)
+
+
 register_aggregate(_one("SUM", F.sum))
 register_aggregate(_one("MIN", F.min))
 register_aggregate(_one("MAX", F.max))
 register_aggregate(Aggregate("AVG", "algebraic", (Part("_sum", F.sum, F.sum), Part("_count", F.count, F.sum)), _quotient))
-register_aggregate(Aggregate("MEDIAN", "holistic", _VALUES, upper_median))
-# The latest of values that are times: each has the cost of the function that it is named after.
+register_aggregate(Aggregate("MEDIAN", "holistic", _VALUES, upper_median, _half))
+# The latest of values that are times; none of them has to hold more than one number.
 register_aggregate(_one("M_SUM", F.max))
 register_aggregate(Aggregate("M_AVG", "algebraic", (Part("_max", F.max, F.max), Part("_count", F.count, F.sum)), lambda most, count: F.when(count > 0, most)))
-register_aggregate(Aggregate("M_MEDIAN", "holistic", _VALUES, F.array_max))
+register_aggregate(_one("M_MEDIAN", F.max))
 register_aggregate(Aggregate("M_MIN", "distributive", (Part("", lambda v: F.min(-v), F.min),), F.abs))

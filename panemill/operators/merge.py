@@ -8,12 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panemill.functions.aggregates import Aggregate
-from panemill.plans.panes import lifted, lowered, merged, windows_over
+from panemill.plans.panes import GROUP, lifted, lowered, merged, windows_over
 from panemill.plans.spec import WindowSpec
 
-GROUP = ("window_id", "window_start", "window_end", "key")
-
-
 def leaf_windows(events: DataFrame, windows: Sequence[WindowSpec], functions: Sequence[Aggregate], node: Column) -> DataFrame:
     """(node_id, window, key, parts): what each leaf node, a function of the stream, makes of its own events."""
     rows = events.select(node.alias("node_id"), "key", "value", F.explode(windows_over(F.col("event_ts"), windows)).alias("w")).select("node_id", "w.*", "key", "value")

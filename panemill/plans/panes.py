@@ -9,13 +9,16 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panemill.functions.aggregates import Aggregate
 from panemill.plans.spec import WindowSpec
 
 
+GROUP = ("window_id", "window_start", "window_end", "key")
+
+
 def lifted(functions: Sequence[Aggregate]) -> list[Column]:
     return [c for i, f in enumerate(functions) for c in f.lifted(F.col("value"), f"f{i}")]
 
@@ -36,26 +39,48 @@ def windows_over(start: Column, windows: Sequence[WindowSpec]) -> Column:
 def _windows_of(start: Column, w: WindowSpec) -> Column:
     last = start - F.pmod(start, F.lit(w.slide))
     first = F.greatest(last - F.lit((w.size - 1) // w.slide * w.slide), F.lit(0))
-    # the first candidate may end at or before the event where the size is no multiple of the slide
-    starts = F.filter(F.sequence(first, last, F.lit(w.slide).cast("bigint")), lambda s: s + w.size > start)
+    starts = F.sequence(first, last, F.lit(w.slide).cast("bigint"))
+    if w.size % w.slide:
+        # the first candidate may end at or before the event
+        starts = F.filter(starts, lambda s: s + w.size > start)
     return F.transform(starts, lambda s: F.struct(F.lit(w.window_id).cast("bigint").alias("window_id"), s.alias("window_start"), (s + w.size).alias("window_end")))
 
 
-def pane_partials(events: DataFrame, functions: Sequence[Aggregate], pane_ms: int) -> DataFrame:
-    """(pane_start, key, parts of each function)."""
-    pane = F.col("event_ts") - F.pmod(F.col("event_ts"), F.lit(pane_ms))
-    return events.groupBy(pane.alias("pane_start"), "key").agg(*lifted(functions))
-
-
-def fixed_windows(events: DataFrame, windows: Sequence[WindowSpec], functions: Sequence[Aggregate], pane_ms: int) -> DataFrame:
-    """(window_id, window_start, window_end, key, value_0, ...) of tumbling and sliding time windows."""
+def _in_windows(events: DataFrame, windows: Sequence[WindowSpec], pane_ms: int, by: Sequence[str], first: Sequence[Column], then: Sequence[Column]) -> DataFrame:
+    """Aggregate events by window and ``by``: ``first`` into panes, ``then`` the panes of a window."""
+    rows = events.where("event_ts >= 0")
     if len(windows) == 1 and windows[0].size == windows[0].slide:
         # one tumbling window: its panes are the windows
         w = windows[0]
         start = F.col("event_ts") - F.pmod(F.col("event_ts"), F.lit(w.size))
-        rows = events.where("event_ts >= 0").select("key", "value", start.alias("window_start"))
-        parts = rows.groupBy("window_start", "key").agg(*lifted(functions)).select("*", F.lit(w.window_id).cast("bigint").alias("window_id"), (F.col("window_start") + w.size).alias("window_end"))
-    else:
-        panes = pane_partials(events, functions, pane_ms).withColumn("w", F.explode(windows_over(F.col("pane_start"), windows)))
-        parts = panes.select("w.*", "*").groupBy("window_id", "window_start", "window_end", "key").agg(*merged(functions))
-    return parts.select("window_id", "window_start", "window_end", "key", *lowered(functions))
+        found = rows.select("key", "value", start.alias("window_start")).groupBy("window_start", *by).agg(*first)
+        return found.select(F.lit(w.window_id).cast("bigint").alias("window_id"), (F.col("window_start") + w.size).alias("window_end"), "*")
+    pane = F.col("event_ts") - F.pmod(F.col("event_ts"), F.lit(pane_ms))
+    panes = rows.select("key", "value", pane.alias("pane_start")).groupBy("pane_start", *by).agg(*first)
+    copies = panes.withColumn("w", F.explode(windows_over(F.col("pane_start"), windows))).select("w.*", "*")
+    return copies.groupBy("window_id", "window_start", "window_end", *by).agg(*then)
+
+
+def fixed_windows(events: DataFrame, windows: Sequence[WindowSpec], functions: Sequence[Aggregate], pane_ms: int) -> DataFrame:
+    """(window_id, window_start, window_end, key, value_0, ...) of tumbling and sliding time windows.
+
+    Functions that pick one of the sorted values work on counts of different values: these are summed up before each
+    shuffle and spread over tasks by value, and a running sum finds the place. No task holds the values of a
+    window and key, however many there are.
+    """
+    plain = {i: f for i, f in enumerate(functions) if f.rank is None}
+    ranked = {i: f for i, f in enumerate(functions) if f.rank is not None}
+    found = []
+    if plain:
+        first = [c for i, f in plain.items() for c in f.lifted(F.col("value"), f"f{i}")]
+        then = [c for i, f in plain.items() for c in f.merged(f"f{i}")]
+        parts = _in_windows(events, windows, pane_ms, ["key"], first, then)
+        found.append(parts.select(*GROUP, *[f.lowered(f"f{i}").cast("bigint").alias(f"value_{i}") for i, f in plain.items()]))
+    if ranked:
+        counts = _in_windows(events, windows, pane_ms, ["key", "value"], [F.count("value").alias("n")], [F.sum("n").alias("n")])
+        group = Window.partitionBy(*GROUP)
+        placed = counts.withColumns({"upto": F.sum("n").over(group.orderBy("value")), "total": F.sum("n").over(group)})
+        picked = [F.max(F.when((F.col("upto") > f.rank(F.col("total"))) & (F.col("upto") - F.col("n") <= f.rank(F.col("total"))), F.col("value"))).alias(f"value_{i}") for i, f in ranked.items()]
+        found.append(placed.groupBy(*GROUP).agg(*picked))
+    result = found[0] if len(found) == 1 else found[0].join(found[1], list(GROUP))
+    return result.select(*GROUP, *[f"value_{i}" for i in range(len(functions))])
