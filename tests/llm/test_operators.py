@@ -204,8 +204,7 @@ def test_mixing_is_a_distribution_and_learns():
     counts = np.zeros(lm.ROWS * 16, np.uint32)
     lm.count_texts(counts, texts[:30])
     model = lm._packed(counts)
-    start = np.full((len(lm.CONTEXTS) + 1, 8), 0.25, np.float32)
-    start[-1] = 0
+    start = np.full((len(lm.CONTEXTS), 8), 0.25, np.float32)
     trained = start
     for _ in range(3):
         trained = lm.mix(model, trained, texts[30:50])[1]  # not those that were counted
