@@ -9,7 +9,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from panemill.llm.common import table
+from panemill.llm.common import table, written
 from panemill.llm.tokens import tokenizer_path, word_encoder
 
 #: Lengths whose sums are carried together.
@@ -40,6 +40,7 @@ def length_histogram(lengths: DataFrame) -> DataFrame:
     and over the spans, of which there is one for each 1,024 tokens of the longest document.
     """
     counts = lengths.where("n_tokens is not null").groupBy("n_tokens").agg(F.count(F.lit(1)).alias("n_docs")).withColumn("span", F.expr(f"n_tokens div {SPAN}"))
+    counts = written(counts, "lengths")  # both sums read it: the texts are encoded once
     spans = counts.groupBy("span").agg(F.sum("n_docs").alias("span_docs"), F.sum(F.expr("n_docs * n_tokens")).alias("span_tokens"))
     above, every = Window.orderBy(F.desc("span")).rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy()
     spans = spans.select("span", *[F.coalesce(F.sum(f"span_{x}").over(above), F.lit(0)).alias(f"{x}_above") for x in ("docs", "tokens")], *[F.sum(f"span_{x}").over(every).alias(f"total_{x}") for x in ("docs", "tokens")])
