@@ -61,9 +61,9 @@ def index_rows(classes: DataFrame, size: int = SKETCH) -> DataFrame:
 
     Two linked sketches agree in agreeing(size) values (or in 80 % of a set that is no larger than any sketch can cut).
     Sort the values of every sketch by how many sketches hold them: then the first (length - agreeing + HITS) of both
-    agree in HITS of them (or, likewise, in MEET of whole sets). Frequent shingles stay out of the lists without a cap, as long as a document has rarer
-    ones. A value that no other sketch holds needs no list, but takes its place in the order; ``alone`` counts
-    them, and ``place`` tells how many values come before.
+    agree in HITS of them (or, likewise, in MEET of whole sets). Frequent shingles stay out of the lists without a cap,
+    as long as a document has rarer ones. A value that no other sketch holds needs no list, but takes its place in the
+    order; ``alone`` counts them, and ``place`` tells how many values come before.
     """
     each = classes.select("id", F.explode("sketch").alias("value"))
     held = each.groupBy("value").agg(F.count(F.lit(1)).cast("int").alias("df")).where("df > 1")
@@ -89,8 +89,8 @@ def _may_link(size: int, n: str, alone: str, other_n: str, other_alone: str, lea
     The sizes must be. A value that one sketch holds alone is not shared, which bounds the intersection of whole sets.
     Of larger sets' sketches, at least 0.8 of whose values are in the union's, such values may be six standard
     deviations more than 0.2 of it. A pair of whole sets needs fewer of the listed values the closer their sizes are:
-    those at a place (of place, other_place) beyond are of no use to it. ``least_n``: the least sizes of two groups of classes, whose
-    largest are n and other_n and whose least counts are alone and other_alone.
+    those at a place (of place, other_place) beyond are of no use to it. ``least_n``: the least sizes of two groups of
+    classes, whose largest are n and other_n and whose least counts are alone and other_alone.
     """
     share = 1 - SIMILAR / 100
     most = int((size * share + 6 * (size * share * (1 - share)) ** 0.5) / (1 - share))
