@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panemill.llm.common import fold, slices, table
+from panemill.llm.common import bounded_batches, fold, give_back, slices, table
 
 UNKNOWN = "und"
 FOLDS = 5
@@ -126,10 +126,12 @@ def learn(docs: DataFrame) -> LanguageModel:
                     held = sums.setdefault(lang, np.zeros(BUCKETS + len(SCRIPT_NAMES), np.int64))
                     held[:BUCKETS] += np.bincount(w.buckets, minlength=BUCKETS)
                     held[BUCKETS:] += np.bincount(w.script, w.length, len(SCRIPT_NAMES)).astype(np.int64)
+        give_back()
         for lang, held in sums.items():
             some = np.flatnonzero(held)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(some)), pa.array(some), pa.array(held[some])], names=["lang", "bucket", "n"])
 
+    bounded_batches(docs.sparkSession)
     rows = docs.where("text is not null and lang is not null").select("text", "lang")
     counts = rows.mapInArrow(count, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     got = counts.toArrow()
@@ -246,6 +248,7 @@ def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
                 rows = predict(held.value, some.column(text).to_pylist())
                 columns = [pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.float64()), pa.array([",".join(f"{s}:{a}:{b}" for s, a, b in r[2]) for r in rows], pa.string())]
                 yield pa.RecordBatch.from_arrays([*some.columns, *columns], names=[*kept, *added])
+        give_back()
 
     schema = ", ".join([*(f"`{c}` {types[c]}" for c in kept), "lang_pred string", "score double", "spans string"])
     return docs.select(*[F.col(f"`{c}`") for c in kept]).mapInArrow(judge, schema)

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from panemill.llm.common import broadcast_if_small, shared_folder, slices, table, utf8, written
+from panemill.llm.common import broadcast_if_small, give_back, shared_folder, slices, table, utf8, written
 from panemill.llm.components import components
 from panemill.llm.shingles import shingle_sets
 
@@ -52,6 +52,7 @@ def sketches(docs: DataFrame, *, words: int, size: int = SKETCH) -> DataFrame:
                 ends = np.concatenate([[0], np.cumsum([len(s) for s in kept])]).astype(np.int32)
                 columns.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(kept) if kept else np.zeros(0, np.int64))))
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n", "content", "sketch"])
+        give_back()
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(sketch, "doc_id long, n long, content binary, sketch array<long>")
 
@@ -162,6 +163,7 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, words: int) -> DataFrame:
                     shared = len(np.intersect1d(x, y, assume_unique=True))
                     keep.append(100 * shared >= SIMILAR * (len(x) + len(y) - shared))
                 yield some.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+        give_back()
 
     return both.select("a", "b", "x", "y").mapInArrow(check, "a long, b long")
 
