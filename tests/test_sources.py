@@ -20,7 +20,7 @@ def test_generated_events(spark):
 
 
 def test_generated_partials_feed_the_final_merge(spark):
-    got = long_results(root_windows(generated_partials(spark, 3, 0, values=5).unionByName(generated_partials(spark, 3, 1, values=5)), [aggregate("M_MEDIAN")]))
+    got = long_results(root_windows(generated_partials(spark, 3, 0, values=5).unionByName(generated_partials(spark, 3, 1, values=5)), [aggregate("MEDIAN")]))
     assert sorted((r.window_start, r.value) for r in got.collect()) == [(0, 0), (1000, 1000), (2000, 2000)]
 
 
