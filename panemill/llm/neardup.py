@@ -88,13 +88,12 @@ def _may_link(size: int, n: str, alone: str, other_n: str, other_alone: str, lea
     """Whether two classes of ``n`` and ``other_n`` shingles can be similar enough.
 
     The sizes must be. A value that one sketch holds alone is not shared, which bounds the intersection of whole sets.
-    Of larger sets' sketches, at least 0.8 of whose values are in the union's, such values may be six standard
-    deviations more than 0.2 of it. A pair of whole sets needs fewer of the listed values the closer their sizes are:
+    Of larger sets' sketches agreeing(size) values are shared, so that each can hold all its others alone, also those
+    beyond the union's sketch. A pair of whole sets needs fewer of the listed values the closer their sizes are:
     those at a place (of place, other_place) beyond are of no use to it. ``least_n``: the least sizes of two groups of
     classes, whose largest are n and other_n and whose least counts are alone and other_alone.
     """
-    share = 1 - SIMILAR / 100
-    most = int((size * share + 6 * (size * share * (1 - share)) ** 0.5) / (1 - share))
+    most = 2 * (size - agreeing(size))
     whole = f"{n} <= {size} AND {other_n} <= {size}"
     shared = _shared(least_n or n, least_other_n or other_n)
     near = f" AND {place} < {n} - {shared} + {MEET} AND {other_place} < {other_n} - {shared} + {MEET}" if place else ""

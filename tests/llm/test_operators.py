@@ -153,6 +153,22 @@ def test_long_lists_get_finer_sketches(spark, monkeypatch):
     test_near_duplicates_against_all_pairs(spark, 2)
 
 
+def test_cut_copies_just_above_the_threshold_are_linked(spark):
+    rng = random.Random(12)
+    texts = []
+    for i in range(1500):
+        words = [f"{rng.getrandbits(64):x}" for _ in range(401)]
+        texts += [" ".join(words), " ".join(words[: 321 + 4 * (i % 3)])]  # similarity 0.80, 0.81, 0.82
+    got = neardup.near_duplicates(documents(spark, texts), words=2).collect()
+    assert [r.doc_id for r in got if r.component_id != r.doc_id // 2 * 2] == []
+
+
+@pytest.mark.parametrize(("size", "alone"), [(neardup.SKETCH, 20), (neardup.FINE, 157)])
+def test_values_held_alone_follow_from_the_assumed_agreement(spark, size, alone):
+    pairs = spark.createDataFrame([(1000, alone, 800, alone), (1000, alone + 1, 800, alone)], "n int, alone int, m int, other int")
+    assert [r[0] for r in pairs.select(neardup._may_link(size, "n", "alone", "m", "other")).collect()] == [True, False]
+
+
 def test_components(spark):
     links = [(i, i + 1) for i in range(20, 50)] + [(3, 1), (1, 2), (7, 7), (9, None), (60, 61), (61, 60)]
     got = dict(components.components(spark.createDataFrame(links, "a long, b long")).collect())
