@@ -1,21 +1,22 @@
 """Language-model scores by logistic mixing of hashed-context bit predictors.
 
-Training counts, for each predictor, which nibble followed which hashed context. A nibble's counts give the four bit
-predictors on its way from the root of a binary tree; a byte is two nibbles. At scoring the predictors' log odds are
-mixed with weights that a gate picks, the place of the bit in its byte; after each byte the weights move along the
-error. Weights start from what a held-out sample taught and adapt within stretches of 1,024 bytes.
+Training counts, for each predictor, which byte followed which context: a table of (hash, byte, count) that grows with
+the input. A context's counts give the bit predictors on a byte's way from the root of a binary tree. At scoring the
+predictors' log odds are mixed with weights that a gate picks, the place of the bit in its byte; after each byte the
+weights move along the error. Weights start from what all training texts taught and adapt along the whole text.
+
+``count_texts``, ``log_odds`` and ``contexts`` hold the same counts in tables of a fixed size, for a few texts in memory.
 """
 
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,15 +29,18 @@ ADDED = 0.1
 FREQUENT = 1 << 16
 #: Bytes of context of each predictor (0: the word so far) and the bits of its table's rows.
 CONTEXTS = ((2, 16), (4, 18), (6, 18), (0, 18))
+#: Of tables of a fixed size, which scoring does not use.
 ROWS = sum(1 << bits for _, bits in CONTEXTS)
-CHUNK = 4096  # rows
 #: Pseudo-count of each bit; log odds are held in sixteenths.
 PRIOR, GRAIN = 0.02, 16.0
 PAD, END = 8, 0xFF
-STRETCH = 1024
 RATE = 0.004
-#: Documents of the held-out sample that teaches the weights, and the rates of the rounds over it.
-SAMPLE_DOCS, SAMPLE_STRETCHES, TEACHING = 256, 512, (0.03, 0.03, 0.02, 0.01, 0.005, RATE)
+#: The rates along the lots of a slice that teaches.
+TEACHING = (0.03, 0.03, 0.02, 0.01, 0.005, RATE)
+#: Bytes of texts that meet their counts together, and that are mixed at once; bytes of a block of steps of mixing.
+SLICE, LOT, BLOCK = 1 << 23, 1 << 20, 1 << 18
+#: Different keys that a counting task holds before it sends them.
+HELD = 1 << 22
 
 
 def tokens_of(text: bytes) -> list[bytes]:
@@ -59,10 +63,11 @@ class Contexts:
     low: np.ndarray
 
 
-def contexts(body: np.ndarray) -> Contexts:
+def _before(body: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The bytes as wide numbers; the eight bytes before each as one number, the nearest one highest; a hash of the
+    word so far."""
     n = len(body)
     wide = body.astype(np.uint64)
-    # the eight bytes before each byte as one number, the nearest one highest
     before = np.ndarray((n,), "<u8", bytes(8) + body.tobytes(), strides=(1,))
     inside = (body != 32) & (body != END) & (body != 0)
     first = np.ones(n, bool)
@@ -74,6 +79,12 @@ def contexts(body: np.ndarray) -> Contexts:
     terms = (wide + np.uint64(1)) * powers[place]
     word = np.cumsum(terms) - terms
     word -= np.repeat(word[starts], lengths)
+    return wide, before, word
+
+
+def contexts(body: np.ndarray) -> Contexts:
+    n = len(body)
+    wide, before, word = _before(body)
     high, low = np.empty((len(CONTEXTS), n), np.int32), np.empty((len(CONTEXTS), n), np.int32)
     upper, lower, base = wide >> np.uint64(4), wide & np.uint64(15), 0
     deeper_by = (upper + np.uint64(1)) * np.uint64(0xC2B2AE3D27D4EB4F)
@@ -110,113 +121,196 @@ def log_odds(counts: np.ndarray) -> np.ndarray:
     return out
 
 
-def mix(model: np.ndarray, start: np.ndarray, texts: list[bytes], rate: float = RATE) -> tuple[np.ndarray, np.ndarray]:
-    """log10 probability of each text, and the mean of the weights that its stretches ended with.
+@dataclass
+class Exact:
+    """The counts that a slice of texts needs: sorted keys (56 bits of context, 8 of the byte after it), their counts."""
+
+    keys: np.ndarray
+    n: np.ndarray
+
+
+def context_keys(body: np.ndarray) -> np.ndarray:
+    """For each byte its key in each predictor, (predictors, bytes)."""
+    wide, before, word = _before(body)
+    out = np.empty((len(CONTEXTS), len(body)), np.uint64)
+    for k, (back, _) in enumerate(CONTEXTS):
+        h = (word if back == 0 else before >> np.uint64(64 - 8 * back)) + np.uint64((k + 1) * 0xC2B2AE3D27D4EB4F % 2**64)
+        h *= np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(32)
+        h *= np.uint64(0xD6E8FEB86659FD93)
+        h ^= h >> np.uint64(32)
+        out[k] = h & ~np.uint64(255) | wide
+    return out
+
+
+def _real(starts: np.ndarray) -> np.ndarray:
+    """Which bytes of laid-out texts are not the zeros before a text."""
+    real = np.ones(int(starts[-1]), bool)
+    for i in range(PAD):
+        real[starts[:-1] + i] = False
+    return real
+
+
+def _summed(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.argsort(keys, kind="stable")
+    keys, n = keys[order], n[order]
+    first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
+    return keys[first], np.add.reduceat(n, first) if len(first) else n
+
+
+def count_keys(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The different keys of these texts, sorted, and how often each occurs (64 bits)."""
+    body, starts = _laid_out(texts)
+    keys = np.sort(context_keys(body)[:, _real(starts)], axis=None)
+    first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+    return keys[first], np.diff(np.append(first, len(keys)))
+
+
+def _different(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """np.unique with the inverse, by a sort of a part of each key packed with its place."""
+    bits = np.uint64(max(1, len(keys) - 1).bit_length())
+    packed = keys * np.uint64(0x9E3779B97F4A7C15) >> bits << bits
+    packed |= np.arange(len(keys), dtype=np.uint64)
+    packed.sort()
+    order = (packed & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
+    ordered = keys[order]
+    new = np.append(True, ordered[1:] != ordered[:-1])
+    found = ordered[new]
+    by_key = np.argsort(found)
+    different = found[by_key]
+    if (different[1:] == different[:-1]).any():  # keys whose parts are the same lay mixed
+        return np.unique(keys, return_inverse=True)
+    rank = np.empty(len(found), np.int64)
+    rank[by_key] = np.arange(len(found))
+    inverse = np.empty(len(keys), np.int64)
+    inverse[order] = rank[np.cumsum(new) - 1]
+    return different, inverse
+
+
+def _exact_odds(model: Exact, body: np.ndarray, starts: np.ndarray, times: np.ndarray | None) -> np.ndarray:
+    """Packed log odds of each byte's eight bits in each predictor; ``times``: take each text out so many times."""
+    real = _real(starts)
+    different, inverse = _different(context_keys(body)[:, real].reshape(-1))
+    low = different & ~np.uint64(255)
+    low = low[np.append(True, low[1:] != low[:-1])]
+    first, last = np.searchsorted(model.keys, low), np.searchsorted(model.keys, low | np.uint64(255), "right")
+    held = np.arange(int((last - first).sum())) + np.repeat(first - np.append(0, np.cumsum(last - first)[:-1]), last - first)
+    keys = np.sort(np.concatenate([model.keys[held], different]))
+    keys = keys[np.append(True, keys[1:] != keys[:-1])]
+    n = np.zeros(len(keys), np.int64)
+    n[np.searchsorted(keys, model.keys[held])] = model.n[held]
+    at = np.searchsorted(keys, different)
+    if times is not None:
+        own = np.tile(np.repeat(times, np.diff(starts))[real], len(CONTEXTS))
+        n[at] -= np.bincount(inverse, own, len(different)).astype(np.int64)
+        np.maximum(n, 0, out=n)
+    odds = np.empty((len(different), 8), np.int8)
+    for bit in range(8):
+        node = keys >> np.uint64(8 - bit)
+        new = np.append(True, node[1:] != node[:-1])
+        begin = np.flatnonzero(new)
+        ones = np.add.reduceat(n * (keys >> np.uint64(7 - bit) & np.uint64(1)).astype(np.int64), begin)
+        zeros = np.add.reduceat(n, begin) - ones
+        of_node = np.clip(np.rint(np.log((ones + PRIOR) / (zeros + PRIOR)) * GRAIN), -127, 127).astype(np.int8)
+        odds[:, bit] = of_node[np.cumsum(new)[at] - 1]
+    out = np.zeros((len(CONTEXTS), len(body)), np.uint64)
+    out[:, real] = odds.view(np.uint64).reshape(-1)[inverse].reshape(len(CONTEXTS), -1)
+    return out
 
-    ``model``: log odds (rows * 16) as packed 32-bit numbers; ``start``: (predictors, 8 bits).
+
+def mix(model: Exact | np.ndarray, start: np.ndarray, texts: list[bytes], rate: float = RATE, times: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """log10 probability of each text, and the mean by bytes of the weights that the texts ended with.
+
+    ``model``: exact counts, or log odds (rows * 16) of tables of a fixed size as packed 32-bit numbers; ``start``:
+    (predictors, 8 bits); ``times``: how often each text is in exact counts and is taken out of them.
     """
     body, starts = _laid_out(texts)
-    c = contexts(body)
-    first = np.concatenate([np.arange(a + PAD, b, STRETCH) for a, b in zip(starts[:-1], starts[1:], strict=True)])
-    of = np.repeat(np.arange(len(texts)), [-(-(b - a - PAD) // STRETCH) for a, b in zip(starts[:-1], starts[1:], strict=True)])
-    size = np.minimum(STRETCH, starts[of + 1] - first)
-    total, ended = np.zeros(len(texts)), []
+    if isinstance(model, Exact):
+        packed = _exact_odds(model, body, starts, times)
+    else:
+        c = contexts(body)
+        packed = model[c.high].astype(np.uint64) | model[c.low].astype(np.uint64) << np.uint64(32)
+    first, size = starts[:-1] + PAD, np.diff(starts) - PAD
+    total, ended = np.zeros(len(texts)), np.zeros(start.shape)
     order = np.argsort(-size, kind="stable")
     for lot in range(0, len(order), 1000):
         some = order[lot : lot + 1000]
         with np.errstate(over="ignore"):  # a chance of 0 or 1
-            natural, weights = _mix_stretches(model, start, body, c, first[some], size[some], rate)
-        np.add.at(total, of[some], natural)
-        ended.append(weights)
-    return total / np.log(10), np.concatenate(ended).mean(axis=0) if ended else start
-
-
-def _mix_stretches(model: np.ndarray, start: np.ndarray, body: np.ndarray, c: Contexts, first: np.ndarray, size: np.ndarray, rate: float) -> tuple[np.ndarray, np.ndarray]:
-    """Stretches, longest first, go forward together, byte by byte. Returns their log probabilities and last weights."""
-    n, k, steps = len(first), len(CONTEXTS), int(size[0])
-    active = np.searchsorted(-size, -np.arange(steps), "left")
-    ends = np.cumsum(active)
-    at = np.concatenate([first[:m] + t for t, m in enumerate(active)])
-    odds = np.empty((k, 8, len(at)), np.int8)
-    for p in range(k):
-        odds[p, :4] = model[c.high[p][at]].view(np.int8).reshape(-1, 4).T
-        odds[p, 4:] = model[c.low[p][at]].view(np.int8).reshape(-1, 4).T
-    bits = np.unpackbits(body[at][None, :], axis=0).astype(np.float32)
+            total[some], weights = _mix_texts(packed, start, body, first[some], size[some], rate)
+        ended += (weights * size[some][:, None, None]).sum(axis=0)
+    return total / np.log(10), ended / size.sum() if len(texts) else start
+
+
+def _mix_texts(packed: np.ndarray, start: np.ndarray, body: np.ndarray, first: np.ndarray, size: np.ndarray, rate: float) -> tuple[np.ndarray, np.ndarray]:
+    """Texts, longest first, go forward together, byte by byte, each with weights that it carries from its first byte to
+    its last. Returns their log probabilities and last weights."""
+    n, k = len(first), len(CONTEXTS)
     weights = np.repeat(start[..., None].astype(np.float32) / np.float32(GRAIN), n, axis=2)
-    ones = np.empty((8, len(at)), np.float32)  # the chance of each bit to be one
     x, moved = np.empty((k, 8, n), np.float32), np.empty((k, 8, n), np.float32)
     scaled = np.float32(rate / GRAIN / GRAIN)
-    for t in range(steps):
-        m, b = int(active[t]), int(ends[t])
-        now, delta, bit = x[:, :, :m], moved[:, :, :m], bits[:, b - m : b]
-        now[:] = odds[:, :, b - m : b]
-        own = weights[:, :, :m]
-        np.multiply(own, now, out=delta)
-        one = delta.sum(axis=0, out=ones[:, b - m : b])
-        np.negative(one, out=one)
-        np.exp(one, out=one)
-        one += 1
-        np.reciprocal(one, out=one)
-        np.multiply(now, (bit - one) * scaled, out=delta)
-        own += delta
-    # the chance of each bit as it is, with a little left for either value; of four bits together no less than 6e-22
-    ones += bits
-    ones -= 1
-    np.abs(ones, out=ones)
-    ones *= np.float32(1 - 1e-5)
-    ones += np.float32(5e-6)
-    logs = np.log(ones[:4].prod(axis=0)) + np.log(ones[4:].prod(axis=0))
-    total = np.bincount(np.concatenate([np.arange(m) for m in active]), logs.astype(np.float64), n)
+    total = np.zeros(n)
+    done = 0
+    while done < size[0]:
+        steps = min(int(size[0]) - done, max(1, BLOCK // int(np.searchsorted(-size, -done, "left"))))
+        active = np.searchsorted(-size, -np.arange(done, done + steps), "left")
+        ends = np.cumsum(active)
+        at = np.concatenate([first[:m] + done + t for t, m in enumerate(active)])
+        odds = np.moveaxis(np.take(packed, at, axis=1).view(np.int8).reshape(k, -1, 8), 2, 1).copy()
+        bits = np.unpackbits(body[at][None, :], axis=0).astype(np.float32)
+        ones = np.empty((8, len(at)), np.float32)  # the chance of each bit to be one
+        for t in range(steps):
+            m, b = int(active[t]), int(ends[t])
+            now, delta, bit = x[:, :, :m], moved[:, :, :m], bits[:, b - m : b]
+            now[:] = odds[:, :, b - m : b]
+            own = weights[:, :, :m]
+            np.multiply(own, now, out=delta)
+            one = delta.sum(axis=0, out=ones[:, b - m : b])
+            np.negative(one, out=one)
+            np.exp(one, out=one)
+            one += 1
+            np.reciprocal(one, out=one)
+            np.multiply(now, (bit - one) * scaled, out=delta)
+            own += delta
+        # the chance of each bit as it is, with a little left for either value; of four bits together no less than 6e-22
+        ones += bits
+        ones -= 1
+        np.abs(ones, out=ones)
+        ones *= np.float32(1 - 1e-5)
+        ones += np.float32(5e-6)
+        logs = np.log(ones[:4].prod(axis=0)) + np.log(ones[4:].prod(axis=0))
+        total += np.bincount(np.concatenate([np.arange(m) for m in active]), logs.astype(np.float64), n)
+        done += steps
     return total, np.moveaxis(weights, 2, 0) * GRAIN
 
 
-def _unpacked(rows: pa.Table) -> np.ndarray:
-    out = np.zeros(ROWS * 16, np.uint32)
-    for chunk, data in zip(rows.column("chunk").to_pylist(), rows.column("cells").to_pylist(), strict=True):
-        cells = np.frombuffer(zstandard.decompress(data), np.uint32)
-        out[chunk * CHUNK * 16 : chunk * CHUNK * 16 + len(cells)] = cells
-    return out
-
-
-def _chunks(cells: np.ndarray) -> Iterator[tuple[int, bytes]]:
-    pack = zstandard.ZstdCompressor(level=1)
-    for chunk in range(-(-ROWS // CHUNK)):
-        some = cells[chunk * CHUNK * 16 : (chunk + 1) * CHUNK * 16]
-        if some.any():
-            yield chunk, pack.compress(some.tobytes())
-
-
-def nibble_counts(texts: DataFrame) -> DataFrame:
-    """(chunk, cells): the counts over all ``texts`` (text), in chunks of 4,096 rows.
+def context_counts(texts: DataFrame) -> DataFrame:
+    """(context, cells): for each context of ``texts`` (text) the bytes that follow it and how often, in 64 bits.
 
-    The tables have a fixed size. A task counts what it reads and sends its chunks; those are added up as they arrive.
+    A task adds up what it reads before the shuffle; a context has 256 cells at most.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, seen = np.zeros(ROWS * 16, np.uint32), False
-        for batch in batches:
-            for some in _portions(batch.column(0), 1 << 18):
-                count_texts(counts, some)
-                seen = True
-        rows = list(_chunks(counts)) if seen else []
-        del counts
-        give_back()
-        for first in range(0, len(rows), 64):
-            some = rows[first : first + 64]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in some], pa.int32()), pa.array([r[1] for r in some], pa.binary())], names=["chunk", "cells"])
+        keys, n = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+
+        def rows() -> Iterator[pa.RecordBatch]:
+            for first in range(0, len(keys), 1 << 17):
+                some = keys[first : first + (1 << 17)]
+                columns = [(some >> np.uint64(8)).astype(np.int64), (some & np.uint64(255)).astype(np.int16), n[first : first + (1 << 17)]]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["context", "byte", "n"])
 
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
         for batch in batches:
-            for chunk, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                cells = np.frombuffer(zstandard.decompress(data), np.uint32)
-                sums[chunk] = sums[chunk] + cells if chunk in sums else cells
-        pack = zstandard.ZstdCompressor(level=1)
-        for chunk, cells in sums.items():
-            yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int32()), pa.array([pack.compress(cells.tobytes())], pa.binary())], names=["chunk", "cells"])
+            for some in _portions(batch.column(0), 1 << 20):
+                more, times = count_keys(some)
+                keys, n = _summed(np.concatenate([keys, more]), np.concatenate([n, times]))
+                if len(keys) > HELD:
+                    yield from rows()
+                    keys, n = keys[:0], n[:0]
+        yield from rows()
+        give_back()
 
-    sent = texts.select("text").mapInArrow(count, "chunk int, cells binary")
-    return sent.repartition("chunk").mapInArrow(add, "chunk int, cells binary")
+    sent = texts.select("text").mapInArrow(count, "context long, byte short, n long")
+    summed = sent.repartition("context").groupBy("context", "byte").agg(F.sum("n").alias("n"))
+    return summed.groupBy("context").agg(F.collect_list(F.struct("byte", "n")).alias("cells"))
 
 
 def _portions(column: pa.Array, size: int = 1 << 19) -> Iterator[list[bytes]]:
@@ -235,30 +329,80 @@ def _portions(column: pa.Array, size: int = 1 << 19) -> Iterator[list[bytes]]:
         yield some
 
 
-@dataclass
-class Mixer:
-    odds: np.ndarray  # packed log odds
-    weights: np.ndarray
+def sliced(docs: DataFrame) -> DataFrame:
+    """(slice, doc_id, text, copies): different rows, dealt by a hash to slices of some 8 MB, whatever their order."""
+    size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").groupBy("doc_id", "text").agg(F.count(F.lit(1)).alias("copies"))
+    return written(rows.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(-(-size // SLICE) or 1)).alias("slice"), "*"), "sliced")
+
+
+def _by_slice(rows: DataFrame, counts: DataFrame, work: Callable[[Exact, list[tuple[int | None, bytes, int]]], pa.Table], schema: str) -> DataFrame:
+    """``work`` on each slice's rows (doc_id, text, copies), longest texts first, with all counts of their contexts."""
+
+    def asked(group: pa.Table) -> pa.Table:
+        found = np.zeros(0, np.uint64)
+        for some in _portions(group.column("text"), 1 << 20):
+            keys = count_keys(some)[0] >> np.uint64(8)
+            found = np.concatenate([found, keys[np.append(True, keys[1:] != keys[:-1])]])
+            found.sort()
+            found = found[np.append(True, found[1:] != found[:-1])]
+        give_back()
+        return pa.table({"slice": pa.array(np.full(len(found), group.column("slice")[0].as_py(), np.int64)), "context": pa.array(found.astype(np.int64))})
+
+    def both(texts: pa.Table, found: pa.Table) -> pa.Table:
+        cells = found.column("cells").combine_chunks()
+        lengths = np.diff(cells.offsets.to_numpy())
+        flat = cells.flatten()
+        context = np.repeat(found.column("context").to_numpy().astype(np.uint64), lengths)
+        keys, n = _summed(context << np.uint64(8) | flat.field("byte").to_numpy().astype(np.uint64), flat.field("n").to_numpy())
+        del cells, flat, context, found
+        rows = [(i, (t or "").encode(), c) for i, t, c in zip(*[texts.column(x).to_pylist() for x in ("doc_id", "text", "copies")], strict=True)]
+        rows.sort(key=lambda r: (-len(r[1]), r[1], r[0] is None, r[0] or 0))
+        out = work(Exact(keys, n), rows)
+        give_back()
+        return out
 
+    wanted = rows.groupBy("slice").applyInArrow(asked, "slice long, context long")
+    found = wanted.join(counts, "context").select("slice", "context", "cells")
+    return rows.groupBy("slice").cogroup(found.groupBy("slice")).applyInArrow(both, schema)
 
-def train(docs: DataFrame) -> Mixer:
-    """The tables from all of ``docs`` (doc_id, text) and the weights from a sample of at most 256 of them.
 
-    While the weights are taught, the sample's own counts are taken out of the tables.
+def _lots(rows: list[tuple[int | None, bytes, int]], size: int) -> Iterator[list[tuple[int | None, bytes, int]]]:
+    some: list[tuple[int | None, bytes, int]] = []
+    held = 0
+    for row in rows:
+        some.append(row)
+        held += len(row[1])
+        if held >= size:
+            yield some
+            some, held = [], 0
+    if some:
+        yield some
+
+
+def teach(rows: DataFrame, counts: DataFrame) -> np.ndarray:
+    """The start weights: each slice learns from its own texts, and the slices' weights are averaged by their bytes.
+
+    While a lot of texts teaches, its own counts are taken out.
     """
-    counts = _unpacked(nibble_counts(docs).toArrow())
-    sample = docs.where("text is not null").select(F.xxhash64(F.col("doc_id").cast("string"), F.lit("mixer")).alias("h"), F.col("doc_id").cast("string").alias("id"), F.substring("text", 1, 64 * STRETCH).alias("text"), F.octet_length("text").alias("n"))
-    chosen = sample.orderBy("h", "id", "n").limit(SAMPLE_DOCS).select("text").toArrow()
-    texts = [t.encode() for t in chosen.column("text").to_pylist()]
-    weights = np.full((len(CONTEXTS), 8), 0.25, np.float32)
-    if texts:
-        own = np.zeros_like(counts)
-        count_texts(own, texts)
-        without = _packed(np.maximum(counts, own) - own)
-        stretches = [t[i : i + STRETCH] for t in texts for i in range(0, max(1, len(t)), STRETCH)][:SAMPLE_STRETCHES]
-        for rate in TEACHING:
-            weights = mix(without, weights, stretches, rate)[1]
-    return Mixer(_packed(counts), weights)
+    shape = (len(CONTEXTS), 8)
+
+    def learn(model: Exact, rows: list[tuple[int | None, bytes, int]]) -> pa.Table:
+        size = sum(len(r[1]) for r in rows)
+        lots = list(_lots(rows, min(LOT, max(1, size // 16))))
+        weights = np.full(shape, 0.25, np.float32)
+        for i in range(max(len(lots), len(TEACHING))):
+            some = lots[i % len(lots)]
+            rate = TEACHING[min(len(TEACHING) - 1, i * len(TEACHING) // max(len(lots), len(TEACHING)))]
+            weights = mix(model, weights, [r[1] for r in some], rate, np.array([r[2] for r in some]))[1]
+        return pa.table({"weights": pa.array([weights.reshape(-1).astype(np.float64).tolist()], pa.list_(pa.float64())), "size": pa.array([size + len(rows)], pa.int64())})
+
+    each = _by_slice(rows, counts, learn, "weights array<double>, size long").select("size", F.posexplode("weights").alias("place", "w"))
+    found = each.groupBy("place").agg((F.sum(F.col("w") * F.col("size")) / F.sum("size")).alias("w")).collect()
+    weights = np.full(shape, 0.25, np.float32)
+    for place, w in found:
+        weights[divmod(place, 8)] = round(w, 6)
+    return weights
 
 
 def _packed(counts: np.ndarray) -> np.ndarray:
@@ -297,8 +441,8 @@ def score(docs: DataFrame, training: DataFrame) -> DataFrame:
     has one token, its end. Repeated rows are scored each; extra columns are left out; an empty table gives an empty
     result, and without training rows no token is known.
 
-    Each task holds the model (tables of a fixed size) and the counts of the 65,536 most frequent tokens; all
-    other tokens meet their counts in a join by token, so that no vocabulary has to fit anywhere.
+    Each task holds the counts of the 65,536 most frequent tokens; all other tokens meet their counts in a join by
+    token, and the contexts of a slice of texts theirs in a join by context, so that no model has to fit anywhere.
     """
     spark = docs.sparkSession
     counts = written(token_counts(training), "tokens")
@@ -306,7 +450,8 @@ def score(docs: DataFrame, training: DataFrame) -> DataFrame:
     whole = n + ADDED * (v + 1)
     top = counts.where(F.octet_length("token") > 0).orderBy(F.desc("c"), "token").limit(FREQUENT).toArrow()
     frequent = spark.sparkContext.broadcast(dict(zip(top.column("token").to_pylist(), top.column("c").to_pylist(), strict=True)))
-    model = spark.sparkContext.broadcast(train(training))
+    cells = written(context_counts(training), "contexts")
+    weights = teach(sliced(training), cells)
 
     def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = frequent.value
@@ -324,27 +469,26 @@ def score(docs: DataFrame, training: DataFrame) -> DataFrame:
                     times += found.values()
                 yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(tokens, pa.binary()), pa.array(times, pa.int64())], names=["key", "token", "times"])
 
-    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def judge(model: Exact, rows: list[tuple[int | None, bytes, int]]) -> pa.Table:
         logs = {t: float(np.log10((c + ADDED) / whole)) for t, c in frequent.value.items()}
-        for batch in batches:
-            ids, done = batch.column(0).to_pylist(), 0
-            for some in _portions(batch.column(1), 3 << 18):
-                mixed_scores, _ = mix(model.value.odds, model.value.weights, some)
-                rows = []
-                for text, own in zip(some, mixed_scores.tolist(), strict=True):
-                    words = tokens_of(text)
-                    known = [logs[w] for w in words if w in logs]
-                    rows.append((_key(ids[done], text), ids[done], len(words) + 1, len(known), float(np.sum(known)), own, len(text)))
-                    done += 1
-                types = (pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=["key", "doc_id", "n_tokens", "known", "base", "score", "n_bytes"])
+        out = []
+        for some in _lots(rows, LOT):
+            scores = mix(model, weights, [r[1] for r in some])[0].tolist()
+            for (doc_id, text, copies), own in zip(some, scores, strict=True):
+                words = tokens_of(text)
+                known = [logs[w] for w in words if w in logs]
+                out.append((_key(doc_id, text), doc_id, len(words) + 1, len(known), float(np.sum(known)), own, len(text), copies))
+        types = (pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64(), pa.int64())
+        names = ("key", "doc_id", "n_tokens", "known", "base", "score", "n_bytes", "copies")
+        return pa.table({name: pa.array([r[i] for r in out], t) for i, (name, t) in enumerate(zip(names, types, strict=True))})
 
     rows = docs.select(F.col("doc_id").cast("long"), "text")
     looked_up = rows.mapInArrow(rare, "key binary, token binary, times long").join(counts, "token", "left")
     worth = F.log10((F.coalesce("c", F.lit(0)) + ADDED) / F.lit(float(whole)))
     copies = F.sum(F.when(F.octet_length("token") == 0, 1).otherwise(0))
     sums = looked_up.groupBy("key").agg((F.sum(F.when(F.col("c") > 0, F.col("times")).otherwise(0)) / copies).cast("long").alias("more_known"), (F.sum(F.col("times") * worth) / copies).alias("more_base"))
-    judged = rows.mapInArrow(judge, "key binary, doc_id long, n_tokens long, known long, base double, score double, n_bytes long")
+    judged = _by_slice(sliced(docs), cells, judge, "key binary, doc_id long, n_tokens long, known long, base double, score double, n_bytes long, copies long")
+    judged = judged.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
     return judged.join(sums, "key").select("doc_id", "n_tokens", (F.col("known") + F.col("more_known")).alias("n_known"), F.lit(int(n)).cast("long").alias("train_tokens"), (F.col("base") + F.col("more_base")).alias("base_score"), "score", "n_bytes", (-F.col("score") * F.lit(float(np.log2(10))) / F.greatest(F.col("n_bytes"), F.lit(1))).alias("bits_per_byte"))
 
 

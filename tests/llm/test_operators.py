@@ -236,6 +236,33 @@ def test_mixing_is_a_distribution_and_learns():
     assert np.allclose(np.where(bits, p, 1 - p).prod(axis=2).sum(axis=1), 1)
 
 
+def plain_contexts(text):
+    """(predictor, context, byte) of each byte of a text as it is spelled out."""
+    body = b"".join(w + b" " for w in text.lower().split()) + b"\xff"
+    padded, word = bytes(8) + body, b""
+    for i, byte in enumerate(body):
+        yield from ((k, padded[8 + i - back : 8 + i], byte) for k, back in enumerate((2, 4, 6)))
+        yield 3, word, byte
+        word = b"" if byte in b" \xff" else word + bytes([byte])
+
+
+def test_no_contexts_share_counts_however_many_there_are(spark):
+    rng = random.Random(13)
+    texts = [" ".join(f"{rng.getrandbits(40):x}" for _ in range(800)) for _ in range(60)]
+    want = Counter(x for t in texts for x in plain_contexts(t.encode()))
+    rows = lm.context_counts(documents(spark, texts).repartition(3)).collect()
+    assert len(rows) == len({x[:2] for x in want}) > lm.ROWS
+    assert Counter((c.byte, c.n) for r in rows for c in r.cells) == Counter((x[2], n) for x, n in want.items())
+
+
+def test_counts_do_not_wrap_at_32_bits():
+    text = b"some words and some more words"
+    keys, n = lm.count_keys([text])
+    start = np.full((4, 8), 0.25, np.float32)
+    scores = [lm.mix(lm.Exact(keys, n << shift), start, [text])[0][0] for shift in (20, 32)]
+    assert scores[0] <= scores[1] < 0
+
+
 # media
 
 
