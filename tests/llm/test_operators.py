@@ -263,6 +263,48 @@ def test_counts_do_not_wrap_at_32_bits():
     assert scores[0] <= scores[1] < 0
 
 
+def test_weights_go_through_a_whole_text():
+    rng = random.Random(14)
+    text = prose(rng, 1200, 50).encode()
+    keys, n = lm.count_keys([text])
+    model = lm.Exact(keys, n << 33)
+    counts = Counter(plain_contexts(text))
+    of_context = {}
+    for (k, context, byte), times in counts.items():
+        of_context.setdefault((k, context), {})[byte] = times << 33
+    weights, total = np.full((4, 8), 0.25), 0.0
+    steps = list(plain_contexts(text))
+    for i in range(0, len(steps), 4):
+        byte = steps[i][2]
+        for bit in range(8):
+            x = np.zeros(4)
+            for k, context, _ in steps[i : i + 4]:
+                held = [0, 0]
+                for other, times in of_context[k, context].items():
+                    if other >> (8 - bit) == byte >> (8 - bit):
+                        held[other >> (7 - bit) & 1] += times
+                x[k] = np.clip(np.rint(np.log((held[1] + lm.PRIOR) / (held[0] + lm.PRIOR)) * 16), -127, 127) / 16
+            one = 1 / (1 + np.exp(-(weights[:, bit] * x).sum()))
+            is_one = byte >> (7 - bit) & 1
+            total += np.log10((one if is_one else 1 - one) * (1 - 1e-5) + 5e-6)
+            weights[:, bit] += lm.RATE * (is_one - one) * x
+    start = np.full((4, 8), 0.25, np.float32)
+    (score,), ended = lm.mix(model, start, [text])
+    assert len(text) > 3 * 1024 and score == pytest.approx(total, rel=1e-3)
+    assert np.allclose(ended, weights, atol=2e-3)
+
+
+def test_all_training_texts_teach_with_their_own_counts_taken_out(spark):
+    rng = random.Random(15)
+    texts = [prose(rng, 300, 200) for _ in range(300)]
+    other = texts[:299] + [prose(rng, 20000, 9)]
+    found = [lm.teach(lm.sliced(d), lm.context_counts(d)) for d in (documents(spark, texts), documents(spark, texts).repartition(5), documents(spark, other))]
+    assert np.allclose(found[0], found[1], atol=1e-3) and not np.allclose(found[0], found[2], atol=1e-3)
+    keys, n = lm.count_keys([b"only this text"])
+    start = np.full((4, 8), 0.25, np.float32)
+    assert (lm.mix(lm.Exact(keys, n), start, [b"only this text"], 0.03, np.array([1]))[1] == start).all()
+
+
 # media
 
 
