@@ -8,21 +8,46 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panemill.functions.aggregates import Aggregate
-from panemill.plans.panes import GROUP, lifted, lowered, merged, windows_over
+from panemill.plans.panes import GROUP, joined, picked, windows_over
 from panemill.plans.spec import WindowSpec
 
+def _plain(functions: Sequence[Aggregate]) -> dict[int, Aggregate]:
+    return {i: f for i, f in enumerate(functions) if f.rank is None}
+
+
+def _parts(functions: Sequence[Aggregate], of: str) -> list[Column]:
+    """What each group keeps: for functions that pick a sorted value, its rows are of one value and keep its count."""
+    parts = [c for i, f in _plain(functions).items() for c in (f.lifted(F.col("value"), f"f{i}") if of == "value" else f.merged(f"f{i}"))]
+    return parts + ([(F.count("value") if of == "value" else F.sum("n")).alias("n")] if len(_plain(functions)) < len(functions) else [])
+
+
+def _by(functions: Sequence[Aggregate]) -> list[str]:
+    return [*GROUP, "value"] if len(_plain(functions)) < len(functions) else [*GROUP]
+
+
 def leaf_windows(events: DataFrame, windows: Sequence[WindowSpec], functions: Sequence[Aggregate], node: Column) -> DataFrame:
-    """(node_id, window, key, parts): what each leaf node, a function of the stream, makes of its own events."""
+    """(node_id, window, key, parts): what each leaf node, a function of the stream, makes of its own events.
+
+    With a function that picks one of the sorted values (MEDIAN), a row is of one value too: no level keeps lists.
+    """
     rows = events.select(node.alias("node_id"), "key", "value", F.explode(windows_over(F.col("event_ts"), windows)).alias("w")).select("node_id", "w.*", "key", "value")
-    return rows.groupBy("node_id", *GROUP).agg(*lifted(functions))
+    return rows.groupBy("node_id", *_by(functions)).agg(*_parts(functions, "value"))
 
 
 def merge_windows(partials: DataFrame, functions: Sequence[Aggregate], node: Column | None = None) -> DataFrame:
     """Merge the parts of equal windows and keys; with ``node`` for each node of the next level, else at the root."""
     by = [node.alias("node_id")] if node is not None else []
-    return partials.groupBy(*by, *GROUP).agg(*merged(functions))
+    return partials.groupBy(*by, *_by(functions)).agg(*_parts(functions, "parts"))
 
 
 def root_windows(partials: DataFrame, functions: Sequence[Aggregate]) -> DataFrame:
     """Results of merged parts: (window, key, value_0, ...)."""
-    return merge_windows(partials, functions).select(*GROUP, *lowered(functions))
+    plain = _plain(functions)
+    ranked = {i: f for i, f in enumerate(functions) if i not in plain}
+    found = []
+    if plain:
+        merged = partials.groupBy(*GROUP).agg(*[c for i, f in plain.items() for c in f.merged(f"f{i}")])
+        found.append(merged.select(*GROUP, *[f.lowered(f"f{i}").cast("bigint").alias(f"value_{i}") for i, f in plain.items()]))
+    if ranked:
+        found.append(picked(partials.groupBy(*GROUP, "value").agg(F.sum("n").alias("n")), ranked))
+    return joined(found).select(*GROUP, *[f"value_{i}" for i in range(len(functions))])

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from panemill.functions.aggregates import Aggregate
-from panemill.plans.panes import lifted, lowered
+from panemill.plans.panes import GROUP, joined, picked
 from panemill.plans.spec import WindowSpec
 
 
@@ -16,8 +16,38 @@ def session_windows(events: DataFrame, window: WindowSpec, functions: Sequence[A
     """(window_id, window_start, window_end, key, value_0, ...) of the sessions over the union of all streams.
 
     A session ends a gap after its last event; an event just a gap later still belongs to it. Spark merges sessions
-    in part before its shuffle.
+    in part before its shuffle. For functions that pick one of the sorted values, a bounded query counts different
+    values instead of keeping lists; a stream keeps lists in its state.
     """
-    span = F.session_window("ts", f"{window.size} milliseconds").alias("span")
-    parts = events.groupBy(span, "key").agg(*lifted(functions))
-    return parts.select(F.lit(window.window_id).cast("bigint").alias("window_id"), F.unix_millis("span.start").alias("window_start"), F.unix_millis("span.end").alias("window_end"), "key", *lowered(functions))
+    ranked = {} if events.isStreaming else {i: f for i, f in enumerate(functions) if f.rank is not None}
+    plain = {i: f for i, f in enumerate(functions) if i not in ranked}
+    found = []
+    if plain:
+        span = F.session_window("ts", f"{window.size} milliseconds").alias("span")
+        parts = events.groupBy(span, "key").agg(*[c for i, f in plain.items() for c in f.lifted(F.col("value"), f"f{i}")])
+        values = [f.lowered(f"f{i}").cast("bigint").alias(f"value_{i}") for i, f in plain.items()]
+        found.append(parts.select(F.lit(window.window_id).cast("bigint").alias("window_id"), F.unix_millis("span.start").alias("window_start"), F.unix_millis("span.end").alias("window_end"), "key", *values))
+    if ranked:
+        found.append(picked(_value_counts(events, window), ranked))
+    return joined(found).select(*GROUP, *[f"value_{i}" for i in range(len(functions))])
+
+
+def _value_counts(events: DataFrame, window: WindowSpec) -> DataFrame:
+    """(window_id, window_start, window_end, key, value, n): how often each value is in each session.
+
+    All events of a key in one stretch of time as long as the gap are in one session: sessions are found over
+    (key, stretch) rows, and only counts of different values are joined to them.
+    """
+    gap = F.lit(window.size)
+    ms = F.unix_millis("ts")
+    rows = events.where("ts is not null").select("key", "value", ms.alias("ms"), (ms - F.pmod(ms, gap)).alias("stretch"))
+    stretches = rows.groupBy("key", "stretch").agg(F.min("ms").alias("first"), F.max("ms").alias("last"))
+    by_key = Window.partitionBy("key").orderBy("stretch")
+    begins = F.coalesce((F.col("first") - F.lag("last").over(by_key) > gap).cast("long"), F.lit(1))
+    numbered = stretches.withColumn("begins", begins).withColumn("session", F.sum("begins").over(by_key))
+    session = Window.partitionBy("key", "session")
+    spans = numbered.select(F.col("key").alias("of"), F.col("stretch").alias("at"), F.min("first").over(session).alias("window_start"), (F.max("last").over(session) + gap).alias("window_end"))
+    counts = rows.groupBy("key", "stretch", "value").agg(F.count("value").alias("n"))
+    placed = counts.join(spans, F.col("key").eqNullSafe(F.col("of")) & (F.col("stretch") == F.col("at")))
+    summed = placed.groupBy("window_start", "window_end", "key", "value").agg(F.sum("n").alias("n"))
+    return summed.withColumn("window_id", F.lit(window.window_id).cast("bigint"))

@@ -61,6 +61,23 @@ def _in_windows(events: DataFrame, windows: Sequence[WindowSpec], pane_ms: int,
     return copies.groupBy("window_id", "window_start", "window_end", *by).agg(*then)
 
 
+def picked(counts: DataFrame, ranked: dict[int, Aggregate]) -> DataFrame:
+    """Of (window, key, value, n) the values at the functions' places: (window, key, value_i, ...)."""
+    group = Window.partitionBy(*GROUP)
+    placed = counts.withColumns({"upto": F.sum("n").over(group.orderBy("value")), "total": F.sum("n").over(group)})
+    values = [F.max(F.when((F.col("upto") > f.rank(F.col("total"))) & (F.col("upto") - F.col("n") <= f.rank(F.col("total"))), F.col("value"))).alias(f"value_{i}") for i, f in ranked.items()]
+    return placed.groupBy(*GROUP).agg(*values)
+
+
+def joined(found: Sequence[DataFrame]) -> DataFrame:
+    """One or two tables of results side by side, by window and key; null keys are equal."""
+    if len(found) == 1:
+        return found[0]
+    same = F.expr(" AND ".join(f"x.{c} <=> y.{c}" for c in GROUP))
+    values = [f"{side}.{c}" for side, part in zip("xy", found) for c in part.columns if c not in GROUP]
+    return found[0].alias("x").join(found[1].alias("y"), same).select(*[f"x.{c}" for c in GROUP], *values)
+
+
 def fixed_windows(events: DataFrame, windows: Sequence[WindowSpec], functions: Sequence[Aggregate], pane_ms: int) -> DataFrame:
     """(window_id, window_start, window_end, key, value_0, ...) of tumbling and sliding time windows.
 
@@ -78,9 +95,6 @@ def fixed_windows(events: DataFrame, windows: Sequence[WindowSpec], functions: S
         found.append(parts.select(*GROUP, *[f.lowered(f"f{i}").cast("bigint").alias(f"value_{i}") for i, f in plain.items()]))
     if ranked:
         counts = _in_windows(events, windows, pane_ms, ["key", "value"], [F.count("value").alias("n")], [F.sum("n").alias("n")])
-        group = Window.partitionBy(*GROUP)
-        placed = counts.withColumns({"upto": F.sum("n").over(group.orderBy("value")), "total": F.sum("n").over(group)})
-        picked = [F.max(F.when((F.col("upto") > f.rank(F.col("total"))) & (F.col("upto") - F.col("n") <= f.rank(F.col("total"))), F.col("value"))).alias(f"value_{i}") for i, f in ranked.items()]
-        found.append(placed.groupBy(*GROUP).agg(*picked))
+        found.append(picked(counts, ranked))
     result = found[0] if len(found) == 1 else found[0].join(found[1], list(GROUP))
     return result.select(*GROUP, *[f"value_{i}" for i in range(len(functions))])

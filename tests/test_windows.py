@@ -43,6 +43,37 @@ def test_tumbling_sum_of_two_and_four_streams(spark):
     assert found(run_text(events(spark, FOUR), "TUMBLING,100,0", "SUM")) == {(0, 0, 100, 0, 0): 9, (0, 0, 100, 0, 1): 10, (0, 0, 100, 0, 2): 1}
 
 
+def test_session_medians_keep_no_lists_of_values(spark):
+    rng = random.Random(5)
+    rows = [(rng.randrange(3), rng.choice((0, 400, 900)) + rng.randrange(300), rng.randrange(-20, 20), rng.randrange(2)) for _ in range(600)]
+    rows += [(0, t, 7, 2) for t in (100, 120, 140, 161, 200)]  # just a gap apart, and more
+    results = run_text(events(spark, " ".join(",".join(map(str, r)) for r in rows)), "SESSION,20,3", "MEDIAN;SUM")
+    assert "collect_list" not in results._jdf.queryExecution().toString()
+    want = {}
+    for key in range(3):
+        times = sorted((t, v) for _, t, v, k in rows if k == key)
+        session = []
+        for t, v in [*times, (10**9, 0)]:
+            if session and t - session[-1][0] > 20:
+                values = sorted(x for _, x in session)
+                span = (3, session[0][0], session[-1][0] + 20)
+                want |= {(*span, 0, key): values[len(values) // 2], (*span, 1, key): sum(values)}
+                session = []
+            session.append((t, v))
+    got = found(results)
+    assert got == want and len(got) > 12
+
+
+def test_merge_tree_medians_keep_no_lists_of_values(spark):
+    functions = [aggregate(x) for x in ("SUM", "AVG", "MEDIAN")]
+    rng = random.Random(6)
+    rows = events(spark, " ".join(f"{rng.randrange(4)},{rng.randrange(500)},{rng.randrange(-9, 9)},{rng.randrange(2)}" for _ in range(400)))
+    leaves = leaf_windows(rows, [tumbling(100, 0)], functions, F.col("stream_id"))
+    results = long_results(root_windows(merge_windows(leaves, functions, F.expr("node_id div 2")), functions))
+    assert "collect_list" not in results._jdf.queryExecution().toString()
+    assert found(results) == found(run_text(rows, "TUMBLING,100,0", "SUM;AVG;MEDIAN"))
+
+
 def test_sessions_merge_over_streams(spark):
     assert found(run_text(events(spark, SESSIONS), "SESSION,100,0", "MEDIAN")) == {
         (0, 0, 270, 0, NO_KEY): 3, (0, 400, 690, 0, NO_KEY): 15, (0, 700, 850, 0, NO_KEY): 2, (0, 900, 1030, 0, NO_KEY): 0,
