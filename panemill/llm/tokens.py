@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import struct
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
 from functools import lru_cache
 
 import numpy as np
@@ -15,6 +16,15 @@ WORD_TOKENIZER = "word_bpe_49k.json"
 #: Words whose ids a worker remembers. It bounds memory alone: a word that was forgotten is encoded again.
 REMEMBERED = 500_000
 
+#: The word tokenizer's rules, on which the short way rests: a file with any other goes through its tokenizer whole.
+_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_PRE_TOKENIZER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
 #: Words of these characters alone need no Unicode tables: each is its own normal form but for its case.
 _PLAIN = re.compile("[!-~ß-öø-ÿÀ-ÖØ-Þ]+").fullmatch
 #: The tokenizer's own split, for such words.
@@ -37,11 +47,21 @@ def _byte_letters() -> dict[int, str]:
     return {c: "".join(letter[b] for b in chr(c).encode()) for c in range(256)}
 
 
+def by_words(path: str) -> bool:
+    """Whether a tokenizer's ids of a text are those of its words, one after the other: it is told by the file's rules."""
+    with open(path, encoding="utf-8") as file:
+        rules = json.load(file)
+    plain = not any(a.get("normalized") or a.get("lstrip") or a.get("rstrip") or not a["content"].startswith("<|") for a in rules["added_tokens"])
+    bare = rules["model"].get("dropout") is None and rules.get("post_processor") is None and rules.get("truncation") is None and rules.get("padding") is None
+    return plain and bare and rules["normalizer"] == _NORMALIZER and rules["pre_tokenizer"] == _PRE_TOKENIZER
+
+
 class WordEncoder:
-    """Encodes texts word by word and remembers the words' ids.
+    """Encodes whole texts; ids are little-endian unsigned 32-bit.
 
-    Plain words are split here and their pieces looked up in the tokenizer's model; all others, and texts that might
-    hold a special token, go through the whole tokenizer. Ids are little-endian unsigned 32-bit.
+    Where the file's rules allow it, texts are taken word by word and the words' ids remembered. Plain words are split
+    here and their pieces looked up in the tokenizer's model; all others, and texts that might hold a special token, go
+    through the whole tokenizer, as do all texts where the file has other rules.
     """
 
     def __init__(self, path: str) -> None:
@@ -49,44 +69,47 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.tokenize = self.tokenizer.model.tokenize
+        self.by_words = by_words(path)
         self.known: dict[bytes, bytes] = {}
         self.letters = _byte_letters()
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _learn(self, words: set[bytes]) -> None:
-        tokenize, letters, known = self.tokenizer.model.tokenize, self.letters, self.known
+    def _learn(self, words: Iterable[bytes]) -> None:
+        known = self.known
         for word in words:
             text = word.decode()
-            if _PLAIN(text):
-                ids = [t.id for piece in _PIECES(text.lower()) for t in tokenize(piece if piece.isascii() else piece.translate(letters))]
-                known[word] = struct.pack(f"<{len(ids)}I", *ids)
+            if text.isalpha() and text.isascii():
+                known[word] = self._piece(text)
+            elif _PLAIN(text):
+                # a piece is a word of its own, and often known as one
+                pieces = _PIECES(text.lower())
+                known[word] = b"".join([known.get(p.encode()) or self._piece(p if p.isascii() else p.translate(self.letters)) for p in pieces])
             else:
                 known[word] = self.whole(text)
 
-    def ids(self, texts: Sequence[bytes], at_once: int = 4 << 20) -> list[bytes]:
-        """The ids of each UTF-8 text as bytes; texts are taken in portions of about ``at_once`` bytes."""
-        out: list[bytes] = []
-        portion: list[bytes] = []
-        size = 0
-        for text in texts:
-            portion.append(text)
-            size += len(text)
-            if size > at_once:
-                out += self._portion(portion)
-                portion, size = [], 0
-        return out + self._portion(portion)
-
-    def _portion(self, texts: list[bytes]) -> list[bytes]:
-        # a special token's capitals would make it an ordinary word
-        split = [None if b"<|" in t else t.lower().split() for t in texts]
-        words = set().union(*filter(None, split))
-        if len(self.known) + len(words - self.known.keys()) > REMEMBERED:
-            self.known.clear()
-        self._learn(words - self.known.keys())
-        known = self.known
-        return [self.whole(t.decode()) if found is None else b"".join([known[w] for w in found]) for t, found in zip(texts, split, strict=True)]
+    def _piece(self, piece: str) -> bytes:
+        ids = [t.id for t in self.tokenize(piece)]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def ids(self, texts: Sequence[bytes]) -> list[bytes]:
+        """The ids of each UTF-8 text as bytes."""
+        return [self.of(t) for t in texts]
+
+    def of(self, text: bytes) -> bytes:
+        if not self.by_words or b"<|" in text:  # a special token's capitals would make it an ordinary word
+            return self.whole(text.decode())
+        words = text.lower().split()
+        found = list(map(self.known.get, words))
+        if None in found:
+            if len(self.known) > REMEMBERED:
+                self.known.clear()
+            self._learn({w for w, ids in zip(words, found, strict=True) if ids is None})
+            # words that were forgotten just now are taken from what was found before
+            found = [self.known[w] if ids is None else ids for w, ids in zip(words, found, strict=True)]
+        return b"".join(found)
 
 
 @lru_cache(maxsize=2)

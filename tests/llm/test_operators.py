@@ -393,6 +393,29 @@ def test_token_files(spark):
     assert blocks.read_token_files(blocks.write_token_files(docs.limit(0))).count() == 0
 
 
+def test_other_tokenizers_take_no_short_way(spark):
+    from tokenizers import Tokenizer
+
+    path = tokens.tokenizer_path("byte_bpe_50k.json")
+    assert tokens.by_words(tokens.tokenizer_path()) and not tokens.by_words(path)
+    whole = Tokenizer.from_file(path)
+    texts = [*ODD, "Two  Words, And CAPITALS<|endoftext|>"]
+    want = [[*whole.encode(t or "", add_special_tokens=False).ids, 50256] for t in texts]
+    docs = documents(spark, texts)
+    files = blocks.write_token_files(docs, tokenizer=path, end_id=50256, order=-F.col("doc_id"))
+    got = blocks.read_token_files(files).orderBy("start").collect()
+    assert [(r.doc_id, r.n_tokens, r.ids_crc32) for r in got] == [(i, len(x), zlib.crc32(np.array(x, "<u4").tobytes())) for i, x in reversed(list(enumerate(want)))]
+    assert sorted(r.n_tokens for r in lengths.encoded_lengths(docs, tokenizer=path).collect()) == sorted(len(x) - 1 for x in want)
+
+
+def test_an_encoder_may_forget(monkeypatch):
+    rng = random.Random(5)
+    texts = [prose(rng, 300, 5000).encode() for _ in range(30)]
+    want = tokens.WordEncoder(tokens.tokenizer_path()).ids(texts)
+    monkeypatch.setattr(tokens, "REMEMBERED", 100)
+    assert tokens.WordEncoder(tokens.tokenizer_path()).ids(texts) == want
+
+
 # decontamination
 
 
