@@ -1,12 +1,13 @@
 """Aggregate functions as Columns: what a group keeps, how two such parts merge, and the result.
 
 ``kind`` tells what a part is: one number (distributive), a fixed set of numbers (algebraic) or all values (holistic).
-Values are longs. A result over no values is null.
+It decides how a query goes: batch windows keep no parts of holistic functions but count different values, and find the
+result by its rank. Values are longs. A result over no values is null.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from typing import Literal
 
@@ -32,8 +33,14 @@ class Aggregate:
     parts: tuple[Part, ...]
     #: From the parts, in their order, to the result.
     lower: Callable[..., Column]
-    #: For a function that picks one of the sorted values: its place (from 0) among so many.
+    #: For a holistic function, which picks one of the sorted values: its place (from 0) among so many.
     rank: ColumnOf | None = None
+    #: The same of a list of values that has one at least, for count windows of streams.
+    of_values: Callable[[Sequence[int]], int] | None = None
+
+    def __post_init__(self) -> None:
+        if (self.kind == "holistic") != (self.rank is not None):
+            raise ValueError("holistic functions, and only they, name the rank of their result")
 
     def over(self, value: Column) -> Column:
         """The result of a group in one aggregation."""
@@ -49,8 +56,8 @@ class Aggregate:
         return self.lower(*[F.col(prefix + p.suffix) for p in self.parts])
 
 
-def _one(name: str, function: ColumnOf) -> Aggregate:
-    return Aggregate(name, "distributive", (Part("", function, function),), lambda x: x)
+def _one(name: str, function: ColumnOf, of_values: Callable[[Sequence[int]], int]) -> Aggregate:
+    return Aggregate(name, "distributive", (Part("", function, function),), lambda x: x, of_values=of_values)
 
 
 def _flat(lists: Column) -> Column:
@@ -96,13 +103,18 @@ def _half(count: Column) -> Column:
     return F.floor(count / 2)
 
 
-register_aggregate(_one("SUM", F.sum))
-register_aggregate(_one("MIN", F.min))
-register_aggregate(_one("MAX", F.max))
-register_aggregate(Aggregate("AVG", "algebraic", (Part("_sum", F.sum, F.sum), Part("_count", F.count, F.sum)), _quotient))
-register_aggregate(Aggregate("MEDIAN", "holistic", _VALUES, upper_median, _half))
+def _truncated(values: Sequence[int]) -> int:
+    total = sum(values)
+    return total // len(values) if total >= 0 else -(-total // len(values))
+
+
+register_aggregate(_one("SUM", F.sum, sum))
+register_aggregate(_one("MIN", F.min, min))
+register_aggregate(_one("MAX", F.max, max))
+register_aggregate(Aggregate("AVG", "algebraic", (Part("_sum", F.sum, F.sum), Part("_count", F.count, F.sum)), _quotient, of_values=_truncated))
+register_aggregate(Aggregate("MEDIAN", "holistic", _VALUES, upper_median, _half, lambda values: sorted(values)[len(values) // 2]))
 # The latest of values that are times; none of them has to hold more than one number.
-register_aggregate(_one("M_SUM", F.max))
-register_aggregate(Aggregate("M_AVG", "algebraic", (Part("_max", F.max, F.max), Part("_count", F.count, F.sum)), lambda most, count: F.when(count > 0, most)))
-register_aggregate(_one("M_MEDIAN", F.max))
-register_aggregate(Aggregate("M_MIN", "distributive", (Part("", lambda v: F.min(-v), F.min),), F.abs))
+register_aggregate(_one("M_SUM", F.max, max))
+register_aggregate(Aggregate("M_AVG", "algebraic", (Part("_max", F.max, F.max), Part("_count", F.count, F.sum)), lambda most, count: F.when(count > 0, most), of_values=max))
+register_aggregate(_one("M_MEDIAN", F.max, max))
+register_aggregate(Aggregate("M_MIN", "distributive", (Part("", lambda v: F.min(-v), F.min),), F.abs, of_values=lambda values: abs(min(-v for v in values))))

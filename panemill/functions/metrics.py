@@ -6,14 +6,26 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Ranges of arrival into which a stream is cut.
+RANGES = 1024
+
+
 def out_of_order(events: DataFrame, arrival: str = "event_id") -> DataFrame:
     """(stream_id, events, late, ratio): how many of a stream's events come after a later one, in the order of arrival.
 
-    Each stream is sorted by itself; the running maximum needs no more than one pass.
+    ``arrival`` is a number. A stream is cut into ranges of arrival: the latest time of all ranges before comes from
+    one row for each range, and only a range is put in order by one task. Events that arrive at once are in the order
+    of their time.
     """
-    before = Window.partitionBy("stream_id").orderBy(arrival).rowsBetween(Window.unboundedPreceding, -1)
-    late = F.coalesce(F.col("event_ts") < F.max("event_ts").over(before), F.lit(False))
-    rows = events.select("stream_id", late.cast("bigint").alias("late"))
+    bounds = events.agg(F.min(arrival).alias("low"), F.max(arrival).alias("high"))
+    share = (F.col(arrival).cast("double") - F.col("low")) / (F.col("high").cast("double") - F.col("low") + 1)
+    ranged = events.join(F.broadcast(bounds)).select("stream_id", "event_ts", F.col(arrival).alias("arrival"), F.floor(share * RANGES).alias("range"))
+    earlier = Window.partitionBy("stream_id").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    tops = ranged.groupBy("stream_id", "range").agg(F.max("event_ts").alias("top")).select("stream_id", "range", F.max("top").over(earlier).alias("top"))
+    before = Window.partitionBy("stream_id", "range").orderBy("arrival", "event_ts").rowsBetween(Window.unboundedPreceding, -1)
+    latest = ranged.withColumn("own", F.max("event_ts").over(before)).join(tops, ["stream_id", "range"])
+    late = F.coalesce(F.col("event_ts") < F.greatest("own", "top"), F.lit(False))
+    rows = latest.select("stream_id", late.cast("bigint").alias("late"))
     return rows.groupBy("stream_id").agg(F.count(F.lit(1)).alias("events"), F.sum("late").alias("late")).withColumn("ratio", F.col("late") / F.col("events"))
 
 

@@ -12,23 +12,30 @@ from panemill.plans.panes import lifted, lowered
 from panemill.plans.spec import WindowSpec
 from panemill.sources.events import NO_KEY
 
-#: Events are put in order within spans of so many ms; how many lie before a span is summed up over the spans.
-SPAN_MS = 60_000
+#: Events are put in order within spans of time that hold so many on average; how many lie before a span is summed up.
+SPAN_EVENTS = 50_000
 ORDER = ("event_ts", "stream_id", "event_id")
 
 
-def with_place(events: DataFrame, by: Sequence[str] = (), span_ms: int = SPAN_MS) -> DataFrame:
+def span_of(events: DataFrame) -> int:
+    """The length in ms of spans that hold SPAN_EVENTS events on average."""
+    n, low, high = events.agg(F.count("event_ts"), F.min("event_ts"), F.max("event_ts")).first()
+    return max(1, (high - low + 1) * SPAN_EVENTS // n) if n else 1
+
+
+def with_place(events: DataFrame, by: Sequence[str] = (), span_ms: int | None = None) -> DataFrame:
     """Add ``place``, an event's number from 0 in the order of event_ts, stream_id and event_id, within ``by``.
 
-    No task sorts more than a span: the events before each span come from counts of spans, of which there is one for
-    each minute (and value of ``by``).
+    No task sorts more than a span: the events before each span come from counts of spans (and values of ``by``).
     """
-    spanned = events.withColumn("span", F.floor(F.col("event_ts") / span_ms))
+    spanned = events.withColumn("span", F.floor(F.col("event_ts") / (span_ms or span_of(events))))
     counts = spanned.groupBy(*by, "span").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy(*by).orderBy("span").rowsBetween(Window.unboundedPreceding, -1)
-    bases = counts.select(*by, "span", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    bases = counts.select(*[F.col(c).alias(f"b_{c}") for c in (*by, "span")], F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
     within = Window.partitionBy(*by, "span").orderBy(*ORDER)
-    return spanned.withColumn("within", F.row_number().over(within) - 1).join(bases, [*by, "span"]).withColumn("place", F.col("base") + F.col("within")).drop("span", "within", "base")
+    same = F.expr(" AND ".join(f"{c} <=> b_{c}" for c in (*by, "span")))
+    placed = spanned.withColumn("within", F.row_number().over(within) - 1).join(bases, same)
+    return placed.withColumn("place", F.col("base") + F.col("within")).select(*events.columns, "place")
 
 
 def count_windows(events: DataFrame, window: WindowSpec, functions: Sequence[Aggregate], scope: str = "global") -> DataFrame:

@@ -2,19 +2,29 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from panemill.plans.panes import windows_over
 from panemill.plans.spec import WindowSpec
 
 
-def with_empty_windows(results: DataFrame, window: WindowSpec) -> DataFrame:
+def with_empty_windows(results: DataFrame, window: WindowSpec, events: DataFrame) -> DataFrame:
     """Fill a fixed time window's results (window_start, key, ...) for each key from the first to the last window.
 
-    The first and last window go to all rows of the keys as one broadcast row; keys and windows are dealt out by key.
+    The first and last window of all events go to all rows as one broadcast row. Each result row gives the windows
+    without events that follow it, a key's first one also those before it: results are worked out once.
     """
-    bounds = results.agg(F.min("window_start").alias("first"), F.max("window_start").alias("last"))
-    keys = results.select("key").distinct()
-    every = keys.join(F.broadcast(bounds)).where("first IS NOT NULL").select("key", F.explode(F.sequence("first", "last", F.lit(window.slide).cast("bigint"))).alias("window_start"))
-    filled = every.join(results.drop("window_id", "window_end"), ["key", "window_start"], "left")
-    return filled.select(F.lit(window.window_id).cast("bigint").alias("window_id"), "window_start", (F.col("window_start") + window.size).alias("window_end"), "key", *[c for c in results.columns if c.startswith("value_")])
+    times = events.where("event_ts >= 0").agg(F.min("event_ts").alias("low"), F.max("event_ts").alias("high"))
+    bounds = times.select(windows_over(F.col("low"), [window])[0]["window_start"].alias("first"), F.element_at(windows_over(F.col("high"), [window]), -1)["window_start"].alias("last"))
+    by_key = Window.partitionBy("key").orderBy("window_start")
+    rows = results.withColumns({"before": F.lag("window_start").over(by_key), "after": F.lead("window_start").over(by_key)}).join(F.broadcast(bounds))
+    step = f"CAST({window.slide} AS BIGINT)"
+
+    def between(first: str, end: str) -> str:
+        return f"CASE WHEN {first} < {end} THEN sequence({first}, {end} - {step}, {step}) ELSE array() END"
+
+    starts = f"concat(CASE WHEN before IS NULL THEN {between('first', 'window_start')} ELSE array() END, array(window_start), {between(f'window_start + {step}', f'coalesce(after, last + {step})')})"
+    filled = rows.withColumn("start", F.explode(F.expr(starts)))
+    values = [F.when(F.col("start") == F.col("window_start"), F.col(c)).alias(c) for c in results.columns if c.startswith("value_")]
+    return filled.select(F.lit(window.window_id).cast("bigint").alias("window_id"), F.col("start").alias("window_start"), (F.col("start") + window.size).alias("window_end"), "key", *values)

@@ -8,27 +8,39 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from panemill.functions.aggregates import Aggregate
-from panemill.plans.panes import GROUP, joined, picked
+from panemill.plans.panes import GROUP, few_values, joined, picked
 from panemill.plans.spec import WindowSpec
 
 
 def session_windows(events: DataFrame, window: WindowSpec, functions: Sequence[Aggregate]) -> DataFrame:
     """(window_id, window_start, window_end, key, value_0, ...) of the sessions over the union of all streams.
 
-    A session ends a gap after its last event; an event just a gap later still belongs to it. Spark merges sessions
-    in part before its shuffle. For functions that pick one of the sorted values, a bounded query counts different
-    values instead of keeping lists; a stream keeps lists in its state.
+    A session ends a gap after its last event; an event just a gap later still belongs to it. All events of a key in one
+    stretch of time as long as the gap are in one session: a bounded query first sums up stretches, before the shuffle,
+    and merges only them, one row for each. For holistic functions it counts different values. A stream merges events
+    and keeps lists of values in its state.
     """
-    ranked = {} if events.isStreaming else {i: f for i, f in enumerate(functions) if f.rank is not None}
+    ranked = {} if events.isStreaming else {i: f for i, f in enumerate(functions) if f.kind == "holistic"}
     plain = {i: f for i, f in enumerate(functions) if i not in ranked}
+    gap = f"{window.size} milliseconds"
     found = []
     if plain:
-        span = F.session_window("ts", f"{window.size} milliseconds").alias("span")
-        parts = events.groupBy(span, "key").agg(*[c for i, f in plain.items() for c in f.lifted(F.col("value"), f"f{i}")])
+        if events.isStreaming:
+            rows, span = events, F.session_window("ts", gap)
+            parts = [c for i, f in plain.items() for c in f.lifted(F.col("value"), f"f{i}")]
+        else:
+            ms = F.unix_millis("ts")
+            lifted = [c for i, f in plain.items() for c in f.lifted(F.col("value"), f"f{i}")]
+            stretches = events.where("ts IS NOT NULL").groupBy("key", (ms - F.pmod(ms, F.lit(window.size))).alias("stretch"))
+            rows = stretches.agg(F.min("ts").alias("first"), F.max("ts").alias("last"), *lifted)
+            length = F.unix_millis("last") - F.unix_millis("first") + window.size
+            span = F.session_window("first", F.concat(length.cast("string"), F.lit(" milliseconds")))
+            parts = [c for i, f in plain.items() for c in f.merged(f"f{i}")]
+        sums = rows.groupBy(span.alias("span"), "key").agg(*parts)
         values = [f.lowered(f"f{i}").cast("bigint").alias(f"value_{i}") for i, f in plain.items()]
-        found.append(parts.select(F.lit(window.window_id).cast("bigint").alias("window_id"), F.unix_millis("span.start").alias("window_start"), F.unix_millis("span.end").alias("window_end"), "key", *values))
+        found.append(sums.select(F.lit(window.window_id).cast("bigint").alias("window_id"), F.unix_millis("span.start").alias("window_start"), F.unix_millis("span.end").alias("window_end"), "key", *values))
     if ranked:
-        found.append(picked(_value_counts(events, window), ranked))
+        found.append(picked(_value_counts(events, window), ranked, few=few_values(events)))
     return joined(found).select(*GROUP, *[f"value_{i}" for i in range(len(functions))])
 
 

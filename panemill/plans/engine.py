@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
+from math import gcd
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -22,7 +23,7 @@ def wide_results(events: DataFrame, query: QuerySpec, *, dense: bool = False) ->
     functions, parts = query.functions, []
     fixed = query.fixed()
     if fixed and dense:
-        parts += [with_empty_windows(fixed_windows(events, [w], functions, w.slide if w.size % w.slide == 0 else 1), w) for w in fixed]
+        parts += [with_empty_windows(fixed_windows(events, [w], functions, gcd(w.size, w.slide)), w, events) for w in fixed]
     elif fixed:
         parts.append(fixed_windows(events, fixed, functions, query.pane_ms()))
     parts += [session_windows(events, w, functions) for w in query.sessions()]

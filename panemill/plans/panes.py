@@ -61,32 +61,65 @@ def _in_windows(events: DataFrame, windows: Sequence[WindowSpec], pane_ms: int,
     return copies.groupBy("window_id", "window_start", "window_end", *by).agg(*then)
 
 
-def picked(counts: DataFrame, ranked: dict[int, Aggregate]) -> DataFrame:
-    """Of (window, key, value, n) the values at the functions' places: (window, key, value_i, ...)."""
+#: Values of a group that one task may order: beyond, they are dealt by buckets first.
+ORDERED = 1_000_000
+#: Buckets of a group's values, and how many tasks a group's values are dealt to before they have a bucket.
+BUCKETS, SALTS = 1024, 64
+
+
+def few_values(rows: DataFrame) -> bool:
+    """Whether whole values lie so close together that no group can have more than ORDERED different ones."""
+    low, high = rows.agg(F.min("value"), F.max("value")).first()
+    return low is None or high - low < ORDERED
+
+
+def _at_rank(found: Column, upto: Column, n: Column, rank: Column) -> Column:
+    return F.when((upto > rank) & (upto - n <= rank), found)
+
+
+def picked(counts: DataFrame, ranked: dict[int, Aggregate], *, few: bool) -> DataFrame:
+    """Of (window, key, value, n) the values at the functions' places: (window, key, value_i, ...).
+
+    With ``few`` different values for each group, a running sum over them finds the place. Else each group's values are
+    dealt to buckets between its least and its largest one: a running sum over a group's buckets finds the bucket, and
+    one over the bucket's values the place. Groups are joined to their bounds by a hash of the value as well, so that
+    a hot group's values are spread over tasks all the way.
+    """
     group = Window.partitionBy(*GROUP)
-    placed = counts.withColumns({"upto": F.sum("n").over(group.orderBy("value")), "total": F.sum("n").over(group)})
-    values = [F.max(F.when((F.col("upto") > f.rank(F.col("total"))) & (F.col("upto") - F.col("n") <= f.rank(F.col("total"))), F.col("value"))).alias(f"value_{i}") for i, f in ranked.items()]
-    return placed.groupBy(*GROUP).agg(*values)
+    if few:
+        placed = counts.withColumns({"upto": F.sum("n").over(group.orderBy("value")), "total": F.sum("n").over(group)})
+        return placed.groupBy(*GROUP).agg(*[F.max(_at_rank(F.col("value"), F.col("upto"), F.col("n"), f.rank(F.col("total")))).alias(f"value_{i}") for i, f in ranked.items()])
+    counts = counts.where("value IS NOT NULL").withColumn("salt", F.pmod(F.xxhash64("value"), F.lit(SALTS)))
+    bounds = counts.groupBy(*GROUP).agg(F.min("value").alias("low"), F.max("value").alias("high")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).select(*[F.col(c).alias(f"b_{c}") for c in GROUP], "low", "high", "salt")
+    same = F.expr(" AND ".join(f"{c} <=> b_{c}" for c in GROUP))
+    share = (F.col("value").cast("double") - F.col("low")) / (F.col("high").cast("double") - F.col("low") + 1)
+    dealt = counts.join(bounds.withColumnRenamed("salt", "b_salt"), same & (F.col("salt") == F.col("b_salt"))).select(*GROUP, "value", "n", F.least(F.floor(share * BUCKETS), F.lit(BUCKETS - 1)).alias("bucket"))
+    sums = dealt.groupBy(*GROUP, "bucket").agg(F.sum("n").alias("n"))
+    sums = sums.withColumns({"upto": F.sum("n").over(group.orderBy("bucket")), "total": F.sum("n").over(group)})
+    wanted = sums.select(*[F.col(c).alias(f"w_{c}") for c in (*GROUP, "bucket")], (F.col("upto") - F.col("n")).alias("below"), F.explode(F.array(*[_at_rank(F.struct(F.lit(i).alias("i"), f.rank(F.col("total")).alias("rank")), F.col("upto"), F.col("n"), f.rank(F.col("total"))) for i, f in ranked.items()])).alias("f")).where("f IS NOT NULL")
+    inside = dealt.join(wanted, F.expr(" AND ".join(f"{c} <=> w_{c}" for c in (*GROUP, "bucket")))).select(*GROUP, "bucket", "f.i", "f.rank", "below", "value", "n")
+    upto = F.col("below") + F.sum("n").over(Window.partitionBy(*GROUP, "bucket", "i").orderBy("value"))
+    found = inside.withColumn("upto", upto).where((F.col("upto") > F.col("rank")) & (F.col("upto") - F.col("n") <= F.col("rank")))
+    return found.groupBy(*GROUP).agg(*[F.max(F.when(F.col("i") == i, F.col("value"))).alias(f"value_{i}") for i in ranked])
 
 
 def joined(found: Sequence[DataFrame]) -> DataFrame:
-    """One or two tables of results side by side, by window and key; null keys are equal."""
+    """One or two tables of results side by side, by window and key; null keys are equal, and a group may lack values."""
     if len(found) == 1:
         return found[0]
     same = F.expr(" AND ".join(f"x.{c} <=> y.{c}" for c in GROUP))
     values = [f"{side}.{c}" for side, part in zip("xy", found) for c in part.columns if c not in GROUP]
-    return found[0].alias("x").join(found[1].alias("y"), same).select(*[f"x.{c}" for c in GROUP], *values)
+    return found[0].alias("x").join(found[1].alias("y"), same, "left").select(*[f"x.{c}" for c in GROUP], *values)
 
 
 def fixed_windows(events: DataFrame, windows: Sequence[WindowSpec], functions: Sequence[Aggregate], pane_ms: int) -> DataFrame:
     """(window_id, window_start, window_end, key, value_0, ...) of tumbling and sliding time windows.
 
-    Functions that pick one of the sorted values work on counts of different values: these are summed up before each
-    shuffle and spread over tasks by value, and a running sum finds the place. No task holds the values of a
-    window and key, however many there are.
+    Functions of the class ``holistic`` work on counts of different values, all others on one part for each pane.
+    Counts and parts are summed up before each shuffle. See ``picked`` for how a value's place is found.
     """
-    plain = {i: f for i, f in enumerate(functions) if f.rank is None}
-    ranked = {i: f for i, f in enumerate(functions) if f.rank is not None}
+    plain = {i: f for i, f in enumerate(functions) if f.kind != "holistic"}
+    ranked = {i: f for i, f in enumerate(functions) if f.kind == "holistic"}
     found = []
     if plain:
         first = [c for i, f in plain.items() for c in f.lifted(F.col("value"), f"f{i}")]
@@ -95,6 +128,5 @@ def fixed_windows(events: DataFrame, windows: Sequence[WindowSpec], functions: S
         found.append(parts.select(*GROUP, *[f.lowered(f"f{i}").cast("bigint").alias(f"value_{i}") for i, f in plain.items()]))
     if ranked:
         counts = _in_windows(events, windows, pane_ms, ["key", "value"], [F.count("value").alias("n")], [F.sum("n").alias("n")])
-        found.append(picked(counts, ranked))
-    result = found[0] if len(found) == 1 else found[0].join(found[1], list(GROUP))
-    return result.select(*GROUP, *[f"value_{i}" for i in range(len(functions))])
+        found.append(picked(counts, ranked, few=few_values(events)))
+    return joined(found).select(*GROUP, *[f"value_{i}" for i in range(len(functions))])

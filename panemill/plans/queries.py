@@ -4,17 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panemill.functions.aggregates import aggregate
+from panemill.functions.aggregates import Aggregate, Part, aggregate, aggregate_names, register_aggregate
 from panemill.functions.metrics import events_per_second, out_of_order
-from panemill.operators.merge import leaf_windows, merge_windows, root_windows
 from panemill.plans.engine import long_results, run
 from panemill.plans.spec import LATENESS_MS, QuerySpec, WindowSpec, parse_windows, session, sliding, tumbling
-from panemill.sources.events import NO_KEY, read_event_stream, read_events
-from panemill.sources.sinks import with_text_id, without_empty
-from panemill.streaming.sinks import drained
+from panemill.sources.events import NO_KEY, batch_stream, decode_events, read_event_stream, read_events, union_streams, write_batch
+from panemill.sources.sinks import with_text_id, without_empty, write_results
+from panemill.streaming.sinks import drained, shared_folder
 from panemill.streaming.windows import count_window_stream, query_stream
 
 HOUR = 3_600_000
@@ -57,17 +56,10 @@ def _batch(windows: str, functions: str, *, keyed: bool = True, dense: bool = Fa
     return query
 
 
-def two_level_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Four leaves, two inner nodes, one root."""
-    functions = [aggregate(x) for x in ("SUM", "AVG", "MEDIAN")]
-    leaves = leaf_windows(read_events(spark, sf_dir), [tumbling(DAY, 0), sliding(DAY, DAY // 2, 1)], functions, F.col("stream_id"))
-    inner = merge_windows(leaves, functions, F.expr("node_id div 2"))
-    return long_results(root_windows(inner, functions))
-
-
 def out_of_order_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Out-of-order events of each stream if events arrive by the hash of their ids."""
-    events = read_events(spark, sf_dir).withColumn("arrival", F.md5(F.col("event_id").cast("string").cast("binary")))
+    arrival = F.conv(F.substring(F.md5(F.col("event_id").cast("string").cast("binary")), 1, 13), 16, 10).cast("bigint")
+    events = read_events(spark, sf_dir).withColumn("arrival", arrival)
     return out_of_order(events, "arrival")
 
 
@@ -89,13 +81,99 @@ def _stream(windows: Sequence[WindowSpec], functions: str) -> Query:
     return query
 
 
-def stream_count_window(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return drained(count_window_stream(read_event_stream(spark, sf_dir), tumbling(5, 0, "COUNT")))
+#: Events of a file of a stream in several batches.
+FILE_EVENTS = 1_000_000
+
+
+def _batches(events: DataFrame, *parts: Column) -> tuple[str, int]:
+    """Write the events of each condition one after the other, in equally many files: the folder, and files a part."""
+    folder = shared_folder(events.sparkSession) + "/in"
+    files = events.count() // FILE_EVENTS + 1
+    for part in parts:
+        write_batch(events.where(part), folder, files)
+    return folder, files
+
+
+def _thirds(events: DataFrame) -> list[Column]:
+    """Conditions that cut events into three parts, one after the other in time."""
+    low, high = events.agg(F.min("event_ts"), F.max("event_ts")).first()
+    one, two = low + (high - low) // 3, low + (high - low) * 2 // 3
+    ts = F.col("event_ts")
+    return [ts <= one, (ts > one) & (ts <= two), ts > two]
+
+
+def _count_stream(window: WindowSpec, functions: str, scope: str) -> Query:
+    """Count windows of a stream that comes in three micro-batches."""
+
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        events = read_events(spark, sf_dir)
+        stream = batch_stream(spark, *_batches(events, *_thirds(events)))
+        return long_results(drained(count_window_stream(stream, window, [aggregate(f) for f in functions.split(";")], scope)))
+
+    return query
+
+
+def stream_two_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Even and odd streams as two sources: the slower one's watermark closes the windows."""
+    events = read_events(spark, sf_dir)
+    odd = events.where("stream_id % 2 = 1")
+    low, high = odd.agg(F.min("event_ts"), F.max("event_ts")).first()
+    sources = [events.where("stream_id % 2 = 0"), odd.where(F.col("event_ts") <= low + (high - low) // 2)]
+    streams = [batch_stream(spark, *_batches(s, *_thirds(s))) for s in sources]
+    return long_results(drained(query_stream(streams, QuerySpec.parse(f"TUMBLING,{DAY},0", "SUM;MAX"))))
+
+
+def stream_late_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tenth of the events comes when the watermark has passed most of their windows: only the rest of them counts."""
+    events = read_events(spark, sf_dir)
+    late = F.col("event_id") % 10 == 0
+    folder, files = _batches(events, *[third & ~late for third in _thirds(events)], late)
+    return long_results(drained(query_stream(batch_stream(spark, folder, files), QuerySpec.parse(f"TUMBLING,{HOUR},0", "SUM"))))
+
+
+def stream_restarted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stream that ends after a part of its events and goes on from its checkpoint when the others have come."""
+    events = read_events(spark, sf_dir)
+    first, second, third = _thirds(events)
+    folder, files = _batches(events, first, second)
+    spec, base = QuerySpec.parse(f"TUMBLING,{DAY},0;SESSION,{2 * HOUR},1", "SUM"), shared_folder(spark)
+    drained(query_stream(batch_stream(spark, folder, files), spec), base)
+    write_batch(events.where(third), folder, files)
+    return long_results(drained(query_stream(batch_stream(spark, folder, files), spec), base))
+
+
+def decoded_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as text lines of two inputs, one of them without keys."""
+    events = read_events(spark, sf_dir)
+    keyed = events.where("stream_id < 2").select(F.concat_ws(",", "stream_id", "event_ts", "value", "key").alias("value"))
+    bare = events.where("stream_id >= 2").select(F.concat_ws(",", "stream_id", "event_ts", "value").alias("value"))
+    return run(union_streams(decode_events(keyed), decode_events(bare)), QuerySpec.parse(f"TUMBLING,{DAY},0", "SUM;MEDIAN"))
+
+
+def own_aggregate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A function that this module has registered: the difference of the largest and the least value."""
+    return run(read_events(spark, sf_dir), QuerySpec.parse(f"SLIDING,{DAY},{6 * HOUR},0", "RANGE;SUM"))
+
+
+def written_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Results written as files and read again."""
+    folder = shared_folder(spark)
+    write_results(run(read_events(spark, sf_dir), QuerySpec.parse(f"TUMBLING,{DAY},0", "MIN;AVG")), folder)
+    return spark.read.parquet(folder)
+
+
+def null_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events of which some have a null key: these are a key of their own."""
+    events = read_events(spark, sf_dir).withColumn("key", F.when(F.col("key") % 3 != 0, F.col("key")))
+    return run(events, QuerySpec.parse(f"TUMBLING,{DAY},0;SESSION,{2 * HOUR},1;TUMBLING,7,2,COUNT", "SUM;MEDIAN", "key"))
+
+
+if "RANGE" not in aggregate_names():
+    register_aggregate(Aggregate("RANGE", "algebraic", (Part("_low", F.min, F.min), Part("_high", F.max, F.max)), lambda low, high: high - low))
 
 
 QUERIES: dict[str, Query] = {
     **{name: _batch(windows, functions, **options) for name, (windows, functions, options) in BATCH.items()},
-    "two_level_merge": two_level_merge,
     "out_of_order_ratio": out_of_order_ratio,
     "throughput_per_second": throughput_per_second,
     "result_text": result_text,
@@ -103,7 +181,17 @@ QUERIES: dict[str, Query] = {
     "stream_sliding_max": _stream([sliding(6 * HOUR, 3 * HOUR, 1)], "MAX"),
     "stream_session_sum": _stream([session(2 * HOUR, 2)], "SUM"),
     "stream_multi_window": _stream([tumbling(DAY, 0), session(HOUR, 1)], "SUM;MEDIAN"),
-    "stream_count_window": stream_count_window,
+    "stream_count_window": _count_stream(tumbling(5, 0, "COUNT"), "SUM", "key"),
+    "stream_count_global": _count_stream(tumbling(100, 0, "COUNT"), "SUM;M_MIN;MEDIAN", "global"),
+    "stream_count_avg_median": _count_stream(sliding(6, 4, 1, "COUNT"), "AVG;MEDIAN;MIN;MAX", "key"),
+    "stream_sliding_median": _stream([sliding(6 * HOUR, 3 * HOUR, 1)], "MEDIAN"),
+    "stream_two_sources": stream_two_sources,
+    "stream_late_rows": stream_late_rows,
+    "stream_restarted": stream_restarted,
+    "decoded_union": decoded_union,
+    "own_aggregate": own_aggregate,
+    "written_results": written_results,
+    "null_keys": null_keys,
 }
 
 _SQL_OF = {
@@ -116,11 +204,13 @@ _SQL_OF = {
     "M_AVG": "max(v)",
     "M_MEDIAN": "max(v)",
     "M_MIN": "abs(min(-v))",
+    "RANGE": "max(v) - min(v)",
 }
 
 
-def _events_sql(keyed: bool) -> str:
-    key = f"coalesce(user_id, {NO_KEY})" if keyed else str(NO_KEY)
+def _events_sql(keyed: bool | str) -> str:
+    """The events; a text gives SQL for the key."""
+    key = keyed if isinstance(keyed, str) else f"coalesce(user_id, {NO_KEY})" if keyed else str(NO_KEY)
     return f"(SELECT epoch_us(ts) // 1000 AS t, CAST(floor(value) AS BIGINT) AS v, CAST({key} AS BIGINT) AS key, event_id % 4 AS stream_id, event_id FROM events)"
 
 
@@ -129,24 +219,26 @@ def _rows_sql(w: WindowSpec, events: str, scope: str) -> str:
     if w.measure == "COUNT":
         part, key = ("PARTITION BY key ", "key") if scope == "key" else ("", str(NO_KEY))
         placed = f"(SELECT row_number() OVER ({part}ORDER BY t, stream_id, event_id) - 1 AS t, v, CAST({key} AS BIGINT) AS key FROM {events})"
-        return f"SELECT s, s + {w.size} AS e, key, v FROM (SELECT unnest(list_filter([{', '.join(f'(t // {w.slide} - {k}) * {w.slide}' for k in range(-(-w.size // w.slide)))}], lambda x: x >= 0 AND x + {w.size} > t)) AS s, key, v FROM {placed})"
+        starts = ", ".join(f"(t // {w.slide} - {k}) * {w.slide}" for k in range(-(-w.size // w.slide)))
+        return f"SELECT s, s + {w.size} AS e, key, v FROM (SELECT unnest(list_filter([{starts}], lambda x: x >= 0 AND x + {w.size} > t)) AS s, key, v FROM {placed})"
     if w.kind == "SESSION":
         return f"""SELECT min(t) OVER (PARTITION BY key, n) AS s, max(t) OVER (PARTITION BY key, n) + {w.size} AS e, key, v FROM (
           SELECT *, sum(opens) OVER (PARTITION BY key ORDER BY t, event_id) AS n FROM (
             SELECT *, CASE WHEN t > lag(t) OVER (PARTITION BY key ORDER BY t, event_id) + {w.size} THEN 1 ELSE 0 END AS opens FROM {events}))"""
     starts = ", ".join(f"(t // {w.slide} - {k}) * {w.slide}" for k in range(-(-w.size // w.slide)))
-    return f"SELECT s, s + {w.size} AS e, key, v FROM (SELECT unnest(list_filter([{starts}], lambda x: x >= 0 AND x + {w.size} > t)) AS s, key, v FROM {events})"
+    return f"SELECT s, s + {w.size} AS e, key, v, event_id FROM (SELECT unnest(list_filter([{starts}], lambda x: x >= 0 AND x + {w.size} > t)) AS s, key, v, event_id FROM {events})"
 
 
-def results_sql(windows: Sequence[WindowSpec], functions: str, *, keyed: bool = True, dense: bool = False, scope: str = "global", closed: bool = False) -> str:
-    """SQL for a query's long results; ``closed`` leaves out windows that a stream's watermark has not passed."""
+def results_sql(windows: Sequence[WindowSpec], functions: str, *, keyed: bool | str = True, dense: bool = False, scope: str = "global", closed: bool | str = False, where: str = "true") -> str:
+    """SQL for a query's long results; ``closed`` leaves out windows that a stream's watermark has not passed (a text:
+    SQL for the watermark), ``where`` is a condition for events and their windows."""
     events, parts = _events_sql(keyed), []
     for w in windows:
         rows = _rows_sql(w, events, scope)
         having = [f"count(*) = {w.size}"] if w.measure == "COUNT" else []
-        having += [f"e <= (SELECT max(t) - {LATENESS_MS} FROM {events})"] if closed else []
+        having += [f"e <= ({closed if isinstance(closed, str) else f'SELECT max(t) - {LATENESS_MS} FROM {events}'})"] if closed else []
         for i, name in enumerate(functions.split(";")):
-            sql = f"SELECT CAST({w.window_id} AS BIGINT) AS window_id, CAST(s AS BIGINT) AS window_start, CAST(e AS BIGINT) AS window_end, {i} AS function_id, key, {_SQL_OF[name]} AS value FROM ({rows}) GROUP BY s, e, key" + (" HAVING " + " AND ".join(having) if having else "")
+            sql = f"SELECT CAST({w.window_id} AS BIGINT) AS window_id, CAST(s AS BIGINT) AS window_start, CAST(e AS BIGINT) AS window_end, {i} AS function_id, key, {_SQL_OF[name]} AS value FROM ({rows}) WHERE {where} GROUP BY s, e, key" + (" HAVING " + " AND ".join(having) if having else "")
             if dense:
                 sql = f"""SELECT {w.window_id}::BIGINT AS window_id, s.s AS window_start, s.s + {w.size} AS window_end, {i} AS function_id, k.key, r.value
                   FROM (SELECT DISTINCT key FROM {events}) k CROSS JOIN (SELECT unnest(range(min(t) // {w.size} * {w.size}, max(t) + 1, {w.slide})) AS s FROM {events}) s
@@ -155,16 +247,38 @@ def results_sql(windows: Sequence[WindowSpec], functions: str, *, keyed: bool =
     return "\nUNION ALL\n".join(parts)
 
 
+def _two_sources_sql() -> str:
+    events = _events_sql(True)
+    half = f"(SELECT min(t) + (max(t) - min(t)) // 2 FROM {events} WHERE stream_id % 2 = 1)"
+    tops = f"SELECT least((SELECT max(t) FROM {events} WHERE stream_id % 2 = 0), (SELECT max(t) FROM {events} WHERE stream_id % 2 = 1 AND t <= {half})) - {LATENESS_MS}"
+    return results_sql([tumbling(DAY, 0)], "SUM;MAX", closed=tops, where=f"event_id % 2 = 0 OR event_id IN (SELECT event_id FROM {events} WHERE t <= {half})")
+
+
+def _before_late_sql() -> str:
+    """The watermark of the batch before the late one: it tells late rows, and it follows from the batches before that."""
+    events = _events_sql(True)
+    return f"SELECT max(t) - {LATENESS_MS} FROM {events} WHERE event_id % 10 <> 0 AND t <= (SELECT min(t) + (max(t) - min(t)) * 2 // 3 FROM {events})"
+
+
 ORACLE_SQL: dict[str, str] = {
     **{name: results_sql(parse_windows(windows), functions, **options) for name, (windows, functions, options) in BATCH.items()},
-    "two_level_merge": results_sql([tumbling(DAY, 0), sliding(DAY, DAY // 2, 1)], "SUM;AVG;MEDIAN"),
     "out_of_order_ratio": f"""SELECT CAST(stream_id AS INTEGER) AS stream_id, count(*) AS events, CAST(sum(late) AS BIGINT) AS late, sum(late) / count(*) AS ratio FROM (
-      SELECT stream_id, CASE WHEN t < max(t) OVER (PARTITION BY stream_id ORDER BY md5(CAST(event_id AS VARCHAR)) ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 1 ELSE 0 END AS late FROM {_events_sql(True)}) GROUP BY stream_id""",
+      SELECT stream_id, CASE WHEN t < max(t) OVER (PARTITION BY stream_id ORDER BY substr(md5(CAST(event_id AS VARCHAR)), 1, 13), t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 1 ELSE 0 END AS late FROM {_events_sql(True)}) GROUP BY stream_id""",
     "throughput_per_second": f"SELECT CAST(stream_id AS INTEGER) AS stream_id, t // 1000 AS second, count(*) AS events FROM {_events_sql(True)} GROUP BY ALL",
     "result_text": f"SELECT concat_ws(',', window_id, window_start, window_end, function_id, -1, key) AS result_id, CAST(value AS VARCHAR) AS result_text FROM ({results_sql([tumbling(DAY, 0)], 'SUM;MIN')})",
     "stream_tumbling_sum": results_sql([tumbling(HOUR, 0)], "SUM;AVG", closed=True),
     "stream_sliding_max": results_sql([sliding(6 * HOUR, 3 * HOUR, 1)], "MAX", closed=True),
     "stream_session_sum": results_sql([session(2 * HOUR, 2)], "SUM", closed=True),
     "stream_multi_window": results_sql([tumbling(DAY, 0), session(HOUR, 1)], "SUM;MEDIAN", closed=True),
-    "stream_count_window": f"SELECT window_id, window_start, window_end, key, value FROM ({results_sql([tumbling(5, 0, 'COUNT')], 'SUM', scope='key')})",
+    "stream_count_window": results_sql([tumbling(5, 0, "COUNT")], "SUM", scope="key"),
+    "stream_count_global": results_sql([tumbling(100, 0, "COUNT")], "SUM;M_MIN;MEDIAN"),
+    "stream_count_avg_median": results_sql([sliding(6, 4, 1, "COUNT")], "AVG;MEDIAN;MIN;MAX", scope="key"),
+    "stream_sliding_median": results_sql([sliding(6 * HOUR, 3 * HOUR, 1)], "MEDIAN", closed=True),
+    "stream_two_sources": _two_sources_sql(),
+    "stream_late_rows": results_sql([tumbling(HOUR, 0)], "SUM", closed=True, where=f"NOT (event_id % 10 = 0 AND e <= ({_before_late_sql()}))"),
+    "stream_restarted": results_sql([tumbling(DAY, 0), session(2 * HOUR, 1)], "SUM", closed=True),
+    "decoded_union": results_sql([tumbling(DAY, 0)], "SUM;MEDIAN", keyed=f"CASE WHEN event_id % 4 < 2 THEN coalesce(user_id, {NO_KEY}) ELSE {NO_KEY} END"),
+    "own_aggregate": results_sql([sliding(DAY, 6 * HOUR, 0)], "RANGE;SUM"),
+    "written_results": results_sql([tumbling(DAY, 0)], "MIN;AVG"),
+    "null_keys": results_sql(parse_windows(f"TUMBLING,{DAY},0;SESSION,{2 * HOUR},1;TUMBLING,7,2,COUNT"), "SUM;MEDIAN", keyed=f"CASE WHEN coalesce(user_id, {NO_KEY}) % 3 <> 0 THEN coalesce(user_id, {NO_KEY}) END", scope="key"),
 }

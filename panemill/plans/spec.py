@@ -6,7 +6,6 @@ Windows: ``TUMBLING,size[,id[,TIME|COUNT]]``, ``SLIDING,size,slide[,id[,TIME|COU
 
 from __future__ import annotations
 
-from collections.abc import Iterable
 from dataclasses import dataclass
 from math import gcd
 from typing import Literal
@@ -15,7 +14,7 @@ from panemill.functions.aggregates import Aggregate, aggregate
 
 Kind = Literal["TUMBLING", "SLIDING", "SESSION"]
 Measure = Literal["TIME", "COUNT"]
-#: Concurrent windows have lengths in multiples of this, and a watermark advances by no larger steps.
+#: Concurrent windows have lengths in multiples of this.
 STEP_MS = 100
 #: How late an event may be.
 LATENESS_MS = 100
@@ -35,11 +34,6 @@ class WindowSpec:
         if self.kind == "SESSION" and self.measure == "COUNT":
             raise ValueError("a session has no count")
 
-    @property
-    def step(self) -> int:
-        """The length by which a watermark has to advance to close the next window."""
-        return self.slide if self.kind == "SLIDING" else self.size
-
 
 def tumbling(size: int, window_id: int = -1, measure: Measure = "TIME") -> WindowSpec:
     return WindowSpec("TUMBLING", size, size, window_id, measure)
@@ -134,9 +128,3 @@ class QuerySpec:
     def pane_ms(self) -> int:
         """The longest pane that every fixed time window is made of."""
         return gcd(*[x for w in self.fixed() for x in (w.size, w.slide)])
-
-
-def watermark_step(windows: Iterable[WindowSpec]) -> int:
-    """The least of 100 ms, the lengths by which the time windows advance, and the gaps between different lengths."""
-    lengths = sorted(w.step for w in windows if w.measure == "TIME")
-    return min([STEP_MS, *lengths, *[b - a for a, b in zip(lengths, lengths[1:]) if b > a]])

@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: The key of events without one.
@@ -52,46 +50,12 @@ def union_streams(*streams: DataFrame) -> DataFrame:
     return found
 
 
-@dataclass(frozen=True)
-class GeneratorConfig:
-    """``events`` events of one stream, ``min_wait`` to ``max_wait`` ms apart; ``value`` is a function of event_ts."""
-
-    events: int
-    min_wait: int = 1
-    max_wait: int = 10
-    stream_id: int = 0
-    keys: int = 1
-    seed: int = 0
-
-    def __post_init__(self) -> None:
-        if self.events < 0 or not 0 <= self.min_wait <= self.max_wait or self.keys < 1:
-            raise ValueError("a generator has no negative counts, waits from least to most, and a key at least")
-
-
-def generated_events(spark: SparkSession, config: GeneratorConfig, value: Column | None = None) -> DataFrame:
-    """Events at random steps of event time, keys in turn. The running sum is taken in spans of 4,096 events and
-    over the spans, so that no single task orders all of them."""
-    step = F.pmod(F.xxhash64("id", F.lit(config.seed)), F.lit(config.max_wait - config.min_wait + 1)) + config.min_wait
-    steps = spark.range(config.events).select("id", step.alias("step"), F.expr("id div 4096").alias("span"))
-    spans = steps.groupBy("span").agg(F.sum("step").alias("length"))
-    before = spans.select("span", F.coalesce(F.sum("length").over(Window.orderBy("span").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
-    within = steps.withColumn("upto", F.sum("step").over(Window.partitionBy("span").orderBy("id")))
-    rows = within.join(before, "span").select(F.lit(config.stream_id).alias("stream_id"), (F.col("base") + F.col("upto")).alias("event_ts"), (F.col("id") % config.keys).alias("key"), F.col("id").alias("event_id"))
-    return _timed(rows.withColumn("value", (F.col("event_ts") if value is None else value).cast("bigint")))
-
-
-def rate_events(spark: SparkSession, rows_per_second: int, *, keys: int = 1, stream_id: int = 0, session_pauses: bool = False) -> DataFrame:
-    """An endless stream of events at a rate: the value is the wall time in ms, keys come in turn.
-
-    With ``session_pauses`` no events fall in the first two of every five seconds, and the key is the stream.
-    """
-    rate = spark.readStream.format("rate").option("rowsPerSecond", rows_per_second).load()
-    wall = F.unix_millis("timestamp")
-    rows = rate.select(F.lit(stream_id).alias("stream_id"), wall.alias("event_ts"), wall.alias("value"), (F.lit(stream_id) if session_pauses else F.col("value") % keys).cast("bigint").alias("key"), F.col("value").alias("event_id"))
-    return _timed(rows.where(F.expr("(event_ts div 1000) % 5 >= 2")) if session_pauses else rows)
+def write_batch(events: DataFrame, folder: str, files: int = 1) -> None:
+    """Add events to a folder that a stream reads, as so many files."""
+    events.drop("ts").repartition(files).write.mode("append").parquet(folder)
 
 
-def generated_partials(spark: SparkSession, windows: int, node_id: int, *, size: int = 1000, values: int = 1000) -> DataFrame:
-    """Pre-aggregated windows of one node, to load the final merge alone: (node_id, window_id, window_start,
-    window_end, key, f0_values), each with ``values`` equal values."""
-    return spark.range(windows).select(F.lit(node_id).alias("node_id"), F.lit(0).cast("bigint").alias("window_id"), (F.col("id") * size).alias("window_start"), ((F.col("id") + 1) * size).alias("window_end"), F.lit(NO_KEY).cast("bigint").alias("key"), F.array_repeat(F.col("id") * size, values).alias("f0_values"))
+def batch_stream(spark: SparkSession, folder: str, files: int = 1) -> DataFrame:
+    """The events of a folder as a stream that takes in so many files at a time, the oldest first."""
+    schema = "stream_id int, event_ts bigint, value bigint, key bigint, event_id bigint"
+    return _timed(spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(folder))

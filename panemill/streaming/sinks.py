@@ -5,23 +5,30 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def _folder(df: DataFrame) -> str:
-    """A new folder below the cluster's shared checkpoint folder; a temporary one where none is set."""
-    context = df.sparkSession.sparkContext
-    root = context.getConf().get("spark.checkpoint.dir", None) or context.getCheckpointDir() or "file://" + tempfile.mkdtemp(prefix="spark-stream-")
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder below the cluster's shared checkpoint folder.
+
+    Where spark.checkpoint.dir is unset, a temporary folder takes its place on a single machine, and only there.
+    """
+    context = spark.sparkContext
+    root = context.getConf().get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not root:
+        if not context.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="spark-stream-")
     return f"{root.rstrip('/')}/stream-{uuid.uuid4().hex}"
 
 
-def drained(stream: DataFrame) -> DataFrame:
-    """Append all that the stream's sources hold to files in the shared folder, then read them.
+def drained(stream: DataFrame, folder: str | None = None) -> DataFrame:
+    """Append all that the stream's sources hold to files in a shared folder, then read them.
 
-    State and progress are checkpointed in the same folder, so that a restart goes on where it stopped. Windows that the
-    watermark has not passed stay open and are not in the result.
+    State and progress are checkpointed in the same folder: a second run with the folder of a first one goes on where it
+    stopped. Windows that the watermark has not passed stay open and are not in the result.
     """
-    base = _folder(stream)
+    base = folder or shared_folder(stream.sparkSession)
     query = stream.writeStream.format("parquet").outputMode("append").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
     query.awaitTermination()
     return stream.sparkSession.read.schema(stream.schema).parquet(f"{base}/out")

@@ -13,6 +13,7 @@ from panemill.functions.aggregates import Aggregate
 from panemill.operators.sessions import session_windows
 from panemill.plans.panes import lifted, lowered
 from panemill.plans.spec import LATENESS_MS, QuerySpec, WindowSpec
+from panemill.sources.events import NO_KEY, union_streams
 
 
 def watermarked(events: DataFrame, lateness_ms: int = LATENESS_MS) -> DataFrame:
@@ -30,11 +31,16 @@ def fixed_window_stream(events: DataFrame, window: WindowSpec, functions: Sequen
     return rows.where("window_start >= 0")
 
 
-def query_stream(events: DataFrame, query: QuerySpec, lateness_ms: int = LATENESS_MS) -> DataFrame:
-    """All time windows of a query over a stream; each window has its own state. Count windows: see count_window_stream."""
+def query_stream(events: DataFrame | Sequence[DataFrame], query: QuerySpec, lateness_ms: int = LATENESS_MS) -> DataFrame:
+    """All time windows of a query over a stream, or over the union of several; each window has its own state.
+
+    Each of several sources has its own watermark, and the slowest one's closes the windows. Count windows: see
+    count_window_stream.
+    """
     if query.counts():
         raise ValueError("count windows of a stream are a query of their own")
-    marked = watermarked(events, lateness_ms)
+    sources = [events] if isinstance(events, DataFrame) else list(events)
+    marked = union_streams(*[watermarked(s, lateness_ms) for s in sources])
     parts = [fixed_window_stream(marked, w, query.functions) for w in query.fixed()] + [session_windows(marked, w, query.functions) for w in query.sessions()]
     found, *rest = parts
     for part in rest:
@@ -42,30 +48,36 @@ def query_stream(events: DataFrame, query: QuerySpec, lateness_ms: int = LATENES
     return found
 
 
-def count_window_stream(events: DataFrame, window: WindowSpec) -> DataFrame:
-    """(window_id, window_start, window_end, key, value): sums of every ``size`` events of a key, ``slide`` apart.
+def count_window_stream(events: DataFrame, window: WindowSpec, functions: Sequence[Aggregate], scope: str = "key") -> DataFrame:
+    """(window_id, window_start, window_end, key, value_0, ...) of every ``size`` events, ``slide`` apart.
 
-    The state of a key is its number of events and the values of the windows that are still open, ``size`` at most.
-    Events of one micro-batch are taken in the order of event time.
+    In the key scope each key counts its own events; in the global scope all are counted in one order, which makes one
+    group of the whole stream. Events are counted as they arrive, those of one micro-batch in the order of
+    event time. The state of a group is its number of events and the values of the windows that are still open, ``size``
+    at most; a group's events of one micro-batch are held at once, so that the source's rate limit bounds them.
     """
     size, slide, window_id = window.size, window.slide, window.window_id
+    lacking = [f.name for f in functions if f.of_values is None]
+    if lacking:
+        raise ValueError(f"no form for lists of values: {lacking}")
+    of_values = [f.of_values for f in functions]
+    names = ["window_id", "window_start", "window_end", "key", *[f"value_{i}" for i in range(len(functions))]]
 
     def add(key: tuple[int], batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        seen, open_values = state.get if state.exists else (0, [])
-        values, first = list(open_values), seen - len(open_values)
+        seen, held = state.get if state.exists else (0, [])
         some = pd.concat(list(batches), ignore_index=True).sort_values(["event_ts", "stream_id", "event_id"], kind="stable")
+        first = seen - len(held)
+        values = list(held) + some["value"].tolist()
+        seen += len(some)
+        start = -(-first // slide) * slide
         rows = []
-        for value in some["value"].tolist():
-            values.append(value)
-            seen += 1
-            start = seen - size
-            if start >= 0 and start % slide == 0:
-                rows.append((window_id, start, seen, key[0], sum(values[start - first :])))
-            if len(values) >= size:
-                keep = max(0, seen + 1 - size)
-                values, first = values[keep - first :], keep
-        state.update((seen, values))
-        yield pd.DataFrame(rows, columns=["window_id", "window_start", "window_end", "key", "value"])
-
-    rows = events.select("key", "event_ts", "stream_id", "event_id", "value")
-    return rows.groupBy("key").applyInPandasWithState(add, "window_id long, window_start long, window_end long, key long, value long", "seen long, open array<long>", "append", GroupStateTimeout.NoTimeout)
+        while start + size <= seen:
+            own = values[start - first : start - first + size]
+            rows.append((window_id, start, start + size, key[0], *[f(own) for f in of_values]))
+            start += slide
+        state.update((seen, values[max(0, min(start, seen) - first) :]))
+        yield pd.DataFrame(rows, columns=names)
+
+    group = F.col("key") if scope == "key" else F.lit(NO_KEY).cast("bigint")
+    rows = events.select(group.alias("key"), "event_ts", "stream_id", "event_id", "value")
+    return rows.groupBy("key").applyInPandasWithState(add, ", ".join(f"{n} long" for n in names), "seen long, held array<long>", "append", GroupStateTimeout.NoTimeout)

@@ -1,34 +1,16 @@
 import os
 
 from panemill.functions.metrics import events_per_second, out_of_order
-from panemill.plans.engine import long_results, run_text
-from panemill.operators.merge import root_windows
-from panemill.functions.aggregates import aggregate
-from panemill.sources.events import GeneratorConfig, decode_events, generated_events, generated_partials, rate_events
-from panemill.sources.sinks import with_latency, with_text_id, without_empty, write_results
+from panemill.plans.engine import run_text
+from panemill.sources.events import batch_stream, decode_events, write_batch
+from panemill.sources.sinks import print_results, with_latency, with_text_id, without_empty, write_results
+from panemill.streaming.windows import watermarked
 
 
 def lines(spark, *rows):
     return decode_events(spark.createDataFrame([(r,) for r in rows], "value string"))
 
 
-def test_generated_events(spark):
-    rows = generated_events(spark, GeneratorConfig(5000, 2, 5, stream_id=3, keys=4)).orderBy("event_id").collect()
-    steps = [b.event_ts - a.event_ts for a, b in zip(rows, rows[1:])]
-    assert len(rows) == 5000 and min(steps) >= 2 and max(steps) <= 5
-    assert {r.key for r in rows} == {0, 1, 2, 3} and all(r.value == r.event_ts and r.stream_id == 3 for r in rows)
-
-
-def test_generated_partials_feed_the_final_merge(spark):
-    got = long_results(root_windows(generated_partials(spark, 3, 0, values=5).unionByName(generated_partials(spark, 3, 1, values=5)), [aggregate("MEDIAN")]))
-    assert sorted((r.window_start, r.value) for r in got.collect()) == [(0, 0), (1000, 1000), (2000, 2000)]
-
-
-def test_rate_source_has_the_event_columns(spark):
-    rows = rate_events(spark, 10, keys=3, session_pauses=True)
-    assert rows.isStreaming and {"stream_id", "event_ts", "value", "key", "ts"} <= set(rows.columns)
-
-
 def test_result_text_and_sink(spark, tmp_path):
     rows = lines(spark, "0,1,5,7", "0,150,2,8")
     results = run_text(rows, "TUMBLING,100,4", "SUM", dense=True)
@@ -40,8 +22,18 @@ def test_result_text_and_sink(spark, tmp_path):
     assert os.path.exists(tmp_path / "out" / "_SUCCESS")
 
 
+def test_a_stream_is_printed_without_empty_results(spark, tmp_path):
+    write_batch(lines(spark, "0,1,5", "0,2,7"), f"{tmp_path}/in")
+    query = print_results(watermarked(batch_stream(spark, f"{tmp_path}/in")).selectExpr("CASE WHEN value > 5 THEN value END AS value"))
+    query.processAllAvailable()
+    assert query.isActive and sum(p["numInputRows"] for p in query.recentProgress) == 2
+    query.stop()
+
+
 def test_metrics(spark):
     rows = lines(spark, "0,10,1", "0,30,1", "0,20,1", "0,40,1", "1,5,1").coalesce(1)
     got = {r.stream_id: (r.events, r.late, r.ratio) for r in out_of_order(rows).collect()}
     assert got == {0: (4, 1, 0.25), 1: (1, 0, 0.0)}
+    far = lines(spark, *[f"0,{t},1" for t in [*range(100, 3000), 50, *range(3000, 4000), 3500]]).coalesce(1)
+    assert [(r.events, r.late) for r in out_of_order(far).collect()] == [(3902, 2)]
     assert {(r.stream_id, r.second): r.events for r in events_per_second(rows).collect()} == {(0, 0): 4, (1, 0): 1}

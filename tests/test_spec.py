@@ -1,6 +1,6 @@
 import pytest
 
-from panemill.plans.spec import JavaRandom, QuerySpec, concurrent, java_hash, parse_window, parse_windows, session, sliding, tumbling, watermark_step
+from panemill.plans.spec import JavaRandom, QuerySpec, concurrent, java_hash, parse_window, parse_windows, session, sliding, tumbling
 
 
 def test_windows_from_text():
@@ -23,12 +23,6 @@ def test_query_needs_windows_and_known_functions():
     assert [f.name for f in QuerySpec.parse("TUMBLING,5", "SUM;SUM;MEDIAN").functions] == ["SUM", "SUM", "MEDIAN"]
 
 
-def test_watermark_step():
-    assert watermark_step([]) == 100
-    assert watermark_step([tumbling(1000), tumbling(3, measure="COUNT")]) == 100
-    assert watermark_step([tumbling(1000), sliding(1000, 50), session(60)]) == 10
-
-
 def test_public_generator_values():
     # documented sequence of seed 42, and hashes of known strings
     random = JavaRandom(42)

@@ -10,14 +10,14 @@ from pyspark.sql import functions as F
 
 from panemill.functions.aggregates import Aggregate, Part, aggregate, aggregate_names, register_aggregate
 from panemill.operators.count_windows import with_place
-from panemill.operators.merge import leaf_windows, merge_windows, root_windows
 from panemill.plans.engine import long_results, run, run_text
 from panemill.plans.panes import fixed_windows
 from panemill.plans.spec import QuerySpec, sliding, tumbling
-from panemill.sources.events import NO_KEY, decode_events, union_streams
+from panemill.sources.events import NO_KEY, batch_stream, decode_events, union_streams, write_batch
 from panemill.streaming.sinks import drained
 from panemill.streaming.windows import count_window_stream, query_stream
 
+# Event lists and results that this engine has in common with the system that it stands for.
 FIRST = "0,10,1,0 0,20,1,1 0,30,1,0 0,40,1,1 0,50,1,0 1,10,1,1 1,20,1,0 1,30,1,1 1,40,1,0 1,50,1,1"
 FOUR = FIRST + " 2,10,1,1 2,20,1,0 2,30,1,1 2,40,1,0 2,50,1,1 3,10,1,1 3,20,1,0 3,30,1,1 3,40,1,0 3,50,1,2"
 SESSIONS = "0,0,1 0,2,2 0,4,3 0,5,4 0,7,5 0,10,6 0,120,0 0,140,5 0,170,10 0,400,0 0,405,5 0,410,15 0,550,100 0,560,0 0,730,3 0,930,0 1,0,1 1,15,2 1,30,3 1,460,15 1,530,5 1,590,20 1,700,2 1,750,1 1,900,0"
@@ -64,16 +64,6 @@ def test_session_medians_keep_no_lists_of_values(spark):
     assert got == want and len(got) > 12
 
 
-def test_merge_tree_medians_keep_no_lists_of_values(spark):
-    functions = [aggregate(x) for x in ("SUM", "AVG", "MEDIAN")]
-    rng = random.Random(6)
-    rows = events(spark, " ".join(f"{rng.randrange(4)},{rng.randrange(500)},{rng.randrange(-9, 9)},{rng.randrange(2)}" for _ in range(400)))
-    leaves = leaf_windows(rows, [tumbling(100, 0)], functions, F.col("stream_id"))
-    results = long_results(root_windows(merge_windows(leaves, functions, F.expr("node_id div 2")), functions))
-    assert "collect_list" not in results._jdf.queryExecution().toString()
-    assert found(results) == found(run_text(rows, "TUMBLING,100,0", "SUM;AVG;MEDIAN"))
-
-
 def test_sessions_merge_over_streams(spark):
     assert found(run_text(events(spark, SESSIONS), "SESSION,100,0", "MEDIAN")) == {
         (0, 0, 270, 0, NO_KEY): 3, (0, 400, 690, 0, NO_KEY): 15, (0, 700, 850, 0, NO_KEY): 2, (0, 900, 1030, 0, NO_KEY): 0,
@@ -193,17 +183,12 @@ def test_panes_agree_with_rows(spark):
     assert got == want
 
 
-def test_merge_tree_agrees_with_one_step(spark):
-    rows, functions = events(spark, FOUR), [aggregate(x) for x in ("SUM", "AVG", "MEDIAN")]
-    leaves = leaf_windows(rows, [tumbling(30, 0)], functions, F.col("stream_id"))
-    tree = long_results(root_windows(merge_windows(leaves, functions, F.expr("node_id div 2")), functions))
-    assert found(tree) == found(run_text(rows, "TUMBLING,30,0", "SUM;AVG;MEDIAN"))
-
-
 def test_own_aggregate(spark):
-    if "RANGE" not in aggregate_names():
-        register_aggregate(Aggregate("RANGE", "algebraic", (Part("_low", F.min, F.min), Part("_high", F.max, F.max)), lambda low, high: high - low))
-    assert found(run_text(events(spark, "0,1,5 0,2,9 0,13,7"), "SLIDING,20,10,0", "RANGE")) == {(0, 0, 20, 0, NO_KEY): 4, (0, 10, 30, 0, NO_KEY): 0}
+    if "SPREAD" not in aggregate_names():
+        register_aggregate(Aggregate("SPREAD", "algebraic", (Part("_low", F.min, F.min), Part("_high", F.max, F.max)), lambda low, high: high - low))
+    with pytest.raises(ValueError, match="rank"):
+        Aggregate("MODE", "holistic", (), lambda: F.lit(0))
+    assert found(run_text(events(spark, "0,1,5 0,2,9 0,13,7"), "SLIDING,20,10,0", "SPREAD")) == {(0, 0, 20, 0, NO_KEY): 4, (0, 10, 30, 0, NO_KEY): 0}
     with pytest.raises(ValueError, match="of this name"):
         register_aggregate(aggregate("SUM"))
 
@@ -243,10 +228,73 @@ def test_late_events_count_while_their_window_is_open(spark, tmp_path):
     assert got == {(0, 0, 100, 0, NO_KEY): 1, (0, 300, 400, 0, NO_KEY): 6, (0, 400, 500, 0, NO_KEY): 1}
 
 
-def test_count_windows_of_a_stream(spark, tmp_path):
-    rows = events(spark, " ".join(f"0,{t},{t},{t % 2}" for t in range(20)))
-    for window in (tumbling(3, 5, "COUNT"), sliding(4, 2, 6, "COUNT")):
-        got = drained(count_window_stream(stream_of(spark, tmp_path / str(window.slide), rows), window))
-        spec = QuerySpec((window,), (aggregate("SUM"),), "key")
-        want = {k[:3] + k[4:]: v for k, v in found(run(rows, spec)).items()}
-        assert {(r.window_id, r.window_start, r.window_end, r.key): r.value for r in got.collect()} == want
+@pytest.mark.parametrize("scope", ["key", "global"])
+def test_count_windows_of_a_stream(spark, tmp_path, scope):
+    names = [f for f in aggregate_names() if aggregate(f).of_values]
+    for window in (tumbling(3, 5, "COUNT"), sliding(4, 2, 6, "COUNT"), sliding(2, 5, 7, "COUNT")):
+        folder, parts = f"{tmp_path}/{window.slide}", [range(8), range(8, 9), range(9, 20)]
+        for part in parts:
+            write_batch(events(spark, " ".join(f"0,{t},{(t * 7) % 11 - 5},{t % 2}" for t in part)), folder)
+        got = long_results(drained(count_window_stream(batch_stream(spark, folder), window, [aggregate(f) for f in names], scope)))
+        every = events(spark, " ".join(f"0,{t},{(t * 7) % 11 - 5},{t % 2}" for t in range(20)))
+        want = found(run(every, QuerySpec((window,), tuple(aggregate(f) for f in names), scope)))
+        assert found(got) == want and want
+
+
+def test_null_keys_are_a_key(spark):
+    rows = events(spark, "0,10,1,0 0,20,5,0 0,30,9,1").withColumn("key", F.when(F.col("key") > 0, F.col("key")))
+    got = found(run(rows, QuerySpec.parse("TUMBLING,100,0;SESSION,50,1;TUMBLING,2,2,COUNT", "SUM;MEDIAN", "key")))
+    assert got == {
+        (0, 0, 100, 0, None): 6, (0, 0, 100, 1, None): 5, (0, 0, 100, 0, 1): 9, (0, 0, 100, 1, 1): 9,
+        (1, 10, 70, 0, None): 6, (1, 10, 70, 1, None): 5, (1, 30, 80, 0, 1): 9, (1, 30, 80, 1, 1): 9,
+        (2, 0, 2, 0, None): 6, (2, 0, 2, 1, None): 5,
+    }
+
+
+def test_medians_of_far_values_are_found_by_buckets(spark):
+    rng = random.Random(8)
+    base = [(rng.randrange(400), rng.choice((rng.randrange(9), rng.randrange(-(10**12), 10**15), 7)), rng.randrange(2)) for _ in range(900)]
+    base += [(5, v, 5) for v in (-(2**63), 2**63 - 1, 0)] + [(5, 3, 6)]
+    rows = events(spark, " ".join(f"0,{t},{v},{k}" for t, v, k in base))
+    results = run_text(rows, "TUMBLING,100,0;SESSION,30,1", "MEDIAN")
+    plan = results._jdf.queryExecution().toString()
+    assert "bucket" in plan and "collect_list" not in plan
+    got = found(results)
+    for key in (0, 1, 5, 6):
+        for start in range(0, 400, 100):
+            values = sorted(v for t, v, k in base if k == key and start <= t < start + 100)
+            assert got.get((0, start, start + 100, 0, key)) == (values[len(values) // 2] if values else None)
+    ends = {k[4]: v for k, v in got.items() if k[0] == 1}
+    assert ends[5] == 0 and ends[6] == 3
+
+
+def test_sessions_shuffle_stretches_alone(spark):
+    plan = run_text(events(spark, SESSIONS), "SESSION,100,0", "SUM")._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("MergingSessions") < plan.rindex("partial_sum(value")
+
+
+def test_two_sources_go_by_the_slower_one(spark, tmp_path):
+    fast, slow = "0,10,1 0,500,1 0,900,1", "1,20,2 1,160,2"
+    for name, rows in (("a", fast), ("b", slow)):
+        write_batch(events(spark, rows), f"{tmp_path}/{name}")
+    streams = [batch_stream(spark, f"{tmp_path}/{name}") for name in "ab"]
+    got = found(long_results(drained(query_stream(streams, QuerySpec.parse("TUMBLING,50,0", "SUM")))))
+    assert got == {(0, 0, 50, 0, NO_KEY): 3}
+
+
+def test_a_stream_goes_on_from_its_checkpoint(spark, tmp_path):
+    spec, folder = QuerySpec.parse("TUMBLING,100,0", "SUM"), f"{tmp_path}/in"
+    write_batch(events(spark, "0,10,1 0,150,1 0,320,1"), folder)
+    first = found(long_results(drained(query_stream(batch_stream(spark, folder), spec), f"{tmp_path}/run")))
+    write_batch(events(spark, "0,350,5 0,90,7 0,600,1"), folder)
+    second = found(long_results(drained(query_stream(batch_stream(spark, folder), spec), f"{tmp_path}/run")))
+    assert first == {(0, 0, 100, 0, NO_KEY): 1, (0, 100, 200, 0, NO_KEY): 1}
+    assert second == first | {(0, 300, 400, 0, NO_KEY): 6}  # the event at 90 came too late
+
+
+def test_a_rate_limit_takes_in_some_files_at_a_time(spark, tmp_path):
+    for t in range(5):
+        write_batch(events(spark, f"0,{t},1"), f"{tmp_path}/in")
+    query = batch_stream(spark, f"{tmp_path}/in", 2).writeStream.format("noop").option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert [p["numInputRows"] for p in query.recentProgress if p["numInputRows"]] == [2, 2, 1]
