@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -18,13 +19,11 @@ KINDS = ("email", "ip", "card", "phone")
 LABELS = ("none", *KINDS)
 #: Documents on which the field's potentials are learned: those with the least hashes of their ids.
 SAMPLE_DOCS = 5_000
-#: No feature of a single token weighs more than this against another label, so that repetition can outweigh it.
-UNARY_BOUND = 3.0
-PAIR_BOUND = 6.0
-#: What equal labels of a repeated token weigh at least (and unequal ones lose at least a quarter of it): the sample
-#: may hold too few repetitions to show it.
-SAME = 4.0
-ROUNDS, DAMPING, ACCEPT = 12, 0.3, 0.6
+#: Steps and rate of the training, and what holds its weights near 0 (a share of each).
+STEPS, RATE, DECAY = 400, 0.5, 1e-3
+ROUNDS, DAMPING, ACCEPT = 30, 0.3, 0.8
+#: Digits of a number that may be personal data, in the forms that the patterns leave out.
+LEAST_DIGITS, MOST_DIGITS = 7, 19
 
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -32,10 +31,12 @@ _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz01234567
 _IP = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_NUMBER = re.compile(r"(?<![0-9A-Za-z+.])\(?[0-9][0-9\x20().-]{5,24}[0-9](?![0-9A-Za-z])")
-_SPELLED = re.compile(r"([A-Za-z0-9._%+-]{1,64})\x20?(?:\(at\)|\[at\])\x20?([A-Za-z0-9-]{1,63}(?:(?:\.|\x20?(?:\(dot\)|\[dot\])\x20?)[A-Za-z0-9-]{1,63}){1,8})")
+_NUMBER = re.compile(r"(?<![0-9A-Za-z+.])\(?[0-9](?:[\x20().-]{0,2}[0-9])+(?![0-9A-Za-z])")
+_PIECE = re.compile(r"[^\x20]+")
+_BROKEN_IP = re.compile(r"(?<![0-9.])[0-9]{1,3}(?:(?:\[\.\]|\(\.\)|\[dot\]|\(dot\))[0-9]{1,3}){3}(?![0-9])")
+_SPELLED = re.compile(r"\x20?(?:\(at\)|\[at\])\x20?([A-Za-z0-9-]+(?:(?:\.|\x20?(?:\(dot\)|\[dot\])\x20?)[A-Za-z0-9-]+)+)")
 _DOT = re.compile(r"\x20?(?:\(dot\)|\[dot\])\x20?")
-_CUE = re.compile(r"(call|phone|tel|fax|mobile|cell|contact|reach)[^A-Za-z]{0,3}$", re.IGNORECASE)
+_CUE = re.compile(r"(call|phone|tel|fax|mobile|cell|contact|reach|mail|card|host|server|address)[^A-Za-z]{0,3}$", re.IGNORECASE)
 
 Span = tuple[int, str, int]  # start, kind, end
 
@@ -86,37 +87,64 @@ class Node:
     bits: int
 
 
+#: What a token's features tell, one bit each. None of them follows from a pattern: a sign that only base spans have
+#: would tell nothing about the other forms.
+FEATURES = ("email", "ip", "short", "middle", "long", "cue", "broken", "first", "always")
+
+
 def _node(text: str, start: int, end: int, label: int, key: str) -> Node:
     token = text[start:end]
     n = len(_digits(token))
-    bits = min(n, 20) | ("+" in token[:2]) << 5 | ("(" in token) << 6 | ("-" in token or " " in token) << 7 | ("." in token) << 8 | bool(_CUE.search(text[max(0, start - 16) : start])) << 9 | ("@" in token) << 10
-    return Node(start, end, label, key, bits)
+    number = key[0] == "n"
+    told = (key[0] == "m", key[0] == "i", number and n < 10, number and 10 <= n < 12, number and n >= 12, bool(_CUE.search(text[max(0, start - 24) : start])), " " in token or "-" in token, start == 0 or text[start - 1] == "\n", True)
+    return Node(start, end, label, key, sum(x << i for i, x in enumerate(told)))
 
 
 def _number_key(token: str) -> str:
     return "n" + _digits(token)[-7:]
 
 
+def _loose(text: str) -> list[tuple[int, int, str]]:
+    """What may be personal data in a form that the patterns leave out, with its key."""
+    found = []
+    for m in _NUMBER.finditer(text):
+        digits = len(_digits(m[0]))
+        if digits > MOST_DIGITS:  # several numbers in a row
+            found += [(m.start() + x.start(), m.start() + x.end(), _number_key(x[0])) for x in _PIECE.finditer(m[0]) if LEAST_DIGITS <= len(_digits(x[0])) <= MOST_DIGITS]
+        elif digits >= LEAST_DIGITS:
+            found.append((m.start(), m.end(), _number_key(m[0])))
+    if "[" in text or "(" in text:
+        found += [(m.start(), m.end(), "i" + ".".join(re.findall("[0-9]+", m[0]))) for m in _BROKEN_IP.finditer(text)]
+        done = 0
+        for m in _SPELLED.finditer(text):
+            start = m.start()
+            while start > done and text[start - 1] in _LOCAL:
+                start -= 1
+            if start < m.start():
+                found.append((start, m.end(), "m" + (text[start : m.start()] + "@" + _DOT.sub(".", m[1])).lower()))
+            done = m.end()
+    return sorted(found)
+
+
 def nodes_of(text: str, base: list[Span]) -> list[Node]:
-    """The field's nodes in order: base spans and, apart from them, what looks like a number or a spelled-out address."""
+    """The field's nodes in order: base spans and, apart from them, what may be personal data in another form."""
     nodes = []
     for start, kind, end in base:
         token = text[start:end]
         nodes.append(_node(text, start, end, LABELS.index(kind), "m" + token.lower() if kind == "email" else "i" + token if kind == "ip" else _number_key(token)))
-    taken = sorted((s, e) for s, _, e in base)
-    loose = [(m.start(), m.end(), _number_key(m[0])) for m in _NUMBER.finditer(text) if 7 <= len(_digits(m[0])) <= 15]
-    low = text.lower()
-    if "(at)" in low or "[at]" in low:
-        loose += [(m.start(), m.end(), "m" + (m[1] + "@" + _DOT.sub(".", m[2])).lower()) for m in _SPELLED.finditer(text)]
+    taken: list[list[int]] = []  # the base spans of all kinds, those that overlap as one
+    for start, _, end in base:
+        if taken and start < taken[-1][1]:
+            taken[-1][1] = max(end, taken[-1][1])
+        else:
+            taken.append([start, end])
     last, i = -1, 0
-    for start, end, key in sorted(loose):
+    for start, end, key in _loose(text):
         while i < len(taken) and taken[i][1] <= start:
             i += 1
-        # spans of several kinds may overlap each other: look at all that begin before this one's end
-        if start < last or any(s < end and e > start for s, e in taken[max(0, i - 3) :][:8]):
-            continue
-        nodes.append(_node(text, start, end, 0, key))
-        last = end
+        if start >= last and (i == len(taken) or taken[i][0] >= end):
+            nodes.append(_node(text, start, end, 0, key))
+            last = end
     return sorted(nodes, key=lambda x: (x.start, x.end))
 
 
@@ -138,67 +166,85 @@ def edges_of(nodes: list[Node]) -> tuple[list[tuple[int, int]], list[tuple[int,
 
 @dataclass
 class Field:
-    unary: dict[int, np.ndarray]  # log potentials of the labels by features
-    other: np.ndarray
+    """Log potentials: of a label by each feature, (features, labels), and of the labels of two tokens."""
+
+    unary: np.ndarray
     chain: np.ndarray
     skip: np.ndarray
 
+    def own(self, bits: np.ndarray) -> np.ndarray:
+        return (bits[:, None] >> np.arange(len(FEATURES)) & 1) @ self.unary
 
-def _pair(counts: dict[tuple[int, int], int]) -> np.ndarray:
-    n = np.full((len(LABELS), len(LABELS)), 0.5)
-    for (a, b), c in counts.items():
-        n[a, b] += c
-        n[b, a] += c
-    p = n / n.sum()
-    return np.clip(np.log(p / np.outer(p.sum(axis=1), p.sum(axis=0))), -PAIR_BOUND, PAIR_BOUND)
 
+def observed(text: str) -> list[tuple[int, ...]]:
+    """What a text teaches: of each token whose label is known its features, its label, its neighbours' labels (-1 if
+    unknown or none), and how many of the tokens that it is linked to by repetition have each label.
 
-def learn(docs: DataFrame) -> Field:
-    """Potentials by piecewise training on a bounded sample: each from the counts of its own labels.
-
-    The labels are those of the base spans; all other candidates count as none. The driver gets counts alone.
+    A base span has its kind and a candidate none; but the label of a candidate that repeats a base span is unknown.
     """
-    sample = docs.where("text is not null").select(F.xxhash64(F.col("doc_id").cast("string"), F.lit("field")).alias("h"), F.col("doc_id"), "text").orderBy("h", "doc_id").limit(SAMPLE_DOCS)
+    nodes = nodes_of(text, base_spans(text))
+    held = {x.key for x in nodes if x.label}
+    labels = [x.label if x.label or x.key not in held else -1 for x in nodes]
+    repeated = [[0] * len(LABELS) for _ in nodes]
+    for a, b in edges_of(nodes)[1]:
+        for x, y in ((a, b), (b, a)):
+            if labels[y] >= 0:
+                repeated[x][labels[y]] += 1
+    return [(x.bits, labels[i], labels[i - 1] if i else -1, labels[i + 1] if i + 1 < len(nodes) else -1, *repeated[i]) for i, x in enumerate(nodes) if labels[i] >= 0]
+
+
+def trained(rows: np.ndarray, times: np.ndarray) -> Field:
+    """Potentials that maximize the pseudo-likelihood of ``rows`` as ``observed`` gives them, each so many times: of
+    each label given its features and the labels around it."""
+    size = len(LABELS)
+    field = Field(np.zeros((len(FEATURES), size)), np.zeros((size, size)), np.zeros((size, size)))
+    if not len(rows):
+        return field
+    bits, label, left, right, repeated = rows[:, 0], rows[:, 1], rows[:, 2], rows[:, 3], rows[:, 4:].astype(float)
+    features = (bits[:, None] >> np.arange(len(FEATURES)) & 1).astype(float)
+    before, after = np.eye(size + 1)[left][:, :size], np.eye(size + 1)[right][:, :size]
+    target, weight = np.eye(size)[label], (times / times.sum())[:, None]
+    for _ in range(STEPS):
+        scores = features @ field.unary + before @ field.chain + after @ field.chain.T + repeated @ field.skip
+        p = np.exp(scores - scores.max(axis=1, keepdims=True))
+        wrong = (target - p / p.sum(axis=1, keepdims=True)) * weight
+        field.unary += RATE * (features.T @ wrong - DECAY * field.unary)
+        field.chain += RATE * (before.T @ wrong + wrong.T @ after - DECAY * field.chain)
+        both = repeated.T @ wrong
+        field.skip += RATE * (both + both.T - DECAY * field.skip)
+    return field
+
+
+def learn(docs: DataFrame, sample: int = SAMPLE_DOCS) -> Field:
+    """Potentials from at most ``sample`` documents, those whose ids have the least hashes; ids are dealt before texts.
+
+    The driver gets counts of what tokens have around them, not texts.
+    """
+    docs = docs.select("doc_id", "text")
+    ids = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").alias("id")).distinct().orderBy(F.xxhash64(F.col("id").cast("string"), F.lit("field")), "id").limit(sample)
+    rows = docs.where("text IS NOT NULL").join(F.broadcast(ids), F.col("doc_id") == F.col("id"), "left_semi").select("text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for text in batch.column(0).to_pylist():
-                nodes = nodes_of(text, base_spans(text))
-                chain, skip = edges_of(nodes)
-                rows += [("u", x.bits, x.label) for x in nodes]
-                rows += [("c", nodes[a].label, nodes[b].label) for a, b in chain]
-                rows += [("s", nodes[a].label, nodes[b].label) for a, b in skip]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.int32(), pa.int32()))], names=["part", "x", "y"])
-
-    got = sample.select("text").repartition(8).mapInArrow(count, "part string, x int, y int").groupBy("part", "x", "y").count().collect()
-    by = {part: {(r.x, r.y): r["count"] for r in got if r.part == part} for part in "ucs"}
-    unary: dict[int, np.ndarray] = {}
-    for (bits, label), c in by["u"].items():
-        unary.setdefault(bits, np.full(len(LABELS), 0.2))[label] += c
-
-    def bounded(counts: np.ndarray) -> np.ndarray:
-        logs = np.log(counts)
-        return np.maximum(logs - logs.max(), -UNARY_BOUND)
-
-    other = np.full(len(LABELS), -UNARY_BOUND)
-    other[0] = 0
-    seen = _pair(by["s"])
-    skip = np.where(np.eye(len(LABELS), dtype=bool), np.maximum(seen, SAME), np.minimum(seen, -SAME / 4))
-    return Field({b: bounded(c) for b, c in unary.items()}, other, _pair(by["c"]) / PAIR_BOUND, skip)
+            found = Counter(row for text in batch.column(0).to_pylist() for row in observed(text))
+            yield pa.RecordBatch.from_arrays([pa.array([list(r) for r in found], pa.list_(pa.int64())), pa.array(list(found.values()), pa.int64())], names=["row", "n"])
+
+    got = rows.mapInArrow(count, "row array<long>, n long").groupBy("row").agg(F.sum("n").alias("n")).orderBy("row").collect()
+    return trained(np.array([r.row for r in got], np.int64).reshape(len(got), 4 + len(LABELS)), np.array([r.n for r in got], float))
 
 
 def marginals(field: Field, nodes: list[Node]) -> np.ndarray:
     """Label probabilities of each node by loopy belief propagation; base spans are held at their kind."""
     size = len(LABELS)
-    own = np.array([field.unary.get(x.bits, field.other) for x in nodes])
+    own = field.own(np.array([x.bits for x in nodes], np.int64))
     for i, x in enumerate(nodes):
         if x.label:
             own[i] = -50.0
             own[i, x.label] = 0
     chain, skip = edges_of(nodes)
     if not chain:
-        return np.exp(own) / np.exp(own).sum(axis=1, keepdims=True)
+        own = np.exp(own - own.max(axis=1, keepdims=True))
+        return own / own.sum(axis=1, keepdims=True)
     ends = np.array([*chain, *skip, *[(b, a) for a, b in (*chain, *skip)]])
     m = len(chain) + len(skip)
     reverse = np.concatenate([np.arange(m, 2 * m), np.arange(m)])
@@ -237,7 +283,7 @@ def find(field: Field, text: str) -> tuple[list[Span], list[Span]]:
             kind = LABELS[best]
             n = len(_digits(text[x.start : x.end]))
             # a kind keeps its own rules: an address has an at sign in some spelling, a card its check digit
-            if kind == "phone" and x.key[0] == "n" or kind == "email" and x.key[0] == "m" or kind == "card" and 12 <= n <= 19 and luhn(_digits(text[x.start : x.end])):
+            if kind == "phone" and x.key[0] == "n" and n <= 15 or kind == "email" and x.key[0] == "m" or kind == "ip" and x.key[0] == "i" or kind == "card" and 12 <= n <= 19 and luhn(_digits(text[x.start : x.end])):
                 spans.append((x.start, kind, x.end))
     return base, sorted(spans, key=lambda s: (s[0], KINDS.index(s[1]), s[2]))
 
@@ -250,9 +296,9 @@ def personal_data(docs: DataFrame, field: Field | None = None) -> DataFrame:
     """Personal data in whole ``docs`` (doc_id, text): doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans.
 
     The counts and the hash are of the patterns' spans; ``spans`` lists all, with those that repeat them in another
-    form, as kind:start:end in code points. Null text counts as empty. Rows are judged one by one: repeated rows give
-    equal results, extra columns are left out, an empty table gives an empty result. Where no ``field`` is given, one is
-    learned from ``docs``.
+    form, as kind:start:end in code points. Null text counts as empty; very long texts are read whole. Rows are judged
+    one by one: repeated rows give equal results, extra columns are left out, an empty table gives an empty result.
+    Where no ``field`` is given, one is learned from ``docs``.
     """
     field = learn(docs) if field is None else field
     held = docs.sparkSession.sparkContext.broadcast(field)
