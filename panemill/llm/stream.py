@@ -2,7 +2,7 @@
 
 A stream holds a program association table, a program map table with one private stream, and the payload in PES
 packets of at most 16 KiB, cut into transport packets of 188 bytes. Each PES packet carries a presentation time stamp
-(90 kHz; 8,000 payload bytes a second) and its first packet the random-access mark.
+(90 kHz; 8,000 payload bytes a second), and its first packet the random-access mark and the program's clock.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panemill.llm.common import table, utf8
+from panemill.llm.common import table, utf8, written
 
 #: Fixed values of the format (ISO/IEC 13818-1).
 PACKET, SYNC, CLOCK = 188, 0x47, 90_000
@@ -55,14 +55,20 @@ def _stamp(ticks: int) -> bytes:
     return bytes([0x21 | ticks >> 29 & 0x0E, ticks >> 22 & 0xFF, 0x01 | ticks >> 14 & 0xFE, ticks >> 7 & 0xFF, 0x01 | ticks << 1 & 0xFE])
 
 
+def _clock(ticks: int) -> bytes:
+    """A program clock of 33 bits of 90 kHz and none of 27 MHz in its six bytes."""
+    return (ticks << 15 | 0x3F << 9).to_bytes(6, "big")
+
+
 def write_stream(payload: bytes) -> bytes:
     """A transport stream that holds ``payload``."""
     out, counter = [_TABLES], 0
     for first in range(0, len(payload), PES_BYTES):
         part = payload[first : first + PES_BYTES]
-        pes = b"\x00\x00\x01" + bytes([PRIVATE_STREAM]) + (len(part) + 8).to_bytes(2, "big") + b"\x84\x80\x05" + _stamp(first * CLOCK // RATE % (1 << 33)) + part
-        # the first packet has an adaptation field of two bytes with the random-access mark
-        lead, middle = pes[: PACKET - 6], pes[PACKET - 6 :]
+        ticks = first * CLOCK // RATE % (1 << 33)
+        pes = b"\x00\x00\x01" + bytes([PRIVATE_STREAM]) + (len(part) + 8).to_bytes(2, "big") + b"\x84\x80\x05" + _stamp(ticks) + part
+        # the first packet has an adaptation field of eight bytes: length, marks and clock
+        lead, middle = pes[: PACKET - 12], pes[PACKET - 12 :]
         full = len(middle) // (PACKET - 4)
         tail = middle[full * (PACKET - 4) :]
         count = 1 + full + (1 if tail else 0)
@@ -71,9 +77,10 @@ def write_stream(payload: bytes) -> bytes:
         packets[:, 3] = 0x10 | (counter + np.arange(count)) % 16
         packets[0, 1] |= 0x40
         packets[0, 3] |= 0x20
-        stuffing = PACKET - 6 - len(lead)
-        packets[0, 4:6] = (1 + stuffing, 0x40)
-        packets[0, 6 + stuffing :] = np.frombuffer(lead, np.uint8)
+        stuffing = PACKET - 12 - len(lead)
+        packets[0, 4:6] = (7 + stuffing, 0x50)
+        packets[0, 6:12] = np.frombuffer(_clock(ticks), np.uint8)
+        packets[0, 12 + stuffing :] = np.frombuffer(lead, np.uint8)
         if full:
             packets[1 : 1 + full, 4:] = np.frombuffer(middle, np.uint8, full * (PACKET - 4)).reshape(full, -1)
         if tail:
@@ -98,28 +105,57 @@ class Stream:
     payload: bytes = b""
     stamps: list[int] = field(default_factory=list)
     random_access: list[int] = field(default_factory=list)
+    clocks: list[int] = field(default_factory=list)
     gaps: int = 0
+    repeats: int = 0
     bad_tables: int = 0
 
 
-def _sections(payload: bytes, table_id: int, found: Stream) -> bytes | None:
-    """The body of a table section that fills one packet's payload; None if it is another table or broken."""
-    section = payload[1 + payload[0] :]
-    if section[0] != table_id:
-        return None
-    section = section[: 3 + (int.from_bytes(section[1:3], "big") & 0x0FFF)]
-    if section_crc(section):
-        found.bad_tables += 1
-        return None
-    return section[8:-4]
+def _sections(parts: list[tuple[bool, bytes]], table_id: int, found: Stream) -> Iterator[bytes]:
+    """The bodies of a table's sections from the payloads of its packets, each with whether a section starts in it.
+
+    A section may go over several packets and a packet may hold several; one with a wrong CRC is counted and left out.
+    """
+    held: bytes | None = None
+    for starts, payload in parts:
+        if starts:
+            if not payload or 1 + payload[0] > len(payload):
+                raise ValueError("a section begins beyond its packet")
+            pieces = [payload[1 : 1 + payload[0]], payload[1 + payload[0] :]]
+        else:
+            pieces = [payload]
+        for i, piece in enumerate(pieces):
+            held = piece if i else None if held is None else held + piece
+            while held and len(held) >= 3 and held[0] != 0xFF:
+                size = 3 + (int.from_bytes(held[1:3], "big") & 0x0FFF)
+                if len(held) < size:
+                    break
+                section, held = held[:size], held[size:]
+                if section[0] == table_id:
+                    if size < 12 or section_crc(section):
+                        found.bad_tables += 1
+                    else:
+                        yield section[8:-4]
+
+
+def _entries(body: bytes, first: int, size: int, extra: int) -> Iterator[bytes]:
+    """The entries of a table: of ``size`` bytes each and, where ``extra`` tells their place, so many more."""
+    while first < len(body):
+        entry = body[first : first + size]
+        if len(entry) < size:
+            raise ValueError("a table ends within an entry")
+        yield entry
+        first += size + (int.from_bytes(entry[extra : extra + 2], "big") & 0x0FFF if extra else 0)
 
 
 def read_stream(data: bytes) -> Stream:
     """Parse the program tables, check continuity counters and reassemble the elementary packets.
 
     ``stamps`` are the PES packets' time stamps (-1 where there is none); ``random_access`` the numbers of the
-    transport packets that are marked as random-access points. A packet without sync byte or a length that is no
-    multiple of 188 raises ValueError. A lost packet shows as a gap; a section with a wrong CRC is left out.
+    transport packets that are marked as random-access points; ``clocks`` the program's clocks. A lost packet shows as a
+    gap, unless its break is announced; a packet that is sent twice counts as a repeat and is read once; a section with a
+    wrong CRC is left out. ValueError: a length that is no multiple of 188, a packet without sync byte, a field or section
+    beyond its packet, a table or a PES packet that ends within a header.
     """
     if len(data) % PACKET:
         raise ValueError("a transport stream has packets of 188 bytes")
@@ -130,49 +166,67 @@ def read_stream(data: bytes) -> Stream:
     pids = (every[:, 1].astype(np.int64) & 0x1F) << 8 | every[:, 2]
     has_field = every[:, 3] & 0x20 > 0
     begin = np.where(has_field, 5 + every[:, 4].astype(np.int64), 4)
+    if (begin > PACKET).any():
+        raise ValueError("an adaptation field goes beyond its packet")
     filled = every[:, 3] & 0x10 > 0
-    for at in np.flatnonzero((pids == PAT_PID) & filled):
-        body = _sections(data[at * PACKET + begin[at] : (at + 1) * PACKET], PAT_TABLE, found)
-        for i in range(0, len(body or b""), 4):
-            found.programs[int.from_bytes(body[i : i + 2], "big")] = int.from_bytes(body[i + 2 : i + 4], "big") & 0x1FFF
-    for pid in found.programs.values():
-        for at in np.flatnonzero((pids == pid) & filled):
-            body = _sections(data[at * PACKET + begin[at] : (at + 1) * PACKET], PMT_TABLE, found)
-            i = 4 + (int.from_bytes(body[2:4], "big") & 0x0FFF) if body else 0
-            while body and i < len(body):
-                found.streams[int.from_bytes(body[i + 1 : i + 3], "big") & 0x1FFF] = body[i]
-                i += 5 + (int.from_bytes(body[i + 3 : i + 5], "big") & 0x0FFF)
+    marks = np.where(has_field & (every[:, 4] > 0), every[:, 5], 0)
+
+    def once(pid: int) -> np.ndarray:
+        """A PID's packets with payload, without those that are sent twice; counts breaks of the counter."""
+        own = np.flatnonzero((pids == pid) & filled)
+        counters = every[own, 3].astype(np.int64) & 0x0F
+        again = np.zeros(len(own), bool)
+        again[1:] = (np.diff(counters) == 0) & (every[own[1:], 4:] == every[own[:-1], 4:]).all(axis=1)
+        found.repeats += int(again.sum())
+        own, counters = own[~again], counters[~again]
+        found.gaps += int(((np.diff(counters) % 16 != 1) & (marks[own[1:]] & 0x80 == 0)).sum())
+        return own
+
+    def parts(pid: int) -> list[tuple[bool, bytes]]:
+        return [(bool(every[at, 1] & 0x40), data[at * PACKET + begin[at] : (at + 1) * PACKET]) for at in once(pid).tolist()]
+
+    for body in _sections(parts(PAT_PID), PAT_TABLE, found):
+        for entry in _entries(body, 0, 4, 0):
+            if number := int.from_bytes(entry[:2], "big"):  # 0 names no program
+                found.programs[number] = int.from_bytes(entry[2:], "big") & 0x1FFF
+    clock_pids = set()
+    for pid in dict.fromkeys(found.programs.values()):
+        for body in _sections(parts(pid), PMT_TABLE, found):
+            if len(body) < 4:
+                raise ValueError("a table ends within an entry")
+            clock_pids.add(int.from_bytes(body[:2], "big") & 0x1FFF)
+            for entry in _entries(body, 4 + (int.from_bytes(body[2:4], "big") & 0x0FFF), 5, 3):
+                found.streams[int.from_bytes(entry[1:3], "big") & 0x1FFF] = entry[0]
+    timed = np.flatnonzero(np.isin(pids, sorted(clock_pids)) & (marks & 0x10 > 0) & (every[:, 4] >= 7))
+    found.clocks = [int.from_bytes(data[at * PACKET + 6 : at * PACKET + 12], "big") >> 15 for at in timed.tolist()]
     if not found.streams:
         return found
-    own = np.flatnonzero((pids == next(iter(found.streams))) & filled)
-    counters = every[own, 3] & 0x0F
-    found.gaps = int(((counters[1:].astype(np.int64) - counters[:-1]) % 16 != 1).sum())
-    marked = own[has_field[own] & (every[own, 4] > 0) & (every[own, 5] & 0x40 > 0)]
-    found.random_access = marked.tolist()
-    starts = every[own, 1] & 0x40 > 0
+    own = once(next(iter(found.streams)))
+    found.random_access = own[marks[own] & 0x40 > 0].tolist()
     used = np.arange(PACKET)[None, :] >= begin[own][:, None]
     whole = every[own][used]
     ends = np.cumsum(PACKET - begin[own])
-    firsts = np.flatnonzero(starts)
-    parts = []
+    firsts = np.flatnonzero(every[own, 1] & 0x40 > 0)
+    payload = []
     for k, n in enumerate(firsts):
         a = int(ends[n - 1]) if n else 0
         b = int(ends[firsts[k + 1] - 1]) if k + 1 < len(firsts) else int(ends[-1])
         pes = whole[a:b].tobytes()
-        if pes[:3] != b"\x00\x00\x01":
+        if len(pes) < 9 or pes[:3] != b"\x00\x00\x01" or pes[6] & 0xC0 != 0x80 or len(pes) < 9 + pes[8] or (pes[7] & 0x80 and pes[8] < 5):
             raise ValueError("a packet that should begin a PES packet does not")
         length = int.from_bytes(pes[4:6], "big")
         t = pes[9:14] if pes[7] & 0x80 else b""
         found.stamps.append((t[0] & 0x0E) << 29 | t[1] << 22 | (t[2] & 0xFE) << 14 | t[3] << 7 | t[4] >> 1 if t else -1)
-        parts.append(pes[9 + pes[8] : 6 + length if length else len(pes)])
-    found.payload = b"".join(parts)
+        payload.append(pes[9 + pes[8] : 6 + length if length else len(pes)])
+    found.payload = b"".join(payload)
     return found
 
 
 def media_column(docs: DataFrame) -> DataFrame:
     """(doc_id, n_bytes, media): each whole text, padded with zero bytes to a positive multiple of 64, as a stream.
 
-    Null text counts as empty, and an empty text has a payload of 64 zero bytes. Equal texts give equal streams.
+    Null text counts as empty, and an empty text has a payload of 64 zero bytes. Equal texts give equal streams. Very
+    long texts are coded whole; a stream is one value of its column, so that 2 GB is the most.
     Rows are coded one by one without a shuffle; extra columns are left out; an empty table gives an empty result.
     """
 
@@ -205,7 +259,7 @@ def media_features(media: DataFrame) -> DataFrame:
                 histogram = np.bincount(np.frombuffer(s.payload, np.uint8), minlength=256)
                 share = histogram[histogram > 0] / max(1, len(s.payload))
                 entropy = float(-(share * np.log2(share)).sum())
-                feature = f"packets={s.packets};programs={len(s.programs)};streams={len(s.streams)};pes={len(s.stamps)};gaps={s.gaps};bad_tables={s.bad_tables};random_access={len(s.random_access)};last_stamp={max(s.stamps, default=-1)};mean={np.dot(histogram, np.arange(256)) / max(1, len(s.payload)):.4f};entropy={abs(entropy):.4f}"
+                feature = f"packets={s.packets};programs={len(s.programs)};streams={len(s.streams)};pes={len(s.stamps)};gaps={s.gaps};repeats={s.repeats};bad_tables={s.bad_tables};clocks={len(s.clocks)};random_access={len(s.random_access)};last_stamp={max(s.stamps, default=-1)};mean={np.dot(histogram, np.arange(256)) / max(1, len(s.payload)):.4f};entropy={abs(entropy):.4f}"
                 rows.append((len(s.payload), hashlib.sha256(s.payload).hexdigest(), zlib.crc32(s.payload[-UNIT:]), len(data), hashlib.sha256(data).hexdigest(), feature, s.stamps, s.random_access))
             types = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.int32()))
             columns = [pa.array([r[i] for r in rows], t) for i, t in enumerate(types)]
@@ -215,4 +269,4 @@ def media_features(media: DataFrame) -> DataFrame:
 
 
 def op5_transport_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media_features(media_column(table(spark, sf_dir, "documents")))
+    return media_features(written(media_column(table(spark, sf_dir, "documents")), "media"))
