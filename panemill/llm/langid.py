@@ -164,11 +164,12 @@ def label_words(w: Words, score: np.ndarray) -> np.ndarray:
     order = np.argsort(-w.count, kind="stable")
     count = w.count[order]
     base = (np.cumsum(w.count) - w.count)[order]
-    came = np.empty((n, size), np.uint8)
+    kind = np.min_scalar_type(max(size, 1))  # a byte for up to 255 languages
+    came = np.empty((n, size), kind)
     best = np.zeros((len(order), size), np.float32)
     steps = int(count[0]) if len(count) else 0
     active = np.searchsorted(-count, -np.arange(steps), "left") if steps else []
-    stay = np.arange(size, dtype=np.uint8)
+    stay = np.arange(size, dtype=kind)
     for t in range(steps):
         k = active[t]
         at, now = base[:k] + t, best[:k]
@@ -176,11 +177,11 @@ def label_words(w: Words, score: np.ndarray) -> np.ndarray:
             top = now.argmax(axis=1)
             switch = now[np.arange(k), top] - SWITCH
             better = switch[:, None] > now
-            came[at] = np.where(better, top[:, None].astype(np.uint8), stay)
+            came[at] = np.where(better, top[:, None].astype(kind), stay)
             now = np.where(better, switch[:, None], now)
         best[:k] = now + score[at]
-    label = np.empty(n, np.uint8)
-    state = best.argmax(axis=1).astype(np.uint8)
+    label = np.empty(n, kind)
+    state = best.argmax(axis=1).astype(kind)
     for t in range(steps - 1, -1, -1):
         k = active[t]
         at = base[:k] + t
@@ -207,9 +208,10 @@ def predict(model: LanguageModel, texts: list[str | None]) -> list[tuple[str, fl
     none = np.zeros(0, np.int64)
     start, length, script, count = (np.concatenate([getattr(p, x) for p in parts] or [none]) for x in ("start", "length", "script", "count"))
     w = Words(start, length, script, count, none, none)
-    label = label_words(w, np.concatenate(scores)) if model.languages and len(start) else np.zeros(len(start), np.uint8)
+    label = label_words(w, np.concatenate(scores)) if model.languages and len(start) else np.zeros(len(start), np.int64)
     size = max(1, len(model.languages))
     doc = np.repeat(np.arange(len(texts)), w.count)
+    label = label.astype(np.int64)
     letters = np.bincount(doc * size + label, w.length, len(texts) * size).reshape(len(texts), size)
     new = np.ones(len(doc), bool)
     new[1:] = (doc[1:] != doc[:-1]) | (label[1:] != label[:-1])

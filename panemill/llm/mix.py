@@ -28,16 +28,17 @@ def source_rates(docs: DataFrame, group: Column, weights: Mapping[str, float], *
     """Mean repetitions for each group of ``weights``: (group, rate).
 
     The size of a document is its UTF-8 bytes and one more for its end. The rate of a group is what takes it from its
-    own size to its weight's share of ``epochs`` times the whole size; weights of absent groups are shared out.
+    own size to its weight's share of ``epochs`` times the whole size; weights of absent groups are shared out. It is null
+    where all weights are 0.
     The result has no more rows than ``weights``.
     """
     spark = docs.sparkSession
     size = F.octet_length(F.coalesce(F.col("text"), F.lit(""))).cast("bigint") + 1
     totals = docs.groupBy(group.alias("group")).agg(F.sum(size).cast("double").alias("size"))
-    asked = spark.createDataFrame(list(weights.items()), "group string, weight double")
+    asked = spark.createDataFrame([(k, float(w)) for k, w in weights.items()], "group string, weight double")
     sized = totals.join(F.broadcast(asked), "group")
     every = Window.partitionBy()  # as many rows as there are weights
-    return sized.select("group", (F.col("weight") / F.sum("weight").over(every) * F.lit(float(epochs)) * F.sum("size").over(every) / F.col("size")).alias("rate"))
+    return sized.select("group", (F.try_divide("weight", F.sum("weight").over(every)) * F.lit(float(epochs)) * F.sum("size").over(every) / F.col("size")).alias("rate"))
 
 
 def poisson_steps(rates: DataFrame) -> DataFrame:
@@ -59,12 +60,15 @@ def poisson_mix(docs: DataFrame, weights: Mapping[str, float], *, other_weight:
     doc_id, so that a rerun of a lost task draws the same. Columns: those of ``docs``, ``copy`` (from 1) and
     ``shuffle_key``; rows are ordered by shuffle_key over all partitions. Columns of these two names in the input
     give way. Null and unnamed sources share ``other_weight``; a weight of 0 drops its source; null text counts as
-    empty; rows with one id get the same count; a null id counts as the text ``null``; an empty table stays empty.
+    empty; rows with one id get the same count; a null id counts as the text ``null``; an empty table stays empty, and
+    so does a mix whose sources all have weight 0. Negative weights raise ValueError. Texts are never looked into.
 
     A hot source costs nothing extra: its size is summed before the shuffle, its rate comes with a broadcast of at most
     len(weights) + 1 rows, and the copies are dealt by a hash.
     """
     weights = {**weights, OTHER: other_weight}
+    if min(weights.values()) < 0 or epochs < 0:
+        raise ValueError("weights and epochs are not negative")
     named = [k for k in weights if k != OTHER]
     group = F.coalesce(F.when(F.col("source").isin(named), F.col("source")), F.lit(OTHER))
     steps = poisson_steps(source_rates(docs, group, weights, epochs=epochs))
