@@ -2,6 +2,9 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a table; ``run`` writes each one as Parquet in the cluster's shared
 folder and reads it again as the next stage's input.
+
+All stages but the last return the columns of ``documents`` (COLUMNS); other columns are left out, whatever their names.
+An empty table stays empty in every stage. Null columns other than those that a stage reads are kept as they are.
 """
 
 from __future__ import annotations
@@ -10,10 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panemill.llm import blocks, decon, langid, mix, neardup
-from panemill.llm.common import broadcast_if_small, fold, table, written
+from panemill.llm.common import fold, table, written
 
-#: A document goes if its text has no language, or if no language has half of its letters.
-LEAST_SCORE = 0.5
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
@@ -22,31 +23,44 @@ def _columns(df: DataFrame) -> DataFrame:
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a learned language; lang is only learned from, never used to judge a document."""
+    """Documents in a learned language or several; lang is only learned from, never used to judge a document.
+
+    A text without letters (null and empty ones among them) goes. Rows are judged one by one: repeated rows all stay or
+    all go. Rows without a doc_id are judged as well; whether they are learned from follows from the hash of an empty
+    text. Where no row has a lang, nothing is learned and all rows go.
+    """
     model = langid.learn(docs.where(fold(F.col("doc_id"), langid.FOLDS) != 0))
     judged = langid.identify(_columns(docs), model)
-    return _columns(judged.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SCORE)))
+    return _columns(judged.where(F.col("lang_pred") != langid.UNKNOWN))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates, the one with the smallest id, by shingles of five words."""
-    dropped = written(neardup.near_duplicates(docs, words=5).where("not kept").select("doc_id").distinct(), "dropped")
-    return _columns(docs.join(broadcast_if_small(dropped), "doc_id", "left_anti"))
+    """One document of each group of near duplicates, the one with the smallest id, by shingles of five words.
+
+    Of equal rows one stays. Rows that share a doc_id are judged each by its own text. Rows without a doc_id or words
+    are in no group and all stay.
+    """
+    return _columns(neardup.without_near_duplicates(_columns(docs), words=5))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
-    return _columns(decon.decontaminated(docs, table(spark, sf_dir, "benchmark")))
+    """Documents that hold no benchmark item. Rows with one doc_id are one document: all stay or all go. Rows without
+    a doc_id or text stay."""
+    return _columns(decon.decontaminated(_columns(docs), table(spark, sf_dir, "benchmark")))
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents, repeated to the target weights of their sources and shuffled."""
-    return _columns(mix.poisson_mix(docs, mix.WEIGHTS))
+    """The documents, repeated to the target weights of their sources and shuffled. Null sources share a weight; null
+    texts count as empty; rows with one doc_id (all null ones too) are repeated equally often."""
+    return _columns(mix.poisson_mix(_columns(docs), mix.WEIGHTS))
 
 
 def token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The token files' documents, copies next to each other: doc_id, start, n_tokens, ids_crc32."""
-    return blocks.read_token_files(blocks.write_token_files(docs))
+    """The token files' documents: doc_id, start, n_tokens, ids_crc32. Null text is empty; every row is written.
+
+    The files keep a random order, so that the copies that the mix has made do not stand next to each other.
+    """
+    return blocks.read_token_files(blocks.write_token_files(docs, order=F.rand(1)))
 
 
 STAGES = [

@@ -85,11 +85,14 @@ def slices(batch: pa.RecordBatch, text: int, size: int) -> Iterator[pa.RecordBat
 def shared_folder(spark: SparkSession) -> str:
     """A new folder below the cluster's shared checkpoint folder.
 
-    Where spark.checkpoint.dir is unset (a single machine, as in tests), a temporary folder takes its place.
+    Where spark.checkpoint.dir is unset, a temporary folder takes its place on a single machine (as in tests); on a
+    cluster, whose machines don't share such a folder, that is refused.
     """
     context = spark.sparkContext
     root = context.getConf().get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not root:
+        if not context.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
         context.setCheckpointDir(root)
     return f"{root.rstrip('/')}/panemill-{uuid.uuid4().hex}"
@@ -97,10 +100,28 @@ def shared_folder(spark: SparkSession) -> str:
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write a table in the shared folder and read it again: its lineage ends there and survives lost executors."""
-    bounded_batches(df.sparkSession)
-    path = f"{shared_folder(df.sparkSession)}/{name}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return Scratch(df.sparkSession).written(df, name)
+
+
+class Scratch:
+    """Tables of one job in the shared folder. What a job has done with can be dropped before the job's end."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        bounded_batches(spark)
+        self.spark, self.folder = spark, shared_folder(spark)
+        if not spark.sparkContext.getCheckpointDir():
+            spark.sparkContext.setCheckpointDir(self.folder + "/checkpoints")
+
+    def written(self, df: DataFrame, name: str) -> DataFrame:
+        df.write.parquet(f"{self.folder}/{name}")
+        return self.spark.read.schema(df.schema).parquet(f"{self.folder}/{name}")
+
+    def drop(self, *names: str) -> None:
+        """Delete tables that nothing reads any more."""
+        jvm = self.spark._jvm
+        for name in names:
+            path = jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 #: Rows of ids up to which a table may be broadcast: some 16 to 40 MB.

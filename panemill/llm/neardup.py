@@ -7,151 +7,130 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panemill.llm.common import broadcast_if_small, give_back, shared_folder, slices, table, utf8, written
+from panemill.llm.common import Scratch, broadcast_if_small, give_back, slices, table, utf8
 from panemill.llm.components import components
 from panemill.llm.shingles import shingle_sets
 
 #: Links join sets with 100 * intersection >= SIMILAR * union.
 SIMILAR = 80
-#: Values of a sketch, and of the finer sketches of documents that meet in long lists.
-SKETCH, FINE = 32, 512
-#: A list whose members are in more components than this is long.
-LONG = 50
-#: Of the union's own sketch of 32 so many must be shared for a pair to be confirmed (12 or fewer: a chance of 2e-7).
-ESTIMATE = 13
+#: Values of a sketch, and of the finer sketch of a document that the first lists leave open.
+SKETCH, FINE = 64, 256
+#: Neighbouring retained values that make the key of an inverted list.
+RUN = 3
+#: Of the keys of two linked sketches so many agree at least (fewer: a chance of 3e-7 at a similarity of 0.8).
+HITS = 5
+#: A value of a finer sketch is rare if no more of the open documents hold it: all pairs in its list are looked at.
+RARE = 4
 #: Bytes of text whose shingles are hashed at once.
 PORTION = 1 << 19
-#: Of the values by which sketches are indexed so many must agree: more of whole sets, whose bounds are exact.
-HITS, MEET = 2, 6
 
 
 def agreeing(size: int) -> int:
-    """How many values of two linked sets' sketches of ``size`` agree at least.
+    """How many values of the union's sketch of ``size`` two linked sets share at least.
 
-    Each value of the union's sketch is shared with a chance of 0.8. Six standard deviations below the mean: of 32
-    values 12 (fewer: a chance of 3e-8), of 512 values 355.
+    Each is shared with a chance of 0.8. Six standard deviations below the mean: 32 of 64 values, 166 of 256.
     """
     share = SIMILAR / 100
     return int(size * share - 6 * (size * share * (1 - share)) ** 0.5)
 
 
-
-
 def sketches(docs: DataFrame, *, words: int, size: int = SKETCH) -> DataFrame:
-    """(doc_id, n, content, sketch): the shingle set's size, a 128-bit hash of the whole set and its least values."""
+    """(doc_id, text_hash, n, id, sketch): the shingle set's size, a 128-bit hash of the whole set and its least values."""
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for some in slices(batch, 1, PORTION):
-                sets = shingle_sets(*utf8(some.column(1)), words)
-                columns = [some.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary())]
+            for some in slices(batch, 2, PORTION):
+                sets = shingle_sets(*utf8(some.column(2)), words)
+                ids = pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary())
                 kept = [s[:size] for s in sets]
                 ends = np.concatenate([[0], np.cumsum([len(s) for s in kept])]).astype(np.int32)
-                columns.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(kept) if kept else np.zeros(0, np.int64))))
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n", "content", "sketch"])
+                values = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(kept) if kept else np.zeros(0, np.int64)))
+                yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), pa.array([len(s) for s in sets], pa.int64()), ids, values], names=["doc_id", "text_hash", "n", "id", "sketch"])
         give_back()
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(sketch, "doc_id long, n long, content binary, sketch array<long>")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
+    return rows.mapInArrow(sketch, "doc_id long, text_hash long, n long, id binary, sketch array<long>")
 
 
-def index_rows(classes: DataFrame, size: int = SKETCH) -> DataFrame:
-    """The inverted lists of sketches of up to ``size`` values: each class's rarest (value, id, n, alone, place).
+def run_keys(classes: DataFrame) -> DataFrame:
+    """(key, id, n): a hash of each three neighbouring values of a sketch, in the order of the values.
 
-    Two linked sketches agree in agreeing(size) values (or in 80 % of a set that is no larger than any sketch can cut).
-    Sort the values of every sketch by how many sketches hold them: then the first (length - agreeing + HITS) of both
-    agree in HITS of them (or, likewise, in MEET of whole sets). Frequent shingles stay out of the lists without a cap,
-    as long as a document has rarer ones. A value that no other sketch holds needs no list, but takes its place in the
-    order; ``alone`` counts them, and ``place`` tells how many values come before.
+    Where the union of two sets has three neighbours that both share, both sketches have them side by side. Sets that a
+    sketch holds as a whole share such a run for certain if they are linked and their union has six values or more;
+    smaller ones also have keys of two neighbours.
     """
-    each = classes.select("id", F.explode("sketch").alias("value"))
-    held = each.groupBy("value").agg(F.count(F.lit(1)).cast("int").alias("df")).where("df > 1")
-    shared = each.join(held, "value").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("df", "value"))).alias("values"))
-    # a small set's partners are small enough for their sketches to be whole sets
-    agree = F.when(F.col("n") * 100 < size * SIMILAR, F.ceil(F.col("size") * (SIMILAR / 100))).otherwise(agreeing(size))
-    sized = shared.join(classes.select("id", "n", F.size("sketch").alias("size")), "id")
-    hits = F.when(F.col("n") <= size, MEET).otherwise(HITS)
-    alone = F.col("size") - F.size("values")
-    listed = sized.select("id", "n", alone.alias("alone"), "values", (F.size("values") - agree + hits).cast("int").alias("places")).where("places > 0")
-    rows = listed.select("id", "n", "alone", F.posexplode(F.slice("values", F.lit(1), F.col("places"))).alias("place", "v"))
-    return rows.select("v.value", "id", "n", "alone", (F.col("place") + F.col("alone")).alias("place"))
-
-
-def _shared(n: str, other_n: str) -> str:
-    """SQL for how many shingles sets of these sizes share at least if they are linked."""
-    return f"ceil({SIMILAR} * ({n} + {other_n}) / {100 + SIMILAR})"
-
-
-def _may_link(size: int, n: str, alone: str, other_n: str, other_alone: str, least_n: str | None = None, least_other_n: str | None = None, place: str = "", other_place: str = "") -> Column:
-    """Whether two classes of ``n`` and ``other_n`` shingles can be similar enough.
-
-    The sizes must be. A value that one sketch holds alone is not shared, which bounds the intersection of whole sets.
-    Of larger sets' sketches agreeing(size) values are shared, so that each can hold all its others alone, also those
-    beyond the union's sketch. A pair of whole sets needs fewer of the listed values the closer their sizes are:
-    those at a place (of place, other_place) beyond are of no use to it. ``least_n``: the least sizes of two groups of
-    classes, whose largest are n and other_n and whose least counts are alone and other_alone.
+
+    def runs(length: int) -> str:
+        values = ", ".join(f"sketch[i + {j}]" for j in range(length))
+        return f"transform(sequence(0, size(sketch) - {length}), i -> xxhash64({length}, {values}))"
+
+    keys = F.expr(f"explode(CASE WHEN n <= 6 THEN concat({runs(RUN)}, {runs(2)}) ELSE {runs(RUN)} END)")
+    return classes.where(f"n > {RUN}").select(keys.alias("key"), "id", "n")
+
+
+def keys_needed(n: Column) -> Column:
+    """How many keys a set of ``n`` shingles has in common with any that it is linked to, at least.
+
+    If sketches hold both as a whole: the union has n values or more, of which d, a fifth at most, aren't shared; these
+    cut the others into d + 1 runs, and a run of r values has r - 2 keys.
     """
-    most = 2 * (size - agreeing(size))
-    whole = f"{n} <= {size} AND {other_n} <= {size}"
-    shared = _shared(least_n or n, least_other_n or other_n)
-    near = f" AND {place} < {n} - {shared} + {MEET} AND {other_place} < {other_n} - {shared} + {MEET}" if place else ""
-    few = f"CASE WHEN {whole} THEN least({n} - {alone}, {other_n} - {other_alone}) >= {shared}{near} ELSE {alone} + {other_alone} <= {most} END"
-    return F.expr(f"100 * {n} >= {SIMILAR} * {least_other_n or other_n} AND 100 * {other_n} >= {SIMILAR} * {least_n or n} AND {few}")
-
-
-def _star_pairs(lists: DataFrame, size: int = SKETCH) -> DataFrame:
-    """Each member of a list with three of its members: the one with the fewest values of its own, which is nearest to
-    what the others are copies of, and the first ones by two fixed orders of all documents."""
-    orders = [F.col("alone").cast("long"), F.col("id"), F.xxhash64("id")]
-    centers = lists.groupBy("value").agg(*[F.min(F.struct(o.alias("o"), "id", "n", "alone")).alias(f"c{i}") for i, o in enumerate(orders)]).select("value", F.explode(F.array("c0", "c1", "c2")).alias("c"))
-    centers = centers.select("value", F.col("c.id").alias("center"), F.col("c.n").alias("center_n"), F.col("c.alone").alias("center_alone")).distinct()
-    pairs = lists.join(centers, "value").where((F.col("id") != F.col("center")) & _may_link(size, "n", "alone", "center_n", "center_alone"))
-    return pairs.groupBy(F.least("center", "id").alias("a"), F.greatest("center", "id").alias("b")).count().where(f"count >= {HITS}").select("a", "b")
-
-
-def _in_components(lists: DataFrame, known: DataFrame) -> DataFrame:
-    """The lists with each member's component so far, without those that lie in one component; (value, c) once more
-    summed up as n_components."""
-    placed = lists.join(known, lists["id"] == known["node"], "left").select("value", "id", "n", "alone", "place", F.coalesce("component", "id").alias("c"))
-    several = placed.select("value", "c").distinct().groupBy("value").agg(F.count(F.lit(1)).alias("n_components")).where("n_components > 1")
-    return written(placed.join(several, "value"), "placed")
-
-
-def _other_pairs(placed: DataFrame, size: int = SKETCH) -> DataFrame:
-    """All pairs of a list's members that are not in one component yet, if they meet in enough lists."""
-    groups = placed.groupBy("value", "c").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.min("alone").alias("alone"), F.min("place").alias("place"))
-    met = groups.alias("x").join(groups.alias("y"), F.expr("x.value = y.value and x.c < y.c") & _may_link(size, "x.most", "x.alone", "y.most", "y.alone", "x.least", "y.least", "x.place", "y.place"))
-    met = met.select(F.col("x.value").alias("value"), F.col("x.c").alias("c"), F.col("y.c").alias("other"))
-    left = met.join(placed, ["value", "c"]).select("value", F.col("other").alias("c"), *[F.col(x).alias(f"p_{x}") for x in ("id", "n", "alone", "place")])
-    pairs = left.join(placed, ["value", "c"]).where(_may_link(size, "n", "alone", "p_n", "p_alone", place="place", other_place="p_place"))
-    need = F.expr(f"CASE WHEN n <= {size} AND p_n <= {size} THEN least({MEET}, {_shared('n', 'p_n')}) ELSE {HITS} END")
-    met_in = pairs.groupBy(F.least("p_id", "id").alias("a"), F.greatest("p_id", "id").alias("b")).agg(F.count(F.lit(1)).alias("lists"), F.max(need).alias("need"))
-    return met_in.where("lists >= need").select("a", "b")
-
-
-def _likely(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """The pairs whose union's sketch shares enough values; of whole sets this is the similarity itself."""
-    held = classes.select("id", "n", "sketch")
-    both = pairs.join(held.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa")), "a").join(held.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb")), "b")
-    union = F.slice(F.array_sort(F.array_union("sa", "sb")), 1, SKETCH)
-    shared = F.size(F.array_intersect(union, F.array_intersect("sa", "sb")))
-    whole = (F.col("na") <= SKETCH) & (F.col("nb") <= SKETCH)
-    all_shared = F.size(F.array_intersect("sa", "sb"))
-    likely = F.when(whole, all_shared * 100 >= (F.col("na") + F.col("nb") - all_shared) * SIMILAR).otherwise(shared >= ESTIMATE)
-    return both.where(likely).select("a", "b")
-
-
-def _texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """(id, text) of the documents with these ids; up to a million ids are broadcast, more are joined by a shuffle."""
-    return docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(broadcast_if_small(ids), "id", "left_semi")
-
-
-def _confirmed(pairs: DataFrame, docs: DataFrame, words: int) -> DataFrame:
-    """The pairs whose whole shingle sets are similar enough, from the texts of the two documents."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    texts = written(_texts(docs, wanted), "texts")
+    return F.when(n * 100 <= SKETCH * SIMILAR, F.greatest(F.ceil(n * (3 * SIMILAR - 200) / 100) - 2, F.lit(1))).otherwise(HITS)
+
+
+def blocks(keys: DataFrame, scratch: Scratch) -> DataFrame:
+    """(center, n_center, id, n): each member of a list of several (key, id, n) beside the list's center, once.
+
+    A class that has too few keys in such lists to be linked at all is left out first. The center is the member with
+    the most keys: it is nearest to what the others are copies of, and the same in most lists of a group, so that
+    members that share lists share few centers. Keys are counted before the shuffle.
+    """
+    several = keys.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where("members > 1").select("key")
+    held = scratch.written(keys.join(broadcast_if_small(scratch.written(several, "several")), "key", "left_semi"), "held")
+    enough = held.groupBy("id").agg(F.count(F.lit(1)).alias("keys"), F.first("n").alias("n")).where(F.col("keys") >= keys_needed(F.col("n"))).select("id", "keys")
+    lists = scratch.written(held.join(enough, "id"), "lists")
+    centers = lists.groupBy("key").agg(F.max(F.struct("keys", "id", "n")).alias("c")).select("key", F.col("c.id").alias("center"), F.col("c.n").alias("n_center"))
+    found = scratch.written(lists.join(centers, "key").select("center", "n_center", "id", "n").distinct(), "blocks")
+    scratch.drop("several", "held", "lists")
+    return found
+
+
+def _sizes_fit(n: str, other: str) -> Column:
+    return F.expr(f"100 * {n} >= {SIMILAR} * {other} AND 100 * {other} >= {SIMILAR} * {n}")
+
+
+def _sketches_fit(size: int, n: str, values: str, other_n: str, other_values: str) -> Column:
+    """Whether the union's sketch shares enough values; of sets that sketches hold as a whole this is the similarity."""
+    both = f"array_intersect({values}, {other_values})"
+    whole = f"100 * size({both}) >= {SIMILAR} * ({n} + {other_n} - size({both}))"
+    union = f"slice(array_sort(array_union({values}, {other_values})), 1, {size})"
+    return F.expr(f"CASE WHEN {n} <= {size} AND {other_n} <= {size} THEN {whole} ELSE size(array_intersect({union}, {both})) >= {agreeing(size)} END")
+
+
+def star_pairs(blocks: DataFrame) -> DataFrame:
+    """(a, b): each member of a block with its center, for thousands of near copies join through a few."""
+    return blocks.where((F.col("id") != F.col("center")) & _sizes_fit("n", "n_center")).select(F.col("center").alias("a"), F.col("id").alias("b"))
+
+
+def likely(pairs: DataFrame, sketched: DataFrame, size: int) -> DataFrame:
+    """The pairs (a, b) whose sketches of ``size`` (id, n, sketch) fit."""
+    side = [sketched.select(F.col("id").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"s_{x}")) for x in "ab"]
+    return pairs.join(side[0], "a").join(side[1], "b").where(_sketches_fit(size, "n_a", "s_a", "n_b", "s_b")).select("a", "b")
+
+
+def _first_rows(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """(id, doc_id, text): one document's text for each class (id, doc_id, text_hash)."""
+    named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
+    return named.join(broadcast_if_small(rows), ["doc_id", "text_hash"]).select("id", "doc_id", "text")
+
+
+def confirmed(pairs: DataFrame, docs: DataFrame, classes: DataFrame, words: int, scratch: Scratch, name: str) -> DataFrame:
+    """The pairs whose whole shingle sets are similar enough, from two texts of these classes."""
+    pairs = scratch.written(pairs, f"{name}_pairs")
+    wanted = scratch.written(classes.select("id", "doc_id", "text_hash").join(pairs.select(F.explode(F.array("a", "b")).alias("id")), "id", "left_semi"), f"{name}_wanted")
+    texts = _first_rows(docs, wanted).groupBy("id").agg(F.first("text").alias("text"))
     both = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("x")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("y")), "b")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -164,7 +143,94 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, words: int) -> DataFrame:
                 yield some.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
         give_back()
 
-    return both.select("a", "b", "x", "y").mapInArrow(check, "a long, b long")
+    found = scratch.written(both.select("a", "b", "x", "y").mapInArrow(check, "a binary, b binary"), f"{name}_links")
+    scratch.drop(f"{name}_pairs", f"{name}_wanted")
+    return found
+
+
+def open_blocks(blocks: DataFrame, known: DataFrame) -> DataFrame:
+    """(center, id, c) of the blocks whose members lie in several components c so far."""
+    placed = blocks.join(known.withColumnRenamed("node", "id"), "id", "left").select("center", "id", F.coalesce("component", "id").alias("c"))
+    several = placed.groupBy("center").agg((F.min("c") != F.max("c")).alias("open")).where("open").select("center")
+    return placed.join(several, "center", "left_semi")
+
+
+def rare_pairs(values: DataFrame, rare: DataFrame) -> DataFrame:
+    """(a, b) of members of different components (id, value, c) that share a rare value: no more than six for each."""
+    lists = values.join(rare, "value")
+    met = lists.alias("x").join(lists.alias("y"), F.expr("x.value = y.value AND x.id < y.id AND x.c <> y.c"))
+    return met.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
+
+
+def _common_fit(n: str, common: str, other_n: str, other_common: str) -> str:
+    """Whether sets that share none of their rare values can be linked, by how many other values their sketches hold."""
+    least = f"least({common}, {other_common})"
+    return f"CASE WHEN {n} <= {FINE} AND {other_n} <= {FINE} THEN {100 + SIMILAR} * {least} >= {SIMILAR} * ({n} + {other_n}) ELSE {least} >= {agreeing(FINE)} END"
+
+
+def common_pairs(placed: DataFrame, fine: DataFrame) -> DataFrame:
+    """(a, b) of members of open blocks (center, id) that fit by their finer sketches (id, c, n, sketch, common).
+
+    ``common`` counts a sketch's values that aren't rare, which bounds what two sets without a shared rare value share.
+    Blocks pair groups of equal component and size, not members. Groups that can fit meet once, however many blocks
+    they share, the smaller one's members with the other's, and only pairs whose sketches fit come out of that join.
+    """
+    enough = F.when(F.col("n") <= FINE, F.col("common") * 100 >= F.col("n") * SIMILAR).otherwise(F.col("common") >= agreeing(FINE))
+    able = fine.where(enough)
+    rows = placed.select("center", "id").join(able.select("id", "c", "n", "common"), "id")
+    groups = rows.groupBy("center", "c", "n").agg(F.max("common").alias("common"), F.count(F.lit(1)).alias("size"))
+    fit = _common_fit("x.n", "x.common", "y.n", "y.common")
+    met = groups.alias("x").join(groups.alias("y"), F.expr(f"x.center = y.center AND x.c < y.c AND {fit}") & _sizes_fit("x.n", "y.n"))
+    sides = met.groupBy(*[F.col(f"{side}.{c}").alias(f"{c}_{side}") for side in "xy" for c in ("c", "n")]).agg((F.max("x.size") <= F.max("y.size")).alias("x_first"))
+    few, many = ([F.when(F.col("x_first") == first, F.col(f"{c}_x")).otherwise(F.col(f"{c}_y")) for c in ("c", "n")] for first in (True, False))
+    turned = sides.select(few[0].alias("c"), few[1].alias("n"), many[0].alias("c_m"), many[1].alias("n_m"))
+    members = able.select("c", "n", "id", "sketch", "common")
+    left = turned.join(members, ["c", "n"]).select(F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("sketch").alias("s_a"), F.col("common").alias("common_a"), F.col("c_m").alias("c"), F.col("n_m").alias("n"))
+    right = members.select("c", "n", F.col("id").alias("b"), F.col("sketch").alias("s_b"), F.col("common").alias("common_b"))
+    pairs = left.alias("l").join(right.alias("r"), (F.col("l.c") == F.col("r.c")) & (F.col("l.n") == F.col("r.n")) & F.expr(_common_fit("n_a", "common_a", "r.n", "common_b")) & _sketches_fit(FINE, "n_a", "s_a", "r.n", "s_b"))
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+
+def grouped_rows(docs: DataFrame, *, words: int) -> DataFrame:
+    """Each row of ``docs`` (doc_id, text) with its group: doc_id, text_hash, n_shingles, component, component_id, n_links.
+
+    text_hash is Spark's xxhash64 of the text; component names the group by a hash (null without words or doc_id).
+    See near_duplicates.
+    """
+    scratch = Scratch(docs.sparkSession)
+    each = scratch.written(sketches(docs, words=words), "sketches")
+    named = each.where("n > 0 AND doc_id IS NOT NULL")
+    classes = named.groupBy("id").agg(F.min(F.struct("doc_id", "text_hash")).alias("row"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+    classes = scratch.written(classes.select("id", "row.*", "n", "sketch"), "classes")
+    near = blocks(run_keys(classes), scratch)
+    links = confirmed(likely(star_pairs(near), classes, SKETCH), docs, classes, words, scratch, "star")
+    known = components(links)
+    placed = scratch.written(open_blocks(near, known), "open")
+    left = scratch.written(classes.select("id", "doc_id", "text_hash").join(placed.select("id", "c").distinct(), "id"), "left")
+    scratch.drop("blocks")
+    texts = _first_rows(docs, left.drop("c")).dropDuplicates(["id"])
+    fine = scratch.written(sketches(texts, words=words, size=FINE).select("id", "n", "sketch").join(left.select("id", "c"), "id"), "fine")
+    values = fine.select("id", "c", F.explode("sketch").alias("value"))
+    rare = values.groupBy("value").agg(F.count(F.lit(1)).alias("df")).where(f"df <= {RARE}")
+    own = values.join(rare.select("value"), "value").groupBy("id").agg(F.count(F.lit(1)).alias("own"))
+    counted = scratch.written(fine.join(own, "id", "left").select("id", "c", "n", "sketch", (F.size("sketch") - F.coalesce("own", F.lit(0))).alias("common")), "counted")
+    pairs = likely(rare_pairs(values, rare.where("df > 1").select("value")), fine, FINE).union(common_pairs(placed, counted)).distinct()
+    more = confirmed(pairs, docs, classes, words, scratch, "other")
+    scratch.drop("open", "left", "fine", "counted")
+    placed = classes.select("id", "doc_id").join(known.withColumnRenamed("node", "id"), "id", "left").withColumn("c", F.coalesce("component", "id"))
+    if not more.isEmpty():
+        # the links that were found last join components
+        ends = [known.select(F.col("node").alias(x), F.col("component").alias(f"c_{x}")) for x in "ab"]
+        joins = more.join(ends[0], "a", "left").join(ends[1], "b", "left").select(F.coalesce("c_a", "a").alias("a"), F.coalesce("c_b", "b").alias("b"))
+        placed = placed.join(components(joins).select(F.col("node").alias("c"), F.col("component").alias("root")), "c", "left").withColumn("c", F.coalesce("root", "c"))
+    counts = links.union(more).select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("n_links"))
+    placed = placed.join(counts, "id", "left").select("id", "doc_id", F.col("c").alias("component"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    first = placed.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    labels = scratch.written(placed.drop("doc_id").join(first, "component"), "labels")
+    scratch.drop("classes", "star_links", "other_links")
+    key = F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("id"))
+    joined = each.select("doc_id", "text_hash", "n", key.alias("id")).join(labels, "id", "left")
+    return joined.select("doc_id", "text_hash", F.col("n").alias("n_shingles"), "component", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
 def near_duplicates(docs: DataFrame, *, words: int) -> DataFrame:
@@ -173,43 +239,42 @@ def near_duplicates(docs: DataFrame, *, words: int) -> DataFrame:
     Two documents are linked if their sets of ``words``-word shingles have 100 * intersection >= 80 * union; A-Z
     count as a-z. component_id is the smallest doc_id that links lead to, the document's own included; kept tells
     whether it is the document itself. n_links counts the links that were confirmed for the document's class.
-    Documents without words (null or empty text among them) have n_shingles 0 and no links. Rows of one doc_id are
-    one document: each row is returned. A null doc_id is never linked: its component_id is null and it is kept.
-    Extra columns are left out; an empty table gives an empty result.
-
-    Documents with one set form a class, found by a hash of the whole set; only the first of a class goes on. Lists of
-    rare retained values pair classes twice: first each list's members with a few of them, so that thousands of near
-    copies meet in one component; then all members that are in different components yet. Where these are many, because
-    many documents share a passage, their documents get finer sketches, in whose lists only documents meet that share
-    most of what they hold. Sketches filter the pairs and the texts confirm them. No step gathers a list, a group or a
-    component in one place.
+    Documents without words (null or empty text among them) have n_shingles 0 and no links. Each row is judged by its own
+    text, also where rows share a doc_id; equal rows get equal results. A null doc_id is never linked: its component_id
+    is null and it is kept. Very long texts are read whole. Extra columns are left out; an empty table gives an empty result.
+
+    Documents with one set form a class, found by a hash of the whole set; only a class goes on. Inverted lists of
+    neighbouring retained values bring classes together; a class that has too few keys in common with any others leaves
+    them. Each member of a list is first paired with its center, so that thousands of near copies meet in one component.
+    Members that share a center but lie in different components then get finer sketches: pairs that share a rare value
+    are all looked at, and for others the count of common values tells which can still be linked. Sketches filter the
+    pairs and the texts confirm them. No step gathers a list, a group or a component in one place.
+    """
+    rows = grouped_rows(docs, words=words)
+    return rows.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"), "n_links")
+
+
+def without_near_duplicates(docs: DataFrame, *, words: int) -> DataFrame:
+    """One row of each group: that with the least doc_id (of several, the least hash of its text), once.
+
+    All columns stay as they are. Rows without words or doc_id are in no group and stay. Rows are told apart by doc_id
+    and text, so that a row stays if another one with its doc_id goes.
     """
-    spark = docs.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(shared_folder(spark))
-    each = written(sketches(docs, words=words), "sketches")
-    # below four shingles only equal sets are similar enough
-    classes = each.where("n > 0 and doc_id is not null").groupBy("content").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
-    classes = written(classes, "classes")
-    held = classes.where("n >= 4").select("id", "n", "sketch")
-    lists = written(index_rows(held), "lists")
-    links = _confirmed(_likely(_star_pairs(lists), classes).checkpoint(), docs, words).checkpoint()
-    placed = _in_components(lists, components(links))
-    others = _other_pairs(placed.where(f"n_components <= {LONG}"))
-    hot = placed.where(f"n_components > {LONG}").select("id").distinct().checkpoint()
-    if hot.count():
-        fine = sketches(_texts(docs, hot).withColumnRenamed("id", "doc_id"), words=words, size=FINE).select(F.col("doc_id").alias("id"), "n", "sketch")
-        lists = written(index_rows(written(fine, "fine"), FINE), "fine_lists")
-        links = links.union(_confirmed(_likely(_star_pairs(lists, FINE), classes).checkpoint(), docs, words)).checkpoint()
-        others = others.union(_other_pairs(_in_components(lists, components(links)), FINE)).distinct()
-    links = links.union(_confirmed(_likely(others, classes).checkpoint(), docs, words)).distinct().checkpoint()
-    found = components(links)
-    counts = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
-    labels = classes.select("content", "id").join(found, F.col("id") == found["node"], "left").join(counts, F.col("id") == counts["node"], "left").select("content", F.coalesce("component", "id").alias("component"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    linked = (F.col("n") > 0) & F.col("doc_id").isNotNull()
-    joined = each.withColumn("key", F.when(linked, F.col("content"))).join(labels.withColumnRenamed("content", "key"), "key", "left")
-    component = F.coalesce("component", "doc_id")
-    return joined.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), component).alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    scratch = Scratch(docs.sparkSession)
+    rows = scratch.written(grouped_rows(docs, words=words).where("component IS NOT NULL").groupBy("component", "doc_id", "text_hash").agg(F.count(F.lit(1)).alias("times")), "groups")
+    best = rows.groupBy("component").agg(F.min(F.struct("doc_id", "text_hash")).alias("best"), F.count(F.lit(1)).alias("rows")).where("rows > 1").select("component", "best")
+    gone = scratch.written(rows.join(best, "component").where("struct(doc_id, text_hash) <> best").select(F.col("doc_id").alias("g_id"), F.col("text_hash").alias("g_hash")), "gone")
+    again = scratch.written(rows.where("times > 1").select(F.col("doc_id").alias("g_id"), F.col("text_hash").alias("g_hash")), "again")
+    scratch.drop("groups")
+    # the row goes into a struct, so that no column of its own can clash
+    held = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    same = (F.col("row.doc_id").cast("long") == F.col("g_id")) & (F.xxhash64("row.text") == F.col("g_hash"))
+    kept = held.join(broadcast_if_small(gone), same, "left_anti")
+    whole = [F.col("row").getField(c).alias(c) for c in docs.columns]
+    if again.isEmpty():
+        return kept.select(*whole)
+    once = kept.join(broadcast_if_small(again), same, "left_semi").select("row", F.col("row.doc_id").alias("g_id"), F.xxhash64("row.text").alias("g_hash")).dropDuplicates(["g_id", "g_hash"]).select("row")
+    return kept.join(broadcast_if_small(again), same, "left_anti").union(once).select(*whole)
 
 
 def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
