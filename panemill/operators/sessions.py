@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from panemill.functions.aggregates import Aggregate
-from panemill.plans.panes import GROUP, few_values, joined, picked
+from panemill.plans.panes import GROUP, Measured, joined, picked
 from panemill.plans.spec import WindowSpec
 
 
@@ -40,7 +40,7 @@ def session_windows(events: DataFrame, window: WindowSpec, functions: Sequence[A
         values = [f.lowered(f"f{i}").cast("bigint").alias(f"value_{i}") for i, f in plain.items()]
         found.append(sums.select(F.lit(window.window_id).cast("bigint").alias("window_id"), F.unix_millis("span.start").alias("window_start"), F.unix_millis("span.end").alias("window_end"), "key", *values))
     if ranked:
-        found.append(picked(_value_counts(events, window), ranked, few=few_values(events)))
+        found.append(picked(_value_counts(events, window), ranked, few=Measured.of(events).few_values()))
     return joined(found).select(*GROUP, *[f"value_{i}" for i in range(len(functions))])
 
 

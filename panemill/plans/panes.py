@@ -2,12 +2,14 @@
 
 Spark's ``window(ts, size, slide)`` copies each row for each window before it aggregates, and several windows read the
 input several times. Here rows are aggregated once, into panes as long as all sizes and slides have in common;
-only panes are copied to the windows that they lie in.
+only panes are copied to the windows that they lie in. Where events are so sparse that a pane holds fewer than two,
+rows are copied instead, which saves a shuffle.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -46,7 +48,28 @@ def _windows_of(start: Column, w: WindowSpec) -> Column:
     return F.transform(starts, lambda s: F.struct(F.lit(w.window_id).cast("bigint").alias("window_id"), s.alias("window_start"), (s + w.size).alias("window_end")))
 
 
-def _in_windows(events: DataFrame, windows: Sequence[WindowSpec], pane_ms: int, by: Sequence[str], first: Sequence[Column], then: Sequence[Column]) -> DataFrame:
+@dataclass(frozen=True)
+class Measured:
+    """How many events there are, and how far their times and values reach: what plans are chosen by."""
+
+    rows: int
+    times: int
+    values: int
+
+    @classmethod
+    def of(cls, events: DataFrame) -> Measured:
+        rows, t0, t1, v0, v1 = events.agg(F.count(F.lit(1)), F.min("event_ts"), F.max("event_ts"), F.min("value"), F.max("value")).first()
+        return cls(rows, 0 if t0 is None else t1 - t0 + 1, 0 if v0 is None else v1 - v0 + 1)
+
+    def panes_share(self, pane_ms: int) -> bool:
+        return self.rows >= 2 * (self.times // pane_ms + 1)
+
+    def few_values(self) -> bool:
+        """Whether whole values lie so close together that no group can have more than ORDERED different ones."""
+        return self.values <= ORDERED
+
+
+def _in_windows(events: DataFrame, windows: Sequence[WindowSpec], pane_ms: int, by: Sequence[str], first: Sequence[Column], then: Sequence[Column], *, share: bool) -> DataFrame:
     """Aggregate events by window and ``by``: ``first`` into panes, ``then`` the panes of a window."""
     rows = events.where("event_ts >= 0")
     if len(windows) == 1 and windows[0].size == windows[0].slide:
@@ -55,6 +78,9 @@ def _in_windows(events: DataFrame, windows: Sequence[WindowSpec], pane_ms: int,
         start = F.col("event_ts") - F.pmod(F.col("event_ts"), F.lit(w.size))
         found = rows.select("key", "value", start.alias("window_start")).groupBy("window_start", *by).agg(*first)
         return found.select(F.lit(w.window_id).cast("bigint").alias("window_id"), (F.col("window_start") + w.size).alias("window_end"), "*")
+    if not share:
+        copies = rows.select("key", "value", F.explode(windows_over(F.col("event_ts"), windows)).alias("w")).select("w.*", "key", "value")
+        return copies.groupBy("window_id", "window_start", "window_end", *by).agg(*first)
     pane = F.col("event_ts") - F.pmod(F.col("event_ts"), F.lit(pane_ms))
     panes = rows.select("key", "value", pane.alias("pane_start")).groupBy("pane_start", *by).agg(*first)
     copies = panes.withColumn("w", F.explode(windows_over(F.col("pane_start"), windows))).select("w.*", "*")
@@ -67,12 +93,6 @@ ORDERED = 1_000_000
 BUCKETS, SALTS = 1024, 64
 
 
-def few_values(rows: DataFrame) -> bool:
-    """Whether whole values lie so close together that no group can have more than ORDERED different ones."""
-    low, high = rows.agg(F.min("value"), F.max("value")).first()
-    return low is None or high - low < ORDERED
-
-
 def _at_rank(found: Column, upto: Column, n: Column, rank: Column) -> Column:
     return F.when((upto > rank) & (upto - n <= rank), found)
 
@@ -112,21 +132,26 @@ def joined(found: Sequence[DataFrame]) -> DataFrame:
     return found[0].alias("x").join(found[1].alias("y"), same, "left").select(*[f"x.{c}" for c in GROUP], *values)
 
 
-def fixed_windows(events: DataFrame, windows: Sequence[WindowSpec], functions: Sequence[Aggregate], pane_ms: int) -> DataFrame:
+def fixed_windows(events: DataFrame, windows: Sequence[WindowSpec], functions: Sequence[Aggregate], pane_ms: int, *, share: bool | None = None) -> DataFrame:
     """(window_id, window_start, window_end, key, value_0, ...) of tumbling and sliding time windows.
 
     Functions of the class ``holistic`` work on counts of different values, all others on one part for each pane.
-    Counts and parts are summed up before each shuffle. See ``picked`` for how a value's place is found.
+    Counts and parts are summed up before each shuffle. See ``picked`` for how a value's place is found. ``share``:
+    whether to go by panes; where it is left out, the number of events and the time that they cover tell.
     """
     plain = {i: f for i, f in enumerate(functions) if f.kind != "holistic"}
     ranked = {i: f for i, f in enumerate(functions) if f.kind == "holistic"}
+    single = len(windows) == 1 and windows[0].size == windows[0].slide
+    measured = Measured.of(events) if ranked or (share is None and not single) else None
+    if share is None:
+        share = measured is not None and measured.panes_share(pane_ms)
     found = []
     if plain:
         first = [c for i, f in plain.items() for c in f.lifted(F.col("value"), f"f{i}")]
         then = [c for i, f in plain.items() for c in f.merged(f"f{i}")]
-        parts = _in_windows(events, windows, pane_ms, ["key"], first, then)
+        parts = _in_windows(events, windows, pane_ms, ["key"], first, then, share=share)
         found.append(parts.select(*GROUP, *[f.lowered(f"f{i}").cast("bigint").alias(f"value_{i}") for i, f in plain.items()]))
     if ranked:
-        counts = _in_windows(events, windows, pane_ms, ["key", "value"], [F.count("value").alias("n")], [F.sum("n").alias("n")])
-        found.append(picked(counts, ranked, few=few_values(events)))
+        counts = _in_windows(events, windows, pane_ms, ["key", "value"], [F.count("value").alias("n")], [F.sum("n").alias("n")], share=share)
+        found.append(picked(counts, ranked, few=measured.few_values()))
     return joined(found).select(*GROUP, *[f"value_{i}" for i in range(len(functions))])

@@ -171,7 +171,8 @@ def test_panes_agree_with_rows(spark):
     base = [(rng.randrange(4000), rng.randrange(-50, 50), rng.randrange(3)) for _ in range(300)]
     rows = events(spark, " ".join(f"0,{t},{v},{k}" for t, v, k in base))
     windows, functions = [tumbling(200, 0), sliding(500, 150, 1)], [aggregate(x) for x in ("SUM", "AVG", "MEDIAN", "MIN")]
-    got = found(long_results(fixed_windows(rows, windows, functions, 50)))
+    got, plain = (found(long_results(fixed_windows(rows, windows, functions, 50, share=share))) for share in (True, False))
+    assert got == plain == found(long_results(fixed_windows(rows, windows, functions, 50)))
     want = {}
     for w in windows:
         for start, key in itertools.product(range(0, 4000, w.slide), range(3)):
