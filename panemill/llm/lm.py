@@ -1,46 +1,50 @@
-"""Language-model scores by logistic mixing of hashed-context bit predictors.
-
-Training counts, for each predictor, which byte followed which context: a table of (hash, byte, count) that grows with
-the input. A context's counts give the bit predictors on a byte's way from the root of a binary tree. At scoring the
-predictors' log odds are mixed with weights that a gate picks, the place of the bit in its byte; after each byte the
-weights move along the error. Weights start from what all training texts taught and adapt along the whole text.
-
-``count_texts``, ``log_odds`` and ``contexts`` hold the same counts in tables of a fixed size, for a few texts in memory.
+"""Language-model scores by online logistic mixing of hashed-context bit predictors.
+
+Each predictor counts which byte followed which context in the training texts; a context's counts give the bit
+predictors on a byte's way from the root of a binary tree. At scoring the predictors' log odds are mixed with
+weights that two gates pick: the place of the bit in its byte, and whether the longest context is known. A scale and a
+shift for each place, which follow what the mixed odds turned out to mean, refine them. All of these begin with fixed
+values for each text and move along the whole text, after each step of 32 bytes; a text's score hence depends on
+itself and the counts alone.
+
+Counts are exact and grow with the corpus: texts are dealt to slices; a slice sends the contexts of its texts, with
+what its training texts count, to parts of the contexts' hashes; each part adds up and sends each slice the log odds
+that it asked for. No task holds more than a slice or a part, and a context costs each slice that has it one entry.
 """
 
 from __future__ import annotations
 
-from collections import Counter
+import itertools
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import xxhash
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow.compute  # noqa: F401
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panemill.llm.common import fold, give_back, table, utf8, written
+from panemill.llm.common import fold, give_back, table, written
 
 FOLDS = 10
 #: Base-10 smoothing of the base score: added to each token's count.
 ADDED = 0.1
-#: The most frequent tokens, whose counts every task holds; the counts of all others are joined by a shuffle.
-FREQUENT = 1 << 16
-#: Bytes of context of each predictor (0: the word so far) and the bits of its table's rows.
-CONTEXTS = ((2, 16), (4, 18), (6, 18), (0, 18))
-#: Of tables of a fixed size, which scoring does not use.
-ROWS = sum(1 << bits for _, bits in CONTEXTS)
+#: Bytes of context of each predictor; 0: the word so far, whose contexts also count the tokens.
+CONTEXTS, LONGEST = (3, 5, 0), 1
 #: Pseudo-count of each bit; log odds are held in sixteenths.
 PRIOR, GRAIN = 0.02, 16.0
-PAD, END = 8, 0xFF
-RATE = 0.004
-#: The rates along the lots of a slice that teaches.
-TEACHING = (0.03, 0.03, 0.02, 0.01, 0.005, RATE)
-#: Bytes of texts that meet their counts together, and that are mixed at once; bytes of a block of steps of mixing.
-SLICE, LOT, BLOCK = 1 << 23, 1 << 20, 1 << 18
-#: Different keys that a counting task holds before it sends them.
-HELD = 1 << 22
+PAD, SPACE, END = 8, 32, 0xFF
+#: Bytes that share weights before these move.
+STEP = 32
+#: Weights at a text's beginning, by whether the longest context is known, and how fast they move.
+START = ((0.5, 0.3, 0.4), (0.2, 0.5, 0.4))
+RATE = 0.01
+#: How fast the scale and the shift move that refine the mixed log odds; these are bounded, in nats.
+REFINE, LIMIT = 0.002, 11.0
+#: Bytes of texts that meet their counts together, bytes whose keys are worked out at once, texts that are mixed at once.
+SLICE, LOT, SIDE = 10 << 20, 1 << 21, 512
+_ODD = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93))
+_TOKEN = np.uint64(1 << 8)
 
 
 def tokens_of(text: bytes) -> list[bytes]:
@@ -48,451 +52,431 @@ def tokens_of(text: bytes) -> list[bytes]:
     return text.lower().split()
 
 
-def _laid_out(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+def laid_out(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """All texts as one array, each with a space after every token, an end byte, and zeros before it; their starts."""
     parts = [b"\0" * PAD + b" ".join([*tokens_of(t), b"\xff"]) for t in texts]
-    starts = np.cumsum([0, *map(len, parts)])
-    return np.frombuffer(b"".join(parts), np.uint8), starts
+    return np.frombuffer(b"".join(parts), np.uint8), np.cumsum([0, *map(len, parts)])
 
 
-@dataclass
-class Contexts:
-    """For each byte the cells of its two nibbles in each predictor's table, (predictors, bytes)."""
+def _zeros(starts: np.ndarray) -> np.ndarray:
+    """The places of the zeros before each of some laid-out texts."""
+    return (starts[:-1, None] + np.arange(PAD)).reshape(-1)
 
-    high: np.ndarray
-    low: np.ndarray
 
+def context_keys(body: np.ndarray, starts: np.ndarray) -> Iterator[np.ndarray]:
+    """For each predictor the key of each byte of laid-out texts; the zeros before a text have its first byte's.
 
-def _before(body: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The bytes as wide numbers; the eight bytes before each as one number, the nearest one highest; a hash of the
-    word so far."""
-    n = len(body)
+    A key has 55 bits of the context's hash, a bit that tells the word's contexts, and the byte.
+    """
     wide = body.astype(np.uint64)
-    before = np.ndarray((n,), "<u8", bytes(8) + body.tobytes(), strides=(1,))
-    inside = (body != 32) & (body != END) & (body != 0)
-    first = np.ones(n, bool)
-    first[1:] = ~inside[:-1]
-    starts = np.flatnonzero(first)
-    lengths = np.diff(np.append(starts, n))
-    place = np.arange(n) - np.repeat(starts, lengths)
-    powers = np.cumprod(np.full(int(place.max(initial=0)) + 1, 0x9E3779B97F4A7C15, np.uint64))
-    terms = (wide + np.uint64(1)) * powers[place]
-    word = np.cumsum(terms) - terms
-    word -= np.repeat(word[starts], lengths)
-    return wide, before, word
-
-
-def contexts(body: np.ndarray) -> Contexts:
-    n = len(body)
-    wide, before, word = _before(body)
-    high, low = np.empty((len(CONTEXTS), n), np.int32), np.empty((len(CONTEXTS), n), np.int32)
-    upper, lower, base = wide >> np.uint64(4), wide & np.uint64(15), 0
-    deeper_by = (upper + np.uint64(1)) * np.uint64(0xC2B2AE3D27D4EB4F)
-    for k, (back, bits) in enumerate(CONTEXTS):
-        h = ((word if back == 0 else before >> np.uint64(64 - 8 * back)) + np.uint64(k + 1)) * np.uint64(0x9E3779B97F4A7C15)
-        shift = np.uint64(64 - bits)
-        high[k] = (h >> shift << np.uint64(4) | upper) + np.uint64(base)
-        h ^= deeper_by
-        h *= np.uint64(0xD6E8FEB86659FD93)
-        low[k] = (h >> shift << np.uint64(4) | lower) + np.uint64(base)
-        base += 16 << bits
-    return Contexts(high, low)
-
-
-def count_texts(counts: np.ndarray, texts: list[bytes]) -> None:
-    """Add the texts' nibbles to ``counts`` (rows * 16)."""
-    body, _ = _laid_out(texts)
-    c = contexts(body)
-    real = body > 0
-    for k in range(len(CONTEXTS)):
-        for cells in (c.high[k], c.low[k]):
-            np.add.at(counts, cells[real].astype(np.int64), np.uint32(1))
-
-
-def log_odds(counts: np.ndarray) -> np.ndarray:
-    """Of nibble counts (rows, 16) the log odds of the bits that lead to each nibble: (rows, 16, 4), int8."""
-    n = counts.astype(np.float32)
-    out = np.empty((len(n), 16, 4), np.int8)
-    for bit in range(4):
-        half = 8 >> bit
-        nodes = n.reshape(len(n), 1 << bit, 2, half).sum(axis=3)
-        odds = np.log((nodes[:, :, 1] + PRIOR) / (nodes[:, :, 0] + PRIOR)) * GRAIN
-        out[:, :, bit] = np.repeat(np.clip(np.rint(odds), -127, 127).astype(np.int8), 2 * half, axis=1)
-    return out
-
-
-@dataclass
-class Exact:
-    """The counts that a slice of texts needs: sorted keys (56 bits of context, 8 of the byte after it), their counts."""
-
-    keys: np.ndarray
-    n: np.ndarray
-
-
-def context_keys(body: np.ndarray) -> np.ndarray:
-    """For each byte its key in each predictor, (predictors, bytes)."""
-    wide, before, word = _before(body)
-    out = np.empty((len(CONTEXTS), len(body)), np.uint64)
-    for k, (back, _) in enumerate(CONTEXTS):
-        h = (word if back == 0 else before >> np.uint64(64 - 8 * back)) + np.uint64((k + 1) * 0xC2B2AE3D27D4EB4F % 2**64)
-        h *= np.uint64(0x9E3779B97F4A7C15)
+    before = np.ndarray((len(body),), "<u8", bytes(8) + body.tobytes(), strides=(1,))
+    zeros = _zeros(starts)
+    for k, back in enumerate(CONTEXTS):
+        h = before >> np.uint64(64 - 8 * back) if back else _words_so_far(body, wide, zeros)
+        h += np.uint64((k + 1) * 0xC2B2AE3D27D4EB4F % 2**64)
+        h *= _ODD[0]
         h ^= h >> np.uint64(32)
-        h *= np.uint64(0xD6E8FEB86659FD93)
+        h *= _ODD[1]
         h ^= h >> np.uint64(32)
-        out[k] = h & ~np.uint64(255) | wide
-    return out
-
-
-def _real(starts: np.ndarray) -> np.ndarray:
-    """Which bytes of laid-out texts are not the zeros before a text."""
-    real = np.ones(int(starts[-1]), bool)
-    for i in range(PAD):
-        real[starts[:-1] + i] = False
-    return real
-
-
-def _summed(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        h &= ~np.uint64(511)
+        h |= wide
+        if not back:
+            h |= _TOKEN
+        h[zeros] = np.repeat(h[starts[:-1] + PAD], PAD)
+        yield h
+
+
+def _words_so_far(body: np.ndarray, wide: np.ndarray, zeros: np.ndarray) -> np.ndarray:
+    """For each byte a hash of what stands before it in its word: a polynomial, 0 for nothing."""
+    first = np.empty(len(body) + 1, bool)
+    first[0] = True
+    np.equal(body, SPACE, out=first[1:])
+    first[zeros + 1] = True
+    begin = np.flatnonzero(first[:-1])
+    lengths = np.diff(np.append(begin, len(body)))
+    place = np.arange(len(body), dtype=np.int32)
+    place -= np.repeat(begin.astype(np.int32), lengths)
+    powers = np.cumprod(np.full(int(place.max(initial=0)) + 1, _ODD[0]))
+    terms = np.take(powers, place)
+    terms *= wide + np.uint64(1)
+    upto = np.cumsum(terms)
+    upto -= terms
+    upto -= np.repeat(upto[begin], lengths)
+    return upto
+
+
+def different(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different keys, sorted, and the sums of their numbers (64 bits)."""
     order = np.argsort(keys, kind="stable")
     keys, n = keys[order], n[order]
     first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
     return keys[first], np.add.reduceat(n, first) if len(first) else n
 
 
-def count_keys(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """The different keys of these texts, sorted, and how often each occurs (64 bits)."""
-    body, starts = _laid_out(texts)
-    keys = np.sort(context_keys(body)[:, _real(starts)], axis=None)
-    first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+def _runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    keys = np.sort(keys)
+    first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
     return keys[first], np.diff(np.append(first, len(keys)))
 
 
-def _different(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """np.unique with the inverse, by a sort of a part of each key packed with its place."""
-    bits = np.uint64(max(1, len(keys) - 1).bit_length())
-    packed = keys * np.uint64(0x9E3779B97F4A7C15) >> bits << bits
-    packed |= np.arange(len(keys), dtype=np.uint64)
-    packed.sort()
-    order = (packed & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
-    ordered = keys[order]
-    new = np.append(True, ordered[1:] != ordered[:-1])
-    found = ordered[new]
-    by_key = np.argsort(found)
-    different = found[by_key]
-    if (different[1:] == different[:-1]).any():  # keys whose parts are the same lay mixed
-        return np.unique(keys, return_inverse=True)
-    rank = np.empty(len(found), np.int64)
-    rank[by_key] = np.arange(len(found))
-    inverse = np.empty(len(keys), np.int64)
-    inverse[order] = rank[np.cumsum(new) - 1]
-    return different, inverse
-
-
-def _exact_odds(model: Exact, body: np.ndarray, starts: np.ndarray, times: np.ndarray | None) -> np.ndarray:
-    """Packed log odds of each byte's eight bits in each predictor; ``times``: take each text out so many times."""
-    real = _real(starts)
-    different, inverse = _different(context_keys(body)[:, real].reshape(-1))
-    low = different & ~np.uint64(255)
-    low = low[np.append(True, low[1:] != low[:-1])]
-    first, last = np.searchsorted(model.keys, low), np.searchsorted(model.keys, low | np.uint64(255), "right")
-    held = np.arange(int((last - first).sum())) + np.repeat(first - np.append(0, np.cumsum(last - first)[:-1]), last - first)
-    keys = np.sort(np.concatenate([model.keys[held], different]))
-    keys = keys[np.append(True, keys[1:] != keys[:-1])]
-    n = np.zeros(len(keys), np.int64)
-    n[np.searchsorted(keys, model.keys[held])] = model.n[held]
-    at = np.searchsorted(keys, different)
-    if times is not None:
-        own = np.tile(np.repeat(times, np.diff(starts))[real], len(CONTEXTS))
-        n[at] -= np.bincount(inverse, own, len(different)).astype(np.int64)
-        np.maximum(n, 0, out=n)
-    odds = np.empty((len(different), 8), np.int8)
-    for bit in range(8):
+def count_keys(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The different keys of these texts, sorted, and how often each occurs."""
+    body, starts = laid_out(texts)
+    real = np.ones(len(body), bool)
+    real[_zeros(starts)] = False
+    found = [_runs(keys[real]) for keys in context_keys(body, starts)]
+    return different(np.concatenate([k for k, _ in found]), np.concatenate([n for _, n in found]))
+
+
+class Numbers:
+    """Numbers different keys from 0 as they come: a table of numbers by a hash, with the next free slot on a clash."""
+
+    def __init__(self, keys: np.ndarray | None = None) -> None:
+        self.size, self.held = 0, np.zeros(1 << 15, np.uint64)
+        self._table()
+        if keys is not None:
+            self.of(keys)
+
+    def _table(self) -> None:
+        bits = (2 * len(self.held)).bit_length() - 1
+        self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
+        self.slots = np.full(1 << bits, -1, np.int32)
+        self._put(np.arange(self.size, dtype=np.int32))
+
+    def _slots(self, keys: np.ndarray) -> np.ndarray:
+        slots = keys * _ODD[0]
+        slots >>= self.shift
+        return slots.view(np.int64)
+
+    def _put(self, left: np.ndarray) -> None:
+        slot = self._slots(self.held[left])
+        while len(left):
+            free = self.slots[slot] < 0
+            self.slots[slot[free]] = left[free]
+            lost = self.slots[slot] != left
+            left, slot = left[lost], slot[lost] + 1 & self.mask
+
+    def _find(self, keys: np.ndarray) -> np.ndarray:
+        slot = self._slots(keys)
+        out = self.slots[slot]
+        left = np.flatnonzero((self.held[out] != keys) & (out >= 0))
+        while len(left):
+            slot[left] = slot[left] + 1 & self.mask
+            out[left] = self.slots[slot[left]]
+            left = left[(self.held[out[left]] != keys[left]) & (out[left] >= 0)]
+        return out
+
+    def of(self, keys: np.ndarray) -> np.ndarray:
+        """The number of each key; new keys get the next ones, in their order."""
+        out = self._find(keys)
+        new = np.flatnonzero(out < 0)
+        if len(new):
+            some = np.sort(keys[new])
+            some = some[np.append(True, some[1:] != some[:-1])]
+            before, self.size = self.size, self.size + len(some)
+            if self.size > len(self.held):
+                self.held = np.concatenate([self.held, np.zeros(max(len(self.held), self.size - len(self.held)), np.uint64)])
+                self.held = np.concatenate([self.held, np.zeros((1 << (len(self.held) - 1).bit_length()) - len(self.held), np.uint64)])
+                self.held[before : self.size] = some
+                self._table()
+            else:
+                self.held[before : self.size] = some
+                self._put(np.arange(before, self.size, dtype=np.int32))
+            out[new] = self._find(keys[new])
+        return out
+
+    def keys(self) -> np.ndarray:
+        return self.held[: self.size]
+
+
+def odds_of(keys: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Of the counts of all keys of some contexts, sorted, each key's log odds of its byte's bits: (keys, 8), int8."""
+    odds = np.zeros((len(keys), 8), np.int8)
+    for bit in range(8 if len(keys) else 0):
         node = keys >> np.uint64(8 - bit)
         new = np.append(True, node[1:] != node[:-1])
         begin = np.flatnonzero(new)
         ones = np.add.reduceat(n * (keys >> np.uint64(7 - bit) & np.uint64(1)).astype(np.int64), begin)
         zeros = np.add.reduceat(n, begin) - ones
         of_node = np.clip(np.rint(np.log((ones + PRIOR) / (zeros + PRIOR)) * GRAIN), -127, 127).astype(np.int8)
-        odds[:, bit] = of_node[np.cumsum(new)[at] - 1]
-    out = np.zeros((len(CONTEXTS), len(body)), np.uint64)
-    out[:, real] = odds.view(np.uint64).reshape(-1)[inverse].reshape(len(CONTEXTS), -1)
-    return out
+        odds[:, bit] = of_node[np.cumsum(new) - 1]
+    return odds
 
 
-def mix(model: Exact | np.ndarray, start: np.ndarray, texts: list[bytes], rate: float = RATE, times: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """log10 probability of each text, and the mean by bytes of the weights that the texts ended with.
+def is_token(keys: np.ndarray) -> np.ndarray:
+    """Which keys stand for a whole token: a word's context with the space after it, or the end."""
+    byte = keys & np.uint64(255)
+    return (keys & _TOKEN > 0) & ((byte == SPACE) | (byte == END))
 
-    ``model``: exact counts, or log odds (rows * 16) of tables of a fixed size as packed 32-bit numbers; ``start``:
-    (predictors, 8 bits); ``times``: how often each text is in exact counts and is taken out of them.
-    """
-    body, starts = _laid_out(texts)
-    if isinstance(model, Exact):
-        packed = _exact_odds(model, body, starts, times)
-    else:
-        c = contexts(body)
-        packed = model[c.high].astype(np.uint64) | model[c.low].astype(np.uint64) << np.uint64(32)
-    first, size = starts[:-1] + PAD, np.diff(starts) - PAD
-    total, ended = np.zeros(len(texts)), np.zeros(start.shape)
-    order = np.argsort(-size, kind="stable")
-    for lot in range(0, len(order), 1000):
-        some = order[lot : lot + 1000]
-        with np.errstate(over="ignore"):  # a chance of 0 or 1
-            total[some], weights = _mix_texts(packed, start, body, first[some], size[some], rate)
-        ended += (weights * size[some][:, None, None]).sum(axis=0)
-    return total / np.log(10), ended / size.sum() if len(texts) else start
-
-
-def _mix_texts(packed: np.ndarray, start: np.ndarray, body: np.ndarray, first: np.ndarray, size: np.ndarray, rate: float) -> tuple[np.ndarray, np.ndarray]:
-    """Texts, longest first, go forward together, byte by byte, each with weights that it carries from its first byte to
-    its last. Returns their log probabilities and last weights."""
-    n, k = len(first), len(CONTEXTS)
-    weights = np.repeat(start[..., None].astype(np.float32) / np.float32(GRAIN), n, axis=2)
-    x, moved = np.empty((k, 8, n), np.float32), np.empty((k, 8, n), np.float32)
-    scaled = np.float32(rate / GRAIN / GRAIN)
-    total = np.zeros(n)
-    done = 0
-    while done < size[0]:
-        steps = min(int(size[0]) - done, max(1, BLOCK // int(np.searchsorted(-size, -done, "left"))))
-        active = np.searchsorted(-size, -np.arange(done, done + steps), "left")
-        ends = np.cumsum(active)
-        at = np.concatenate([first[:m] + done + t for t, m in enumerate(active)])
-        odds = np.moveaxis(np.take(packed, at, axis=1).view(np.int8).reshape(k, -1, 8), 2, 1).copy()
-        bits = np.unpackbits(body[at][None, :], axis=0).astype(np.float32)
-        ones = np.empty((8, len(at)), np.float32)  # the chance of each bit to be one
-        for t in range(steps):
-            m, b = int(active[t]), int(ends[t])
-            now, delta, bit = x[:, :, :m], moved[:, :, :m], bits[:, b - m : b]
-            now[:] = odds[:, :, b - m : b]
-            own = weights[:, :, :m]
-            np.multiply(own, now, out=delta)
-            one = delta.sum(axis=0, out=ones[:, b - m : b])
-            np.negative(one, out=one)
-            np.exp(one, out=one)
-            one += 1
-            np.reciprocal(one, out=one)
-            np.multiply(now, (bit - one) * scaled, out=delta)
-            own += delta
-        # the chance of each bit as it is, with a little left for either value; of four bits together no less than 6e-22
-        ones += bits
-        ones -= 1
-        np.abs(ones, out=ones)
-        ones *= np.float32(1 - 1e-5)
-        ones += np.float32(5e-6)
-        logs = np.log(ones[:4].prod(axis=0)) + np.log(ones[4:].prod(axis=0))
-        total += np.bincount(np.concatenate([np.arange(m) for m in active]), logs.astype(np.float64), n)
-        done += steps
-    return total, np.moveaxis(weights, 2, 0) * GRAIN
-
-
-def context_counts(texts: DataFrame) -> DataFrame:
-    """(context, cells): for each context of ``texts`` (text) the bytes that follow it and how often, in 64 bits.
-
-    A task adds up what it reads before the shuffle; a context has 256 cells at most.
-    """
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, n = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-
-        def rows() -> Iterator[pa.RecordBatch]:
-            for first in range(0, len(keys), 1 << 17):
-                some = keys[first : first + (1 << 17)]
-                columns = [(some >> np.uint64(8)).astype(np.int64), (some & np.uint64(255)).astype(np.int16), n[first : first + (1 << 17)]]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["context", "byte", "n"])
-
-        for batch in batches:
-            for some in _portions(batch.column(0), 1 << 20):
-                more, times = count_keys(some)
-                keys, n = _summed(np.concatenate([keys, more]), np.concatenate([n, times]))
-                if len(keys) > HELD:
-                    yield from rows()
-                    keys, n = keys[:0], n[:0]
-        yield from rows()
-        give_back()
+@dataclass
+class Spelled:
+    """Some laid-out texts with the numbers of their keys, (predictors, bytes), and the places of their tokens' ends."""
+
+    body: np.ndarray
+    starts: np.ndarray
+    numbers: np.ndarray
+    tokens: np.ndarray
+
+
+def spell(texts: list[bytes], numbers: Numbers) -> Spelled:
+    body, starts = laid_out(texts)
+    found = np.empty((len(CONTEXTS), len(body)), np.int32)
+    for k, keys in enumerate(context_keys(body, starts)):
+        found[k] = numbers.of(keys)
+        if not CONTEXTS[k]:
+            token = is_token(keys)
+    token[_zeros(starts)] = False
+    return Spelled(body, starts, found, np.flatnonzero(token))
+
+
+def judge(odds: np.ndarray, n: np.ndarray, spelled: Spelled) -> list[np.ndarray]:
+    """Of each text: n_tokens, n_known, the sum of log10(c + 0.1) over its tokens, the mixed log10 probability, and the
+    bytes that it is spelled with. ``odds`` (numbers, 8) and ``n``, the counts of tokens, are by the keys' numbers."""
+    body, starts = spelled.body, spelled.starts
+    size, first = np.diff(starts) - PAD, starts[:-1] + PAD
+    packed = np.zeros((len(CONTEXTS), len(body) + 1), np.uint64)
+    for k, numbers in enumerate(spelled.numbers):
+        packed[k, :-1] = odds.view(np.uint64).reshape(-1)[numbers]
+        if not CONTEXTS[k]:
+            c = n[numbers[spelled.tokens]]
+    of = np.searchsorted(starts, spelled.tokens, "right") - 1
+    sums = [np.bincount(of, x, len(size)) for x in (np.ones(len(c)), c > 0, np.log10(c + ADDED))]
+    body = np.append(body, np.uint8(0))
+    total = np.zeros(len(size))
+    order = np.argsort(-size, kind="stable")
+    for lot in range(0, len(order), SIDE):
+        some = order[lot : lot + SIDE]
+        total[some] = mix(packed, body, first[some], size[some])
+    return [*sums, total / np.log(10), size]
 
-    sent = texts.select("text").mapInArrow(count, "context long, byte short, n long")
-    summed = sent.repartition("context").groupBy("context", "byte").agg(F.sum("n").alias("n"))
-    return summed.groupBy("context").agg(F.collect_list(F.struct("byte", "n")).alias("cells"))
 
+def mix(packed: np.ndarray, spelled: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Log probabilities of texts, longest first, that go forward side by side.
 
-def _portions(column: pa.Array, size: int = 1 << 19) -> Iterator[list[bytes]]:
-    """The texts of a column as bytes, some 512 KB at a time."""
-    body, at = utf8(column)
-    data = body.tobytes()
+    ``packed`` holds eight log odds for each predictor and byte, ``spelled`` the bytes; the last place of both is empty.
+    """
+    # an empty text at the end: a sum over one column would add in another order
+    first, size = np.append(first, 0), np.append(size, 0)
+    k, n, end = len(CONTEXTS), len(first), len(spelled) - 1
+    weights = np.empty((k * 8, 2 * n), np.float32)  # predictor and bit; gate and text
+    weights[:] = np.repeat(np.repeat(np.array(START, np.float32).T / np.float32(GRAIN), 8, axis=0), n, axis=1)
+    scale, shift = np.ones((8, 1, n), np.float32), np.zeros((8, 1, n), np.float32)
+    total = np.zeros(n)
+    rate = np.float32(RATE / GRAIN / GRAIN)
+    for at in range(0, int(size[0]), STEP):
+        m = max(2, int(np.searchsorted(-size, -at, "left")))
+        inside = np.arange(at, at + STEP)[:, None] < size[:m]
+        place = np.where(inside, first[:m] + np.arange(at, at + STEP)[:, None], end).reshape(-1)
+        odds = np.take(packed, place, axis=1).view(np.int8).reshape(k, -1, 8).transpose(0, 2, 1).copy()
+        gate = odds[LONGEST, 0] != 0  # whether the longest context has been seen: what its first bit's odds tell
+        x = odds.reshape(k * 8, -1).astype(np.float32)
+        own = np.take(weights, (gate.reshape(STEP, m) * n + np.arange(m)).reshape(-1), axis=1, mode="clip")
+        own *= x
+        mixed = own[:8]
+        for other in range(8, k * 8, 8):
+            mixed += own[other : other + 8]
+        np.clip(mixed, -LIMIT, LIMIT, out=mixed)
+        mixed = mixed.reshape(8, STEP, m)
+        sign = np.unpackbits(np.take(spelled, place)[None], axis=0).reshape(8, STEP, m).astype(np.float32)
+        sign *= 2
+        sign -= 1
+        # the mixed odds as they are teach the weights
+        wrong = sign * mixed
+        np.negative(wrong, out=wrong)
+        np.exp(wrong, out=wrong)
+        wrong /= wrong + 1
+        wrong *= sign
+        wrong *= inside
+        x = x.reshape(k, 8, STEP, m)
+        x *= wrong
+        every = x.sum(axis=2)
+        x *= gate.reshape(STEP, m)
+        longest = x.sum(axis=2)
+        moved = weights.reshape(k, 8, 2, n)
+        moved[:, :, 1, :m] += rate * longest
+        every -= longest
+        moved[:, :, 0, :m] += rate * every
+        # refined by a scale and a shift of their own, which follow what the mixed odds have meant so far
+        missed = scale[:, :, :m] * mixed
+        missed += shift[:, :, :m]
+        np.clip(missed, -LIMIT, LIMIT, out=missed)
+        missed *= sign
+        np.negative(missed, out=missed)
+        np.exp(missed, out=missed)
+        missed += 1
+        # eight factors of 60,000 at most are within the range of a float32
+        total[:m] -= (np.log(missed.prod(axis=0)) * inside).sum(axis=0, dtype=np.float64)
+        np.reciprocal(missed, out=missed)
+        np.subtract(1, missed, out=missed)
+        missed *= sign
+        missed *= inside
+        shift[:, 0, :m] += np.float32(REFINE) * missed.sum(axis=1)
+        missed *= mixed
+        scale[:, 0, :m] += np.float32(REFINE) * missed.sum(axis=1)
+    return total[:-1]
+
+
+def _portions(column: pa.ChunkedArray) -> Iterator[list[bytes]]:
+    """The texts of a column as UTF-8, nulls as empty ones, some 2 MB at a time."""
     some: list[bytes] = []
     held = 0
-    for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
-        some.append(data[a:b])
-        held += b - a
-        if held >= size:
+    for text in column:
+        some.append((text.as_py() or "").encode())
+        held += len(some[-1])
+        if held >= LOT:
             yield some
             some, held = [], 0
     if some:
         yield some
 
 
-def sliced(docs: DataFrame) -> DataFrame:
-    """(slice, doc_id, text, copies): different rows, dealt by a hash to slices of some 8 MB, whatever their order."""
-    size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").groupBy("doc_id", "text").agg(F.count(F.lit(1)).alias("copies"))
-    return written(rows.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(-(-size // SLICE) or 1)).alias("slice"), "*"), "sliced")
+def _slice_keys(group: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """All keys of a slice's texts, sorted, and how often its training texts hold them."""
+    found = []
+    for learn in (True, False):
+        for texts in _portions(group.filter(pa.compute.equal(group.column("learn"), learn)).column("text")):
+            keys, n = count_keys(texts)
+            found.append((keys, n if learn else np.zeros(len(n), np.int64)))
+    return different(np.concatenate([k for k, _ in found]), np.concatenate([n for _, n in found]))
 
 
-def _by_slice(rows: DataFrame, counts: DataFrame, work: Callable[[Exact, list[tuple[int | None, bytes, int]]], pa.Table], schema: str) -> DataFrame:
-    """``work`` on each slice's rows (doc_id, text, copies), longest texts first, with all counts of their contexts."""
+def _planes(values: np.ndarray, wide: int) -> bytes:
+    """The low bytes of numbers, byte by byte: the shuffle packs them better than one number after the other."""
+    return values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :wide].T.tobytes()
 
-    def asked(group: pa.Table) -> pa.Table:
-        found = np.zeros(0, np.uint64)
-        for some in _portions(group.column("text"), 1 << 20):
-            keys = count_keys(some)[0] >> np.uint64(8)
-            found = np.concatenate([found, keys[np.append(True, keys[1:] != keys[:-1])]])
-            found.sort()
-            found = found[np.append(True, found[1:] != found[:-1])]
-        give_back()
-        return pa.table({"slice": pa.array(np.full(len(found), group.column("slice")[0].as_py(), np.int64)), "context": pa.array(found.astype(np.int64))})
-
-    def both(texts: pa.Table, found: pa.Table) -> pa.Table:
-        cells = found.column("cells").combine_chunks()
-        lengths = np.diff(cells.offsets.to_numpy())
-        flat = cells.flatten()
-        context = np.repeat(found.column("context").to_numpy().astype(np.uint64), lengths)
-        keys, n = _summed(context << np.uint64(8) | flat.field("byte").to_numpy().astype(np.uint64), flat.field("n").to_numpy())
-        del cells, flat, context, found
-        rows = [(i, (t or "").encode(), c) for i, t, c in zip(*[texts.column(x).to_pylist() for x in ("doc_id", "text", "copies")], strict=True)]
-        rows.sort(key=lambda r: (-len(r[1]), r[1], r[0] is None, r[0] or 0))
-        out = work(Exact(keys, n), rows)
-        give_back()
-        return out
 
-    wanted = rows.groupBy("slice").applyInArrow(asked, "slice long, context long")
-    found = wanted.join(counts, "context").select("slice", "context", "cells")
-    return rows.groupBy("slice").cogroup(found.groupBy("slice")).applyInArrow(both, schema)
+def _numbers(planes: bytes, wide: int) -> np.ndarray:
+    found = np.zeros((len(planes) // wide, 8), np.uint8)
+    found[:, :wide] = np.frombuffer(planes, np.uint8).reshape(wide, -1).T
+    return found.view("<u8").reshape(-1)
 
 
-def _lots(rows: list[tuple[int | None, bytes, int]], size: int) -> Iterator[list[tuple[int | None, bytes, int]]]:
-    some: list[tuple[int | None, bytes, int]] = []
-    held = 0
-    for row in rows:
-        some.append(row)
-        held += len(row[1])
-        if held >= size:
-            yield some
-            some, held = [], 0
-    if some:
-        yield some
-
-
-def teach(rows: DataFrame, counts: DataFrame) -> np.ndarray:
-    """The start weights: each slice learns from its own texts, and the slices' weights are averaged by their bytes.
+def _sides(keys: np.ndarray) -> np.ndarray:
+    """1 for each bit of the keys' bytes that is set, else -1: (keys, 8), int8."""
+    return np.unpackbits(keys.astype(np.uint8)[:, None], axis=1).view(np.int8) * np.int8(2) - np.int8(1)
 
-    While a lot of texts teaches, its own counts are taken out.
-    """
-    shape = (len(CONTEXTS), 8)
-
-    def learn(model: Exact, rows: list[tuple[int | None, bytes, int]]) -> pa.Table:
-        size = sum(len(r[1]) for r in rows)
-        lots = list(_lots(rows, min(LOT, max(1, size // 16))))
-        weights = np.full(shape, 0.25, np.float32)
-        for i in range(max(len(lots), len(TEACHING))):
-            some = lots[i % len(lots)]
-            rate = TEACHING[min(len(TEACHING) - 1, i * len(TEACHING) // max(len(lots), len(TEACHING)))]
-            weights = mix(model, weights, [r[1] for r in some], rate, np.array([r[2] for r in some]))[1]
-        return pa.table({"weights": pa.array([weights.reshape(-1).astype(np.float64).tolist()], pa.list_(pa.float64())), "size": pa.array([size + len(rows)], pa.int64())})
 
-    each = _by_slice(rows, counts, learn, "weights array<double>, size long").select("size", F.posexplode("weights").alias("place", "w"))
-    found = each.groupBy("place").agg((F.sum(F.col("w") * F.col("size")) / F.sum("size")).alias("w")).collect()
-    weights = np.full(shape, 0.25, np.float32)
-    for place, w in found:
-        weights[divmod(place, 8)] = round(w, 6)
-    return weights
+def _odds_planes(odds: np.ndarray, keys: np.ndarray) -> bytes:
+    """Log odds of the bits as they are, each as what it differs by from the one before: mostly zeros, plane by plane."""
+    own = (odds * _sides(keys)).T
+    own[1:] -= own[:-1].copy()
+    return own.tobytes()
 
 
-def _packed(counts: np.ndarray) -> np.ndarray:
-    out = np.empty(ROWS * 16, np.uint32)
-    for first in range(0, ROWS, 1 << 16):
-        last = min(ROWS, first + (1 << 16))
-        out[first * 16 : last * 16] = log_odds(counts[first * 16 : last * 16].reshape(-1, 16)).view(np.uint32).reshape(-1)
-    return out
+def _planes_odds(planes: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    own = np.cumsum(planes.reshape(8, -1), axis=0, dtype=np.int8).T
+    return np.ascontiguousarray(own * _sides(keys))
 
 
-def token_counts(texts: DataFrame) -> DataFrame:
-    """(token, c) over all ``texts`` (text): words, and the empty token for each document's end."""
+def _width(values: np.ndarray) -> int:
+    return max(1, -(-int(values.max(initial=0)).bit_length() // 8))
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            held: Counter[bytes] = Counter()
-            for some in _portions(batch.column(0)):
-                held[b""] += len(some)
-                for text in some:
-                    held.update(tokens_of(text))
-            yield pa.RecordBatch.from_arrays([pa.array(list(held.keys()), pa.binary()), pa.array(list(held.values()), pa.int64())], names=["token", "c"])
 
-    return texts.select("text").mapInArrow(count, "token binary, c long").groupBy("token").agg(F.sum("c").alias("c"))
+def _cuts(keys: np.ndarray, parts: int) -> np.ndarray:
+    """Where the sorted keys of each part begin, and their end: parts are ranges of the contexts' hashes."""
+    edges = np.array([p * (1 << 55) // parts for p in range(1, parts)], np.uint64) << np.uint64(9)
+    return np.concatenate([[0], np.searchsorted(keys, edges), [len(keys)]])
 
 
-def _key(doc_id: object, text: bytes) -> bytes:
-    return xxhash.xxh3_128_digest(f"{doc_id}:".encode() + text)
+def _asked(parts: int) -> Callable[[pa.Table], pa.Table]:
+    def ask(group: pa.Table) -> pa.Table:
+        keys, n = _slice_keys(group)
+        cuts = _cuts(keys, parts)
+        own = group.column("slice")[0].as_py()
+        rows = []
+        for part, (a, b) in enumerate(itertools.pairwise(cuts.tolist())):
+            if a < b:
+                some, context = keys[a:b], keys[a:b] >> np.uint64(8)
+                new = np.flatnonzero(np.append(True, context[1:] != context[:-1]))
+                bytes_of = np.diff(np.append(new, b - a)) - 1
+                rows.append((part, own, _planes(context[new], 7), bytes_of.astype(np.uint8).tobytes(), some.astype(np.uint8).tobytes(), (width := _width(n[a:b])), _planes(n[a:b], width)))
+        give_back()
+        types = (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.int32(), pa.binary())
+        return pa.table({name.split()[0]: pa.array([r[i] for r in rows], t) for i, (name, t) in enumerate(zip(ASKED.split(", "), types, strict=True))})
+
+    return ask
+
+
+ASKED = "part long, slice long, contexts binary, times binary, bytes binary, width int, counts binary"
+ANSWERED = "slice long, part long, odds binary, width int, tokens binary, n long, different long"
+
+
+def _answer(group: pa.Table) -> pa.Table:
+    """What all slices' training texts hold about a part's contexts, to each slice that has asked, and the part's sums."""
+    asked = []
+    for i in range(len(group)):
+        contexts, times, byte = (group.column(c)[i].as_py() for c in ("contexts", "times", "bytes"))
+        context = np.repeat(_numbers(contexts, 7), np.frombuffer(times, np.uint8).astype(np.int64) + 1)
+        asked.append(context << np.uint64(8) | np.frombuffer(byte, np.uint8))
+    counts = [_numbers(c, w).astype(np.int64) for c, w in zip(group.column("counts").to_pylist(), group.column("width").to_pylist(), strict=True)]
+    keys, n = different(np.concatenate(asked), np.concatenate(counts))
+    odds, sums = odds_of(keys, n), np.where(is_token(keys), n, 0)
+    del counts
+    rows = []
+    for own, some in zip(group.column("slice").to_pylist(), asked, strict=True):
+        at = np.searchsorted(keys, some)
+        tokens = sums[at[is_token(some)]]
+        rows.append((own, group.column("part")[0].as_py(), _odds_planes(odds[at], some), (width := _width(tokens)), _planes(tokens, width), 0, 0))
+    # sums go to slices of their own
+    rows.append((-1 - rows[0][1] % 64, rows[0][1], b"", 1, b"", int(sums.sum()), int((sums > 0).sum())))
+    give_back()
+    types = (pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.binary(), pa.int64(), pa.int64())
+    return pa.table({name.split()[0]: pa.array([r[i] for r in rows], t) for i, (name, t) in enumerate(zip(ANSWERED.split(", "), types, strict=True))})
+
+
+JUDGED = "doc_id long, n_tokens long, n_known long, base double, score double, n_bytes long, n long, different long"
+
+
+def _judged(texts: pa.Table, answers: pa.Table) -> pa.Table:
+    """Scores of a slice's texts, or of a slice without texts the parts' sums."""
+    names = [c.split()[0] for c in JUDGED.split(", ")]
+    types = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64(), pa.int64(), pa.int64())
+    if not len(texts):
+        sums = [pa.compute.sum(answers.column(c)).as_py() for c in ("n", "different")]
+        return pa.table({name: pa.array([x], t) for name, x, t in zip(names, [None] * 6 + sums, types, strict=True)})
+    answers = answers.sort_by("part")
+    numbers = Numbers()
+    spelled = [spell(some, numbers) for some in _portions(texts.column("text"))]
+    order = np.argsort(numbers.keys())
+    odds, n = np.empty((numbers.size, 8), np.int8), np.zeros(numbers.size, np.int64)
+    done = 0
+    for planes in answers.column("odds"):
+        some = order[done : done + len(planes.as_buffer()) // 8]
+        odds[some] = _planes_odds(np.frombuffer(planes.as_buffer(), np.int8), numbers.keys()[some])
+        done += len(some)
+    n[order[is_token(numbers.keys()[order])]] = np.concatenate([_numbers(x, w) for x, w in zip(answers.column("tokens").to_pylist(), answers.column("width").to_pylist(), strict=True)]).astype(np.int64)
+    found = [judge(odds, n, some) for some in spelled]
+    columns = [np.concatenate([f[i] for f in found]) for i in range(5)]
+    give_back()
+    none = [pa.nulls(len(texts), pa.int64())] * 2
+    return pa.table(dict(zip(names, [texts.column("doc_id").combine_chunks(), *[pa.array(c).cast(t) for c, t in zip(columns, types[1:6], strict=True)], *none], strict=True)))
 
 
-def score(docs: DataFrame, training: DataFrame) -> DataFrame:
-    """Score whole ``docs`` (doc_id, text) by what ``training`` (doc_id, text) holds.
+def score(docs: DataFrame, learn: Column) -> DataFrame:
+    """Score whole ``docs`` (doc_id, text) by those of them that ``learn``, a condition, picks as training texts.
 
     Columns: doc_id, n_tokens, n_known, train_tokens, base_score, score, n_bytes, bits_per_byte. The base score adds
     log10((c + 0.1) / (N + 0.1 * (V + 1))) over a text's tokens and its end; score is log10 of the mixed model's
-    probability of the same tokens, spelled out with a space after each and an end byte. Null text counts as empty and
-    has one token, its end. Repeated rows are scored each; extra columns are left out; an empty table gives an empty
-    result, and without training rows no token is known.
-
-    Each task holds the counts of the 65,536 most frequent tokens; all other tokens meet their counts in a join by
-    token, and the contexts of a slice of texts theirs in a join by context, so that no model has to fit anywhere.
+    probability of the same tokens, spelled out with a space after each and an end byte; n_bytes counts these bytes.
+    Null text counts as empty and has one token, its end. A condition that is null does not hold. Repeated rows are
+    scored each, equally; very long texts are read whole, by one task each. Extra columns are left out, also where
+    ``learn`` reads them; an empty table gives an empty result, and without training rows no token is known.
     """
-    spark = docs.sparkSession
-    counts = written(token_counts(training), "tokens")
-    n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
-    whole = n + ADDED * (v + 1)
-    top = counts.where(F.octet_length("token") > 0).orderBy(F.desc("c"), "token").limit(FREQUENT).toArrow()
-    frequent = spark.sparkContext.broadcast(dict(zip(top.column("token").to_pylist(), top.column("c").to_pylist(), strict=True)))
-    cells = written(context_counts(training), "contexts")
-    weights = teach(sliced(training), cells)
-
-    def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = frequent.value
-        for batch in batches:
-            ids, done = batch.column(0).to_pylist(), 0
-            for some in _portions(batch.column(1)):
-                keys, tokens, times = [], [], []
-                for text in some:
-                    key = _key(ids[done], text)
-                    done += 1
-                    found = {t: n for t, n in Counter(tokens_of(text)).items() if t not in known}
-                    found[b""] = 1  # one for each row: tells how often a row is repeated
-                    keys += [key] * len(found)
-                    tokens += found.keys()
-                    times += found.values()
-                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(tokens, pa.binary()), pa.array(times, pa.int64())], names=["key", "token", "times"])
-
-    def judge(model: Exact, rows: list[tuple[int | None, bytes, int]]) -> pa.Table:
-        logs = {t: float(np.log10((c + ADDED) / whole)) for t, c in frequent.value.items()}
-        out = []
-        for some in _lots(rows, LOT):
-            scores = mix(model, weights, [r[1] for r in some])[0].tolist()
-            for (doc_id, text, copies), own in zip(some, scores, strict=True):
-                words = tokens_of(text)
-                known = [logs[w] for w in words if w in logs]
-                out.append((_key(doc_id, text), doc_id, len(words) + 1, len(known), float(np.sum(known)), own, len(text), copies))
-        types = (pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64(), pa.int64())
-        names = ("key", "doc_id", "n_tokens", "known", "base", "score", "n_bytes", "copies")
-        return pa.table({name: pa.array([r[i] for r in out], t) for i, (name, t) in enumerate(zip(names, types, strict=True))})
-
-    rows = docs.select(F.col("doc_id").cast("long"), "text")
-    looked_up = rows.mapInArrow(rare, "key binary, token binary, times long").join(counts, "token", "left")
-    worth = F.log10((F.coalesce("c", F.lit(0)) + ADDED) / F.lit(float(whole)))
-    copies = F.sum(F.when(F.octet_length("token") == 0, 1).otherwise(0))
-    sums = looked_up.groupBy("key").agg((F.sum(F.when(F.col("c") > 0, F.col("times")).otherwise(0)) / copies).cast("long").alias("more_known"), (F.sum(F.col("times") * worth) / copies).alias("more_base"))
-    judged = _by_slice(sliced(docs), cells, judge, "key binary, doc_id long, n_tokens long, known long, base double, score double, n_bytes long, copies long")
-    judged = judged.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
-    return judged.join(sums, "key").select("doc_id", "n_tokens", (F.col("known") + F.col("more_known")).alias("n_known"), F.lit(int(n)).cast("long").alias("train_tokens"), (F.col("base") + F.col("more_base")).alias("base_score"), "score", "n_bytes", (-F.col("score") * F.lit(float(np.log2(10))) / F.greatest(F.col("n_bytes"), F.lit(1))).alias("bits_per_byte"))
+    size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    slices = -(-size // SLICE) or 1
+    # equal rows of different partitions go to different slices
+    own = F.pmod(F.xxhash64("doc_id", "text", F.spark_partition_id()), F.lit(slices))
+    rows = docs.select(own.alias("slice"), F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce(learn, F.lit(False)).alias("learn"))
+    answers = rows.groupBy("slice").applyInArrow(_asked(slices), ASKED).groupBy("part").applyInArrow(_answer, ANSWERED)
+    judged = written(rows.groupBy("slice").cogroup(answers.groupBy("slice")).applyInArrow(_judged, JUDGED), "judged")
+    sums = judged.where("n_tokens IS NULL").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("all"), F.coalesce(F.sum("different"), F.lit(0)).alias("kinds"))
+    whole = F.log10(F.col("all") + ADDED * (F.col("kinds") + 1))
+    found = judged.where("n_tokens IS NOT NULL").join(F.broadcast(sums))  # one row
+    return found.select("doc_id", "n_tokens", "n_known", F.col("all").alias("train_tokens"), (F.col("base") - F.col("n_tokens") * whole).alias("base_score"), "score", "n_bytes", (-F.col("score") * F.lit(float(np.log2(10))) / F.col("n_bytes")).alias("bits_per_byte"))
 
 
 def op4_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    scored = score(docs, docs.where(fold(F.col("doc_id"), FOLDS) != 0))
+    scored = score(docs, fold(F.col("doc_id"), FOLDS) != 0)
     return scored.select("doc_id", (fold(F.col("doc_id"), FOLDS) == 0).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte")
