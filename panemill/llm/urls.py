@@ -13,9 +13,18 @@ from pyspark.sql import functions as F
 from panemill.llm.common import ascii_lower, table
 
 #: One of these condemns a URL.
-STRICT_TERMS = ("porn", "porno", "xxx", "xvideos", "hentai", "camgirl", "escort", "escorts", "viagra", "cialis", "cheap-pills", "online-casino", "warez", "keygen")
+STRICT_TERMS = (
+    "camgirl", "camgirls", "cheap-pills", "cialis", "cracked-software", "darknet-market", "escort", "escorts", "fake-passport", "free-porn",
+    "gore", "hentai", "keygen", "milf", "nsfw", "online-casino", "payday-loan", "phishing", "porn", "porno", "pornhub", "replica-watches",
+    "serial-key", "sexcam", "sextube", "sportsbook", "viagra", "warez", "webcam-sex", "xnxx", "xvideos", "xxx",
+)
 #: So do several different ones of these.
-SOFT_TERMS = ("adult", "sex", "sexy", "nude", "casino", "poker", "bet", "betting", "slots", "pills", "pharmacy", "cheap", "free", "loan", "loans", "crack", "torrent", "dating", "hot", "win", "bonus", "replica")
+SOFT_TERMS = (
+    "adult", "bet", "betting", "bingo", "blackjack", "bonus", "casino", "cheap", "coupon", "crack", "credit", "dating", "deal", "deals",
+    "discount", "download", "erotic", "free", "gambling", "girls", "hot", "jackpot", "lingerie", "loan", "loans", "lottery", "mp3", "naked",
+    "nude", "pharmacy", "pills", "poker", "promo", "replica", "roulette", "serial", "sex", "sexy", "singles", "slots", "spam", "steroids",
+    "torrent", "torrents", "uncensored", "webcam", "win", "winner",
+)
 SOFT_LIMIT = 2
 #: (action, rule): the rule is a host and a path prefix.
 HOST_RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
