@@ -59,8 +59,8 @@ def contained_items(docs: DataFrame, items: DataFrame) -> DataFrame:
     Items are parted by size: each size class has its own number of retained values, the least hashes of an item's
     set, and its own number of them that a document must hold. A document's shingles meet the retained values in one
     pass over the text; only pairs with enough of them are looked at again, and only their documents' texts are spelled
-    out. The retained values are broadcast after a count of their rows, and so are the pairs; beyond the bound both
-    joins shuffle. A passage that many documents share costs one row for each of them.
+    out. The retained values are broadcast after a count of their rows, and so are the pairs and, by the number of
+    their shingles, the items; beyond the bound these joins shuffle. Very long texts are read whole. A passage that many documents share costs one row for each of them.
     """
     items = items.where("item_id is not null").select("item_id", "text")
     sized = hashed_shingles(items, "item_id").withColumn("n", F.size("hashes")).where("n > 0")
@@ -76,7 +76,7 @@ def contained_items(docs: DataFrame, items: DataFrame) -> DataFrame:
     pairs = written(hits.where("hits >= need").select("doc_id", "item_id"), "pairs")
     found = spelled_shingles(named.join(_small(pairs, pairs.count()), "doc_id"), "doc_id", "item_id")
     listed = spelled_shingles(items, "item_id").select("item_id", F.col("shingles").alias("wanted"))
-    both = found.join(_small(listed, retained_rows), "item_id")
+    both = found.join(_small(listed, retained_rows * SHARE), "item_id")  # no more shingles than that
     counted = both.select("doc_id", "item_id", F.size("wanted").cast("long").alias("n_item_shingles"), F.size(F.array_intersect("wanted", "shingles")).cast("long").alias("n_shared"))
     held = counted.where(f"100 * n_shared >= {CONTAINED} * n_item_shingles")
     best = held.withColumn("containment", F.col("n_shared") / F.col("n_item_shingles")).groupBy("doc_id", "item_id").agg(F.max(F.struct("containment", "n_item_shingles", "n_shared")).alias("m"))
