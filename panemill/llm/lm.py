@@ -42,7 +42,7 @@ RATE = 0.01
 #: How fast the scale and the shift move that refine the mixed log odds; these are bounded, in nats.
 REFINE, LIMIT = 0.002, 11.0
 #: Bytes of texts that meet their counts together, bytes whose keys are worked out at once, texts that are mixed at once.
-SLICE, LOT, SIDE = 10 << 20, 1 << 21, 512
+SLICE, LOT, SIDE = 10 << 20, 1 << 19, 512
 _ODD = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93))
 _TOKEN = np.uint64(1 << 8)
 
@@ -211,7 +211,10 @@ def is_token(keys: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Spelled:
-    """Some laid-out texts with the numbers of their keys, (predictors, bytes), and the places of their tokens' ends."""
+    """Some laid-out texts with the numbers of their keys, (predictors, bytes), and the places of their tokens' ends.
+
+    Bytes and numbers have one more place at the end, which stands for none.
+    """
 
     body: np.ndarray
     starts: np.ndarray
@@ -221,44 +224,43 @@ class Spelled:
 
 def spell(texts: list[bytes], numbers: Numbers) -> Spelled:
     body, starts = laid_out(texts)
-    found = np.empty((len(CONTEXTS), len(body)), np.int32)
-    for k, keys in enumerate(context_keys(body, starts)):
-        found[k] = numbers.of(keys)
-        if not CONTEXTS[k]:
-            token = is_token(keys)
+    found = np.full((len(CONTEXTS), len(body) + 1), -1, np.int32)
+    token = np.zeros(len(body), bool)
+    first = 0
+    while first < len(texts):
+        last = max(first + 1, int(np.searchsorted(starts, starts[first] + LOT)) - 1)
+        some = slice(starts[first], starts[last])
+        for k, keys in enumerate(context_keys(body[some], starts[first : last + 1] - starts[first])):
+            found[k, some] = numbers.of(keys)
+            if not CONTEXTS[k]:
+                token[some] = is_token(keys)
+        first = last
     token[_zeros(starts)] = False
-    return Spelled(body, starts, found, np.flatnonzero(token))
+    return Spelled(np.append(body, np.uint8(0)), starts, found, np.flatnonzero(token))
 
 
 def judge(odds: np.ndarray, n: np.ndarray, spelled: Spelled) -> list[np.ndarray]:
     """Of each text: n_tokens, n_known, the sum of log10(c + 0.1) over its tokens, the mixed log10 probability, and the
     bytes that it is spelled with. ``odds`` (numbers, 8) and ``n``, the counts of tokens, are by the keys' numbers."""
-    body, starts = spelled.body, spelled.starts
+    starts = spelled.starts
     size, first = np.diff(starts) - PAD, starts[:-1] + PAD
-    packed = np.zeros((len(CONTEXTS), len(body) + 1), np.uint64)
-    for k, numbers in enumerate(spelled.numbers):
-        packed[k, :-1] = odds.view(np.uint64).reshape(-1)[numbers]
-        if not CONTEXTS[k]:
-            c = n[numbers[spelled.tokens]]
+    c = n[spelled.numbers[CONTEXTS.index(0), spelled.tokens]]
     of = np.searchsorted(starts, spelled.tokens, "right") - 1
     sums = [np.bincount(of, x, len(size)) for x in (np.ones(len(c)), c > 0, np.log10(c + ADDED))]
-    body = np.append(body, np.uint8(0))
+    packed = np.append(odds.view(np.uint64).reshape(-1), np.uint64(0))  # the last one, number -1, is none
     total = np.zeros(len(size))
     order = np.argsort(-size, kind="stable")
     for lot in range(0, len(order), SIDE):
         some = order[lot : lot + SIDE]
-        total[some] = mix(packed, body, first[some], size[some])
+        total[some] = mix(packed, spelled, first[some], size[some])
     return [*sums, total / np.log(10), size]
 
 
-def mix(packed: np.ndarray, spelled: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """Log probabilities of texts, longest first, that go forward side by side.
-
-    ``packed`` holds eight log odds for each predictor and byte, ``spelled`` the bytes; the last place of both is empty.
-    """
+def mix(packed: np.ndarray, spelled: Spelled, first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Log probabilities of texts, longest first, that go forward side by side; ``packed``: each number's eight log odds."""
     # an empty text at the end: a sum over one column would add in another order
     first, size = np.append(first, 0), np.append(size, 0)
-    k, n, end = len(CONTEXTS), len(first), len(spelled) - 1
+    k, n, end = len(CONTEXTS), len(first), len(spelled.body) - 1
     weights = np.empty((k * 8, 2 * n), np.float32)  # predictor and bit; gate and text
     weights[:] = np.repeat(np.repeat(np.array(START, np.float32).T / np.float32(GRAIN), 8, axis=0), n, axis=1)
     scale, shift = np.ones((8, 1, n), np.float32), np.zeros((8, 1, n), np.float32)
@@ -268,7 +270,7 @@ def mix(packed: np.ndarray, spelled: np.ndarray, first: np.ndarray, size: np.nda
         m = max(2, int(np.searchsorted(-size, -at, "left")))
         inside = np.arange(at, at + STEP)[:, None] < size[:m]
         place = np.where(inside, first[:m] + np.arange(at, at + STEP)[:, None], end).reshape(-1)
-        odds = np.take(packed, place, axis=1).view(np.int8).reshape(k, -1, 8).transpose(0, 2, 1).copy()
+        odds = packed[np.take(spelled.numbers, place, axis=1)].view(np.int8).reshape(k, -1, 8).transpose(0, 2, 1).copy()
         gate = odds[LONGEST, 0] != 0  # whether the longest context has been seen: what its first bit's odds tell
         x = odds.reshape(k * 8, -1).astype(np.float32)
         own = np.take(weights, (gate.reshape(STEP, m) * n + np.arange(m)).reshape(-1), axis=1, mode="clip")
@@ -278,7 +280,7 @@ def mix(packed: np.ndarray, spelled: np.ndarray, first: np.ndarray, size: np.nda
             mixed += own[other : other + 8]
         np.clip(mixed, -LIMIT, LIMIT, out=mixed)
         mixed = mixed.reshape(8, STEP, m)
-        sign = np.unpackbits(np.take(spelled, place)[None], axis=0).reshape(8, STEP, m).astype(np.float32)
+        sign = np.unpackbits(np.take(spelled.body, place)[None], axis=0).reshape(8, STEP, m).astype(np.float32)
         sign *= 2
         sign -= 1
         # the mixed odds as they are teach the weights
@@ -318,7 +320,7 @@ def mix(packed: np.ndarray, spelled: np.ndarray, first: np.ndarray, size: np.nda
 
 
 def _portions(column: pa.ChunkedArray) -> Iterator[list[bytes]]:
-    """The texts of a column as UTF-8, nulls as empty ones, some 2 MB at a time."""
+    """The texts of a column as UTF-8, nulls as empty ones, some 512 KB at a time."""
     some: list[bytes] = []
     held = 0
     for text in column:
@@ -437,7 +439,7 @@ def _judged(texts: pa.Table, answers: pa.Table) -> pa.Table:
         return pa.table({name: pa.array([x], t) for name, x, t in zip(names, [None] * 6 + sums, types, strict=True)})
     answers = answers.sort_by("part")
     numbers = Numbers()
-    spelled = [spell(some, numbers) for some in _portions(texts.column("text"))]
+    spelled = spell([(t.as_py() or "").encode() for t in texts.column("text")], numbers)
     order = np.argsort(numbers.keys())
     odds, n = np.empty((numbers.size, 8), np.int8), np.zeros(numbers.size, np.int64)
     done = 0
@@ -446,8 +448,7 @@ def _judged(texts: pa.Table, answers: pa.Table) -> pa.Table:
         odds[some] = _planes_odds(np.frombuffer(planes.as_buffer(), np.int8), numbers.keys()[some])
         done += len(some)
     n[order[is_token(numbers.keys()[order])]] = np.concatenate([_numbers(x, w) for x, w in zip(answers.column("tokens").to_pylist(), answers.column("width").to_pylist(), strict=True)]).astype(np.int64)
-    found = [judge(odds, n, some) for some in spelled]
-    columns = [np.concatenate([f[i] for f in found]) for i in range(5)]
+    columns = judge(odds, n, spelled)
     give_back()
     none = [pa.nulls(len(texts), pa.int64())] * 2
     return pa.table(dict(zip(names, [texts.column("doc_id").combine_chunks(), *[pa.array(c).cast(t) for c, t in zip(columns, types[1:6], strict=True)], *none], strict=True)))

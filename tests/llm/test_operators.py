@@ -670,3 +670,23 @@ def test_more_languages_than_a_byte_numbers():
     none = np.zeros(0, np.int64)
     w = langid.Words(np.arange(3), np.ones(3, int), np.zeros(3, int), np.array([3]), none, none)
     assert langid.label_words(w, score).tolist() == [280] * 3
+
+
+def test_a_very_long_text(spark):
+    rng = random.Random(41)
+    text = prose(rng, 100_000, 50_000) + " +1 (743) 555-3824 or 743-555-3824"
+    docs = documents(spark, [text, "w1 w2 w3 w4 w5 w6", text + " more"]).select("doc_id", "text", F.lit("src0").alias("source"))
+    assert [r.component_id for r in neardup.near_duplicates(docs, words=5).orderBy("doc_id").collect()] == [0, 1, 0]
+    r = blocks.read_token_files(blocks.write_token_files(docs)).where("doc_id = 0").first()
+    ids = tokens.WordEncoder(tokens.tokenizer_path()).of(text.encode())
+    assert (r.n_tokens, r.ids_crc32) == (len(ids) // 4 + 1, zlib.crc32(ids + b"\x02\0\0\0"))
+    r = stream.media_features(stream.media_column(docs)).where("doc_id = 0").first()
+    assert r.n_bytes == len(text) and "gaps=0" in r.feature
+    words = text.split()
+    items = spark.createDataFrame([(1, " ".join(words[70_000:70_040])), (2, "not there at all in it")], "item_id long, text string")
+    assert sorted((r.doc_id, r.item_id) for r in decon.contained_items(docs, items).collect()) == [(0, 1), (2, 1)]
+    assert [r.n_phone for r in pii.personal_data(docs).orderBy("doc_id").collect()] == [1, 0, 1]
+    model = langid.learn(spark.createDataFrame([(text, "w"), ("for all in one", "e")], "text string, lang string"))
+    got = langid.identify(docs, model).where("doc_id = 0").first()
+    assert got.lang_pred == "w" and got.score > 0.9
+    assert mix.poisson_mix(docs, {"src0": 1.0}, epochs=3.0).count() > 0
