@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from panemill.llm import blocks, decon, langid, mix, neardup
 from panemill.llm.common import fold, table, written
 
+#: A document goes if less of its letters than this is in scripts of learned languages.
+LEAST_KNOWN = 0.5
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
@@ -25,13 +27,14 @@ def _columns(df: DataFrame) -> DataFrame:
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a learned language or several; lang is only learned from, never used to judge a document.
 
-    A text without letters (null and empty ones among them) goes. Rows are judged one by one: repeated rows all stay or
+    A text without letters (null and empty ones among them) goes, and one most of whose letters are of scripts that no
+    learned language has; a text that mixes learned languages stays. Rows are judged one by one: repeated rows all stay or
     all go. Rows without a doc_id are judged as well; whether they are learned from follows from the hash of an empty
     text. Where no row has a lang, nothing is learned and all rows go.
     """
     model = langid.learn(docs.where(fold(F.col("doc_id"), langid.FOLDS) != 0))
     judged = langid.identify(_columns(docs), model)
-    return _columns(judged.where(F.col("lang_pred") != langid.UNKNOWN))
+    return _columns(judged.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("known_share") >= LEAST_KNOWN)))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -191,8 +191,9 @@ def label_words(w: Words, score: np.ndarray) -> np.ndarray:
     return label
 
 
-def predict(model: LanguageModel, texts: list[str | None]) -> list[tuple[str, float, list[tuple[str, int, int]]]]:
-    """For each text its language, the share of its letters in words of that language, and its spans.
+def predict(model: LanguageModel, texts: list[str | None]) -> list[tuple[str, float, list[tuple[str, int, int]], float]]:
+    """For each text its language, the share of its letters in words of that language, its spans, and the share of its
+    letters in words of a script that any learned language has.
 
     A span (language, start, end in code points) runs from the first to the last word of one label.
     """
@@ -222,24 +223,25 @@ def predict(model: LanguageModel, texts: list[str | None]) -> list[tuple[str, fl
         for d, lang, a, b in zip(doc[firsts].tolist(), label[firsts].tolist(), w.start[firsts].tolist(), (w.start + w.length)[lasts].tolist(), strict=True):
             spans[d].append((model.languages[lang], a, b))
     top, total = letters.argmax(axis=1), letters.sum(axis=1)
+    known = np.bincount(doc, w.length * model.own[w.script].any(axis=1), len(texts))
     out = []
     for d in range(len(texts)):
         if total[d] and model.languages:
-            out.append((model.languages[top[d]], float(letters[d, top[d]] / total[d]), spans[d]))
+            out.append((model.languages[top[d]], float(letters[d, top[d]] / total[d]), spans[d], float(known[d] / total[d])))
         else:
-            out.append((UNKNOWN, 0.0, []))
+            out.append((UNKNOWN, 0.0, [], 0.0))
     return out
 
 
 def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
-    """All columns of ``docs`` (text, ...) with lang_pred, score and spans (``lang:start:end``, comma-joined).
+    """All columns of ``docs`` (text, ...) with lang_pred, score, spans (``lang:start:end``, comma-joined) and known_share.
 
-    lang_pred is a learned language, or ``und`` (score 0, no spans) if the text is null or holds no letter or nothing
-    was learned. Columns of these names in the input give way. The model goes to each task once; rows are judged one by
+    lang_pred is a learned language, or ``und`` (score and known_share 0, no spans) if the text is null or holds no letter
+    or nothing was learned. known_share tells how much of the letters is in scripts of learned languages. Columns of these names in the input give way. The model goes to each task once; rows are judged one by
     one, without a shuffle. Whole texts are read; an empty table stays empty.
     """
     held = docs.sparkSession.sparkContext.broadcast(model)
-    added = ("lang_pred", "score", "spans")
+    added = ("lang_pred", "score", "spans", "known_share")
     kept = [c for c in docs.columns if c.lower() not in added]
     text = kept.index("text")
     types = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
@@ -248,11 +250,11 @@ def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
         for batch in batches:
             for some in slices(batch, text, 16 * PORTION):
                 rows = predict(held.value, some.column(text).to_pylist())
-                columns = [pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.float64()), pa.array([",".join(f"{s}:{a}:{b}" for s, a, b in r[2]) for r in rows], pa.string())]
+                columns = [pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.float64()), pa.array([",".join(f"{s}:{a}:{b}" for s, a, b in r[2]) for r in rows], pa.string()), pa.array([r[3] for r in rows], pa.float64())]
                 yield pa.RecordBatch.from_arrays([*some.columns, *columns], names=[*kept, *added])
         give_back()
 
-    schema = ", ".join([*(f"`{c}` {types[c]}" for c in kept), "lang_pred string", "score double", "spans string"])
+    schema = ", ".join([*(f"`{c}` {types[c]}" for c in kept), "lang_pred string", "score double", "spans string", "known_share double"])
     return docs.select(*[F.col(f"`{c}`") for c in kept]).mapInArrow(judge, schema)
 
 

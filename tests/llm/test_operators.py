@@ -641,7 +641,8 @@ def test_languages(spark):
     asked = [*ODD, "1234 ...", *[made_up(rng, s, 30) for s in kinds.values()], made_up(rng, kinds["aa"], 40) + " " + made_up(rng, kinds["bb"], 30), "слово и дело"]
     docs = documents(spark, asked).withColumn("score", F.lit("old")).withColumn("Spans", F.lit(1))
     got = langid.identify(docs, model).orderBy("doc_id").collect()
-    assert langid.identify(docs, model).columns == ["doc_id", "text", "lang", "source", "n_chars", "lang_pred", "score", "spans"]
+    assert langid.identify(docs, model).columns == ["doc_id", "text", "lang", "source", "n_chars", "lang_pred", "score", "spans", "known_share"]
+    assert got[-1].known_share == 0 and {r.known_share for r in got[-5:-1]} == {1.0}
     for r in got:
         letters = bool(r.text and any(c.isalpha() for c in r.text))
         assert (r.lang_pred == "und") == (not letters) and 0 <= r.score <= 1 and (r.score > 0) == letters

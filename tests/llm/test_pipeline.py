@@ -20,8 +20,8 @@ def test_stages(spark, tmp_path):
 
     item = text(20)
     base = text(100)
-    texts = [text(rng.randrange(5, 80)) for _ in range(40)] + [base, base, base + " more", f"{text(40)} {item} {text(30)}", "123 456", None, ""]
-    rows = [(i, t, "en", f"src{i % 3}", len(t or "")) for i, t in enumerate(texts)]
+    texts = [text(rng.randrange(5, 80)) for _ in range(40)] + [base, base, base + " more", f"{text(40)} {item} {text(30)}", "123 456", None, "", "слово и дело"]
+    rows = [(i, t, "en" if i < 47 else None, f"src{i % 3}", len(t or "")) for i, t in enumerate(texts)]
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(0, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
@@ -33,7 +33,7 @@ def test_stages(spark, tmp_path):
         kept.append(sorted(r.doc_id for r in docs.select("doc_id").collect()))
         if name != "token_files":
             assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
-    assert kept[0] == [*range(44)]  # without numbers, null and nothing
+    assert kept[0] == [*range(44)]  # without numbers, null, nothing and a script that nothing was learned of
     assert kept[1] == [*range(41), 43]
     assert kept[2] == [*range(41)]
     assert set(kept[3]) <= set(kept[2]) and len(kept[3]) > len(kept[2])
