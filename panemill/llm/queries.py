@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from panemill.llm import blocks, decon, langid, lengths, lm, mix, neardup, pii, stream, urls
+from panemill.llm import audit, blocks, decon, langid, lengths, lm, mix, neardup, pii, stream, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_poisson_mix": mix.op1_poisson_mix,
@@ -19,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_files": blocks.op8_token_files,
     "op9_personal_data": pii.op9_personal_data,
     "op10_language_spans": langid.op10_language_spans,
+    "op12_filter_interactions": audit.op12_filter_interactions,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -26,4 +27,5 @@ ORACLE_SQL: dict[str, str] = {
     "op2_url_filter": urls.SQL,
     "op3_near_duplicates": neardup.SQL,
     "op7_decontamination": decon.SQL,
+    "op12_filter_interactions": audit.SQL,
 }
