@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from panemill.llm import audit, blocks, decon, langid, lengths, lm, mix, neardup, pii, stream, urls
+from panemill.llm import audit, blocks, decon, langid, lengths, licenses, lm, mix, neardup, pii, stream, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_poisson_mix": mix.op1_poisson_mix,
@@ -20,6 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_personal_data": pii.op9_personal_data,
     "op10_language_spans": langid.op10_language_spans,
     "op12_filter_interactions": audit.op12_filter_interactions,
+    "op13_license_scan": licenses.op13_license_scan,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -28,4 +29,5 @@ ORACLE_SQL: dict[str, str] = {
     "op3_near_duplicates": neardup.SQL,
     "op7_decontamination": decon.SQL,
     "op12_filter_interactions": audit.SQL,
+    "op13_license_scan": licenses.SQL,
 }
