@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from panemill.llm import audit, blocks, decon, langid, lengths, licenses, lm, mix, neardup, pii, stream, urls
+from panemill.llm import audit, blocks, decon, langid, lengths, licenses, lm, mix, neardup, pii, search, stream, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_poisson_mix": mix.op1_poisson_mix,
@@ -19,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_files": blocks.op8_token_files,
     "op9_personal_data": pii.op9_personal_data,
     "op10_language_spans": langid.op10_language_spans,
+    "op11_ranked_search": search.op11_ranked_search,
     "op12_filter_interactions": audit.op12_filter_interactions,
     "op13_license_scan": licenses.op13_license_scan,
 }
@@ -28,6 +29,7 @@ ORACLE_SQL: dict[str, str] = {
     "op2_url_filter": urls.SQL,
     "op3_near_duplicates": neardup.SQL,
     "op7_decontamination": decon.SQL,
+    "op11_ranked_search": search.SQL,
     "op12_filter_interactions": audit.SQL,
     "op13_license_scan": licenses.SQL,
 }
