@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from panemill.functions.aggregates import Aggregate
-from panemill.plans.panes import lifted, lowered
+from panemill.plans.panes import ORDERED, finished, holistic, kept_by, lifted
 from panemill.plans.spec import WindowSpec
 from panemill.sources.events import NO_KEY
 
@@ -38,20 +38,42 @@ def with_place(events: DataFrame, by: Sequence[str] = (), span_ms: int | None =
     return placed.withColumn("place", F.col("base") + F.col("within")).select(*events.columns, "place")
 
 
+def in_count_windows(placed: DataFrame, window: WindowSpec) -> DataFrame:
+    """Each row of ``placed`` (place, ...) once for each window that it lies in, with window_start."""
+    last = F.expr(f"place - place % {window.slide}")
+    if window.size == window.slide:
+        return placed.withColumn("window_start", last)
+    first = F.greatest(last - F.lit((window.size - 1) // window.slide * window.slide), F.lit(0))
+    copies = placed.withColumn("window_start", F.explode(F.sequence(first, last, F.lit(window.slide).cast("bigint"))))
+    return copies.where(F.col("place") < F.col("window_start") + window.size)
+
+
+def window_parts(rows: DataFrame, functions: Sequence[Aggregate]) -> DataFrame:
+    """(window_start, key, value for holistic functions, events, parts) of rows in count windows."""
+    return rows.groupBy("window_start", *kept_by(functions)).agg(F.count(F.lit(1)).alias("events"), *lifted(functions))
+
+
+def full(parts: DataFrame, window: WindowSpec) -> DataFrame:
+    """Add ``full``: whether all events of a window are there."""
+    return parts.withColumn("full", F.sum("events").over(Window.partitionBy("window_start", "key")) == window.size)
+
+
+def with_ends(parts: DataFrame, window: WindowSpec) -> DataFrame:
+    return parts.withColumns({"window_id": F.lit(window.window_id).cast("bigint"), "window_end": F.col("window_start") + window.size})
+
+
+def without_key(events: DataFrame) -> DataFrame:
+    return events.withColumn("key", F.lit(NO_KEY).cast("bigint"))
+
+
 def count_windows(events: DataFrame, window: WindowSpec, functions: Sequence[Aggregate], scope: str = "global") -> DataFrame:
     """(window_id, window_start, window_end, key, value_0, ...) of windows of ``size`` events, ``slide`` events apart.
 
-    Start and end are places in the order of events. Windows that are not full at the end give no result. In the
-    global scope keys are ignored and the result has none; in the key scope each key counts its own events.
+    Start and end are places in the order of events, those with null values among them. Windows that are not full at the
+    end give no result. In the global scope keys are ignored and the result has none; in the key scope each key counts
+    its own events.
     """
-    by = ["key"] if scope == "key" else []
-    placed = with_place(events, by)
-    last = F.expr(f"place - place % {window.slide}")
-    first = F.greatest(last - F.lit((window.size - 1) // window.slide * window.slide), F.lit(0))
-    if window.size == window.slide:
-        rows = placed.withColumn("window_start", last)
-    else:
-        rows = placed.withColumn("window_start", F.explode(F.sequence(first, last, F.lit(window.slide).cast("bigint")))).where(F.col("place") < F.col("window_start") + window.size)
-    parts = rows.groupBy("window_start", *by).agg(F.count(F.lit(1)).alias("events"), *lifted(functions)).where(F.col("events") == window.size)
-    key = F.col("key") if by else F.lit(NO_KEY).cast("bigint").alias("key")
-    return parts.select(F.lit(window.window_id).cast("bigint").alias("window_id"), "window_start", (F.col("window_start") + window.size).alias("window_end"), key, *lowered(functions))
+    placed = with_place(events, ["key"]) if scope == "key" else without_key(with_place(events))
+    parts = window_parts(in_count_windows(placed, window), functions)
+    done = full(parts, window).where("full") if holistic(functions) else parts.where(F.col("events") == window.size)
+    return finished(with_ends(done, window), functions, few=window.size <= ORDERED)

@@ -5,18 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from panemill.plans.panes import windows_over
 from panemill.plans.spec import WindowSpec
 
 
-def with_empty_windows(results: DataFrame, window: WindowSpec, events: DataFrame) -> DataFrame:
+def with_empty_windows(results: DataFrame, window: WindowSpec) -> DataFrame:
     """Fill a fixed time window's results (window_start, key, ...) for each key from the first to the last window.
 
-    The first and last window of all events go to all rows as one broadcast row. Each result row gives the windows
-    without events that follow it, a key's first one also those before it: results are worked out once.
+    The first and last window of all results go to all rows as one broadcast row. Each result row gives the windows
+    without events that follow it, a key's first one also those before it.
     """
-    times = events.where("event_ts >= 0").agg(F.min("event_ts").alias("low"), F.max("event_ts").alias("high"))
-    bounds = times.select(windows_over(F.col("low"), [window])[0]["window_start"].alias("first"), F.element_at(windows_over(F.col("high"), [window]), -1)["window_start"].alias("last"))
+    bounds = results.agg(F.min("window_start").alias("first"), F.max("window_start").alias("last"))
     by_key = Window.partitionBy("key").orderBy("window_start")
     rows = results.withColumns({"before": F.lag("window_start").over(by_key), "after": F.lead("window_start").over(by_key)}).join(F.broadcast(bounds))
     step = f"CAST({window.slide} AS BIGINT)"

@@ -4,62 +4,99 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panemill.functions.aggregates import Aggregate
-from panemill.plans.panes import GROUP, Measured, joined, picked
+from panemill.plans.panes import GROUP, few_rows, finished, holistic, kept_by, lifted, merged, same_of
 from panemill.plans.spec import WindowSpec
 
+#: Stretches of a range of time, which one task puts in order for a key: a stretch is as long as the gap.
+STRETCHES = 1024
 
-def session_windows(events: DataFrame, window: WindowSpec, functions: Sequence[Aggregate]) -> DataFrame:
+
+def session_windows(events: DataFrame, window: WindowSpec, functions: Sequence[Aggregate], *, keyed: bool = True, few: bool | None = None) -> DataFrame:
     """(window_id, window_start, window_end, key, value_0, ...) of the sessions over the union of all streams.
 
-    A session ends a gap after its last event; an event just a gap later still belongs to it. All events of a key in one
-    stretch of time as long as the gap are in one session: a bounded query first sums up stretches, before the shuffle,
-    and merges only them, one row for each. For holistic functions it counts different values. A stream merges events
-    and keeps lists of values in its state.
-    """
-    ranked = {} if events.isStreaming else {i: f for i, f in enumerate(functions) if f.kind == "holistic"}
-    plain = {i: f for i, f in enumerate(functions) if i not in ranked}
-    gap = f"{window.size} milliseconds"
-    found = []
-    if plain:
-        if events.isStreaming:
-            rows, span = events, F.session_window("ts", gap)
-            parts = [c for i, f in plain.items() for c in f.lifted(F.col("value"), f"f{i}")]
-        else:
-            ms = F.unix_millis("ts")
-            lifted = [c for i, f in plain.items() for c in f.lifted(F.col("value"), f"f{i}")]
-            stretches = events.where("ts IS NOT NULL").groupBy("key", (ms - F.pmod(ms, F.lit(window.size))).alias("stretch"))
-            rows = stretches.agg(F.min("ts").alias("first"), F.max("ts").alias("last"), *lifted)
-            length = F.unix_millis("last") - F.unix_millis("first") + window.size
-            span = F.session_window("first", F.concat(length.cast("string"), F.lit(" milliseconds")))
-            parts = [c for i, f in plain.items() for c in f.merged(f"f{i}")]
-        sums = rows.groupBy(span.alias("span"), "key").agg(*parts)
-        values = [f.lowered(f"f{i}").cast("bigint").alias(f"value_{i}") for i, f in plain.items()]
-        found.append(sums.select(F.lit(window.window_id).cast("bigint").alias("window_id"), F.unix_millis("span.start").alias("window_start"), F.unix_millis("span.end").alias("window_end"), "key", *values))
-    if ranked:
-        found.append(picked(_value_counts(events, window), ranked, few=Measured.of(events).few_values()))
-    return joined(found).select(*GROUP, *[f"value_{i}" for i in range(len(functions))])
-
-
-def _value_counts(events: DataFrame, window: WindowSpec) -> DataFrame:
-    """(window_id, window_start, window_end, key, value, n): how often each value is in each session.
-
-    All events of a key in one stretch of time as long as the gap are in one session: sessions are found over
-    (key, stretch) rows, and only counts of different values are joined to them.
+    A session ends a gap after its last event; an event just a gap later still belongs to it. Events before 0 and those
+    without a time are in none. A stream, and a table of ``few`` keyed rows, goes by Spark's own session windows.
+    Else all events of a key in one stretch of time as long as the gap are in one session: stretches are summed up before
+    the first shuffle, those of 1,024 gaps are put in order by one task, and what goes on over the border of such a range is
+    merged from two rows a range at most. Neither a hot key nor events without keys meet in one place. For holistic functions
+    different values are counted.
     """
-    gap = F.lit(window.size)
-    ms = F.unix_millis("ts")
-    rows = events.where("ts is not null").select("key", "value", ms.alias("ms"), (ms - F.pmod(ms, gap)).alias("stretch"))
-    stretches = rows.groupBy("key", "stretch").agg(F.min("ms").alias("first"), F.max("ms").alias("last"))
-    by_key = Window.partitionBy("key").orderBy("stretch")
-    begins = F.coalesce((F.col("first") - F.lag("last").over(by_key) > gap).cast("long"), F.lit(1))
-    numbered = stretches.withColumn("begins", begins).withColumn("session", F.sum("begins").over(by_key))
-    session = Window.partitionBy("key", "session")
-    spans = numbered.select(F.col("key").alias("of"), F.col("stretch").alias("at"), F.min("first").over(session).alias("window_start"), (F.max("last").over(session) + gap).alias("window_end"))
-    counts = rows.groupBy("key", "stretch", "value").agg(F.count("value").alias("n"))
-    placed = counts.join(spans, F.col("key").eqNullSafe(F.col("of")) & (F.col("stretch") == F.col("at")))
-    summed = placed.groupBy("window_start", "window_end", "key", "value").agg(F.sum("n").alias("n"))
-    return summed.withColumn("window_id", F.lit(window.window_id).cast("bigint"))
+    if events.isStreaming:
+        return finished(spark_sessions(events, window, functions), functions, few=True)
+    rows = events.where("event_ts >= 0")
+    few = few_rows(events) if few is None else few
+    if few and keyed and not holistic(functions):
+        return finished(spark_sessions(rows, window, functions), functions, few=True)
+    return finished(_sessions_by_value(rows, window, functions) if holistic(functions) else _sessions(rows, window, functions), functions, few=few)
+
+
+def spark_sessions(events: DataFrame, window: WindowSpec, functions: Sequence[Aggregate]) -> DataFrame:
+    """The parts of each session, by Spark's session windows."""
+    sums = events.where("ts >= timestamp_millis(0)").groupBy(F.session_window("ts", f"{window.size} milliseconds").alias("span"), "key").agg(*lifted(functions))
+    return sums.select(F.lit(window.window_id).cast("bigint").alias("window_id"), F.unix_millis("span.start").alias("window_start"), F.unix_millis("span.end").alias("window_end"), *[c for c in sums.columns if c != "span"])
+
+
+def _stretch(window: WindowSpec) -> Column:
+    return F.col("event_ts") - F.pmod(F.col("event_ts"), F.lit(window.size))
+
+
+def _begins(window: WindowSpec, over: Window) -> Column:
+    """1 for a row (first, last) that begins a session, 0 for one that goes on with the row before."""
+    return F.coalesce((F.col("first") - F.lag("last").over(over) > window.size).cast("long"), F.lit(1))
+
+
+def _numbered(stretches: DataFrame, window: WindowSpec) -> DataFrame:
+    """Add to stretches (key, stretch, first, last, ...) their range of time, and the session's number within it."""
+    ranged = stretches.withColumn("range", F.floor(F.col("stretch") / (window.size * STRETCHES)))
+    within = Window.partitionBy("key", "range").orderBy("stretch")
+    return ranged.withColumn("begins", _begins(window, within)).withColumn("no", F.sum("begins").over(within)).drop("begins")
+
+
+def _border(within: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Sessions of ranges in two tables: those at a range's border, which may go on in the next one, and all others."""
+    last = Window.partitionBy("key", "range")
+    told = within.withColumn("at_border", (F.col("no") == 1) | (F.col("no") == F.max("no").over(last)))
+    return told.where("at_border").drop("at_border"), told.where("NOT at_border").drop("at_border")
+
+
+def _chained(border: DataFrame, window: WindowSpec) -> DataFrame:
+    """Number the sessions of which those at borders are parts."""
+    by_key = Window.partitionBy("key").orderBy("first")
+    return border.withColumn("begins", _begins(window, by_key)).withColumn("chain", F.sum("begins").over(by_key)).drop("begins")
+
+
+def _spans(window: WindowSpec) -> list[Column]:
+    return [F.lit(window.window_id).cast("bigint").alias("window_id"), F.col("first").alias("window_start"), (F.col("last") + window.size).alias("window_end"), F.col("key")]
+
+
+def _sessions(rows: DataFrame, window: WindowSpec, functions: Sequence[Aggregate]) -> DataFrame:
+    span, parts = [F.min("first").alias("first"), F.max("last").alias("last")], merged(functions)
+    names = [c for f, i in zip(functions, range(len(functions)), strict=True) for c in (f"f{i}{p.suffix}" for p in f.parts)]
+    stretches = rows.groupBy("key", _stretch(window).alias("stretch")).agg(F.min("event_ts").alias("first"), F.max("event_ts").alias("last"), *lifted(functions))
+    border, inner = _border(_numbered(stretches, window).groupBy("key", "range", "no").agg(*span, *parts))
+    whole = _chained(border, window).groupBy("key", "chain").agg(*span, *parts)
+    return whole.select(*_spans(window), *names).union(inner.select(*_spans(window), *names))
+
+
+def stretch_spans(stretches: DataFrame, window: WindowSpec) -> DataFrame:
+    """(window_id, window_start, window_end, key, stretch) of stretches (key, stretch, first, last): the session of each."""
+    numbered = _numbered(stretches, window)
+    border, inner = _border(numbered.groupBy("key", "range", "no").agg(F.min("first").alias("first"), F.max("last").alias("last")))
+    session = Window.partitionBy("key", "chain")
+    whole = _chained(border, window).select("key", "range", "no", F.min("first").over(session).alias("first"), F.max("last").over(session).alias("last"))
+    spans = whole.unionByName(inner).select(*_spans(window), "range", "no")
+    both = numbered.alias("x").join(spans.alias("y"), same_of(["key", "range", "no"], "x", "y"))
+    return both.select("y.window_id", "y.window_start", "y.window_end", "x.key", "x.stretch")
+
+
+def _sessions_by_value(rows: DataFrame, window: WindowSpec, functions: Sequence[Aggregate]) -> DataFrame:
+    """The parts of each session and value; only counts of different values are joined to sessions."""
+    counts = rows.groupBy(_stretch(window).alias("stretch"), *kept_by(functions)).agg(F.min("event_ts").alias("first"), F.max("event_ts").alias("last"), *lifted(functions))
+    stretches = counts.groupBy("key", "stretch").agg(F.min("first").alias("first"), F.max("last").alias("last"))
+    both = counts.drop("first", "last").alias("x").join(stretch_spans(stretches, window).alias("y"), same_of(["key", "stretch"], "x", "y"))
+    spans = both.select("y.window_id", "y.window_start", "y.window_end", "x.*").drop("stretch")
+    return spans.groupBy(*GROUP, "value").agg(*merged(functions))

@@ -8,10 +8,10 @@ from math import gcd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panemill.operators.count_windows import count_windows
+from panemill.operators.count_windows import count_windows, without_key
 from panemill.operators.dense import with_empty_windows
 from panemill.operators.sessions import session_windows
-from panemill.plans.panes import fixed_windows
+from panemill.plans.panes import few_rows, fixed_windows, holistic
 from panemill.plans.spec import QuerySpec
 
 
@@ -22,11 +22,15 @@ def wide_results(events: DataFrame, query: QuerySpec, *, dense: bool = False) ->
     """
     functions, parts = query.functions, []
     fixed = query.fixed()
+    if not query.keyed:
+        events = without_key(events)
+    # the only thing that is asked before the plan stands: whether a group can be too large for one task
+    few = few_rows(events) if holistic(functions) or (query.sessions() and query.keyed) else False
     if fixed and dense:
-        parts += [with_empty_windows(fixed_windows(events, [w], functions, gcd(w.size, w.slide)), w, events) for w in fixed]
+        parts += [with_empty_windows(fixed_windows(events, [w], functions, gcd(w.size, w.slide), few=few), w) for w in fixed]
     elif fixed:
-        parts.append(fixed_windows(events, fixed, functions, query.pane_ms()))
-    parts += [session_windows(events, w, functions) for w in query.sessions()]
+        parts.append(fixed_windows(events, fixed, functions, query.pane_ms(), few=few))
+    parts += [session_windows(events, w, functions, keyed=query.keyed, few=few) for w in query.sessions()]
     parts += [count_windows(events, w, functions, query.count_scope) for w in query.counts()]
     return reduce(DataFrame.unionByName, parts)
 

@@ -2,35 +2,51 @@
 
 Spark's ``window(ts, size, slide)`` copies each row for each window before it aggregates, and several windows read the
 input several times. Here rows are aggregated once, into panes as long as all sizes and slides have in common;
-only panes are copied to the windows that they lie in. Where events are so sparse that a pane holds fewer than two,
-rows are copied instead, which saves a shuffle.
+only panes are copied to the windows that they lie in. That costs a shuffle of no more rows than there are events; where an
+event lies in few windows, it is copied instead.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panemill.functions.aggregates import Aggregate
 from panemill.plans.spec import WindowSpec
-
+from panemill.sources.shared import written
 
 GROUP = ("window_id", "window_start", "window_end", "key")
+#: Windows that an event lies in from which on panes are worth a shuffle: they add a quarter to it at most.
+COPIES = 4
+#: Rows that one task may put in order.
+ORDERED = 1_000_000
+
+
+def holistic(functions: Sequence[Aggregate]) -> bool:
+    return any(f.kind == "holistic" for f in functions)
 
 
 def lifted(functions: Sequence[Aggregate]) -> list[Column]:
-    return [c for i, f in enumerate(functions) for c in f.lifted(F.col("value"), f"f{i}")]
+    """What a group of events keeps: with holistic functions, for which events are grouped by value too, also a count."""
+    count = [F.count("value").alias("n")] if holistic(functions) else []
+    return count + [c for i, f in enumerate(functions) for c in f.lifted(F.col("value"), f"f{i}")]
 
 
 def merged(functions: Sequence[Aggregate]) -> list[Column]:
-    return [c for i, f in enumerate(functions) for c in f.merged(f"f{i}")]
+    count = [F.sum("n").alias("n")] if holistic(functions) else []
+    return count + [c for i, f in enumerate(functions) for c in f.merged(f"f{i}")]
+
 
+def kept_by(functions: Sequence[Aggregate]) -> list[str]:
+    """By what events are grouped besides their window."""
+    return ["key", "value"] if holistic(functions) else ["key"]
 
-def lowered(functions: Sequence[Aggregate]) -> list[Column]:
-    return [f.lowered(f"f{i}").cast("bigint").alias(f"value_{i}") for i, f in enumerate(functions)]
+
+def same_of(columns: Sequence[str], left: str, right: str) -> Column:
+    """Whether two aliased tables agree in some columns; null agrees with null."""
+    return F.expr(" AND ".join(f"{left}.{c} <=> {right}.{c}" for c in columns))
 
 
 def windows_over(start: Column, windows: Sequence[WindowSpec]) -> Column:
@@ -48,110 +64,76 @@ def _windows_of(start: Column, w: WindowSpec) -> Column:
     return F.transform(starts, lambda s: F.struct(F.lit(w.window_id).cast("bigint").alias("window_id"), s.alias("window_start"), (s + w.size).alias("window_end")))
 
 
-@dataclass(frozen=True)
-class Measured:
-    """How many events there are, and how far their times and values reach: what plans are chosen by."""
-
-    rows: int
-    times: int
-    values: int
-
-    @classmethod
-    def of(cls, events: DataFrame) -> Measured:
-        rows, t0, t1, v0, v1 = events.agg(F.count(F.lit(1)), F.min("event_ts"), F.max("event_ts"), F.min("value"), F.max("value")).first()
-        return cls(rows, 0 if t0 is None else t1 - t0 + 1, 0 if v0 is None else v1 - v0 + 1)
-
-    def panes_share(self, pane_ms: int) -> bool:
-        return self.rows >= 2 * (self.times // pane_ms + 1)
-
-    def few_values(self) -> bool:
-        """Whether whole values lie so close together that no group can have more than ORDERED different ones."""
-        return self.values <= ORDERED
+def panes_pay(windows: Sequence[WindowSpec]) -> bool:
+    """Whether an event lies in so many windows that it should be summed up in a pane before it is copied."""
+    return sum(-(-w.size // w.slide) for w in windows) >= COPIES
 
 
-def _in_windows(events: DataFrame, windows: Sequence[WindowSpec], pane_ms: int, by: Sequence[str], first: Sequence[Column], then: Sequence[Column], *, share: bool) -> DataFrame:
-    """Aggregate events by window and ``by``: ``first`` into panes, ``then`` the panes of a window."""
-    rows = events.where("event_ts >= 0")
+def _in_windows(events: DataFrame, windows: Sequence[WindowSpec], pane_ms: int, functions: Sequence[Aggregate], *, share: bool) -> DataFrame:
+    """(window_id, window_start, window_end, key, value for holistic functions, parts) of all events from 0 on."""
+    rows, by = events.where("event_ts >= 0"), kept_by(functions)
     if len(windows) == 1 and windows[0].size == windows[0].slide:
         # one tumbling window: its panes are the windows
         w = windows[0]
         start = F.col("event_ts") - F.pmod(F.col("event_ts"), F.lit(w.size))
-        found = rows.select("key", "value", start.alias("window_start")).groupBy("window_start", *by).agg(*first)
+        found = rows.select("key", "value", start.alias("window_start")).groupBy("window_start", *by).agg(*lifted(functions))
         return found.select(F.lit(w.window_id).cast("bigint").alias("window_id"), (F.col("window_start") + w.size).alias("window_end"), "*")
     if not share:
         copies = rows.select("key", "value", F.explode(windows_over(F.col("event_ts"), windows)).alias("w")).select("w.*", "key", "value")
-        return copies.groupBy("window_id", "window_start", "window_end", *by).agg(*first)
+        return copies.groupBy("window_id", "window_start", "window_end", *by).agg(*lifted(functions))
     pane = F.col("event_ts") - F.pmod(F.col("event_ts"), F.lit(pane_ms))
-    panes = rows.select("key", "value", pane.alias("pane_start")).groupBy("pane_start", *by).agg(*first)
+    panes = rows.select("key", "value", pane.alias("pane_start")).groupBy("pane_start", *by).agg(*lifted(functions))
     copies = panes.withColumn("w", F.explode(windows_over(F.col("pane_start"), windows))).select("w.*", "*")
-    return copies.groupBy("window_id", "window_start", "window_end", *by).agg(*then)
+    return copies.groupBy("window_id", "window_start", "window_end", *by).agg(*merged(functions))
 
 
-#: Values of a group that one task may order: beyond, they are dealt by buckets first.
-ORDERED = 1_000_000
-#: Buckets of a group's values, and how many tasks a group's values are dealt to before they have a bucket.
-BUCKETS, SALTS = 1024, 64
-
-
-def _at_rank(found: Column, upto: Column, n: Column, rank: Column) -> Column:
-    return F.when((upto > rank) & (upto - n <= rank), found)
+def few_rows(rows: DataFrame) -> bool:
+    """Whether no group of these rows can be too large for one task. Of files, only the rows' number is read."""
+    return rows.count() <= ORDERED
 
 
-def picked(counts: DataFrame, ranked: dict[int, Aggregate], *, few: bool) -> DataFrame:
-    """Of (window, key, value, n) the values at the functions' places: (window, key, value_i, ...).
+def placed(counts: DataFrame, *, few: bool) -> DataFrame:
+    """Add to counts of values (GROUP, value, n, ...) how many values there are up to each one, and how many in all.
 
-    With ``few`` different values for each group, a running sum over them finds the place. Else each group's values are
-    dealt to buckets between its least and its largest one: a running sum over a group's buckets finds the bucket, and
-    one over the bucket's values the place. Groups are joined to their bounds by a hash of the value as well, so that
-    a hot group's values are spread over tasks all the way.
+    If there are ``few`` rows, each group is put in order by one task. Else all rows are dealt to ranges of (group, value)
+    that hold equally many: Spark takes the ranges' borders from a sample, so that neither a hot group nor values that
+    crowd make one range larger. Running sums over the ranges of a group and within a range make up a value's place.
+    The dealt rows are written, since another sample would deal them differently.
     """
     group = Window.partitionBy(*GROUP)
     if few:
-        placed = counts.withColumns({"upto": F.sum("n").over(group.orderBy("value")), "total": F.sum("n").over(group)})
-        return placed.groupBy(*GROUP).agg(*[F.max(_at_rank(F.col("value"), F.col("upto"), F.col("n"), f.rank(F.col("total")))).alias(f"value_{i}") for i, f in ranked.items()])
-    counts = counts.where("value IS NOT NULL").withColumn("salt", F.pmod(F.xxhash64("value"), F.lit(SALTS)))
-    bounds = counts.groupBy(*GROUP).agg(F.min("value").alias("low"), F.max("value").alias("high")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).select(*[F.col(c).alias(f"b_{c}") for c in GROUP], "low", "high", "salt")
-    same = F.expr(" AND ".join(f"{c} <=> b_{c}" for c in GROUP))
-    share = (F.col("value").cast("double") - F.col("low")) / (F.col("high").cast("double") - F.col("low") + 1)
-    dealt = counts.join(bounds.withColumnRenamed("salt", "b_salt"), same & (F.col("salt") == F.col("b_salt"))).select(*GROUP, "value", "n", F.least(F.floor(share * BUCKETS), F.lit(BUCKETS - 1)).alias("bucket"))
-    sums = dealt.groupBy(*GROUP, "bucket").agg(F.sum("n").alias("n"))
-    sums = sums.withColumns({"upto": F.sum("n").over(group.orderBy("bucket")), "total": F.sum("n").over(group)})
-    wanted = sums.select(*[F.col(c).alias(f"w_{c}") for c in (*GROUP, "bucket")], (F.col("upto") - F.col("n")).alias("below"), F.explode(F.array(*[_at_rank(F.struct(F.lit(i).alias("i"), f.rank(F.col("total")).alias("rank")), F.col("upto"), F.col("n"), f.rank(F.col("total"))) for i, f in ranked.items()])).alias("f")).where("f IS NOT NULL")
-    inside = dealt.join(wanted, F.expr(" AND ".join(f"{c} <=> w_{c}" for c in (*GROUP, "bucket")))).select(*GROUP, "bucket", "f.i", "f.rank", "below", "value", "n")
-    upto = F.col("below") + F.sum("n").over(Window.partitionBy(*GROUP, "bucket", "i").orderBy("value"))
-    found = inside.withColumn("upto", upto).where((F.col("upto") > F.col("rank")) & (F.col("upto") - F.col("n") <= F.col("rank")))
-    return found.groupBy(*GROUP).agg(*[F.max(F.when(F.col("i") == i, F.col("value"))).alias(f"value_{i}") for i in ranked])
-
-
-def joined(found: Sequence[DataFrame]) -> DataFrame:
-    """One or two tables of results side by side, by window and key; null keys are equal, and a group may lack values."""
-    if len(found) == 1:
-        return found[0]
-    same = F.expr(" AND ".join(f"x.{c} <=> y.{c}" for c in GROUP))
-    values = [f"{side}.{c}" for side, part in zip("xy", found) for c in part.columns if c not in GROUP]
-    return found[0].alias("x").join(found[1].alias("y"), same, "left").select(*[f"x.{c}" for c in GROUP], *values)
-
-
-def fixed_windows(events: DataFrame, windows: Sequence[WindowSpec], functions: Sequence[Aggregate], pane_ms: int, *, share: bool | None = None) -> DataFrame:
+        return counts.withColumns({"upto": F.sum("n").over(group.orderBy("value")), "total": F.sum("n").over(group)})
+    ranges = max(int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions")), counts.count() // ORDERED + 1)
+    dealt = written(counts.repartitionByRange(ranges, *GROUP, "value").withColumn("range", F.spark_partition_id()))
+    sums = dealt.groupBy(*GROUP, "range").agg(F.sum("n").alias("here"))
+    sums = sums.withColumns({"below": F.sum("here").over(group.orderBy("range")) - F.col("here"), "total": F.sum("here").over(group)})
+    both = dealt.alias("x").join(sums.alias("y"), same_of([*GROUP, "range"], "x", "y")).select("x.*", "y.below", "y.total")
+    return both.withColumn("upto", F.col("below") + F.sum("n").over(Window.partitionBy(*GROUP, "range").orderBy("value")))
+
+
+def finished(rows: DataFrame, functions: Sequence[Aggregate], *, few: bool) -> DataFrame:
+    """Results (GROUP, value_0, ...) of rows that hold a window's parts, or with holistic functions those of each value.
+
+    All functions come from one grouping: the counts give the holistic ones, the values' parts merge to all others.
+    """
+    if holistic(functions):
+        columns = [F.col(c) for c in ("value", "n", "upto", "total")]
+        counted = [f.over_counts(*columns).alias(f"f{i}") for i, f in enumerate(functions) if f.kind == "holistic"]
+        parts = [c for i, f in enumerate(functions) for c in f.merged(f"f{i}")]
+        rows = placed(rows, few=few).groupBy(*GROUP).agg(*counted, *parts)
+    values = [F.col(f"f{i}") if f.kind == "holistic" else f.lowered(f"f{i}") for i, f in enumerate(functions)]
+    return rows.select(*GROUP, *[v.cast("bigint").alias(f"value_{i}") for i, v in enumerate(values)])
+
+
+def fixed_windows(events: DataFrame, windows: Sequence[WindowSpec], functions: Sequence[Aggregate], pane_ms: int, *, share: bool | None = None, few: bool | None = None) -> DataFrame:
     """(window_id, window_start, window_end, key, value_0, ...) of tumbling and sliding time windows.
 
-    Functions of the class ``holistic`` work on counts of different values, all others on one part for each pane.
-    Counts and parts are summed up before each shuffle. See ``picked`` for how a value's place is found. ``share``:
-    whether to go by panes; where it is left out, the number of events and the time that they cover tell.
+    Events are read once. With a holistic function they are grouped by value as well: counts of different values and
+    the other functions' parts go through the same shuffles, summed up before each one. ``share``: whether to go by panes;
+    where it is left out, the number of windows that an event lies in tells. ``few``: see ``placed``. A group whose values
+    are all null has a result of nulls.
     """
-    plain = {i: f for i, f in enumerate(functions) if f.kind != "holistic"}
-    ranked = {i: f for i, f in enumerate(functions) if f.kind == "holistic"}
-    single = len(windows) == 1 and windows[0].size == windows[0].slide
-    measured = Measured.of(events) if ranked or (share is None and not single) else None
-    if share is None:
-        share = measured is not None and measured.panes_share(pane_ms)
-    found = []
-    if plain:
-        first = [c for i, f in plain.items() for c in f.lifted(F.col("value"), f"f{i}")]
-        then = [c for i, f in plain.items() for c in f.merged(f"f{i}")]
-        parts = _in_windows(events, windows, pane_ms, ["key"], first, then, share=share)
-        found.append(parts.select(*GROUP, *[f.lowered(f"f{i}").cast("bigint").alias(f"value_{i}") for i, f in plain.items()]))
-    if ranked:
-        counts = _in_windows(events, windows, pane_ms, ["key", "value"], [F.count("value").alias("n")], [F.sum("n").alias("n")], share=share)
-        found.append(picked(counts, ranked, few=measured.few_values()))
-    return joined(found).select(*GROUP, *[f"value_{i}" for i in range(len(functions))])
+    rows = _in_windows(events, windows, pane_ms, functions, share=panes_pay(windows) if share is None else share)
+    if few is None:
+        few = not holistic(functions) or few_rows(events)
+    return finished(rows, functions, few=few)

@@ -108,10 +108,12 @@ class QuerySpec:
     functions: tuple[Aggregate, ...]
     #: Whether count windows count all events (``global``) or those of each key (``key``).
     count_scope: Literal["global", "key"] = "global"
+    #: Whether events are told apart by key; else all have the key of events without one.
+    keyed: bool = True
 
     @classmethod
-    def parse(cls, windows: str, functions: str, count_scope: Literal["global", "key"] = "global") -> QuerySpec:
-        found = cls(tuple(parse_windows(windows)), tuple(aggregate(x) for x in functions.split(";") if x.strip()), count_scope)
+    def parse(cls, windows: str, functions: str, count_scope: Literal["global", "key"] = "global", *, keyed: bool = True) -> QuerySpec:
+        found = cls(tuple(parse_windows(windows)), tuple(aggregate(x) for x in functions.split(";") if x.strip()), count_scope, keyed)
         if not found.windows or not found.functions:
             raise ValueError("a query has a window and a function at least")
         return found

@@ -46,7 +46,7 @@ def union_streams(*streams: DataFrame) -> DataFrame:
     """All events of several streams."""
     found, *rest = streams
     for stream in rest:
-        found = found.unionByName(stream)
+        found = found.unionByName(stream, allowMissingColumns=True)
     return found
 
 
@@ -55,7 +55,18 @@ def write_batch(events: DataFrame, folder: str, files: int = 1) -> None:
     events.drop("ts").repartition(files).write.mode("append").parquet(folder)
 
 
+def write_end(spark: SparkSession, folder: str, at_ms: int) -> None:
+    """Add a closing mark to a folder that a stream reads: no event, but a time that lifts the source's watermark.
+
+    Of several sources the slowest one's watermark counts, so that each needs a mark past the last window of all.
+    """
+    spark.range(1).select(F.lit(at_ms).cast("bigint").alias("event_ts"), F.lit(True).alias("ends")).write.mode("append").parquet(folder)
+
+
 def batch_stream(spark: SparkSession, folder: str, files: int = 1) -> DataFrame:
-    """The events of a folder as a stream that takes in so many files at a time, the oldest first."""
-    schema = "stream_id int, event_ts bigint, value bigint, key bigint, event_id bigint"
+    """The events of a folder as a stream that takes in so many files at a time, the oldest first.
+
+    ``ends`` tells closing marks, which ``watermarked`` leaves out.
+    """
+    schema = "stream_id int, event_ts bigint, value bigint, key bigint, event_id bigint, ends boolean"
     return _timed(spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(folder))

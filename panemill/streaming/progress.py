@@ -19,6 +19,8 @@ class Batch:
     processed_rate: float
     duration_ms: int
     watermark: str | None
+    #: What the query's ``observe`` metrics were, by their names.
+    observed: dict = field(default_factory=dict)
 
 
 def falls_behind(batches: list[Batch], slow: int = SLOW_BATCHES) -> bool:
@@ -39,7 +41,7 @@ class ProgressLog(StreamingQueryListener):
 
     def onQueryProgress(self, event: QueryProgressEvent) -> None:
         p = event.progress
-        self.batches.append(Batch(str(p.id), p.batchId, p.numInputRows, p.inputRowsPerSecond, p.processedRowsPerSecond, p.batchDuration, p.eventTime.get("watermark")))
+        self.batches.append(Batch(str(p.id), p.batchId, p.numInputRows, p.inputRowsPerSecond, p.processedRowsPerSecond, p.batchDuration, p.eventTime.get("watermark"), {name: row.asDict() for name, row in p.observedMetrics.items()}))
         del self.batches[: -self.keep]
 
     def onQueryTerminated(self, event: QueryTerminatedEvent) -> None:

@@ -2,33 +2,39 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from pyspark.sql import DataFrame
 
-from pyspark.sql import DataFrame, SparkSession
+from panemill.sources.shared import names_in, shared_folder
+from panemill.streaming.state import BatchState, StreamQuery
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """A new folder below the cluster's shared checkpoint folder.
-
-    Where spark.checkpoint.dir is unset, a temporary folder takes its place on a single machine, and only there.
-    """
-    context = spark.sparkContext
-    root = context.getConf().get("spark.checkpoint.dir", None) or context.getCheckpointDir()
-    if not root:
-        if not context.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        root = "file://" + tempfile.mkdtemp(prefix="spark-stream-")
-    return f"{root.rstrip('/')}/stream-{uuid.uuid4().hex}"
-
-
-def drained(stream: DataFrame, folder: str | None = None) -> DataFrame:
+def drained(stream: DataFrame | StreamQuery, folder: str | None = None) -> DataFrame:
     """Append all that the stream's sources hold to files in a shared folder, then read them.
 
     State and progress are checkpointed in the same folder: a second run with the folder of a first one goes on where it
-    stopped. Windows that the watermark has not passed stay open and are not in the result.
+    stopped. Windows that the watermark has not passed stay open and are not in the result; closing marks in the sources lift
+    it past them (``write_end``).
     """
+    if isinstance(stream, StreamQuery):
+        return _finished(stream, folder or shared_folder(stream.rows.sparkSession))
     base = folder or shared_folder(stream.sparkSession)
     query = stream.writeStream.format("parquet").outputMode("append").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
     query.awaitTermination()
     return stream.sparkSession.read.schema(stream.schema).parquet(f"{base}/out")
+
+
+def _finished(stream: StreamQuery, base: str) -> DataFrame:
+    """Each batch's closed rows are written once, then finished; its results replace those of an earlier attempt."""
+
+    def finish(batch: DataFrame, number: int) -> None:
+        state = BatchState(batch.sparkSession, f"{base}/tables", number)
+        closed = state.write("closed", batch)
+        if not closed.isEmpty():
+            stream.finish(closed, state).write.mode("overwrite").parquet(f"{base}/out/{number}")
+        state.tidy()
+
+    query = stream.rows.writeStream.foreachBatch(finish).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
+    query.awaitTermination()
+    spark = stream.rows.sparkSession
+    found = [f"{base}/out/{x}" for x in names_in(spark, f"{base}/out")]
+    return spark.read.schema(stream.results).parquet(*found) if found else spark.createDataFrame([], stream.results)

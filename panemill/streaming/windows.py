@@ -2,82 +2,173 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
+from functools import reduce
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import LongType, StructField, StructType
 
 from panemill.functions.aggregates import Aggregate
-from panemill.operators.sessions import session_windows
-from panemill.plans.panes import lifted, lowered
+from panemill.operators.count_windows import full, in_count_windows, window_parts, with_ends, with_place, without_key
+from panemill.operators.sessions import spark_sessions
+from panemill.plans.panes import GROUP, few_rows, finished, holistic, kept_by, lifted, merged, panes_pay, same_of, windows_over
 from panemill.plans.spec import LATENESS_MS, QuerySpec, WindowSpec
-from panemill.sources.events import NO_KEY, union_streams
+from panemill.sources.events import union_streams
+from panemill.streaming.state import BatchState, StreamQuery
+
+#: Marks a column as event time for the operators after it, as withWatermark does: an end of a window that is worked out
+#: from a pane has to say so itself. The watermark is that of the panes.
+EVENT_TIME = {"spark.watermarkDelayMs": 0}
 
 
 def watermarked(events: DataFrame, lateness_ms: int = LATENESS_MS) -> DataFrame:
-    return events.withWatermark("ts", f"{lateness_ms} milliseconds")
+    """Events with a watermark. Closing marks lift it and are left out."""
+    found = events.withWatermark("ts", f"{lateness_ms} milliseconds")
+    if "ends" not in found.columns:
+        return found
+    # a condition without the time would be moved to before the watermark, which then never saw the marks
+    return found.where("ends IS NULL OR NOT ends OR ts IS NULL").drop("ends")
 
 
-def fixed_window_stream(events: DataFrame, window: WindowSpec, functions: Sequence[Aggregate]) -> DataFrame:
-    """(window_id, window_start, window_end, key, value_0, ...) of one tumbling or sliding window over a stream.
+def _marked(events: DataFrame | Sequence[DataFrame], lateness_ms: int) -> DataFrame:
+    """The union of sources, each with its own watermark: the slowest one's closes the windows."""
+    return union_streams(*[watermarked(s, lateness_ms) for s in ([events] if isinstance(events, DataFrame) else events)])
+
+
+def closing_ms(last_ms: int, query: QuerySpec, lateness_ms: int = LATENESS_MS) -> int:
+    """The time of a closing mark that lifts the watermark past all windows that an event at ``last_ms`` can be in."""
+    return last_ms + max([w.size for w in query.windows if w.measure == "TIME"], default=0) + lateness_ms + 2
 
-    Append mode gives each window once, when the watermark has passed its end; later events of it are dropped.
-    """
-    span = F.window("ts", f"{window.size} milliseconds", f"{window.slide} milliseconds").alias("span")
-    parts = events.groupBy(span, "key").agg(*lifted(functions))
-    rows = parts.select(F.lit(window.window_id).cast("bigint").alias("window_id"), F.unix_millis("span.start").alias("window_start"), F.unix_millis("span.end").alias("window_end"), "key", *lowered(functions))
-    return rows.where("window_start >= 0")
 
+def _results(rows: DataFrame, functions: Sequence[Aggregate]) -> StructType:
+    values = [StructField(f"value_{i}", LongType()) for i in range(len(functions))]
+    return StructType([StructField(c, LongType()) for c in GROUP[:3]] + [rows.schema["key"], *values])
 
-def query_stream(events: DataFrame | Sequence[DataFrame], query: QuerySpec, lateness_ms: int = LATENESS_MS) -> DataFrame:
-    """All time windows of a query over a stream, or over the union of several; each window has its own state.
 
-    Each of several sources has its own watermark, and the slowest one's closes the windows. Count windows: see
-    count_window_stream.
+def fixed_window_rows(events: DataFrame, windows: Sequence[WindowSpec], functions: Sequence[Aggregate], pane_ms: int, *, share: bool | None = None) -> DataFrame:
+    """The parts of tumbling and sliding windows of a stream with a watermark, each once when it has passed their end.
+
+    Several windows, and one in which an event lies often, share panes: one state of panes that the watermark closes, and
+    one state of windows, to which only closed panes are added. An event is then late when its pane has closed; without
+    shared panes, each window has a state of its own and an event is late when the window has closed.
+    """
+    by = kept_by(functions)
+    names = [*GROUP[:3], *by]
+    if share is None:
+        share = len(windows) > 1 or panes_pay(windows)
+    if not share:
+        found = []
+        for w in windows:
+            parts = events.groupBy(F.window("ts", f"{w.size} milliseconds", f"{w.slide} milliseconds").alias("span"), *by).agg(*lifted(functions))
+            rows = parts.select(F.lit(w.window_id).cast("bigint").alias("window_id"), F.unix_millis("span.start").alias("window_start"), F.unix_millis("span.end").alias("window_end"), "*")
+            found.append(rows.where("window_start >= 0").drop("span"))
+        return reduce(DataFrame.unionByName, found)
+    panes = events.groupBy(F.window("ts", f"{pane_ms} milliseconds").alias("pane"), *by).agg(*lifted(functions))
+    copies = panes.withColumn("w", F.explode(windows_over(F.unix_millis("pane.start"), windows))).select("w.*", "*")
+    closing = copies.withColumn("closes", F.timestamp_millis("window_end").alias("closes", metadata=EVENT_TIME))
+    return closing.groupBy(*names, "closes").agg(*merged(functions)).drop("closes")
+
+
+def query_stream(events: DataFrame | Sequence[DataFrame], query: QuerySpec, lateness_ms: int = LATENESS_MS, *, share: bool | None = None) -> DataFrame | StreamQuery:
+    """All time windows of a query over a stream, or over the union of several.
+
+    Fixed windows share panes (see ``fixed_window_rows``); sessions have a state of their own. Holistic functions keep
+    counts of different values in the state, never lists: what closes is finished batch by batch, as a bounded query
+    does it. Sessions' values are counted by stretches of time as long as the gap; when a session closes, all of its
+    stretches have closed as well, and their counts are waiting in a table. Count windows: see ``count_window_stream``.
     """
     if query.counts():
         raise ValueError("count windows of a stream are a query of their own")
-    sources = [events] if isinstance(events, DataFrame) else list(events)
-    marked = union_streams(*[watermarked(s, lateness_ms) for s in sources])
-    parts = [fixed_window_stream(marked, w, query.functions) for w in query.fixed()] + [session_windows(marked, w, query.functions) for w in query.sessions()]
-    found, *rest = parts
-    for part in rest:
-        found = found.unionByName(part)
-    return found
-
-
-def count_window_stream(events: DataFrame, window: WindowSpec, functions: Sequence[Aggregate], scope: str = "key") -> DataFrame:
-    """(window_id, window_start, window_end, key, value_0, ...) of every ``size`` events, ``slide`` apart.
-
-    In the key scope each key counts its own events; in the global scope all are counted in one order, which makes one
-    group of the whole stream. Events are counted as they arrive, those of one micro-batch in the order of
-    event time. The state of a group is its number of events and the values of the windows that are still open, ``size``
-    at most; a group's events of one micro-batch are held at once, so that the source's rate limit bounds them.
+    marked, functions = _marked(events, lateness_ms), query.functions
+    if not query.keyed:
+        marked = without_key(marked)
+    fixed = [fixed_window_rows(marked, query.fixed(), functions, query.pane_ms(), share=share)] if query.fixed() else []
+    if not holistic(functions):
+        rows = fixed + [spark_sessions(marked, w, functions) for w in query.sessions()]
+        return finished(reduce(DataFrame.unionByName, rows), functions, few=True)
+    kind = lambda df, name: df.withColumn("kind", F.lit(name))
+    rows = [kind(df, "window") for df in fixed]
+    for i, w in enumerate(query.sessions()):
+        rows += [kind(df, f"{name}{i}") for name, df in zip(("session", "stretch"), _session_rows(marked, w, functions), strict=True)]
+    closing = reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), rows)
+
+    def finish(closed: DataFrame, state: BatchState) -> DataFrame:
+        done = [closed.where("kind = 'window'").drop("kind")]
+        done += [_closed_sessions(closed, state, w, i) for i, w in enumerate(query.sessions())]
+        found = reduce(DataFrame.unionByName, done)
+        return finished(found, functions, few=few_rows(closed))
+
+    return StreamQuery(closing, finish, _results(closing, functions))
+
+
+def _session_rows(marked: DataFrame, window: WindowSpec, functions: Sequence[Aggregate]) -> tuple[DataFrame, DataFrame]:
+    """Sessions with the parts of the functions that are not holistic, and the counts of values of stretches."""
+    plain = [f for f in functions if f.kind != "holistic"]
+    names = {f"f{j}{p.suffix}": f"f{i}{p.suffix}" for j, i in enumerate(i for i, f in enumerate(functions) if f.kind != "holistic") for p in functions[i].parts}
+    sessions = spark_sessions(marked, window, plain).withColumnsRenamed(names) if plain else _bare_sessions(marked, window)
+    stretches = marked.where("ts >= timestamp_millis(0)").groupBy(F.window("ts", f"{window.size} milliseconds").alias("span"), "key", "value").agg(F.count("value").alias("n"))
+    counts = stretches.select(F.lit(window.window_id).cast("bigint").alias("window_id"), F.unix_millis("span.start").alias("window_start"), F.unix_millis("span.end").alias("window_end"), "key", "value", "n")
+    return sessions, counts
+
+
+def _bare_sessions(marked: DataFrame, window: WindowSpec) -> DataFrame:
+    found = marked.where("ts >= timestamp_millis(0)").groupBy(F.session_window("ts", f"{window.size} milliseconds").alias("span"), "key").count()
+    return found.select(F.lit(window.window_id).cast("bigint").alias("window_id"), F.unix_millis("span.start").alias("window_start"), F.unix_millis("span.end").alias("window_end"), "key")
+
+
+def _closed_sessions(closed: DataFrame, state: BatchState, window: WindowSpec, number: int) -> DataFrame:
+    """The parts and counts of the sessions that a batch has closed; the counts of all others go on waiting.
+
+    Each stretch between a session's first and last event holds an event of it, so that a session meets no more
+    stretches than have counts.
+    """
+    stretches = closed.where(f"kind = 'stretch{number}'").drop("kind")
+    waiting = state.read(f"stretches{number}", stretches.schema).unionByName(stretches)
+    sessions = closed.where(f"kind = 'session{number}'").drop("kind")
+    gap = F.lit(window.size).cast("bigint")
+    first, last = (c - F.pmod(c, gap) for c in (F.col("window_start"), F.col("window_end") - gap))
+    spans = sessions.select(F.col("window_start").alias("start"), F.col("window_end").alias("end"), "key", F.explode(F.sequence(first, last, gap)).alias("window_start"))
+    both = waiting.alias("x").join(spans.alias("y"), same_of(["key", "window_start"], "x", "y"), "left").select("x.*", "y.start", "y.end")
+    held = state.write(f"stretches{number}_told", both)
+    state.write(f"stretches{number}", held.where("start IS NULL").drop("start", "end"))
+    found = held.where("start IS NOT NULL").withColumns({"window_start": F.col("start"), "window_end": F.col("end")}).drop("start", "end")
+    counts = found.groupBy(*GROUP, "value").agg(F.sum("n").alias("n"))
+    # a session's parts stand beside its counts as a row without a value
+    return sessions.withColumns({"value": F.lit(None).cast("bigint"), "n": F.lit(0).cast("bigint")}).unionByName(counts, allowMissingColumns=True)
+
+
+def count_window_stream(events: DataFrame | Sequence[DataFrame], window: WindowSpec, functions: Sequence[Aggregate], scope: str = "key", lateness_ms: int = LATENESS_MS) -> StreamQuery:
+    """(window_id, window_start, window_end, key, value_0, ...) of every ``size`` events, ``slide`` apart, by event time.
+
+    The state holds events until the watermark has passed their time; from then on no earlier one can come, and they are
+    numbered in the order of event_ts, stream_id and event_id, whatever batch they came in. Later ones are late and dropped.
+    In the key scope each key counts its own events; in the global scope all are counted in one order.
+
+    A batch's numbers come from counts of spans of time and from how many events there were before, one row for each key
+    (one in all, in the global scope). Windows that are not full yet wait as parts, with holistic functions as counts of
+    values: no list of events is kept, and no task sees all events of a batch.
     """
-    size, slide, window_id = window.size, window.slide, window.window_id
-    lacking = [f.name for f in functions if f.of_values is None]
-    if lacking:
-        raise ValueError(f"no form for lists of values: {lacking}")
-    of_values = [f.of_values for f in functions]
-    names = ["window_id", "window_start", "window_end", "key", *[f"value_{i}" for i in range(len(functions))]]
-
-    def add(key: tuple[int], batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        seen, held = state.get if state.exists else (0, [])
-        some = pd.concat(list(batches), ignore_index=True).sort_values(["event_ts", "stream_id", "event_id"], kind="stable")
-        first = seen - len(held)
-        values = list(held) + some["value"].tolist()
-        seen += len(some)
-        start = -(-first // slide) * slide
-        rows = []
-        while start + size <= seen:
-            own = values[start - first : start - first + size]
-            rows.append((window_id, start, start + size, key[0], *[f(own) for f in of_values]))
-            start += slide
-        state.update((seen, values[max(0, min(start, seen) - first) :]))
-        yield pd.DataFrame(rows, columns=names)
-
-    group = F.col("key") if scope == "key" else F.lit(NO_KEY).cast("bigint")
-    rows = events.select(group.alias("key"), "event_ts", "stream_id", "event_id", "value")
-    return rows.groupBy("key").applyInPandasWithState(add, ", ".join(f"{n} long" for n in names), "seen long, held array<long>", "append", GroupStateTimeout.NoTimeout)
+    by = ["key"] if scope == "key" else []
+    marked = _marked(events, lateness_ms)
+    columns = ["event_ts", "stream_id", "event_id", "key", "value"]
+    held = marked.groupBy(F.window("ts", "1 millisecond").alias("span"), *columns).agg(F.count(F.lit(1)).alias("times"))
+    held = held.select(*columns, "times")
+
+    def finish(closed: DataFrame, state: BatchState) -> DataFrame:
+        rows = closed.withColumn("time", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("times")))).drop("time", "times")
+        rows = rows if by else without_key(rows)
+        seen = state.read("seen", rows.select("key", F.lit(0).cast("bigint").alias("before")).schema)
+        numbered = with_place(rows, by).alias("x").join(seen.alias("y"), same_of(["key"], "x", "y"), "left")
+        place: Column = F.col("x.place") + F.coalesce("y.before", F.lit(0))
+        numbered = numbered.select("x.key", "x.value", place.alias("place"))
+        new = window_parts(in_count_windows(numbered, window), functions)
+        open_before = state.read("windows", full(new, window).schema).where("NOT full").drop("full")
+        keys = ["window_start", *kept_by(functions)]
+        parts = open_before.unionByName(new).groupBy(*keys).agg(F.sum("events").alias("events"), *merged(functions))
+        told = state.write("windows", full(parts, window))
+        counts = rows.groupBy("key").agg(F.count(F.lit(1)).alias("before"))
+        state.write("seen", seen.unionByName(counts).groupBy("key").agg(F.sum("before").alias("before")))
+        return finished(with_ends(told.where("full"), window), functions, few=few_rows(told))
+
+    return StreamQuery(held, finish, _results(without_key(held) if not by else held, functions))
