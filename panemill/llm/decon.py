@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,21 +28,28 @@ def _once(value: Column) -> Column:
     return F.explode(F.array(value))
 
 
-def _shingles(words: str, shingle: str) -> Column:
-    return F.expr(f"CASE WHEN size({words}) > 0 THEN array_distinct(transform(sequence(1, greatest(size({words}) - {WORDS - 1}, 1)), i -> {shingle})) ELSE array() END")
+def _shingles(words: str, shingle: Callable[[int], str], short: Sequence[int]) -> Column:
+    """The different shingles of WORDS words, or the whole sequence of fewer, and those of each length in ``short``."""
+    every = [f"transform(sequence(1, greatest(size({words}) - {WORDS - 1}, 1)), i -> {shingle(WORDS)})"]
+    every += [f"CASE WHEN size({words}) >= {n} THEN transform(sequence(1, size({words}) - {n - 1}), i -> {shingle(n)}) ELSE array() END" for n in short]
+    return F.expr(f"CASE WHEN size({words}) > 0 THEN array_distinct(concat({', '.join(every)})) ELSE array() END")
 
 
-def hashed_shingles(df: DataFrame, *keep: str) -> DataFrame:
-    """``keep`` and hashes: the different shingles of ``text``, each as a 64-bit hash of its words' hashes."""
+def hashed_shingles(df: DataFrame, *keep: str, short: Sequence[int] = ()) -> DataFrame:
+    """``keep``, the number of words and hashes: the different shingles of ``text``, each as a 64-bit hash of its words'
+    hashes. ``short``: lengths below five words whose shingles are added."""
     hashed = df.select(*keep, _once(F.transform(words_of(F.col("text")), lambda w: F.xxhash64(w))).alias("h"))
-    places = ", ".join(f"get(h, i + {j - 1})" for j in range(WORDS))
-    return hashed.select(*keep, _once(_shingles("h", f"xxhash64({places})")).alias("hashes"))
+
+    def places(n: int) -> str:
+        return "xxhash64(" + ", ".join(f"get(h, i + {j - 1})" for j in range(n)) + ")"
+
+    return hashed.select(*keep, F.size("h").alias("words"), _once(_shingles("h", places, short)).alias("hashes"))
 
 
-def spelled_shingles(df: DataFrame, *keep: str) -> DataFrame:
+def spelled_shingles(df: DataFrame, *keep: str, short: Sequence[int] = ()) -> DataFrame:
     """``keep`` and shingles: the different shingles of ``text`` as text."""
     split = df.select(*keep, _once(words_of(F.col("text"))).alias("w"))
-    return split.select(*keep, _once(_shingles("w", f"array_join(slice(w, i, {WORDS}), ' ')")).alias("shingles"))
+    return split.select(*keep, _once(_shingles("w", lambda n: f"array_join(slice(w, i, {n}), ' ')", short)).alias("shingles"))
 
 
 def _small(df: DataFrame, rows: int) -> DataFrame:
@@ -52,8 +61,8 @@ def contained_items(docs: DataFrame, items: DataFrame) -> DataFrame:
 
     Columns: doc_id, item_id, n_item_shingles, n_shared, containment. An item is found where a document holds at
     least 80 % of its different 5-word shingles; A-Z count as a-z. An item of fewer words has one shingle, its whole
-    sequence, and is found in documents that are this sequence. Null and empty texts hold nothing and are found
-    nowhere. Rows of one doc_id are one document, rows of one item_id one item with the most of what is found; null ids
+    sequence, and is found wherever these words stand one after the other: documents are also shingled at the lengths
+    below five that items have. Null and empty texts hold nothing and are found nowhere. Rows of one doc_id are one document, rows of one item_id one item with the most of what is found; null ids
     are left out, as are extra columns. Empty tables give an empty result.
 
     Items are parted by size: each size class has its own number of retained values, the least hashes of an item's
@@ -63,18 +72,19 @@ def contained_items(docs: DataFrame, items: DataFrame) -> DataFrame:
     their shingles, the items; beyond the bound these joins shuffle. Very long texts are read whole. A passage that many documents share costs one row for each of them.
     """
     items = items.where("item_id is not null").select("item_id", "text")
-    sized = hashed_shingles(items, "item_id").withColumn("n", F.size("hashes")).where("n > 0")
+    sized = written(hashed_shingles(items, "item_id").withColumn("n", F.size("hashes")).where("n > 0"), "items")
+    short = sorted(r.words for r in sized.where(F.col("words") < WORDS).select("words").distinct().collect())  # four at most
     # the size class is the power of two at or above the size
     upper = F.pow(F.lit(2.0), F.ceil(F.log2(F.col("n").cast("double")))).cast("int")
     kept = F.least(F.col("n"), F.greatest(F.lit(SKETCH), F.floor(upper / SHARE).cast("int")))
     need = F.when(F.col("n") <= SKETCH, F.ceil(F.col("n") * (CONTAINED / 100))).otherwise(F.floor(kept * HITS / SKETCH)).cast("int")
     retained = written(sized.select("item_id", kept.alias("k"), need.alias("need"), "hashes").select("item_id", "need", F.explode(F.slice(F.array_sort("hashes"), F.lit(1), F.col("k"))).alias("h")), "retained")
     named = docs.where("doc_id is not null").select("doc_id", "text")
-    seen = hashed_shingles(named, "doc_id").select("doc_id", F.explode("hashes").alias("h"))
+    seen = hashed_shingles(named, "doc_id", short=short).select("doc_id", F.explode("hashes").alias("h"))
     retained_rows = retained.count()  # no fewer than the items
     hits = seen.join(_small(retained, retained_rows), "h").groupBy("doc_id", "item_id", "need").agg(F.count(F.lit(1)).alias("hits"))
     pairs = written(hits.where("hits >= need").select("doc_id", "item_id"), "pairs")
-    found = spelled_shingles(named.join(_small(pairs, pairs.count()), "doc_id"), "doc_id", "item_id")
+    found = spelled_shingles(named.join(_small(pairs, pairs.count()), "doc_id"), "doc_id", "item_id", short=short)
     listed = spelled_shingles(items, "item_id").select("item_id", F.col("shingles").alias("wanted"))
     both = found.join(_small(listed, retained_rows * SHARE), "item_id")  # no more shingles than that
     counted = both.select("doc_id", "item_id", F.size("wanted").cast("long").alias("n_item_shingles"), F.size(F.array_intersect("wanted", "shingles")).cast("long").alias("n_shared"))
@@ -103,6 +113,10 @@ s AS (
   SELECT kind, id, list_distinct(CASE WHEN len(words) = 0 THEN [] ELSE list_transform(range(1, 1 + greatest(len(words) - 4, 1)), lambda i: array_to_string(words[i:i + 4], ' ')) END) AS shingles
   FROM w),
 d AS (SELECT id AS doc_id, unnest(shingles) AS shingle FROM s WHERE kind = 'd'),
-b AS (SELECT id AS item_id, CAST(len(shingles) AS BIGINT) AS n, unnest(shingles) AS shingle FROM s WHERE kind = 'b')
+b AS (SELECT id AS item_id, CAST(len(shingles) AS BIGINT) AS n, unnest(shingles) AS shingle FROM s JOIN w USING (kind, id) WHERE kind = 'b' AND len(w.words) >= 5)
+SELECT x.id AS doc_id, y.id AS item_id, 1::BIGINT AS n_item_shingles, 1::BIGINT AS n_shared, 1.0::DOUBLE AS containment
+FROM w x JOIN w y ON x.kind = 'd' AND y.kind = 'b' AND len(y.words) BETWEEN 1 AND 4
+  AND contains(' ' || array_to_string(x.words, ' ') || ' ', ' ' || array_to_string(y.words, ' ') || ' ')
+UNION ALL
 SELECT doc_id, item_id, n AS n_item_shingles, count(*) AS n_shared, count(*) / n AS containment
 FROM b JOIN d USING (shingle) GROUP BY doc_id, item_id, n HAVING 100 * count(*) >= 80 * n"""

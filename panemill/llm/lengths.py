@@ -17,7 +17,11 @@ SPAN = 1024
 
 
 def encoded_lengths(docs: DataFrame, *, tokenizer: str | None = None) -> DataFrame:
-    """(n_tokens) of each document's whole text; null and empty texts have length 0."""
+    """(n_tokens) of each document's whole text; null and empty texts have length 0.
+
+    Repeated rows count each; extra columns are left out; an empty table gives no rows. A very long text is encoded as a
+    whole by one task, which holds its bytes and ids.
+    """
     path = tokenizer or tokenizer_path()
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -52,11 +56,13 @@ def length_histogram(lengths: DataFrame) -> DataFrame:
 
 def context_totals(histogram: DataFrame, limits: Sequence[int]) -> DataFrame:
     """For each limit: docs_over (longer ones), truncated_tokens (each cut at the limit), tokens_lost, tokens_fitting
-    (of the documents that fit). Limits may lie between lengths; an empty histogram gives zeros."""
-    asked = histogram.sparkSession.createDataFrame([(int(x),) for x in limits], "context_limit long")
+    (of the documents that fit). Limits may lie between lengths; one that is named twice has one row; without limits there
+    are no rows; an empty histogram gives zeros."""
+    limits = sorted({int(x) for x in limits})
+    asked = histogram.sparkSession.createDataFrame([(x,) for x in limits], "context_limit long")
     sums = [F.sum(x) for x in ("n_docs", "docs_over", "truncated", "fitting", "tokens")]
     names = ("docs", "docs_over", "truncated_tokens", "tokens_fitting", "tokens")
-    each = histogram.select("n_tokens", "n_docs").withColumn("context_limit", F.explode(F.array(*[F.lit(int(x)).cast("long") for x in limits])))
+    each = histogram.select("n_tokens", "n_docs").withColumn("context_limit", F.explode(F.array(*[F.lit(x) for x in limits]).cast("array<long>")))
     each = each.select("context_limit", "n_docs", F.when(F.expr("n_tokens > context_limit"), F.col("n_docs")).otherwise(0).alias("docs_over"), F.expr("n_docs * least(n_tokens, context_limit)").alias("truncated"), F.when(F.expr("n_tokens <= context_limit"), F.expr("n_docs * n_tokens")).otherwise(0).alias("fitting"), F.expr("n_docs * n_tokens").alias("tokens"))
     found = each.groupBy("context_limit").agg(*[s.alias(n) for s, n in zip(sums, names, strict=True)])
     filled = asked.join(found, "context_limit", "left").na.fill(0)
@@ -64,8 +70,8 @@ def context_totals(histogram: DataFrame, limits: Sequence[int]) -> DataFrame:
 
 
 def length_quantiles(histogram: DataFrame, shares: Sequence[float]) -> DataFrame:
-    """The least length at or below which at least each share of the documents lies: (share, n_tokens)."""
-    asked = histogram.withColumn("share", F.explode(F.array(*[F.lit(float(x)) for x in shares])))
+    """The least length at or below which at least each share of the documents lies: (share, n_tokens), once for each."""
+    asked = histogram.withColumn("share", F.explode(F.array(*[F.lit(x) for x in sorted({float(x) for x in shares})]).cast("array<double>")))
     return asked.where("quantile >= share").groupBy("share").agg(F.min("n_tokens").alias("n_tokens"))
 
 

@@ -42,15 +42,20 @@ def source_rates(docs: DataFrame, group: Column, weights: Mapping[str, float], *
 
 
 def poisson_steps(rates: DataFrame) -> DataFrame:
-    """The distribution function of each rate as an array over 0, 1, 2, ... copies: (group, steps).
+    """The distribution function of each rate over ``first``, first + 1, ... copies as an array: (group, first, steps).
 
-    It runs so far that what is left is below the grain of ``uniform``. A rate of 0 has no steps.
+    It begins and ends where what is left out is below the grain of ``uniform``: a rate has some 20 of its square roots of
+    steps, so that a tiny source that is repeated millions of times has some ten thousand. Steps are shares of their own
+    sum, by quotients of neighbours: no step is lost to large numbers. A rate of 0 has no steps.
     """
-    counts = rates.where("rate > 0").withColumn("k", F.explode(F.sequence(F.lit(0), F.ceil(F.expr("rate + 10 * sqrt(rate) + 30")).cast("int"))))
-    upto = Window.partitionBy("group").orderBy("k")
-    logs = counts.withColumn("log_factorial", F.sum(F.log(F.greatest(F.col("k"), F.lit(1)).cast("double"))).over(upto))
-    sums = logs.withColumn("below", F.sum(F.exp(-F.col("rate") + F.col("k") * F.log("rate") - F.col("log_factorial"))).over(upto))
-    return sums.groupBy("group").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "below"))), lambda s: s["below"]).alias("steps"))
+    ends = [F.expr(f"CAST(greatest({x}, 0) AS BIGINT)") for x in ("floor(rate - 10 * sqrt(rate) - 30)", "ceil(rate + 10 * sqrt(rate) + 30)")]
+    counts = rates.where("rate > 0").withColumn("first", ends[0]).withColumn("k", F.explode(F.sequence(ends[0], ends[1])))
+    own, upto = Window.partitionBy("group"), Window.partitionBy("group").orderBy("k")
+    quotient = F.when(F.col("k") > F.col("first"), F.log(F.col("rate") / F.col("k"))).otherwise(0.0)
+    logs = counts.withColumn("log", F.sum(quotient).over(upto))
+    shares = logs.withColumn("share", F.exp(F.col("log") - F.max("log").over(own)))
+    sums = shares.withColumn("below", F.sum("share").over(upto) / F.sum("share").over(own))
+    return sums.groupBy("group", "first").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "below"))), lambda s: s["below"]).alias("steps"))
 
 
 def poisson_mix(docs: DataFrame, weights: Mapping[str, float], *, other_weight: float = OTHER_WEIGHT, epochs: float = EPOCHS, seed: str = SEED) -> DataFrame:
@@ -61,10 +66,12 @@ def poisson_mix(docs: DataFrame, weights: Mapping[str, float], *, other_weight:
     ``shuffle_key``; rows are ordered by shuffle_key over all partitions. Columns of these two names in the input
     give way. Null and unnamed sources share ``other_weight``; a weight of 0 drops its source; null text counts as
     empty; rows with one id get the same count; a null id counts as the text ``null``; an empty table stays empty, and
-    so does a mix whose sources all have weight 0. Negative weights raise ValueError. Texts are never looked into.
+    so does a mix whose sources all have weight 0. Negative weights raise ValueError. Texts are never looked into, whatever
+    their length. A tiny source with a large weight is repeated as often as that takes; the numbers of one document's copies
+    are one array until they are dealt, so that a rate should stay below some hundred million.
 
     A hot source costs nothing extra: its size is summed before the shuffle, its rate comes with a broadcast of at most
-    len(weights) + 1 rows, and the copies are dealt by a hash.
+    len(weights) + 1 rows (and some 20 square roots of the rate in steps), and the copies are dealt by a hash.
     """
     weights = {**weights, OTHER: other_weight}
     if min(weights.values()) < 0 or epochs < 0:
@@ -74,8 +81,8 @@ def poisson_mix(docs: DataFrame, weights: Mapping[str, float], *, other_weight:
     steps = poisson_steps(source_rates(docs, group, weights, epochs=epochs))
     ident = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), group.alias("group"), ident.alias("ident"), uniform(F.lit(seed), ident).alias("u"))
-    drawn = rows.join(F.broadcast(steps), "group").withColumn("n", F.size(F.filter("steps", lambda s: s <= F.col("u"))))
-    copies = drawn.where("n > 0").select("row", "ident", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("copy"))
+    drawn = rows.join(F.broadcast(steps), "group").withColumn("n", F.col("first") + F.size(F.filter("steps", lambda s: s <= F.col("u"))))
+    copies = drawn.where("n > 0").select("row", "ident", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))).alias("copy"))
     key = F.md5(F.concat_ws(":", F.lit(seed), F.col("ident"), F.col("copy")).cast("binary"))
     return copies.select(*keep_columns(docs, ADDED, "row"), "copy", key.alias("shuffle_key")).orderBy("shuffle_key")
 
@@ -98,4 +105,4 @@ k AS (SELECT g, rate, unnest(range(0, CAST(ceil(rate + 10 * sqrt(rate) + 30) AS
 p AS (SELECT g, k, exp(-rate + k * ln(rate) - sum(ln(greatest(k, 1))) OVER (PARTITION BY g ORDER BY k)) AS p FROM k),
 c AS (SELECT g, k, sum(p) OVER (PARTITION BY g ORDER BY k) AS below FROM p),
 n AS (SELECT doc_id, source, text, unnest(range(1, 1 + (SELECT count(*) FROM c WHERE c.g = d.g AND c.below <= d.u))) AS copy FROM d)
-SELECT doc_id, source, text, CAST(copy AS INTEGER) AS copy, md5('{SEED}:' || doc_id || ':' || copy) AS shuffle_key FROM n"""
+SELECT doc_id, source, text, copy, md5('{SEED}:' || doc_id || ':' || copy) AS shuffle_key FROM n"""

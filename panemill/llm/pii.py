@@ -66,7 +66,7 @@ def base_spans(text: str) -> list[Span]:
                 found.append((start, "email", m.end()))
                 done = m.end()
     for m in _IP.finditer(text):
-        if all(len(p.lstrip("0")) < 4 and int(p) <= 255 for p in m[0].split(".")):
+        if all(len(d := p.lstrip("0")) < 4 and int(d or "0") <= 255 for p in m[0].split(".")):
             found.append((m.start(), "ip", m.end()))
     for m in _CARD.finditer(text):
         if len(m[0]) >= 12 and 12 <= len(d := _digits(m[0])) <= 19 and luhn(d):

@@ -50,15 +50,18 @@ def host_rule(host: Column, path: Column, rules: Iterable[tuple[str, str]]) -> C
         on, slash, prefix = rule.partition("/")
         fits = ((host == on) | host.endswith("." + on)) & path.startswith(slash + prefix)
         fitting.append(F.when(fits, F.struct(F.lit(action).alias("action"), F.lit(rule).alias("rule"))))
-    return F.coalesce(*fitting)
+    return F.coalesce(*fitting, F.lit(None).cast("struct<action: string, rule: string>"))
 
 
 @lru_cache(maxsize=8)
-def _automaton(strict: tuple[str, ...], soft: tuple[str, ...]) -> ahocorasick.Automaton:
+def _automaton(strict: tuple[str, ...], soft: tuple[str, ...]) -> ahocorasick.Automaton | None:
+    """The automaton of all terms; none where there are no terms."""
     found = ahocorasick.Automaton()
     for terms, weight in ((soft, 0), (strict, 1)):
         for term in terms:
             found.add_word(term, (term, weight))
+    if not len(found):
+        return None
     found.make_automaton()
     return found
 
@@ -70,7 +73,8 @@ def term_hits(url: str, strict: tuple[str, ...], soft: tuple[str, ...]) -> tuple
     """
     text = url.translate(_LOWER)
     hard, found = 0, set()
-    for last, (term, weight) in _automaton(strict, soft).iter(text):
+    automaton = _automaton(strict, soft)
+    for last, (term, weight) in automaton.iter(text) if automaton else ():
         first = last - len(term) + 1
         if (first and text[first - 1] in _INSIDE) or text[last + 1 : last + 2] in _INSIDE:
             continue
@@ -103,7 +107,8 @@ def filter_urls(pages: DataFrame, *, rules: Iterable[tuple[str, str]] = HOST_RUL
     A host rule decides where one fits. Elsewhere a URL is blocked for one strict term or for ``soft_limit``
     different soft terms. A null or empty URL and one without a host have no rule and no hits in a host; they are
     allowed unless their text holds terms. Repeated rows are judged one by one; extra columns are left out; an empty
-    table gives an empty result. Every row is judged alone, so nothing is shuffled.
+    table gives an empty result. Without rules the terms decide, without terms all that no rule blocks is allowed. URLs are
+    read whole, whatever their length. Every row is judged alone, so nothing is shuffled.
     """
     judged = pages.select("page_id", url_host(F.col("url")).alias("host"), url_path(F.col("url")).alias("path"), vocabulary_hits(F.col("url"), strict, soft).alias("hits"))
     judged = judged.withColumn("chosen", host_rule(F.col("host"), F.col("path"), rules))
