@@ -16,14 +16,14 @@ from panemill.llm.shingles import shingle_sets
 
 #: Links join sets with 100 * intersection >= SIMILAR * union.
 SIMILAR = 80
-#: Values of a sketch, and of the finer sketch of a document that the first lists leave open.
-SKETCH, FINE = 64, 256
+#: Values of a sketch, and of the finer sketch of a document that the first lists leave open, which holds most sets whole.
+SKETCH, FINE = 64, 4096
 #: Neighbouring retained values that make the key of an inverted list.
 RUN = 3
 #: Of the keys of two linked sketches so many agree at least (fewer: a chance of 3e-7 at a similarity of 0.8).
 HITS = 5
-#: A value of a finer sketch is rare if no more of the open documents hold it: all pairs in its list are looked at.
-RARE = 4
+#: The size of a sketch that holds any set whole.
+WHOLE = 1 << 30
 #: Bytes of text whose shingles are hashed at once.
 PORTION = 1 << 19
 
@@ -31,7 +31,7 @@ PORTION = 1 << 19
 def agreeing(size: int) -> int:
     """How many values of the union's sketch of ``size`` two linked sets share at least.
 
-    Each is shared with a chance of 0.8. Six standard deviations below the mean: 32 of 64 values, 166 of 256.
+    Each is shared with a chance of 0.8. Six standard deviations below the mean: 32 of 64 values, 3,123 of 4,096.
     """
     share = SIMILAR / 100
     return int(size * share - 6 * (size * share * (1 - share)) ** 0.5)
@@ -155,43 +155,47 @@ def open_blocks(blocks: DataFrame, known: DataFrame) -> DataFrame:
     return placed.join(several, "center", "left_semi")
 
 
-def rare_pairs(values: DataFrame, rare: DataFrame) -> DataFrame:
-    """(a, b) of members of different components (id, value, c) that share a rare value: no more than six for each."""
-    lists = values.join(rare, "value")
-    met = lists.alias("x").join(lists.alias("y"), F.expr("x.value = y.value AND x.id < y.id AND x.c <> y.c"))
-    return met.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
+def shared_by(x: str, y: str, size: int) -> str:
+    """How many values two linked sets of ``x`` and ``y`` shingles share in sketches of ``size``, at least: exactly, if
+    the sketches hold both as a whole."""
+    return f"CASE WHEN {x} <= {size} AND {y} <= {size} THEN ({SIMILAR} * ({x} + {y}) + {99 + SIMILAR}) div {100 + SIMILAR} ELSE {agreeing(size)} END"
 
 
-def _common_fit(n: str, common: str, other_n: str, other_common: str) -> str:
-    """Whether sets that share none of their rare values can be linked, by how many other values their sketches hold."""
-    least = f"least({common}, {other_common})"
-    return f"CASE WHEN {n} <= {FINE} AND {other_n} <= {FINE} THEN {100 + SIMILAR} * {least} >= {SIMILAR} * ({n} + {other_n}) ELSE {least} >= {agreeing(FINE)} END"
+def rarest_entries(fine: DataFrame, size: int) -> DataFrame:
+    """(value, id, c, n, len, pos): the rarest values of each sketch (id, c, n, sketch), as many as links have to show in.
 
+    Values are put in one order, by how many sketches hold them. Two sets that share at least so many values share one
+    among the first values of each: of len values, the last that can be the first common one has the place len less that
+    number. A value that no other sketch holds comes before all others, and only takes up a place: where these fill
+    the first places, as in pages that share a template but not the rest, a set has no entries and meets no other.
+    """
+    values = fine.select("id", F.explode("sketch").alias("value"))
+    several = values.groupBy("value").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    held = values.join(broadcast_if_small(several), "value").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("df", "value"))).alias("shared"))
+    # a partner is no smaller than four fifths
+    least = f"CASE WHEN n <= {size} THEN ({SIMILAR} * n + 99) div 100 ELSE {agreeing(size)} END"
+    rows = fine.select("id", "c", "n", F.size("sketch").alias("len"), F.expr(least).alias("need")).join(held, "id")
+    first = F.expr("slice(shared, 1, greatest(0, CAST(size(shared) - need + 1 AS INT)))")
+    placed = rows.select("id", "c", "n", "len", (F.col("len") - F.size("shared")).alias("own"), F.posexplode(first).alias("at", "v"))
+    return placed.select("v.value", "id", "c", "n", "len", (F.col("own") + F.col("at")).alias("pos"))
+
+
+def prefix_pairs(fine: DataFrame, size: int, scratch: Scratch) -> DataFrame:
+    """(a, b) of different components c whose rarest values show that they may be linked; see ``rarest_entries``.
+
+    For two sets of known sizes the places are narrower than for one alone: each common value is held against both. Lists
+    of a value whose members are all of one component are left out first.
+    """
+    entries = scratch.written(rarest_entries(fine, size), "entries")
+    several = entries.groupBy("value").agg((F.min("c") != F.max("c")).alias("open")).where("open").select("value")
+    lists = scratch.written(entries.join(broadcast_if_small(several), "value", "left_semi"), "prefixes")
+    need = shared_by("x.n", "y.n", size)
+    met = f"x.value = y.value AND x.c <> y.c AND (x.n < y.n OR (x.n = y.n AND x.id < y.id)) AND 100 * x.n >= {SIMILAR} * y.n AND x.pos <= x.len - ({need}) AND y.pos <= y.len - ({need})"
+    pairs = lists.alias("x").join(lists.alias("y"), F.expr(met))
+    return pairs.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
 
-def common_pairs(placed: DataFrame, fine: DataFrame) -> DataFrame:
-    """(a, b) of members of open blocks (center, id) that fit by their finer sketches (id, c, n, sketch, common).
 
-    ``common`` counts a sketch's values that aren't rare, which bounds what two sets without a shared rare value share.
-    Blocks pair groups of equal component and size, not members. Groups that can fit meet once, however many blocks
-    they share, the smaller one's members with the other's, and only pairs whose sketches fit come out of that join.
-    """
-    enough = F.when(F.col("n") <= FINE, F.col("common") * 100 >= F.col("n") * SIMILAR).otherwise(F.col("common") >= agreeing(FINE))
-    able = fine.where(enough)
-    rows = placed.select("center", "id").join(able.select("id", "c", "n", "common"), "id")
-    groups = rows.groupBy("center", "c", "n").agg(F.max("common").alias("common"), F.count(F.lit(1)).alias("size"))
-    fit = _common_fit("x.n", "x.common", "y.n", "y.common")
-    met = groups.alias("x").join(groups.alias("y"), F.expr(f"x.center = y.center AND x.c < y.c AND {fit}") & _sizes_fit("x.n", "y.n"))
-    sides = met.groupBy(*[F.col(f"{side}.{c}").alias(f"{c}_{side}") for side in "xy" for c in ("c", "n")]).agg((F.max("x.size") <= F.max("y.size")).alias("x_first"))
-    few, many = ([F.when(F.col("x_first") == first, F.col(f"{c}_x")).otherwise(F.col(f"{c}_y")) for c in ("c", "n")] for first in (True, False))
-    turned = sides.select(few[0].alias("c"), few[1].alias("n"), many[0].alias("c_m"), many[1].alias("n_m"))
-    members = able.select("c", "n", "id", "sketch", "common")
-    left = turned.join(members, ["c", "n"]).select(F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("sketch").alias("s_a"), F.col("common").alias("common_a"), F.col("c_m").alias("c"), F.col("n_m").alias("n"))
-    right = members.select("c", "n", F.col("id").alias("b"), F.col("sketch").alias("s_b"), F.col("common").alias("common_b"))
-    pairs = left.alias("l").join(right.alias("r"), (F.col("l.c") == F.col("r.c")) & (F.col("l.n") == F.col("r.n")) & F.expr(_common_fit("n_a", "common_a", "r.n", "common_b")) & _sketches_fit(FINE, "n_a", "s_a", "r.n", "s_b"))
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-
-
-def grouped_rows(docs: DataFrame, *, words: int) -> DataFrame:
+def grouped_rows(docs: DataFrame, *, words: int, exact: bool = False) -> DataFrame:
     """Each row of ``docs`` (doc_id, text) with its group: doc_id, text_hash, n_shingles, component, component_id, n_links.
 
     text_hash is Spark's xxhash64 of the text; component names the group by a hash (null without words or doc_id).
@@ -202,21 +206,24 @@ def grouped_rows(docs: DataFrame, *, words: int) -> DataFrame:
     named = each.where("n > 0 AND doc_id IS NOT NULL")
     classes = named.groupBy("id").agg(F.min(F.struct("doc_id", "text_hash")).alias("row"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
     classes = scratch.written(classes.select("id", "row.*", "n", "sketch"), "classes")
-    near = blocks(run_keys(classes), scratch)
-    links = confirmed(likely(star_pairs(near), classes, SKETCH), docs, classes, words, scratch, "star")
-    known = components(links)
-    placed = scratch.written(open_blocks(near, known), "open")
-    left = scratch.written(classes.select("id", "doc_id", "text_hash").join(placed.select("id", "c").distinct(), "id"), "left")
-    scratch.drop("blocks")
+    ids = classes.select("id")
+    if exact:
+        # no lists of runs and no centers: all classes are open
+        links, known = ids.select(F.col("id").alias("a"), F.col("id").alias("b")).limit(0), ids.select(F.col("id").alias("node"), F.col("id").alias("component")).limit(0)
+        left = classes.select("id", "doc_id", "text_hash", F.col("id").alias("c"))
+    else:
+        near = blocks(run_keys(classes), scratch)
+        links = confirmed(likely(star_pairs(near), classes, SKETCH), docs, classes, words, scratch, "star")
+        known = components(links)
+        placed = open_blocks(near, known).select("id", "c").distinct()
+        left = scratch.written(classes.select("id", "doc_id", "text_hash").join(placed, "id"), "left")
+        scratch.drop("blocks")
+    size = WHOLE if exact else FINE
     texts = _first_rows(docs, left.drop("c")).dropDuplicates(["id"])
-    fine = scratch.written(sketches(texts, words=words, size=FINE).select("id", "n", "sketch").join(left.select("id", "c"), "id"), "fine")
-    values = fine.select("id", "c", F.explode("sketch").alias("value"))
-    rare = values.groupBy("value").agg(F.count(F.lit(1)).alias("df")).where(f"df <= {RARE}")
-    own = values.join(rare.select("value"), "value").groupBy("id").agg(F.count(F.lit(1)).alias("own"))
-    counted = scratch.written(fine.join(own, "id", "left").select("id", "c", "n", "sketch", (F.size("sketch") - F.coalesce("own", F.lit(0))).alias("common")), "counted")
-    pairs = likely(rare_pairs(values, rare.where("df > 1").select("value")), fine, FINE).union(common_pairs(placed, counted)).distinct()
+    fine = scratch.written(sketches(texts, words=words, size=size).select("id", "n", "sketch").join(left.select("id", "c"), "id"), "fine")
+    pairs = likely(prefix_pairs(fine, size, scratch), fine, size)
     more = confirmed(pairs, docs, classes, words, scratch, "other")
-    scratch.drop("open", "left", "fine", "counted")
+    scratch.drop("left", "fine", "entries", "prefixes")
     placed = classes.select("id", "doc_id").join(known.withColumnRenamed("node", "id"), "id", "left").withColumn("c", F.coalesce("component", "id"))
     if not more.isEmpty():
         # the links that were found last join components
@@ -233,7 +240,7 @@ def grouped_rows(docs: DataFrame, *, words: int) -> DataFrame:
     return joined.select("doc_id", "text_hash", F.col("n").alias("n_shingles"), "component", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
-def near_duplicates(docs: DataFrame, *, words: int) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, words: int, exact: bool = False) -> DataFrame:
     """Group ``docs`` (doc_id, text) by links; columns doc_id, n_shingles, component_id, kept, n_links.
 
     Two documents are linked if their sets of ``words``-word shingles have 100 * intersection >= 80 * union; A-Z
@@ -246,11 +253,15 @@ def near_duplicates(docs: DataFrame, *, words: int) -> DataFrame:
     Documents with one set form a class, found by a hash of the whole set; only a class goes on. Inverted lists of
     neighbouring retained values bring classes together; a class that has too few keys in common with any others leaves
     them. Each member of a list is first paired with its center, so that thousands of near copies meet in one component.
-    Members that share a center but lie in different components then get finer sketches: pairs that share a rare value
-    are all looked at, and for others the count of common values tells which can still be linked. Sketches filter the
+    Members that share a center but lie in different components then get finer sketches, and meet where a value is among
+    the rarest of both: pages that share a template and differ in the rest do not meet at all. Sketches filter the
     pairs and the texts confirm them. No step gathers a list, a group or a component in one place.
+
+    Sketches of 64 values miss a link with a chance of 3e-7, those of 4,096 with one of 1e-9, and only where they don't hold
+    the sets whole. ``exact`` leaves these out: every class has its whole set as its sketch, and every two linked sets
+    share one of their rarest values for certain. It costs an entry for each shingle of each class.
     """
-    rows = grouped_rows(docs, words=words)
+    rows = grouped_rows(docs, words=words, exact=exact)
     return rows.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"), "n_links")
 
 

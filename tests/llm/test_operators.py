@@ -172,6 +172,53 @@ def test_copies_around_the_threshold_and_a_common_passage(spark):
         assert [r.component_id for r in got] == label and 30 < len(set(label)) < len(texts) - 30
 
 
+@pytest.mark.parametrize("words", [2, 5])
+def test_the_exact_setting_agrees_with_sketches_and_all_pairs(spark, words):
+    rng = random.Random(40 + words)
+    base = prose(rng, 150, 3000).split()
+    texts = [*ODD, *near_copies(rng, prose(rng, 300, 2000), 30, 40), *near_copies(rng, prose(rng, 7, 2000), 20, 3)]
+    for _ in range(60):
+        w = list(base)
+        for _ in range(rng.randrange(15)):
+            w[rng.randrange(len(w))] = f"e{rng.randrange(30)}"
+        texts.append(" ".join(w))
+    template = prose(rng, 80, 3000)
+    texts += [template + " " + prose(rng, rng.randrange(5, 25), 3000) for _ in range(60)]
+    label, _ = brute_components(texts, words)
+    docs = documents(spark, texts)
+    for exact in (True, False):
+        got = neardup.near_duplicates(docs, words=words, exact=exact).orderBy("doc_id").collect()
+        assert [r.component_id for r in got] == label
+
+
+def test_pages_of_one_template_do_not_meet(spark):
+    """Pairs that are looked at grow with the pages, not with their square."""
+    rng = random.Random(41)
+    template = prose(rng, 300, 100_000)
+    entries = []
+    for count in (100, 200, 400):
+        docs = documents(spark, [template + " " + prose(rng, 100, 100_000) for _ in range(count)])
+        fine = neardup.sketches(docs, words=2, size=neardup.FINE).select("id", F.col("id").alias("c"), "n", "sketch")
+        scratch = neardup.Scratch(spark)
+        assert neardup.prefix_pairs(fine, neardup.FINE, scratch).count() == 0
+        entries.append(spark.read.parquet(scratch.folder + "/entries").count())
+    assert entries == [0, 0, 0] or entries[2] <= 5 * entries[0]
+
+
+def test_long_sets_meet_by_their_sketches(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "FINE", 400)
+    rng = random.Random(42)
+    texts = []
+    for _ in range(30):
+        words = [f"{rng.getrandbits(64):x}" for _ in range(901)]
+        texts += [" ".join(words), " ".join(words[: 741 + rng.randrange(60)])]
+    docs = documents(spark, texts)
+    fine = neardup.sketches(docs, words=2, size=400).select("id", F.col("id").alias("c"), "n", "sketch")
+    ids = {bytes(r.id): r.doc_id for r in neardup.sketches(docs, words=2).select("id", "doc_id").collect()}
+    met = {tuple(sorted((ids[bytes(r.a)], ids[bytes(r.b)]))) for r in neardup.prefix_pairs(fine, 400, neardup.Scratch(spark)).collect()}
+    assert met == {(i, i + 1) for i in range(0, 60, 2)}
+
+
 def test_lists_leave_only_what_can_be_linked(spark):
     scratch = neardup.Scratch(spark)
     rng = random.Random(32)
