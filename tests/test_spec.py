@@ -19,7 +19,7 @@ def test_query_needs_windows_and_known_functions():
     with pytest.raises(ValueError):
         QuerySpec.parse("", "SUM")
     with pytest.raises(ValueError, match="unknown"):
-        QuerySpec.parse("TUMBLING,5", "MODE")
+        QuerySpec.parse("TUMBLING,5", "NO_SUCH")
     assert [f.name for f in QuerySpec.parse("TUMBLING,5", "SUM;SUM;MEDIAN").functions] == ["SUM", "SUM", "MEDIAN"]
 
 

@@ -8,14 +8,24 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
-from panemill.functions.aggregates import Aggregate, Part, aggregate, aggregate_names, register_aggregate
+import panemill.plans.queries  # noqa: F401  registers functions of its own
+from panemill.functions.aggregates import Aggregate, Part, aggregate, aggregate_names, most_frequent, register_aggregate
+from panemill.functions.metrics import out_of_order
+from panemill.operators import sessions
 from panemill.operators.count_windows import with_place
+from panemill.operators.sessions import session_windows
+from panemill.plans import panes
 from panemill.plans.engine import long_results, run, run_text
 from panemill.plans.panes import fixed_windows
-from panemill.plans.spec import QuerySpec, sliding, tumbling
-from panemill.sources.events import NO_KEY, batch_stream, decode_events, union_streams, write_batch
+from panemill.plans.spec import QuerySpec, parse_windows, sliding, tumbling
+from panemill.sources.events import NO_KEY, batch_stream, decode_events, union_streams, write_batch, write_end
+from panemill.sources.shared import written
+from panemill.streaming.arrival import out_of_order_stream
+from panemill.streaming.dense import with_empty_windows_of_stream
+from panemill.streaming.progress import ProgressLog
 from panemill.streaming.sinks import drained
-from panemill.streaming.windows import count_window_stream, query_stream
+from panemill.streaming.state import BatchState
+from panemill.streaming.windows import closing_ms, count_window_stream, query_stream
 
 # Event lists and results that this engine has in common with the system that it stands for.
 FIRST = "0,10,1,0 0,20,1,1 0,30,1,0 0,40,1,1 0,50,1,0 1,10,1,1 1,20,1,0 1,30,1,1 1,40,1,0 1,50,1,1"
@@ -187,8 +197,9 @@ def test_panes_agree_with_rows(spark):
 def test_own_aggregate(spark):
     if "SPREAD" not in aggregate_names():
         register_aggregate(Aggregate("SPREAD", "algebraic", (Part("_low", F.min, F.min), Part("_high", F.max, F.max)), lambda low, high: high - low))
-    with pytest.raises(ValueError, match="rank"):
-        Aggregate("MODE", "holistic", (), lambda: F.lit(0))
+    for wrong in (("X", "holistic", (), lambda: F.lit(0)), ("X", "holistic"), ("X", "algebraic"), ("X", "distributive", (), None, most_frequent)):
+        with pytest.raises(ValueError, match="rank"):
+            Aggregate(*wrong)
     assert found(run_text(events(spark, "0,1,5 0,2,9 0,13,7"), "SLIDING,20,10,0", "SPREAD")) == {(0, 0, 20, 0, NO_KEY): 4, (0, 10, 30, 0, NO_KEY): 0}
     with pytest.raises(ValueError, match="of this name"):
         register_aggregate(aggregate("SUM"))
@@ -231,15 +242,32 @@ def test_late_events_count_while_their_window_is_open(spark, tmp_path):
 
 @pytest.mark.parametrize("scope", ["key", "global"])
 def test_count_windows_of_a_stream(spark, tmp_path, scope):
-    names = [f for f in aggregate_names() if aggregate(f).of_values]
+    """Batches overlap in time; values are null or have more digits than a double."""
+    names = aggregate_names()
+    values = [None if t % 5 == 3 else (t * 7) % 11 - 5 + (2**60 if t % 4 == 0 else 0) for t in range(20)]
+    parts = [[*range(7), 8], [7, 9], [11, 10, *range(12, 20)]]
+    every = spark.createDataFrame([(0, t, values[t], t % 2, t) for t in range(20)], "stream_id int, event_ts long, value long, key long, event_id long")
+    every = every.withColumn("ts", F.timestamp_millis("event_ts"))
     for window in (tumbling(3, 5, "COUNT"), sliding(4, 2, 6, "COUNT"), sliding(2, 5, 7, "COUNT")):
-        folder, parts = f"{tmp_path}/{window.slide}", [range(8), range(8, 9), range(9, 20)]
+        folder = f"{tmp_path}/{window.slide}"
         for part in parts:
-            write_batch(events(spark, " ".join(f"0,{t},{(t * 7) % 11 - 5},{t % 2}" for t in part)), folder)
-        got = long_results(drained(count_window_stream(batch_stream(spark, folder), window, [aggregate(f) for f in names], scope)))
-        every = events(spark, " ".join(f"0,{t},{(t * 7) % 11 - 5},{t % 2}" for t in range(20)))
-        want = found(run(every, QuerySpec((window,), tuple(aggregate(f) for f in names), scope)))
-        assert found(got) == want and want
+            write_batch(every.where(F.col("event_ts").isin(part)), folder)
+        spec = QuerySpec((window,), tuple(aggregate(f) for f in names), scope)
+        write_end(spark, folder, closing_ms(19, spec))
+        got = long_results(drained(count_window_stream(batch_stream(spark, folder), window, spec.functions, scope)))
+        want = found(run(every, spec))
+        assert found(got) == want and len(want) == got.count() > 20
+        assert any(v is not None and abs(v) > 2**59 and v % 2 for v in want.values())
+
+
+def test_count_windows_wait_for_the_watermark(spark, tmp_path):
+    """Only events that no earlier one can follow any more are numbered; what comes later than that is late."""
+    folder = f"{tmp_path}/in"
+    # 9 comes before anything is numbered, 70 when all before 200 is
+    for rows in ("0,0,1 0,50,2", "0,20,3 0,300,4", "0,10,9 0,250,5", "0,15,70 0,500,6"):
+        write_batch(events(spark, rows), folder)
+    stream = count_window_stream(batch_stream(spark, folder), tumbling(2, 0, "COUNT"), [aggregate("SUM")], "global")
+    assert found(long_results(drained(stream))) == {(0, 0, 2, 0, NO_KEY): 10, (0, 2, 4, 0, NO_KEY): 5, (0, 4, 6, 0, NO_KEY): 9}
 
 
 def test_null_keys_are_a_key(spark):
@@ -252,26 +280,179 @@ def test_null_keys_are_a_key(spark):
     }
 
 
-def test_medians_of_far_values_are_found_by_buckets(spark):
+def test_medians_of_many_rows_are_found_by_ranges(spark, monkeypatch):
+    """Ranges of (group, value) as for tables that no task can order, whatever the values are."""
     rng = random.Random(8)
     base = [(rng.randrange(400), rng.choice((rng.randrange(9), rng.randrange(-(10**12), 10**15), 7)), rng.randrange(2)) for _ in range(900)]
-    base += [(5, v, 5) for v in (-(2**63), 2**63 - 1, 0)] + [(5, 3, 6)]
+    base += [(5, v, 5) for v in (-(2**63), 2**63 - 1, 0)] + [(5, 3, 6)] + [(t % 400, t, 7) for t in range(800)] + [(0, 2**62, 7)]
     rows = events(spark, " ".join(f"0,{t},{v},{k}" for t, v, k in base))
-    results = run_text(rows, "TUMBLING,100,0;SESSION,30,1", "MEDIAN")
-    plan = results._jdf.queryExecution().toString()
-    assert "bucket" in plan and "collect_list" not in plan
-    got = found(results)
-    for key in (0, 1, 5, 6):
+    rows = rows.union(rows.limit(40).withColumns({"value": F.lit(None).cast("long"), "key": F.lit(8).cast("long")}))
+    spec = QuerySpec.parse("TUMBLING,100,0;SLIDING,100,50,2;SESSION,30,1;TUMBLING,9,3,COUNT", "MEDIAN;SUM;MODE;MAX", "key")
+    few = found(run(rows, spec))
+    monkeypatch.setattr(panes, "ORDERED", 100)
+    asked = []
+    monkeypatch.setattr(panes, "written", lambda df: asked.append(df) or written(df))
+    many = found(run(rows, spec))
+    assert many == few and len(asked) == 2 and len(few) > 100
+    for key in (0, 1, 5, 6, 7, 8):
         for start in range(0, 400, 100):
             values = sorted(v for t, v, k in base if k == key and start <= t < start + 100)
-            assert got.get((0, start, start + 100, 0, key)) == (values[len(values) // 2] if values else None)
-    ends = {k[4]: v for k, v in got.items() if k[0] == 1}
-    assert ends[5] == 0 and ends[6] == 3
+            if values or key != 8:
+                assert few.get((0, start, start + 100, 0, key)) == (values[len(values) // 2] if values else None)
+    assert (0, 0, 100, 0, 8) in few and few[0, 0, 100, 0, 8] is None
+
+
+def test_an_outlier_does_not_make_a_range_larger(spark):
+    counts = spark.range(20_000).select(F.lit(0).alias("window_id"), F.lit(0).alias("window_start"), F.lit(9).alias("window_end"), F.lit(1).alias("key"), F.when(F.col("id") == 0, F.lit(2**62)).otherwise(F.col("id")).alias("value"), F.lit(1).cast("long").alias("n"))
+    rows = panes.placed(counts, few=False)
+    sizes = [r["count"] for r in rows.groupBy("range").count().collect()]
+    assert len(sizes) == 4 and max(sizes) < 8_000
+    assert rows.where("upto = 20000").first().value == 2**62 and rows.where("value = 77").first().upto == 77
+
+
+@pytest.mark.parametrize("functions", ["SUM;AVG", "MEDIAN;SUM;MAX"])
+def test_sessions_over_ranges_of_time(spark, monkeypatch, functions):
+    """Sessions that go on over many ranges, end at a border, or lie in one; keyed and unkeyed."""
+    monkeypatch.setattr(sessions, "STRETCHES", 3)
+    rng = random.Random(21)
+    times = [t for key in range(3) for t in (rng.sample(range(900), 60) if key else range(0, 900, 10))]
+    rows = events(spark, " ".join(f"0,{t},{rng.randrange(-9, 9)},{i // 60 if i < 60 else rng.randrange(3)}" for i, t in enumerate(times)))
+    rows = rows.union(rows.limit(5).withColumn("key", F.lit(None).cast("long")))
+    (window,) = parse_windows("SESSION,10,4")
+    found_by = [found(long_results(session_windows(rows, window, [aggregate(f) for f in functions.split(";")], keyed=keyed, few=few))) for keyed, few in ((True, True), (True, False), (False, False))]
+    assert found_by[0] == found_by[1] == found_by[2] and len(found_by[0]) > 60
+
+
+def test_no_window_begins_before_0(spark):
+    rows = events(spark, "0,-5,1 0,3,2 0,30,4")
+    for few in (True, False):
+        (window,) = parse_windows("SESSION,10,0")
+        assert found(long_results(session_windows(rows, window, [aggregate("SUM")], few=few))) == {(0, 3, 13, 0, NO_KEY): 2, (0, 30, 40, 0, NO_KEY): 4}
+    assert found(run_text(rows, "TUMBLING,10,0;SLIDING,20,10,1", "SUM")) == {(0, 0, 10, 0, NO_KEY): 2, (0, 30, 40, 0, NO_KEY): 4, (1, 0, 20, 0, NO_KEY): 2, (1, 20, 40, 0, NO_KEY): 4, (1, 30, 50, 0, NO_KEY): 4}
+
+
+@pytest.mark.parametrize("factor", [1, 10**7])
+def test_null_values(spark, factor):
+    """A group whose values are all null has a row, alone or beside other functions, near values or far ones."""
+    rows = [(10, 1, 1), (20, 3, 1), (30, None, 1), (10, None, 9), (40, None, 9)]
+    table = spark.createDataFrame([(0, t, None if v is None else v * factor, k, t) for t, v, k in rows], "stream_id int, event_ts long, value long, key long, event_id long").withColumn("ts", F.timestamp_millis("event_ts"))
+    for windows, ends in (("TUMBLING,100,0", (0, 100)), ("SLIDING,100,100,0", (0, 100)), ("SESSION,50,0", None), ("TUMBLING,2,0,COUNT", (0, 2))):
+        for functions in ("MEDIAN", "SUM;MEDIAN", "AVG"):
+            got = found(run(table, QuerySpec.parse(windows, functions, "key")))
+            assert {k[4] for k in got} == {1, 9} and all(v is None for k, v in got.items() if k[4] == 9)
+            place = functions.split(";").index("MEDIAN") if "MEDIAN" in functions else None
+            if place is not None:
+                assert [v for k, v in got.items() if k[4] == 1 and k[3] == place] == [3 * factor]
+            assert ends is None or all(k[1:3] == ends for k in got)
+
+
+def test_holistic_functions_over_counts(spark):
+    values = [5, 5, 5, 1, 1, 1, 9, -3, 100, 2]
+    rows = events(spark, " ".join(f"0,{i},{v}" for i, v in enumerate(values)))
+    got = found(run_text(rows, "TUMBLING,100,0;SESSION,10,1;TUMBLING,10,2,COUNT", "MODE;NINTH_DECILE;TRIMMED_MEAN"))
+    ranked = sorted(values)
+    want = [1, ranked[9], sum(ranked[1:9]) // 8]
+    assert [got[0, 0, 100, i, NO_KEY] for i in range(3)] == [got[1, 0, 19, i, NO_KEY] for i in range(3)] == [got[2, 0, 10, i, NO_KEY] for i in range(3)] == want
+
+
+def test_several_windows_of_a_stream_share_panes(spark, tmp_path):
+    folder = f"{tmp_path}/in"
+    write_batch(events(spark, FOUR.replace(" ", " ")), folder)
+    spec = QuerySpec.parse("TUMBLING,20,0;SLIDING,40,20,1;SLIDING,60,20,2;TUMBLING,40,3", "SUM;AVG")
+    stream = query_stream(batch_stream(spark, folder), spec)
+    plan = stream._jdf.queryExecution().logical().toString()
+    assert plan.count("StreamingRelation") == 1 and plan.count("Aggregate") == 2
+    write_end(spark, folder, closing_ms(50, spec))
+    assert found(long_results(drained(stream))) == found(run(events(spark, FOUR), spec))
+    apart = query_stream(batch_stream(spark, folder), spec, share=False)
+    assert found(long_results(drained(apart))) == found(run(events(spark, FOUR), spec))
+
+
+def test_a_busy_window_of_equal_values_is_one_row_of_state(spark, tmp_path):
+    folder = f"{tmp_path}/in"
+    write_batch(spark.range(200_000).select(F.lit(0).alias("stream_id"), (F.col("id") % 1000).alias("event_ts"), F.lit(7).cast("long").alias("value"), F.lit(1).cast("long").alias("key"), F.col("id").alias("event_id"), F.lit(0).alias("ts")), folder)
+    spec = QuerySpec.parse("TUMBLING,1000,0", "MEDIAN;SUM")
+    write_end(spark, folder, closing_ms(999, spec))
+    stream = query_stream(batch_stream(spark, folder), spec)
+    assert [(r.value, r.n) for r in drained(stream.rows).collect()] == [(7, 200_000)]
+    assert found(long_results(drained(stream))) == {(0, 0, 1000, 0, 1): 7, (0, 0, 1000, 1, 1): 1_400_000}
+
+
+def test_a_closing_mark_ends_each_of_several_sources(spark, tmp_path):
+    spec = QuerySpec.parse("TUMBLING,100,0;SESSION,50,1", "SUM;MEDIAN")
+    sources = ["0,10,1 0,500,1", "1,20,2 1,460,2 1,510,7"]
+    for i, rows in enumerate(sources):
+        write_batch(events(spark, rows), f"{tmp_path}/{i}")
+        write_end(spark, f"{tmp_path}/{i}", closing_ms(510, spec))
+    streams = [batch_stream(spark, f"{tmp_path}/{i}") for i in range(2)]
+    assert found(long_results(drained(query_stream(streams, spec)))) == found(run(events(spark, " ".join(sources)), spec))
+
+
+def test_sessions_of_a_stream_find_their_waiting_counts(spark, tmp_path):
+    """A long session closes batches after its first stretches; others of its key and of other keys close meanwhile."""
+    folder = f"{tmp_path}/in"
+    base = [(t, (t * 7) % 13, 0) for t in range(0, 700, 9)] + [(t, t % 5, 1) for t in (0, 3, 200, 205, 500, 640)]
+    for low in (0, 250, 500):
+        write_batch(events(spark, " ".join(f"0,{t},{v},{k}" for t, v, k in base if low <= t < low + 250)), folder)
+    spec = QuerySpec.parse("SESSION,10,1;TUMBLING,100,2", "MEDIAN;SUM;MODE")
+    write_end(spark, folder, closing_ms(699, spec))
+    got = long_results(drained(query_stream(batch_stream(spark, folder), spec)))
+    want = found(run(events(spark, " ".join(f"0,{t},{v},{k}" for t, v, k in base)), spec))
+    assert found(got) == want and got.count() == len(want)
+
+
+def test_empty_windows_of_a_stream(spark, tmp_path):
+    folder = f"{tmp_path}/in"
+    for rows in ("0,5,1,0 0,15,2,1", "0,150,3,0", "0,400,4,1"):
+        write_batch(events(spark, rows), folder)
+    (window,) = parse_windows("TUMBLING,50,3")
+    results = query_stream(batch_stream(spark, folder), QuerySpec((window,), (aggregate("SUM"), aggregate("MIN"))))
+    rows = long_results(drained(with_empty_windows_of_stream(results, window)))
+    got = found(rows)
+    want = {(3, s, s + 50, f, k): {(0, 0): 1, (0, 1): 2, (150, 0): 3}.get((s, k)) for s in range(0, 300, 50) for f in range(2) for k in range(2)}
+    assert got == want and rows.count() == len(want)
+
+
+def test_out_of_order_share_of_a_stream(spark, tmp_path):
+    rng = random.Random(4)
+    rows = [(rng.randrange(2), rng.randrange(1000), i) for i in range(90)] + [(None, 5, 90), (None, 3, 91)]
+    table = spark.createDataFrame([(s, t, 1, 0, i) for s, t, i in rows], "stream_id int, event_ts long, value long, key long, event_id long").withColumn("ts", F.timestamp_millis("event_ts"))
+    folder = f"{tmp_path}/in"
+    for low in (0, 30, 60, 91):
+        write_batch(table.where((F.col("event_id") >= low) & (F.col("event_id") < {0: 30, 30: 60, 60: 91, 91: 99}[low])), folder)
+    log = ProgressLog()
+    spark.streams.addListener(log)
+    got = drained(out_of_order_stream(batch_stream(spark, folder)))
+    last = {r.stream_id: (r.events, r.late) for r in got.orderBy("batch").collect()}
+    assert last == {r.stream_id: (r.events, r.late) for r in out_of_order(table).collect()} and len(last) == 3
+    until = time.time() + 10
+    while not any("arrived" in b.observed for b in log.batches) and time.time() < until:
+        time.sleep(0.1)
+    spark.streams.removeListener(log)
+    assert sum(b.observed["arrived"]["events"] for b in log.batches if b.observed.get("arrived")) == 92
+
+
+def test_a_batch_that_runs_again_reads_what_it_read_before(spark, tmp_path):
+    rows = lambda *x: spark.createDataFrame([(i,) for i in x], "x long")
+    schema = rows(1).schema
+    for batch, value in ((0, 10), (1, 20), (1, 21), (3, 40)):
+        state = BatchState(spark, f"{tmp_path}/tables", batch)
+        before = [r.x for r in state.read("t", schema).collect()]
+        assert before == {0: [], 1: [10], 3: [21]}[batch]
+        assert [r.x for r in state.write("t", rows(value)).collect()] == [value]
+        state.tidy()
+    BatchState(spark, f"{tmp_path}/tables", 5).tidy()  # a batch without rows reads nothing
+    assert [r.x for r in BatchState(spark, f"{tmp_path}/tables", 6).read("t", schema).collect()] == [40]
+    assert sorted(os.listdir(f"{tmp_path}/tables/t")) == ["3"]
 
 
 def test_sessions_shuffle_stretches_alone(spark):
-    plan = run_text(events(spark, SESSIONS), "SESSION,100,0", "SUM")._jdf.queryExecution().executedPlan().toString()
-    assert plan.index("MergingSessions") < plan.rindex("partial_sum(value")
+    spec = QuerySpec.parse("SESSION,100,0", "SUM", keyed=False)
+    plan = run(events(spark, SESSIONS), spec)._jdf.queryExecution().executedPlan().toString()
+    # no exchange by the constant key but that of the sessions at the ranges' borders
+    assert "MergingSessions" not in plan
+    by_key = [i for i, line in enumerate(plan.splitlines()) if "hashpartitioning(key#" in line and line.count("#") < 4 and "range#" not in line and "stretch#" not in line]
+    assert all("at_border" in "".join(plan.splitlines()[i : i + 4]) for i in by_key)
 
 
 def test_two_sources_go_by_the_slower_one(spark, tmp_path):
