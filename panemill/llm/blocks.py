@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from panemill.llm.common import table, written
@@ -116,13 +116,14 @@ def unpack_segment(segment: bytes) -> Iterator[tuple[int | None, int, np.ndarray
         start += count
 
 
-def write_token_files(docs: DataFrame, *, tokenizer: str | None = None, end_id: int = END_ID, order: Column | None = None) -> DataFrame:
+def write_token_files(docs: DataFrame, *, tokenizer: str | None = None, end_id: int = END_ID, as_they_come: bool = False) -> DataFrame:
     """Encode whole texts and write their ids in ascending doc_id order to token files in the shared folder.
 
     Returns the written table (part, start, n_ids, segment): parts are in doc_id order, ``start`` counts the ids
-    before a segment in its part. Each document ends with ``end_id``. With ``order`` (a number for each row) documents
-    stand in its order instead. Null text counts as empty, a null id sorts first; rows that share an id (or a number)
-    are ordered by a hash of their text, then by the text; extra columns are left out; an empty table gives no row.
+    before a segment in its part. Each document ends with ``end_id``. ``as_they_come`` keeps documents in the partitions
+    and the order that they are read in, without a shuffle: for tables that have been shuffled for training before. Null
+    text counts as empty, a null id sorts first; rows that share an id are ordered by a hash of their text, then by the
+    text; extra columns are left out; an empty table gives no row.
 
     Spark deals the documents by ranges of doc_id and that hash, so that no task holds more than its share, however
     many rows share an id; texts are never sampled for the ranges. A segment is bounded by 65,536 ids and one document,
@@ -155,9 +156,11 @@ def write_token_files(docs: DataFrame, *, tokenizer: str | None = None, end_id:
             yield row()
 
     doc_id = F.col("doc_id").cast("long")
-    rows = docs.select(doc_id.alias("doc_id"), "text", (doc_id if order is None else order).alias("place"), F.xxhash64("text").alias("hash"))
-    ordered = rows.repartitionByRange("place", "hash").sortWithinPartitions("place", "hash", "text").select("doc_id", "text")
-    return written(ordered.mapInArrow(encode, "part int, start long, n_ids long, segment binary"), "token_files")
+    rows = docs.select(doc_id.alias("doc_id"), "text")
+    if not as_they_come:
+        hashed = rows.withColumn("hash", F.xxhash64("text"))
+        rows = hashed.repartitionByRange("doc_id", "hash").sortWithinPartitions("doc_id", "hash", "text").select("doc_id", "text")
+    return written(rows.mapInArrow(encode, "part int, start long, n_ids long, segment binary"), "token_files")
 
 
 def read_token_files(files: DataFrame) -> DataFrame:

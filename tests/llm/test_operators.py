@@ -521,7 +521,8 @@ def test_other_tokenizers_take_no_short_way(spark):
     texts = [*ODD, "Two  Words, And CAPITALS<|endoftext|>"]
     want = [[*whole.encode(t or "", add_special_tokens=False).ids, 50256] for t in texts]
     docs = documents(spark, texts)
-    files = blocks.write_token_files(docs, tokenizer=path, end_id=50256, order=-F.col("doc_id"))
+    backwards = docs.coalesce(1).sortWithinPartitions(F.desc("doc_id"))
+    files = blocks.write_token_files(backwards, tokenizer=path, end_id=50256, as_they_come=True)
     got = blocks.read_token_files(files).orderBy("start").collect()
     assert [(r.doc_id, r.n_tokens, r.ids_crc32) for r in got] == [(i, len(x), zlib.crc32(np.array(x, "<u4").tobytes())) for i, x in reversed(list(enumerate(want)))]
     assert sorted(r.n_tokens for r in lengths.encoded_lengths(docs, tokenizer=path).collect()) == sorted(len(x) - 1 for x in want)

@@ -72,7 +72,7 @@ def test_stages_on_odd_rows(spark, tmp_path):
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
 def test_query_against_sql(spark, name):
     con = duckdb.connect()
-    for table in ("documents", "pages", "benchmark"):
+    for table in ("documents", "pages", "benchmark", "labels"):
         con.execute(f"CREATE VIEW {table} AS SELECT * FROM read_parquet('{DATA}/{table}.parquet')")
     want = con.execute(queries.ORACLE_SQL[name])
     columns = [c[0] for c in want.description]
@@ -82,4 +82,4 @@ def test_query_against_sql(spark, name):
 
 
 def test_names():
-    assert {int(q[2:].split("_")[0]) for q in queries.QUERIES} == set(range(1, 11)) and len(queries.QUERIES) == 10
+    assert {int(q[2:].split("_")[0]) for q in queries.QUERIES} == set(range(1, 14)) and len(queries.QUERIES) == 13
