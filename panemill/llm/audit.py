@@ -7,7 +7,7 @@ from functools import reduce
 from itertools import permutations
 from math import factorial, lcm
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from panemill.llm.common import table
@@ -51,8 +51,8 @@ def marked(docs: DataFrame, labels: DataFrame, filters: Mapping[str, Column], pa
     ids = joined.groupBy("doc_id", "salt", *kind).agg(F.count(F.lit(1)).alias("n"))
     least = F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "n")))
     copies = ids.groupBy(*kind).agg(F.sum("n").alias("n"), F.sum(F.when(F.col("doc_id").isNull(), F.col("n")).otherwise(0)).alias("nameless"), least.alias("least"))
-    firsts = copies.groupBy("digest").agg(F.min("least.doc_id").alias("first"))
-    placed = copies.join(firsts, "digest")
+    # a text has no more rows here than there are parts and labels
+    placed = copies.withColumn("first", F.min("least.doc_id").over(Window.partitionBy("digest")))
     new = F.col("nameless") + F.when(F.col("least.doc_id") == F.col("first"), F.col("least.n")).otherwise(0)
     last = 1 << len(filters)
     split = placed.select("part", "good", "toxic", F.explode(F.array(F.struct(F.col("bits").alias("mask"), new.alias("n")), F.struct((F.col("bits") + last).alias("mask"), (F.col("n") - new).alias("n")))).alias("c"))
