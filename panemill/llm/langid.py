@@ -17,6 +17,8 @@ UNKNOWN = "und"
 FOLDS = 5
 #: Buckets of hashed letter n-grams and words for each language; the model's size is this times the languages.
 BUCKETS = 1 << 15
+#: Languages that a model may have: 64 MB of scores.
+LANGUAGES = 512
 #: Taken off a labelling for each change of language between two words, in nats.
 SWITCH = 9.0
 #: A word tells two languages apart by so many nats at most.
@@ -112,8 +114,12 @@ def learn(docs: DataFrame) -> LanguageModel:
     """Count the features of all ``docs`` (text, lang) for each language.
 
     Null languages and texts are left out. Tasks count before the shuffle; the driver gets one row for each language
-    and bucket: 32,768 for each of a small set of languages.
+    and bucket: 32,768 for each. More than ``LANGUAGES`` different values of lang raise ValueError before anything is
+    counted, for such a column holds something else.
     """
+    known = docs.where("lang is not null").select("lang").distinct().limit(LANGUAGES + 1).count()
+    if known > LANGUAGES:
+        raise ValueError(f"more than {LANGUAGES} languages")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}

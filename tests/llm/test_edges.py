@@ -33,6 +33,12 @@ def test_random_digits_zeros_and_dots_through_the_operators(spark):
     assert decon.contained_items(docs, spark.createDataFrame([(1, texts[5])], "item_id long, text string")).count() >= 0
 
 
+def test_a_column_that_holds_no_languages(spark):
+    docs = documents(spark, [f"text {i}" for i in range(langid.LANGUAGES + 1)], [f"l{i}" for i in range(langid.LANGUAGES + 1)])
+    with pytest.raises(ValueError, match="languages"):
+        langid.learn(docs)
+
+
 def test_a_limit_that_is_named_twice(spark):
     histogram = lengths.length_histogram(spark.createDataFrame([(3,), (9,)], "n_tokens long"))
     rows = [tuple(r) for r in lengths.context_totals(histogram, [7, 7, 7]).collect()]
