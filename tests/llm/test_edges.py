@@ -1,5 +1,6 @@
 """Odd inputs that once broke an operator: long runs of digits, repeated limits, empty lists, tiny sources, short items."""
 
+import os
 import random
 import re
 from collections import Counter
@@ -92,3 +93,37 @@ def test_short_items_inside_long_documents(spark):
     rows = decon.contained_items(documents(spark, texts), spark.createDataFrame(items, "item_id long, text string").withColumn("hashes", F.lit(1))).collect()
     assert {(r.doc_id, r.item_id) for r in rows} == want and len(rows) == len(want) and {i for _, i in want} >= {1, 2, 3}
     assert all(re.fullmatch(r"\d+", str(r.n_shared)) for r in rows)
+
+
+DATA = "/root/testdata/sf0.01"
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="needs the driver's tables")
+def test_the_field_predicts_labels_of_texts_that_it_has_not_seen(spark):
+    """Held-out pseudo-likelihood: better than the labels' shares, and better than without the skip chains."""
+    texts = [r.text or "" for r in spark.read.parquet(f"{DATA}/documents.parquet").orderBy("doc_id").select("text").collect()]
+    halves = [Counter(r for t in texts[k::2] for r in pii.observed(t)) for k in (0, 1)]
+    keys = sorted(halves[0])
+    field = pii.trained(np.array(keys), np.array([halves[0][k] for k in keys], float))
+    rows = np.array(sorted(halves[1]))
+    times = np.array([halves[1][tuple(r)] for r in rows.tolist()], float)
+
+    def likelihood(scores):
+        top = scores.max(axis=1, keepdims=True)
+        return ((scores - top - np.log(np.exp(scores - top).sum(axis=1, keepdims=True)))[np.arange(len(rows)), rows[:, 1]] * times).sum() / times.sum()
+
+    size = len(pii.LABELS)
+    around = np.eye(size + 1)[rows[:, 2]][:, :size] @ field.chain + np.eye(size + 1)[rows[:, 3]][:, :size] @ field.chain.T
+    whole = likelihood(field.own(rows[:, 0]) + around + rows[:, 4:] @ field.skip)
+    seen = np.array(keys)
+    shares = np.log(np.bincount(seen[:, 1], [halves[0][k] for k in keys], size) + 1e-3)
+    assert whole > likelihood(np.tile(shares, (len(rows), 1))) + 0.2
+    assert whole >= likelihood(field.own(rows[:, 0]) + around) - 1e-3
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="needs the driver's tables")
+def test_languages_of_held_out_documents(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "lang")
+    judged = langid.op10_language_spans(spark, DATA).join(docs, "doc_id").where("held_out AND lang_pred <> 'und' AND lang IS NOT NULL")
+    right, n = judged.agg(F.sum((F.col("lang") == F.col("lang_pred")).cast("int")), F.count(F.lit(1))).first()
+    assert n > 100 and right >= 0.99 * n
