@@ -21,12 +21,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from panemill.llm.common import table, written
+from panemill.llm.common import give_back, table, written
 from panemill.llm.tokens import tokenizer_path, word_encoder
 
 MAGIC = b"PFB1"
@@ -143,8 +142,8 @@ def write_token_files(docs: DataFrame, *, tokenizer: str | None = None, end_id:
             return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([start], pa.int64()), pa.array([held], pa.int64()), pa.array([pack_segment(some_docs, some_ids)], pa.binary())], names=["part", "start", "n_ids", "segment"])
 
         for batch in batches:
-            texts = pc.fill_null(batch.column(1), "").cast(pa.large_binary()).to_pylist()
-            for doc_id, ids in zip(batch.column(0).to_pylist(), encoder.ids(texts), strict=True):
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                ids = encoder.of(text.as_buffer().to_pybytes() if text.is_valid else b"")
                 some_docs.append(doc_id)
                 some_ids.append(ids + end)
                 held += len(ids) // 4 + 1
@@ -154,6 +153,7 @@ def write_token_files(docs: DataFrame, *, tokenizer: str | None = None, end_id:
                     some_docs, some_ids, held = [], [], 0
         if held:
             yield row()
+        give_back()
 
     doc_id = F.col("doc_id").cast("long")
     rows = docs.select(doc_id.alias("doc_id"), "text")

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import lru_cache
 
 import numpy as np
@@ -204,15 +204,15 @@ def predict(model: LanguageModel, texts: list[str | None]) -> list[tuple[str, fl
     A span (language, start, end in code points) runs from the first to the last word of one label.
     """
     parts, scores, some, held = [], [], [], 0
+    none = np.zeros(0, np.int64)
     for i, text in enumerate(texts):
         some.append(text or "")
         held += len(some[-1])
         if held >= PORTION or i == len(texts) - 1:
             w = read_words(some)
-            parts.append(w)
             scores.append(word_scores(model, w))
+            parts.append(replace(w, buckets=none, first=none))  # the features are the largest part by far
             some, held = [], 0
-    none = np.zeros(0, np.int64)
     start, length, script, count = (np.concatenate([getattr(p, x) for p in parts] or [none]) for x in ("start", "length", "script", "count"))
     w = Words(start, length, script, count, none, none)
     label = label_words(w, np.concatenate(scores)) if model.languages and len(start) else np.zeros(len(start), np.int64)
@@ -254,7 +254,7 @@ def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for some in slices(batch, text, 16 * PORTION):
+            for some in slices(batch, text, 8 * PORTION):
                 rows = predict(held.value, some.column(text).to_pylist())
                 columns = [pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.float64()), pa.array([",".join(f"{s}:{a}:{b}" for s, a, b in r[2]) for r in rows], pa.string()), pa.array([r[3] for r in rows], pa.float64())]
                 yield pa.RecordBatch.from_arrays([*some.columns, *columns], names=[*kept, *added])
