@@ -103,6 +103,7 @@ def placed(counts: DataFrame, *, few: bool) -> DataFrame:
     group = Window.partitionBy(*GROUP)
     if few:
         return counts.withColumns({"upto": F.sum("n").over(group.orderBy("value")), "total": F.sum("n").over(group)})
+    counts = written(counts)  # else the sample and the rows' number would each work them out again
     ranges = max(int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions")), counts.count() // ORDERED + 1)
     dealt = written(counts.repartitionByRange(ranges, *GROUP, "value").withColumn("range", F.spark_partition_id()))
     sums = dealt.groupBy(*GROUP, "range").agg(F.sum("n").alias("here"))
