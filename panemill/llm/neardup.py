@@ -161,7 +161,7 @@ def shared_by(x: str, y: str, size: int) -> str:
     return f"CASE WHEN {x} <= {size} AND {y} <= {size} THEN ({SIMILAR} * ({x} + {y}) + {99 + SIMILAR}) div {100 + SIMILAR} ELSE {agreeing(size)} END"
 
 
-def rarest_entries(fine: DataFrame, size: int) -> DataFrame:
+def rarest_entries(fine: DataFrame, size: int, scratch: Scratch) -> DataFrame:
     """(value, id, c, n, len, pos): the rarest values of each sketch (id, c, n, sketch), as many as links have to show in.
 
     Values are put in one order, by how many sketches hold them. Two sets that share at least so many values share one
@@ -170,11 +170,16 @@ def rarest_entries(fine: DataFrame, size: int) -> DataFrame:
     the first places, as in pages that share a template but not the rest, a set has no entries and meets no other.
     """
     values = fine.select("id", F.explode("sketch").alias("value"))
-    several = values.groupBy("value").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-    held = values.join(broadcast_if_small(several), "value").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("df", "value"))).alias("shared"))
+    several = broadcast_if_small(scratch.written(values.groupBy("value").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "shared"))
     # a partner is no smaller than four fifths
     least = f"CASE WHEN n <= {size} THEN ({SIMILAR} * n + 99) div 100 ELSE {agreeing(size)} END"
-    rows = fine.select("id", "c", "n", F.size("sketch").alias("len"), F.expr(least).alias("need")).join(held, "id")
+    needed = fine.select("id", "c", "n", F.size("sketch").alias("len"), F.expr(least).alias("need"))
+    # most sets share too little with all others: they are counted out before any values are put in order
+    counts = values.join(several, "value").groupBy("id").agg(F.count(F.lit(1)).alias("times"))
+    able = scratch.written(needed.join(counts, "id").where("times >= need").drop("times"), "able")
+    few = broadcast_if_small(able.select("id"))
+    held = values.join(few, "id", "left_semi").join(several, "value").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("df", "value"))).alias("shared"))
+    rows = able.join(held, "id")
     first = F.expr("slice(shared, 1, greatest(0, CAST(size(shared) - need + 1 AS INT)))")
     placed = rows.select("id", "c", "n", "len", (F.col("len") - F.size("shared")).alias("own"), F.posexplode(first).alias("at", "v"))
     return placed.select("v.value", "id", "c", "n", "len", (F.col("own") + F.col("at")).alias("pos"))
@@ -186,7 +191,7 @@ def prefix_pairs(fine: DataFrame, size: int, scratch: Scratch) -> DataFrame:
     For two sets of known sizes the places are narrower than for one alone: each common value is held against both. Lists
     of a value whose members are all of one component are left out first.
     """
-    entries = scratch.written(rarest_entries(fine, size), "entries")
+    entries = scratch.written(rarest_entries(fine, size, scratch), "entries")
     several = entries.groupBy("value").agg((F.min("c") != F.max("c")).alias("open")).where("open").select("value")
     lists = scratch.written(entries.join(broadcast_if_small(several), "value", "left_semi"), "prefixes")
     need = shared_by("x.n", "y.n", size)
@@ -223,7 +228,7 @@ def grouped_rows(docs: DataFrame, *, words: int, exact: bool = False) -> DataFra
     fine = scratch.written(sketches(texts, words=words, size=size).select("id", "n", "sketch").join(left.select("id", "c"), "id"), "fine")
     pairs = likely(prefix_pairs(fine, size, scratch), fine, size)
     more = confirmed(pairs, docs, classes, words, scratch, "other")
-    scratch.drop("left", "fine", "entries", "prefixes")
+    scratch.drop("left", "fine", "shared", "able", "entries", "prefixes")
     placed = classes.select("id", "doc_id").join(known.withColumnRenamed("node", "id"), "id", "left").withColumn("c", F.coalesce("component", "id"))
     if not more.isEmpty():
         # the links that were found last join components

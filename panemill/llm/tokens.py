@@ -14,7 +14,7 @@ import numpy as np
 #: A tokenizer that lower-cases and drops white space: a text's ids are those of its words, one after the other.
 WORD_TOKENIZER = "word_bpe_49k.json"
 #: Words whose ids a worker remembers. It bounds memory alone: a word that was forgotten is encoded again.
-REMEMBERED = 500_000
+REMEMBERED = 200_000
 
 #: The word tokenizer's rules, on which the short way rests: a file with any other goes through its tokenizer whole.
 _NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
