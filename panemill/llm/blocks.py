@@ -43,15 +43,15 @@ def pack_blocks(ids: np.ndarray, percentile: int = PERCENTILE) -> tuple[np.ndarr
     count = -(-len(ids) // BLOCK)
     if not count:
         return np.zeros(0, "<u4"), b""
-    whole = np.empty(count * BLOCK, np.int64)
+    whole = np.empty(count * BLOCK, np.uint32)
     whole[: len(ids)] = ids
     whole[len(ids) :] = whole[(count - 1) * BLOCK : len(ids)].min()
     whole = whole.reshape(count, BLOCK)
     least = whole.min(axis=1)
     above = whole - least[:, None]
     fits = np.partition(above, BLOCK * percentile // 100 - 1, axis=1)[:, BLOCK * percentile // 100 - 1]
-    width = np.ceil(np.log2(fits + 1)).astype(np.int64)
-    odd = (above >> width[:, None]) > 0
+    width = np.ceil(np.log2(fits.astype(np.int64) + 1)).astype(np.int64)
+    odd = above > ((1 << width) - 1).astype(np.uint32)[:, None]
     odds = odd.sum(axis=1)
     starts = np.concatenate([[0], np.cumsum(_BLOCK_HEAD + width * (BLOCK // 8) + 5 * odds)])
     out = np.zeros(starts[-1], np.uint8)
@@ -60,14 +60,14 @@ def pack_blocks(ids: np.ndarray, percentile: int = PERCENTILE) -> tuple[np.ndarr
     out[starts[:-1, None] + np.arange(_BLOCK_HEAD)] = head.view(np.uint8).reshape(count, _BLOCK_HEAD)
     for w in np.unique(width[width > 0]):
         of = np.flatnonzero(width == w)
-        bits = (above[of][:, :, None] >> np.arange(w - 1, -1, -1)) & 1
-        packed = np.packbits(bits.astype(np.uint8).reshape(len(of), -1), axis=1)
+        bits = np.unpackbits(above[of].astype(">u4").view(np.uint8).reshape(-1, 4), axis=1)[:, 32 - w :]
+        packed = np.packbits(bits.reshape(len(of), -1), axis=1)
         out[starts[of][:, None] + _BLOCK_HEAD + np.arange(packed.shape[1])] = packed
     block, place = np.nonzero(odd)
     nth = np.arange(len(block)) - np.repeat(np.cumsum(odds) - odds, odds)
     at = starts[block] + _BLOCK_HEAD + width[block] * (BLOCK // 8)
     out[at + nth] = place
-    out[(at + odds[block] + 4 * nth)[:, None] + np.arange(4)] = (above[block, place] >> width[block]).astype("<u4").view(np.uint8).reshape(-1, 4)
+    out[(at + odds[block] + 4 * nth)[:, None] + np.arange(4)] = (above[block, place].astype(np.int64) >> width[block]).astype("<u4").view(np.uint8).reshape(-1, 4)
     return starts[:-1].astype("<u4"), out.tobytes()
 
 
@@ -78,18 +78,20 @@ def unpack_blocks(starts: np.ndarray, body: np.ndarray, count: int) -> np.ndarra
     starts = starts.astype(np.int64)
     head = body[starts[:, None] + np.arange(_BLOCK_HEAD)].copy().view(np.dtype([("least", "<u4"), ("width", "u1"), ("odds", "u1")]))[:, 0]
     width, odds = head["width"].astype(np.int64), head["odds"].astype(np.int64)
-    ids = np.zeros((len(starts), BLOCK), np.int64)
+    ids = np.zeros((len(starts), BLOCK), np.uint32)
     for w in np.unique(width[width > 0]):
         of = np.flatnonzero(width == w)
         packed = body[starts[of][:, None] + _BLOCK_HEAD + np.arange(w * BLOCK // 8)]
-        bits = np.unpackbits(packed, axis=1).reshape(len(of), BLOCK, w)
-        ids[of] = bits @ (1 << np.arange(w - 1, -1, -1, dtype=np.int64))
+        bits = np.zeros((len(of) * BLOCK, 32), np.uint8)
+        bits[:, 32 - w :] = np.unpackbits(packed, axis=1).reshape(-1, w)
+        ids[of] = np.packbits(bits, axis=1).view(">u4").reshape(len(of), BLOCK)
     block = np.repeat(np.arange(len(starts)), odds)
     nth = np.arange(len(block)) - np.repeat(np.cumsum(odds) - odds, odds)
     at = starts[block] + _BLOCK_HEAD + width[block] * (BLOCK // 8)
     high = body[(at + odds[block] + 4 * nth)[:, None] + np.arange(4)].copy().view("<u4").reshape(-1).astype(np.int64)
-    ids[block, body[at + nth]] += high << width[block]
-    return (ids + head["least"].astype(np.int64)[:, None]).reshape(-1)[:count].astype("<u4")
+    ids[block, body[at + nth]] += (high << width[block]).astype(np.uint32)
+    ids += head["least"][:, None]
+    return ids.reshape(-1)[:count].astype("<u4", copy=False)
 
 
 def pack_segment(doc_ids: list[int | None], ids: list[bytes]) -> bytes:

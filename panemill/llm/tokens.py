@@ -29,6 +29,8 @@ _PRE_TOKENIZER = {
 _PLAIN = re.compile("[!-~ß-öø-ÿÀ-ÖØ-Þ]+").fullmatch
 #: The tokenizer's own split, for such words.
 _PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+").findall
+#: Signs at a word's end, after a letter or digit, are a piece of their own: set apart, a word is remembered once for all of them.
+_SIGNS = re.compile(rb"[!-&(-/:-@\[-`{-~](?<=[a-z0-9].)[!-&(-/:-@\[-`{-~]*(?!\S)").sub
 
 
 def tokenizer_path(name: str = WORD_TOKENIZER) -> str:
@@ -56,6 +58,14 @@ def by_words(path: str) -> bool:
     return plain and bare and rules["normalizer"] == _NORMALIZER and rules["pre_tokenizer"] == _PRE_TOKENIZER
 
 
+class _Packed(dict[int, bytes]):
+    """The bytes of each id, made once: words of one id share them."""
+
+    def __missing__(self, i: int) -> bytes:
+        self[i] = struct.pack("<I", i)
+        return self[i]
+
+
 class WordEncoder:
     """Encodes whole texts; ids are little-endian unsigned 32-bit.
 
@@ -72,6 +82,7 @@ class WordEncoder:
         self.tokenize = self.tokenizer.model.tokenize
         self.by_words = by_words(path)
         self.known: dict[bytes, bytes] = {}
+        self.packed = _Packed()
         self.letters = _byte_letters()
 
     def whole(self, text: str) -> bytes:
@@ -91,8 +102,9 @@ class WordEncoder:
                 known[word] = self.whole(text)
 
     def _piece(self, piece: str) -> bytes:
-        ids = [t.id for t in self.tokenize(piece)]
-        return struct.pack(f"<{len(ids)}I", *ids)
+        packed = self.packed
+        ids = [packed[t.id] for t in self.tokenize(piece)]
+        return ids[0] if len(ids) == 1 else b"".join(ids)
 
     def ids(self, texts: Sequence[bytes]) -> list[bytes]:
         """The ids of each UTF-8 text as bytes."""
@@ -101,14 +113,16 @@ class WordEncoder:
     def of(self, text: bytes) -> bytes:
         if not self.by_words or b"<|" in text:  # a special token's capitals would make it an ordinary word
             return self.whole(text.decode())
-        words = text.lower().split()
+        words = _SIGNS(rb" \g<0>", text.lower()).split()
         found = list(map(self.known.get, words))
         if None in found:
             if len(self.known) > REMEMBERED:
                 self.known.clear()
-            self._learn({w for w, ids in zip(words, found, strict=True) if ids is None})
+            new = [i for i, ids in enumerate(found) if ids is None]
+            self._learn({words[i] for i in new})
             # words that were forgotten just now are taken from what was found before
-            found = [self.known[w] if ids is None else ids for w, ids in zip(words, found, strict=True)]
+            for i in new:
+                found[i] = self.known[words[i]]
         return b"".join(found)
 
 

@@ -536,6 +536,18 @@ def test_an_encoder_may_forget(monkeypatch):
     assert tokens.WordEncoder(tokens.tokenizer_path()).ids(texts) == want
 
 
+def test_a_word_is_remembered_once_whatever_signs_follow():
+    encoder = tokens.WordEncoder(tokens.tokenizer_path())
+    encoder.of(b"Word word, word. (word) word!? 9, word's, \xe2\x80\x9dx word")
+    assert {b"word", b",", b".", b"(word", b")", b"!?", b"9", b"word's", b"\xe2\x80\x9dx"} == set(encoder.known)
+    assert encoder.packed[7] is encoder.packed[7]
+    rng = random.Random(6)
+    parts = ["a", "B", "é", "e\u0301", "'s", "'", "'re", ",", ".", "$", "\u201d", "1", " ", "\n", "\x1c", "\x85", "\xa0", "_", "\u0301", "½", "中", "("]
+    for _ in range(3000):
+        text = "".join(rng.choice(parts) for _ in range(rng.randrange(1, 14)))
+        assert encoder.of(text.encode()) == encoder.whole(text), text
+
+
 # decontamination
 
 
