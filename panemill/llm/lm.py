@@ -108,7 +108,7 @@ def _words_so_far(body: np.ndarray, wide: np.ndarray, zeros: np.ndarray) -> np.n
 def different(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The different keys, sorted, and the sums of their numbers (64 bits)."""
     order = np.argsort(keys, kind="stable")
-    keys, n = keys[order], n[order]
+    keys, n = np.take(keys, order), np.take(n, order)
     first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
     return keys[first], np.add.reduceat(n, first) if len(first) else n
 
@@ -119,12 +119,17 @@ def _runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return keys[first], np.diff(np.append(first, len(keys)))
 
 
-def count_keys(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """The different keys of these texts, sorted, and how often each occurs."""
+def counted(texts: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each predictor the different keys of these texts, sorted, and how often each occurs."""
     body, starts = laid_out(texts)
     real = np.ones(len(body), bool)
     real[_zeros(starts)] = False
-    found = [_runs(keys[real]) for keys in context_keys(body, starts)]
+    return [_runs(keys[real]) for keys in context_keys(body, starts)]
+
+
+def count_keys(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The different keys of these texts, sorted, and how often each occurs."""
+    found = counted(texts)
     return different(np.concatenate([k for k, _ in found]), np.concatenate([n for _, n in found]))
 
 
@@ -158,8 +163,9 @@ class Numbers:
 
     def _find(self, keys: np.ndarray) -> np.ndarray:
         slot = self._slots(keys)
-        out = self.slots[slot]
-        left = np.flatnonzero((self.held[out] != keys) & (out >= 0))
+        out = np.take(self.slots, slot)
+        # -1, none, reads the first key instead
+        left = np.flatnonzero((np.take(self.held, out, mode="clip") != keys) & (out >= 0))
         while len(left):
             slot[left] = slot[left] + 1 & self.mask
             out[left] = self.slots[slot[left]]
@@ -338,8 +344,8 @@ def _slice_keys(group: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     found = []
     for learn in (True, False):
         for texts in _portions(group.filter(pa.compute.equal(group.column("learn"), learn)).column("text")):
-            keys, n = count_keys(texts)
-            found.append((keys, n if learn else np.zeros(len(n), np.int64)))
+            # sorted runs, which one sort merges
+            found += [(keys, n if learn else np.zeros(len(n), np.int64)) for keys, n in counted(texts)]
     return different(np.concatenate([k for k, _ in found]), np.concatenate([n for _, n in found]))
 
 

@@ -379,6 +379,21 @@ def test_counts_do_not_wrap_at_32_bits():
     assert (lm._numbers(lm._planes(n, lm._width(n)), lm._width(n)) == n).all()
 
 
+def test_a_slices_keys_are_sorted_once(monkeypatch):
+    rng = random.Random(12)
+    texts = [prose(rng, rng.randrange(60)).encode() for _ in range(40)]
+    calls = []
+    merge = lm.different
+    monkeypatch.setattr(lm, "different", lambda *x: calls.append(x) or merge(*x))
+    monkeypatch.setattr(lm, "LOT", 2000)
+    group = lm.pa.table({"text": lm.pa.chunked_array([[t.decode() for t in texts]]), "learn": lm.pa.chunked_array([[i % 3 > 0 for i in range(40)]])})
+    keys, n = lm._slice_keys(group)
+    assert len(calls) == 1
+    monkeypatch.undo()
+    every, train = lm.count_keys(texts)[0], dict(zip(*(x.tolist() for x in lm.count_keys([t for i, t in enumerate(texts) if i % 3]))))
+    assert (keys == every).all() and n.tolist() == [train.get(k, 0) for k in keys.tolist()]
+
+
 def test_numbers_of_many_keys():
     rng = np.random.default_rng(1)
     numbers, seen = lm.Numbers(), {}
