@@ -26,7 +26,7 @@ CLIP = 8.0
 #: A script is a language's own if so much of its learned letters are of it.
 OWN_SHARE = 0.002
 #: Bytes of text whose features are worked out at once.
-PORTION = 1 << 18
+PORTION = 1 << 17
 #: First and last code points of the scripts' letters (Unicode blocks).
 SCRIPTS = (
     ("Latin", 0x0041, 0x024F), ("Latin", 0x1E00, 0x1EFF), ("Greek", 0x0370, 0x03FF), ("Greek", 0x1F00, 0x1FFF),

@@ -69,6 +69,12 @@ def test_mix_repeats_by_the_inverted_distribution(spark):
         mix.poisson_mix(docs, {"src0": -1.0})
 
 
+def test_rates_need_no_python_workers(spark):
+    asked = mix.source_rates(spark.range(2).selectExpr("'x' AS text", "'a' AS source"), F.col("source"), {"a": 1.0, "b": 2.0}, epochs=3.0)
+    assert [tuple(r) for r in asked.collect()] == [("a", 3.0)]
+    assert "ExistingRDD" not in asked._jdf.queryExecution().toString()
+
+
 def test_mix_meets_its_targets(spark):
     docs = documents(spark, ["x" * 99] * 4000, sources=["big"] * 3000 + ["small"] * 1000)
     n = dict(mix.poisson_mix(docs, {"big": 1.0, "small": 1.0}, epochs=1.0).groupBy("source").count().collect())
