@@ -45,6 +45,9 @@ REFINE, LIMIT = 0.002, 11.0
 SLICE, LOT, SIDE = 10 << 20, 1 << 19, 512
 _ODD = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93))
 _TOKEN = np.uint64(1 << 8)
+#: For eight bits: by the gate 0 or 1; by the byte 1 for each that is set, else -1, and 0 for none, byte 256.
+_GATES = np.repeat(np.array([[0], [1]], np.float32), 8, axis=1)
+_SIGNS = np.vstack([np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1) * np.float32(2) - 1, np.zeros((1, 8), np.float32)])
 
 
 def tokens_of(text: bytes) -> list[bytes]:
@@ -217,7 +220,8 @@ def is_token(keys: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Spelled:
-    """Some laid-out texts with the numbers of their keys, (predictors, bytes), and the places of their tokens' ends.
+    """Some laid-out texts with the numbers of their keys, (predictors, bytes), the places of their tokens' ends, and the
+    byte of each number.
 
     Bytes and numbers have one more place at the end, which stands for none.
     """
@@ -226,6 +230,7 @@ class Spelled:
     starts: np.ndarray
     numbers: np.ndarray
     tokens: np.ndarray
+    bytes_of: np.ndarray
 
 
 def spell(texts: list[bytes], numbers: Numbers) -> Spelled:
@@ -242,12 +247,17 @@ def spell(texts: list[bytes], numbers: Numbers) -> Spelled:
                 token[some] = is_token(keys)
         first = last
     token[_zeros(starts)] = False
-    return Spelled(np.append(body, np.uint8(0)), starts, found, np.flatnonzero(token))
+    return Spelled(np.append(body, np.uint8(0)), starts, found, np.flatnonzero(token), numbers.keys().astype(np.uint8))
 
 
 def judge(odds: np.ndarray, n: np.ndarray, spelled: Spelled) -> list[np.ndarray]:
     """Of each text: n_tokens, n_known, the sum of log10(c + 0.1) over its tokens, the mixed log10 probability, and the
     bytes that it is spelled with. ``odds`` (numbers, 8) and ``n``, the counts of tokens, are by the keys' numbers."""
+    return judge_own(odds * _sides(spelled.bytes_of), n, spelled)
+
+
+def judge_own(odds: np.ndarray, n: np.ndarray, spelled: Spelled) -> list[np.ndarray]:
+    """As ``judge``, by the log odds of the bits as they are."""
     starts = spelled.starts
     size, first = np.diff(starts) - PAD, starts[:-1] + PAD
     c = n[spelled.numbers[CONTEXTS.index(0), spelled.tokens]]
@@ -263,66 +273,58 @@ def judge(odds: np.ndarray, n: np.ndarray, spelled: Spelled) -> list[np.ndarray]
 
 
 def mix(packed: np.ndarray, spelled: Spelled, first: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """Log probabilities of texts, longest first, that go forward side by side; ``packed``: each number's eight log odds."""
+    """Log probabilities of texts, longest first, that go forward side by side; ``packed``: each number's eight log odds
+    of the bits as they are, so that a bit's sign matters to the shift alone."""
     # an empty text at the end: a sum over one column would add in another order
     first, size = np.append(first, 0), np.append(size, 0)
     k, n, end = len(CONTEXTS), len(first), len(spelled.body) - 1
-    weights = np.empty((k * 8, 2 * n), np.float32)  # predictor and bit; gate and text
-    weights[:] = np.repeat(np.repeat(np.array(START, np.float32).T / np.float32(GRAIN), 8, axis=0), n, axis=1)
-    scale, shift = np.ones((8, 1, n), np.float32), np.zeros((8, 1, n), np.float32)
-    total = np.zeros(n)
-    rate = np.float32(RATE / GRAIN / GRAIN)
+    # bits stand innermost: a place's eight weights are copied at once, and no odds are put in another order
+    weights = np.empty((k, 2, n, 8), np.float32)
+    weights[:] = (np.array(START, np.float32).T / np.float32(GRAIN))[:, :, None, None]
+    scale, shift, total = np.ones(n * 8, np.float32), np.zeros(n * 8, np.float32), np.zeros(n * 8)
+    moved, rate = weights.reshape(k, 2, n * 8), np.float32(RATE / GRAIN / GRAIN)
     for at in range(0, int(size[0]), STEP):
         m = max(2, int(np.searchsorted(-size, -at, "left")))
         inside = np.arange(at, at + STEP)[:, None] < size[:m]
         place = np.where(inside, first[:m] + np.arange(at, at + STEP)[:, None], end).reshape(-1)
-        odds = packed[np.take(spelled.numbers, place, axis=1)].view(np.int8).reshape(k, -1, 8).transpose(0, 2, 1).copy()
-        gate = odds[LONGEST, 0] != 0  # whether the longest context has been seen: what its first bit's odds tell
-        x = odds.reshape(k * 8, -1).astype(np.float32)
-        own = np.take(weights, (gate.reshape(STEP, m) * n + np.arange(m)).reshape(-1), axis=1, mode="clip")
+        odds = packed[np.take(spelled.numbers, place, axis=1)].view(np.int8)
+        gate = (odds[LONGEST, ::8] != 0).astype(np.intp)  # whether the longest context has been seen: what its first bit's odds tell
+        x = odds.astype(np.float32)
+        own = np.take(weights.reshape(k, 2 * n, 8), (gate.reshape(STEP, m) * n + np.arange(m)).reshape(-1), axis=1, mode="clip").reshape(k, -1)
         own *= x
-        mixed = own[:8]
-        for other in range(8, k * 8, 8):
-            mixed += own[other : other + 8]
+        mixed = own[0]
+        for other in own[1:]:
+            mixed += other
         np.clip(mixed, -LIMIT, LIMIT, out=mixed)
-        mixed = mixed.reshape(8, STEP, m)
-        sign = np.unpackbits(np.take(spelled.body, place)[None], axis=0).reshape(8, STEP, m).astype(np.float32)
-        sign *= 2
-        sign -= 1
-        # the mixed odds as they are teach the weights
-        wrong = sign * mixed
-        np.negative(wrong, out=wrong)
+        # the mixed odds as they are teach the weights; places beyond a text's end have no odds
+        wrong = np.negative(mixed)
         np.exp(wrong, out=wrong)
         wrong /= wrong + 1
-        wrong *= sign
-        wrong *= inside
-        x = x.reshape(k, 8, STEP, m)
         x *= wrong
-        every = x.sum(axis=2)
-        x *= gate.reshape(STEP, m)
-        longest = x.sum(axis=2)
-        moved = weights.reshape(k, 8, 2, n)
-        moved[:, :, 1, :m] += rate * longest
+        every = x.reshape(k, STEP, -1).sum(axis=1)
+        x *= np.take(_GATES, gate, axis=0, mode="clip").reshape(-1)
+        longest = x.reshape(k, STEP, -1).sum(axis=1)
+        moved[:, 1, : m * 8] += rate * longest
         every -= longest
-        moved[:, :, 0, :m] += rate * every
+        moved[:, 0, : m * 8] += rate * every
         # refined by a scale and a shift of their own, which follow what the mixed odds have meant so far
-        missed = scale[:, :, :m] * mixed
-        missed += shift[:, :, :m]
+        sign = np.take(_SIGNS, np.where(inside.reshape(-1), np.take(spelled.body, place), np.int16(256)), axis=0, mode="clip").reshape(STEP, -1)
+        mixed = mixed.reshape(STEP, -1)
+        missed = scale[: m * 8] * mixed
+        missed += sign * shift[: m * 8]
         np.clip(missed, -LIMIT, LIMIT, out=missed)
-        missed *= sign
         np.negative(missed, out=missed)
         np.exp(missed, out=missed)
-        missed += 1
+        missed += np.abs(sign)  # beyond a text's end: 1 and 0
         # eight factors of 60,000 at most are within the range of a float32
-        total[:m] -= (np.log(missed.prod(axis=0)) * inside).sum(axis=0, dtype=np.float64)
+        total[: m * 8] -= np.log(missed.reshape(-1, 8, m * 8).prod(axis=1)).sum(axis=0, dtype=np.float64)
         np.reciprocal(missed, out=missed)
         np.subtract(1, missed, out=missed)
-        missed *= sign
-        missed *= inside
-        shift[:, 0, :m] += np.float32(REFINE) * missed.sum(axis=1)
+        sign *= missed
+        shift[: m * 8] += np.float32(REFINE) * sign.sum(axis=0)
         missed *= mixed
-        scale[:, 0, :m] += np.float32(REFINE) * missed.sum(axis=1)
-    return total[:-1]
+        scale[: m * 8] += np.float32(REFINE) * missed.sum(axis=0)
+    return total.reshape(n, 8).sum(axis=1)[:-1]
 
 
 def _portions(column: pa.ChunkedArray) -> Iterator[list[bytes]]:
@@ -372,9 +374,8 @@ def _odds_planes(odds: np.ndarray, keys: np.ndarray) -> bytes:
     return own.tobytes()
 
 
-def _planes_odds(planes: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    own = np.cumsum(planes.reshape(8, -1), axis=0, dtype=np.int8).T
-    return np.ascontiguousarray(own * _sides(keys))
+def _planes_odds(planes: np.ndarray) -> np.ndarray:
+    return np.ascontiguousarray(np.cumsum(planes.reshape(8, -1), axis=0, dtype=np.int8).T)
 
 
 def _width(values: np.ndarray) -> int:
@@ -451,10 +452,10 @@ def _judged(texts: pa.Table, answers: pa.Table) -> pa.Table:
     done = 0
     for planes in answers.column("odds"):
         some = order[done : done + len(planes.as_buffer()) // 8]
-        odds[some] = _planes_odds(np.frombuffer(planes.as_buffer(), np.int8), numbers.keys()[some])
+        odds[some] = _planes_odds(np.frombuffer(planes.as_buffer(), np.int8))
         done += len(some)
     n[order[is_token(numbers.keys()[order])]] = np.concatenate([_numbers(x, w) for x, w in zip(answers.column("tokens").to_pylist(), answers.column("width").to_pylist(), strict=True)]).astype(np.int64)
-    columns = judge(odds, n, spelled)
+    columns = judge_own(odds, n, spelled)
     give_back()
     none = [pa.nulls(len(texts), pa.int64())] * 2
     return pa.table(dict(zip(names, [texts.column("doc_id").combine_chunks(), *[pa.array(c).cast(t) for c, t in zip(columns, types[1:6], strict=True)], *none], strict=True)))

@@ -400,6 +400,36 @@ def test_a_slices_keys_are_sorted_once(monkeypatch):
     assert (keys == every).all() and n.tolist() == [train.get(k, 0) for k in keys.tolist()]
 
 
+def test_mixing_copies_a_places_eight_weights_at_once(monkeypatch):
+    rng = random.Random(13)
+    texts = [prose(rng, rng.randrange(90), 60).encode() for _ in range(30)]
+    keys, n = lm.count_keys(texts[:20])
+    more, _ = lm.count_keys(texts[20:])
+    keys, n = lm.different(np.concatenate([keys, more]), np.concatenate([n, np.zeros(len(more), np.int64)]))
+    spelled, tokens = lm.spell(texts, lm.Numbers(keys)), np.where(lm.is_token(keys), n, 0)
+    pieces, take = [], np.take
+
+    def counting(a, indices, axis=None, **options):
+        found = take(a, indices, axis=axis, **options)
+        pieces.append(found.size // (1 if axis is None else int(np.prod(np.shape(a)[axis + 1 :]))))
+        return found
+
+    monkeypatch.setattr(lm.np, "take", counting)
+    scores = lm.judge(lm.odds_of(keys, n), tokens, spelled)[3]
+    monkeypatch.undo()
+    places = sum(-(-max(len(t) + 2 for t in texts) // lm.STEP) * lm.STEP for _ in range(len(texts) + 1))  # no more than these
+    assert sum(pieces) <= (2 * len(lm.CONTEXTS) + 3) * places  # numbers and weights; the gate, the bytes and their signs
+    # the same by the odds of the bits as they are, alone or side by side
+    own = lm.odds_of(keys, n) * (np.unpackbits(keys.astype(np.uint8)[:, None], axis=1).view(np.int8) * 2 - 1)
+    assert (lm.judge_own(own, tokens, spelled)[3] == scores).all()
+    assert [lm.judge(lm.odds_of(keys, n), tokens, lm.spell([t], lm.Numbers(keys)))[3][0] for t in texts] == scores.tolist()
+    of_context = {}
+    for t in texts[:20]:
+        for k, context, byte in plain_contexts(t):
+            of_context.setdefault((k, context), Counter())[byte] += 1
+    assert scores == pytest.approx([plain_score(t, of_context) for t in texts], rel=1e-5)
+
+
 def test_numbers_of_many_keys():
     rng = np.random.default_rng(1)
     numbers, seen = lm.Numbers(), {}
