@@ -137,7 +137,10 @@ def count_keys(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Numbers:
-    """Numbers different keys from 0 as they come: a table of numbers by a hash, with the next free slot on a clash."""
+    """Numbers different keys from 0 as they come: a table of numbers by a hash, with the next free slot on a clash.
+
+    Of keys that clash the first one to come, most often the most frequent one, keeps the slot.
+    """
 
     def __init__(self, keys: np.ndarray | None = None) -> None:
         self.size, self.held = 0, np.zeros(1 << 15, np.uint64)
@@ -146,7 +149,7 @@ class Numbers:
             self.of(keys)
 
     def _table(self) -> None:
-        bits = (2 * len(self.held)).bit_length() - 1
+        bits = (4 * len(self.held)).bit_length() - 1
         self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
         self.slots = np.full(1 << bits, -1, np.int32)
         self._put(np.arange(self.size, dtype=np.int32))
@@ -160,7 +163,7 @@ class Numbers:
         slot = self._slots(self.held[left])
         while len(left):
             free = self.slots[slot] < 0
-            self.slots[slot[free]] = left[free]
+            self.slots[slot[free][::-1]] = left[free][::-1]  # the last one written stays
             lost = self.slots[slot] != left
             left, slot = left[lost], slot[lost] + 1 & self.mask
 

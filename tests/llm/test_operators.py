@@ -440,6 +440,15 @@ def test_numbers_of_many_keys():
     assert sorted(seen.values()) == list(range(numbers.size)) and numbers.keys()[list(seen.values())].tolist() == list(seen)
 
 
+def test_the_first_of_keys_that_clash_keeps_its_slot():
+    rng = np.random.default_rng(2)
+    numbers = lm.Numbers()
+    for size in (20_000, 60_000, 3_000):
+        numbers.of(rng.integers(0, 1 << 62, size, dtype=np.uint64))
+    home = numbers.slots[numbers._slots(numbers.keys())]
+    assert (home >= 0).all() and (home <= np.arange(numbers.size)).all() and (home < np.arange(numbers.size)).any()
+
+
 # media
 
 
