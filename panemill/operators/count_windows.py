@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panemill.functions.aggregates import Aggregate
@@ -58,6 +58,56 @@ def full(parts: DataFrame, window: WindowSpec) -> DataFrame:
     return parts.withColumn("full", F.sum("events").over(Window.partitionBy("window_start", "key")) == window.size)
 
 
+def numbered_by_key(events: DataFrame, seen: DataFrame) -> DataFrame:
+    """(key, value, place, low, high) of events: the place within the key, and those of its first event here and after
+    its last one, by ``seen`` (key, before, here), how many of its events were before and are here.
+
+    One shuffle by key is all; one task puts a key in order.
+    """
+    both = events.unionByName(seen.where("here > 0"), allowMissingColumns=True)
+    # the key's row of ``seen`` has no time, so that it stands before all others
+    by_key = Window.partitionBy("key").orderBy(*ORDER)
+    upto = by_key.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    told = both.withColumns({"before": F.max("before").over(upto), "here": F.max("here").over(upto), "no": F.row_number().over(by_key)})
+    return told.where("event_ts IS NOT NULL").select("key", "value", (F.col("before") + F.col("no") - 2).alias("place"), F.col("before").alias("low"), (F.col("before") + F.col("here")).alias("high"))
+
+
+def numbered_by_span(events: DataFrame, seen: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """The same of events that no task sees all of: within ``by``, ordered by spans of time."""
+    both = with_place(events, by).alias("x").join(F.broadcast(seen).alias("y") if not by else seen.alias("y"), F.expr("x.key <=> y.key"))
+    return both.select("x.key", "x.value", (F.col("x.place") + F.col("y.before")).alias("place"), F.col("y.before").alias("low"), (F.col("y.before") + F.col("y.here")).alias("high"))
+
+
+def _whole(window: WindowSpec) -> Column:
+    """Whether a window lies within what is numbered here."""
+    return (F.col("window_start") >= F.col("low")) & (F.col("window_start") + window.size <= F.col("high"))
+
+
+def whole_windows(numbered: DataFrame, window: WindowSpec, functions: Sequence[Aggregate], *, by_key: bool) -> DataFrame:
+    """The results of the windows that lie within what is numbered here.
+
+    Rows dealt ``by_key`` stay where they are. Else events, and not their copies for each window, are dealt to blocks of
+    windows: those that start in a block are finished there. Windows too large for that are put together by their parts.
+    """
+    few, beside = window.size <= ORDERED, []
+    if few and not by_key:
+        block = -(-max(window.size, SPAN_EVENTS) // window.slide) * window.slide
+        first = F.greatest(F.col("place") - F.lit(window.size - 1), F.lit(0))
+        blocks = F.sequence(F.floor(first / block), F.floor(F.col("place") / block))
+        numbered = numbered.withColumn("block", F.explode(blocks)).repartition("key", "block")
+        rows, beside = in_count_windows(numbered, window).where(F.floor(F.col("window_start") / block) == F.col("block")), ["block"]
+    else:
+        rows = in_count_windows(numbered, window)
+    parts = rows.where(_whole(window)).groupBy("window_start", *kept_by(functions), *beside).agg(*lifted(functions))
+    return finished(with_ends(parts, window), functions, few=few, beside=beside)
+
+
+def border_windows(numbered: DataFrame, window: WindowSpec) -> DataFrame:
+    """The rows of all other windows: these begin before what is numbered here or end after it."""
+    near = numbered.where((F.col("place") < F.col("low") + window.size) | (F.col("place") >= F.col("high") - window.size))
+    return in_count_windows(near, window).where(~_whole(window))
+
+
 def with_ends(parts: DataFrame, window: WindowSpec) -> DataFrame:
     return parts.withColumns({"window_id": F.lit(window.window_id).cast("bigint"), "window_end": F.col("window_start") + window.size})
 

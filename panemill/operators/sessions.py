@@ -93,9 +93,36 @@ def stretch_spans(stretches: DataFrame, window: WindowSpec) -> DataFrame:
     return both.select("y.window_id", "y.window_start", "y.window_end", "x.key", "x.stretch")
 
 
+def session_counts(rows: DataFrame, window: WindowSpec, functions: Sequence[Aggregate]) -> DataFrame:
+    """(stretch, key, value, first, last, parts): counts of the values of a key in a stretch of time as long as the gap."""
+    return rows.groupBy(_stretch(window).alias("stretch"), *kept_by(functions)).agg(F.min("event_ts").alias("first"), F.max("event_ts").alias("last"), *lifted(functions))
+
+
+def with_sessions(counts: DataFrame, following: DataFrame, window: WindowSpec, *, few: bool) -> DataFrame:
+    """Add to ``session_counts`` each one's session (window_id, window_start, window_end) and, of ``following`` (key,
+    following), its key's row.
+
+    If there are ``few`` rows of each key, one shuffle by key is all: a session begins where a row's first event comes
+    more than a gap after the last event of all rows before. Else see ``stretch_spans``.
+    """
+    if not few:
+        stretches = counts.groupBy("key", "stretch").agg(F.min("first").alias("first"), F.max("last").alias("last"))
+        both = counts.alias("x").join(stretch_spans(stretches, window).alias("y"), same_of(["key", "stretch"], "x", "y")).select("x.*", "y.window_id", "y.window_start", "y.window_end")
+        return both.alias("x").join(following.alias("y"), same_of(["key"], "x", "y"), "left").select("x.*", "y.following")
+    by_key = Window.partitionBy("key").orderBy("first")
+    upto, session = by_key.rowsBetween(Window.unboundedPreceding, Window.currentRow), Window.partitionBy("key", "no")
+    # the key's row of ``following`` has no first event, so that it stands before all others
+    both = counts.unionByName(following, allowMissingColumns=True)
+    top = F.max("last").over(by_key.rowsBetween(Window.unboundedPreceding, -1))
+    both = both.withColumns({"following": F.max("following").over(upto), "begins": F.coalesce((F.col("first") - top > window.size).cast("long"), F.lit(1))})
+    told = both.withColumn("no", F.sum("begins").over(upto)).where("first IS NOT NULL")
+    spans = {"window_id": F.lit(window.window_id).cast("bigint"), "window_start": F.min("first").over(session), "window_end": F.max("last").over(session) + window.size}
+    return told.withColumns(spans).drop("begins", "no")
+
+
 def _sessions_by_value(rows: DataFrame, window: WindowSpec, functions: Sequence[Aggregate]) -> DataFrame:
     """The parts of each session and value; only counts of different values are joined to sessions."""
-    counts = rows.groupBy(_stretch(window).alias("stretch"), *kept_by(functions)).agg(F.min("event_ts").alias("first"), F.max("event_ts").alias("last"), *lifted(functions))
+    counts = session_counts(rows, window, functions)
     stretches = counts.groupBy("key", "stretch").agg(F.min("first").alias("first"), F.max("last").alias("last"))
     both = counts.drop("first", "last").alias("x").join(stretch_spans(stretches, window).alias("y"), same_of(["key", "stretch"], "x", "y"))
     spans = both.select("y.window_id", "y.window_start", "y.window_end", "x.*").drop("stretch")

@@ -69,7 +69,7 @@ def panes_pay(windows: Sequence[WindowSpec]) -> bool:
     return sum(-(-w.size // w.slide) for w in windows) >= COPIES
 
 
-def _in_windows(events: DataFrame, windows: Sequence[WindowSpec], pane_ms: int, functions: Sequence[Aggregate], *, share: bool) -> DataFrame:
+def in_windows(events: DataFrame, windows: Sequence[WindowSpec], pane_ms: int, functions: Sequence[Aggregate], *, share: bool) -> DataFrame:
     """(window_id, window_start, window_end, key, value for holistic functions, parts) of all events from 0 on."""
     rows, by = events.where("event_ts >= 0"), kept_by(functions)
     if len(windows) == 1 and windows[0].size == windows[0].slide:
@@ -92,17 +92,24 @@ def few_rows(rows: DataFrame) -> bool:
     return rows.count() <= ORDERED
 
 
-def placed(counts: DataFrame, *, few: bool) -> DataFrame:
+def fits(rows: DataFrame, by: Sequence[str]) -> bool:
+    """Whether one task may put each group of these rows in order, judged by how many rows the largest one has."""
+    return few_rows(rows) or (rows.groupBy(*by).count().agg(F.max("count")).first()[0] or 0) <= ORDERED
+
+
+def placed(counts: DataFrame, *, few: bool, beside: Sequence[str] = ()) -> DataFrame:
     """Add to counts of values (GROUP, value, n, ...) how many values there are up to each one, and how many in all.
 
     If there are ``few`` rows, each group is put in order by one task. Else all rows are dealt to ranges of (group, value)
     that hold equally many: Spark takes the ranges' borders from a sample, so that neither a hot group nor values that
     crowd make one range larger. Running sums over the ranges of a group and within a range make up a value's place.
-    The dealt rows are written, since another sample would deal them differently.
+    The dealt rows are written, since another sample would deal them differently. ``beside``: columns that follow from the
+    group, by which few rows are dealt already.
     """
-    group = Window.partitionBy(*GROUP)
     if few:
+        group = Window.partitionBy(*GROUP, *beside)
         return counts.withColumns({"upto": F.sum("n").over(group.orderBy("value")), "total": F.sum("n").over(group)})
+    group = Window.partitionBy(*GROUP)
     counts = written(counts)  # else the sample and the rows' number would each work them out again
     ranges = max(int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions")), counts.count() // ORDERED + 1)
     dealt = written(counts.repartitionByRange(ranges, *GROUP, "value").withColumn("range", F.spark_partition_id()))
@@ -112,7 +119,7 @@ def placed(counts: DataFrame, *, few: bool) -> DataFrame:
     return both.withColumn("upto", F.col("below") + F.sum("n").over(Window.partitionBy(*GROUP, "range").orderBy("value")))
 
 
-def finished(rows: DataFrame, functions: Sequence[Aggregate], *, few: bool) -> DataFrame:
+def finished(rows: DataFrame, functions: Sequence[Aggregate], *, few: bool, beside: Sequence[str] = ()) -> DataFrame:
     """Results (GROUP, value_0, ...) of rows that hold a window's parts, or with holistic functions those of each value.
 
     All functions come from one grouping: the counts give the holistic ones, the values' parts merge to all others.
@@ -121,7 +128,7 @@ def finished(rows: DataFrame, functions: Sequence[Aggregate], *, few: bool) -> D
         columns = [F.col(c) for c in ("value", "n", "upto", "total")]
         counted = [f.over_counts(*columns).alias(f"f{i}") for i, f in enumerate(functions) if f.kind == "holistic"]
         parts = [c for i, f in enumerate(functions) for c in f.merged(f"f{i}")]
-        rows = placed(rows, few=few).groupBy(*GROUP).agg(*counted, *parts)
+        rows = placed(rows, few=few, beside=beside).groupBy(*GROUP, *(beside if few else ())).agg(*counted, *parts)
     values = [F.col(f"f{i}") if f.kind == "holistic" else f.lowered(f"f{i}") for i, f in enumerate(functions)]
     return rows.select(*GROUP, *[v.cast("bigint").alias(f"value_{i}") for i, v in enumerate(values)])
 
@@ -134,7 +141,7 @@ def fixed_windows(events: DataFrame, windows: Sequence[WindowSpec], functions: S
     where it is left out, the number of windows that an event lies in tells. ``few``: see ``placed``. A group whose values
     are all null has a result of nulls.
     """
-    rows = _in_windows(events, windows, pane_ms, functions, share=panes_pay(windows) if share is None else share)
+    rows = in_windows(events, windows, pane_ms, functions, share=panes_pay(windows) if share is None else share)
     if few is None:
         few = not holistic(functions) or few_rows(events)
     return finished(rows, functions, few=few)

@@ -236,8 +236,9 @@ def stream_null_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = _some_null(read_events(spark, sf_dir))
     spec = QuerySpec.parse(f"TUMBLING,{6 * HOUR},0;SESSION,{2 * HOUR},2", "SUM;MEDIAN;AVG;MAX")
     found = long_results(drained(query_stream(_ended(events, spec, *_thirds(events)), spec)))
+    stream = _ended(events, spec, *_overlapping(events))
     for window, scope in ((tumbling(4, 3, "COUNT"), "key"), (sliding(50, 20, 4, "COUNT"), "global")):
-        counted = count_window_stream(_ended(events, spec, *_overlapping(events)), window, spec.functions, scope)
+        counted = count_window_stream(stream, window, spec.functions, scope)
         found = found.unionByName(long_results(drained(counted)))
     return found
 

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
 from panemill.sources.shared import names_in, shared_folder
 from panemill.streaming.state import BatchState, StreamQuery
+from panemill.streaming.waiting import ROWS
 
 
 def drained(stream: DataFrame | StreamQuery, folder: str | None = None) -> DataFrame:
@@ -24,17 +26,32 @@ def drained(stream: DataFrame | StreamQuery, folder: str | None = None) -> DataF
 
 
 def _finished(stream: StreamQuery, base: str) -> DataFrame:
-    """Each batch's closed rows are written once, then finished; its results replace those of an earlier attempt."""
+    """Each batch's rows are written once, then finished; its results replace those of an earlier attempt.
+
+    Tables are read by the caller's session: the one that runs a stream's batches does without adaptive plans, so that each
+    step would have as many tasks as the stream's state has parts.
+    """
+    spark = stream.rows.sparkSession
 
     def finish(batch: DataFrame, number: int) -> None:
-        state = BatchState(batch.sparkSession, f"{base}/tables", number)
-        closed = state.write("closed", batch)
-        if not closed.isEmpty():
-            stream.finish(closed, state).write.mode("overwrite").parquet(f"{base}/out/{number}")
+        state = BatchState(spark, f"{base}/tables", number)
+        rows = state.write(ROWS, batch)
+        if stream.waits or not rows.isEmpty():
+            stream.finish(rows, state).write.mode("overwrite").parquet(f"{base}/out/{number}")
         state.tidy()
 
-    query = stream.rows.writeStream.foreachBatch(finish).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
+    writer = stream.rows.writeStream.foreachBatch(finish).option("checkpointLocation", f"{base}/state").trigger(availableNow=True)
+    query = _with_one_part(spark, writer) if stream.waits else writer.start()
     query.awaitTermination()
-    spark = stream.rows.sparkSession
     found = [f"{base}/out/{x}" for x in names_in(spark, f"{base}/out")]
     return spark.read.schema(stream.results).parquet(*found) if found else spark.createDataFrame([], stream.results)
+
+
+def _with_one_part(spark: SparkSession, writer: DataStreamWriter) -> StreamingQuery:
+    """Start a stream whose state is a few rows: one part of it is enough. A stream keeps the settings that it began with."""
+    parts = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        return writer.start()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", parts)

@@ -57,9 +57,11 @@ class StreamQuery:
     """A stream of rows that come out as the watermark closes them, and what makes results of a micro-batch of these.
 
     ``finish`` works on a bounded table, so that everything a bounded query can do is open to it. ``results`` are the
-    columns of what it returns.
+    columns of what it returns. ``waits``: rows come out at once and wait in tables, so that a batch without rows has results
+    as well.
     """
 
     rows: DataFrame
     finish: Callable[[DataFrame, BatchState], DataFrame]
     results: StructType
+    waits: bool = False

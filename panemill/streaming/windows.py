@@ -5,17 +5,19 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from panemill.functions.aggregates import Aggregate
-from panemill.operators.count_windows import full, in_count_windows, window_parts, with_ends, with_place, without_key
-from panemill.operators.sessions import spark_sessions
-from panemill.plans.panes import GROUP, few_rows, finished, holistic, kept_by, lifted, merged, panes_pay, same_of, windows_over
+from panemill.functions.aggregates import Aggregate
+from panemill.operators.count_windows import border_windows, full, numbered_by_key, numbered_by_span, whole_windows, window_parts, with_ends, without_key
+from panemill.operators.sessions import session_counts, spark_sessions, with_sessions
+from panemill.plans.panes import GROUP, ORDERED, finished, fits, holistic, in_windows, kept_by, lifted, merged, panes_pay, windows_over
 from panemill.plans.spec import LATENESS_MS, QuerySpec, WindowSpec
 from panemill.sources.events import union_streams
 from panemill.streaming.state import BatchState, StreamQuery
+from panemill.streaming.waiting import ROWS, coming, of_events, watermarks
 
 #: Marks a column as event time for the operators after it, as withWatermark does: an end of a window that is worked out
 #: from a pane has to say so itself. The watermark is that of the panes.
@@ -46,6 +48,10 @@ def _results(rows: DataFrame, functions: Sequence[Aggregate]) -> StructType:
     return StructType([StructField(c, LongType()) for c in GROUP[:3]] + [rows.schema["key"], *values])
 
 
+def _shares(windows: Sequence[WindowSpec]) -> bool:
+    return len(windows) > 1 or panes_pay(windows)
+
+
 def fixed_window_rows(events: DataFrame, windows: Sequence[WindowSpec], functions: Sequence[Aggregate], pane_ms: int, *, share: bool | None = None) -> DataFrame:
     """The parts of tumbling and sliding windows of a stream with a watermark, each once when it has passed their end.
 
@@ -55,9 +61,7 @@ def fixed_window_rows(events: DataFrame, windows: Sequence[WindowSpec], function
     """
     by = kept_by(functions)
     names = [*GROUP[:3], *by]
-    if share is None:
-        share = len(windows) > 1 or panes_pay(windows)
-    if not share:
+    if not (_shares(windows) if share is None else share):
         found = []
         for w in windows:
             parts = events.groupBy(F.window("ts", f"{w.size} milliseconds", f"{w.slide} milliseconds").alias("span"), *by).agg(*lifted(functions))
@@ -75,100 +79,127 @@ def query_stream(events: DataFrame | Sequence[DataFrame], query: QuerySpec, late
 
     Fixed windows share panes (see ``fixed_window_rows``); sessions have a state of their own. Holistic functions keep
     counts of different values in the state, never lists: what closes is finished batch by batch, as a bounded query
-    does it. Sessions' values are counted by stretches of time as long as the gap; when a session closes, all of its
-    stretches have closed as well, and their counts are waiting in a table. Count windows: see ``count_window_stream``.
+    does it. With sessions and holistic functions all counts wait in tables (see ``_waiting_query``). Count windows: see
+    ``count_window_stream``.
     """
     if query.counts():
         raise ValueError("count windows of a stream are a query of their own")
-    marked, functions = _marked(events, lateness_ms), query.functions
+    functions = query.functions
+    if holistic(functions) and query.sessions():
+        return _waiting_query([events] if isinstance(events, DataFrame) else events, query, lateness_ms, share=_shares(query.fixed()) if share is None else share)
+    marked = _marked(events, lateness_ms)
     if not query.keyed:
         marked = without_key(marked)
     fixed = [fixed_window_rows(marked, query.fixed(), functions, query.pane_ms(), share=share)] if query.fixed() else []
     if not holistic(functions):
         rows = fixed + [spark_sessions(marked, w, functions) for w in query.sessions()]
         return finished(reduce(DataFrame.unionByName, rows), functions, few=True)
-    kind = lambda df, name: df.withColumn("kind", F.lit(name))
-    rows = [kind(df, "window") for df in fixed]
-    for i, w in enumerate(query.sessions()):
-        rows += [kind(df, f"{name}{i}") for name, df in zip(("session", "stretch"), _session_rows(marked, w, functions), strict=True)]
-    closing = reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), rows)
 
     def finish(closed: DataFrame, state: BatchState) -> DataFrame:
-        done = [closed.where("kind = 'window'").drop("kind")]
-        done += [_closed_sessions(closed, state, w, i) for i, w in enumerate(query.sessions())]
-        found = reduce(DataFrame.unionByName, done)
-        return finished(found, functions, few=few_rows(closed))
+        return finished(closed, functions, few=fits(closed, GROUP))
 
-    return StreamQuery(closing, finish, _results(closing, functions))
+    return StreamQuery(fixed[0], finish, _results(fixed[0], functions))
 
 
-def _session_rows(marked: DataFrame, window: WindowSpec, functions: Sequence[Aggregate]) -> tuple[DataFrame, DataFrame]:
-    """Sessions with the parts of the functions that are not holistic, and the counts of values of stretches."""
-    plain = [f for f in functions if f.kind != "holistic"]
-    names = {f"f{j}{p.suffix}": f"f{i}{p.suffix}" for j, i in enumerate(i for i, f in enumerate(functions) if f.kind != "holistic") for p in functions[i].parts}
-    sessions = spark_sessions(marked, window, plain).withColumnsRenamed(names) if plain else _bare_sessions(marked, window)
-    stretches = marked.where("ts >= timestamp_millis(0)").groupBy(F.window("ts", f"{window.size} milliseconds").alias("span"), "key", "value").agg(F.count("value").alias("n"))
-    counts = stretches.select(F.lit(window.window_id).cast("bigint").alias("window_id"), F.unix_millis("span.start").alias("window_start"), F.unix_millis("span.end").alias("window_end"), "key", "value", "n")
-    return sessions, counts
+def _waiting_query(sources: Sequence[DataFrame], query: QuerySpec, lateness_ms: int, *, share: bool) -> StreamQuery:
+    """Sessions, and fixed windows beside them, with holistic functions: counts of values wait in tables.
 
+    A batch's events are counted by window and value, and for sessions by stretch of time as long as the gap and value.
+    A window closes with the counts of its own batch; a session that gets an event closes in a later batch, so that it has
+    all events that came with that one.
+    """
+    functions, fixed, pane = query.functions, query.fixed(), query.pane_ms()
+    stream = coming(sources, _marked(sources, lateness_ms), ["key", "value"])
 
-def _bare_sessions(marked: DataFrame, window: WindowSpec) -> DataFrame:
-    found = marked.where("ts >= timestamp_millis(0)").groupBy(F.session_window("ts", f"{window.size} milliseconds").alias("span"), "key").count()
-    return found.select(F.lit(window.window_id).cast("bigint").alias("window_id"), F.unix_millis("span.start").alias("window_start"), F.unix_millis("span.end").alias("window_end"), "key")
+    def finish(rows: DataFrame, state: BatchState) -> DataFrame:
+        late, closing = watermarks(rows, state, len(sources), lateness_ms)
+        came = of_events(rows).where("at >= 0").withColumnRenamed("at", "event_ts")
+        came = came if query.keyed else without_key(came)
+        found = []
+        if fixed:
+            # with shared panes an event is late when its pane has closed, else when its window has
+            on_time = came.where(F.col("event_ts") - F.pmod(F.col("event_ts"), F.lit(pane)) + pane > late) if share else came
+            counts = in_windows(on_time, fixed, pane, functions, share=share).where(F.col("window_end") > late)
+            found.append(_closed_windows(counts, state, functions, late, closing))
+        for i, w in enumerate(query.sessions()):
+            counts = session_counts(came.where(F.col("event_ts") + w.size > late), w, functions)
+            found.append(_closed_sessions(counts, state, f"session{i}", w, functions, closing))
+        return reduce(DataFrame.unionByName, found)
 
+    return StreamQuery(stream, finish, _results(stream, functions), waits=True)
 
-def _closed_sessions(closed: DataFrame, state: BatchState, window: WindowSpec, number: int) -> DataFrame:
-    """The parts and counts of the sessions that a batch has closed; the counts of all others go on waiting.
 
-    Each stretch between a session's first and last event holds an event of it, so that a session meets no more
-    stretches than have counts.
+def _closed_windows(counts: DataFrame, state: BatchState, functions: Sequence[Aggregate], late: int, closing: int) -> DataFrame:
+    """The results of fixed windows that a batch closes; the counts of all others go on waiting."""
+    end = F.col("window_end")
+    # of the counts that came with the batch before, that batch has closed those up to what is late now
+    before = state.read("windows", counts.schema).where(end > late).unionByName(state.read("open_windows", counts.schema))
+    new = state.write("windows", counts)
+    state.write("open_windows", before.where(end > closing))
+    closed = before.unionByName(new).where(end <= closing)
+    few = fits(closed, GROUP)
+    # dealt by window and key once, for all steps
+    closed = (closed.repartition(*GROUP) if few else closed).groupBy(*GROUP, "value").agg(*merged(functions))
+    return finished(closed, functions, few=few)
+
+
+def _closed_sessions(counts: DataFrame, state: BatchState, name: str, window: WindowSpec, functions: Sequence[Aggregate], closing: int) -> DataFrame:
+    """The results of the sessions that a batch closes; the counts of all others go on waiting.
+
+    A session is open if it reaches the first of its key's rows that are new or not yet passed by the watermark.
     """
-    stretches = closed.where(f"kind = 'stretch{number}'").drop("kind")
-    waiting = state.read(f"stretches{number}", stretches.schema).unionByName(stretches)
-    sessions = closed.where(f"kind = 'session{number}'").drop("kind")
-    gap = F.lit(window.size).cast("bigint")
-    first, last = (c - F.pmod(c, gap) for c in (F.col("window_start"), F.col("window_end") - gap))
-    spans = sessions.select(F.col("window_start").alias("start"), F.col("window_end").alias("end"), "key", F.explode(F.sequence(first, last, gap)).alias("window_start"))
-    both = waiting.alias("x").join(spans.alias("y"), same_of(["key", "window_start"], "x", "y"), "left").select("x.*", "y.start", "y.end")
-    held = state.write(f"stretches{number}_told", both)
-    state.write(f"stretches{number}", held.where("start IS NULL").drop("start", "end"))
-    found = held.where("start IS NOT NULL").withColumns({"window_start": F.col("start"), "window_end": F.col("end")}).drop("start", "end")
-    counts = found.groupBy(*GROUP, "value").agg(F.sum("n").alias("n"))
-    # a session's parts stand beside its counts as a row without a value
-    return sessions.withColumns({"value": F.lit(None).cast("bigint"), "n": F.lit(0).cast("bigint")}).unionByName(counts, allowMissingColumns=True)
+    before = state.read(name, counts.schema).unionByName(state.read(f"open_{name}", counts.schema))
+    new = state.write(name, counts)
+    passed = F.col("last") + window.size <= closing
+    old, young = before.where(passed), before.where(~passed)
+    following = new.unionByName(young).groupBy("key").agg(F.min("first").alias("following"))
+    few = fits(old, ["key"])
+    told = with_sessions(old, following, window, few=few).withColumn("open", F.coalesce(F.col("window_end") >= F.col("following"), F.lit(False)))
+    state.write(f"open_{name}", young.unionByName(told.where("open").select(*young.columns)))
+    closed = told.where("NOT open").groupBy(*GROUP, "value").agg(*merged(functions))
+    return finished(closed, functions, few=few)
 
 
 def count_window_stream(events: DataFrame | Sequence[DataFrame], window: WindowSpec, functions: Sequence[Aggregate], scope: str = "key", lateness_ms: int = LATENESS_MS) -> StreamQuery:
     """(window_id, window_start, window_end, key, value_0, ...) of every ``size`` events, ``slide`` apart, by event time.
 
-    The state holds events until the watermark has passed their time; from then on no earlier one can come, and they are
+    Events wait in a table until the watermark has passed their time; from then on no earlier one can come, and they are
     numbered in the order of event_ts, stream_id and event_id, whatever batch they came in. Later ones are late and dropped.
     In the key scope each key counts its own events; in the global scope all are counted in one order.
 
     A batch's numbers come from counts of spans of time and from how many events there were before, one row for each key
-    (one in all, in the global scope). Windows that are not full yet wait as parts, with holistic functions as counts of
-    values: no list of events is kept, and no task sees all events of a batch.
+    (one in all, in the global scope); keys that are all few enough for one task are put in order key by key. Windows
+    within what a batch numbers are finished at once. Those that reach beyond it wait as parts, with holistic functions as
+    counts of values: no list of a window's events is kept, and no task sees all events of a batch.
     """
-    by = ["key"] if scope == "key" else []
-    marked = _marked(events, lateness_ms)
+    sources = [events] if isinstance(events, DataFrame) else events
     columns = ["event_ts", "stream_id", "event_id", "key", "value"]
-    held = marked.groupBy(F.window("ts", "1 millisecond").alias("span"), *columns).agg(F.count(F.lit(1)).alias("times"))
-    held = held.select(*columns, "times")
-
-    def finish(closed: DataFrame, state: BatchState) -> DataFrame:
-        rows = closed.withColumn("time", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("times")))).drop("time", "times")
-        rows = rows if by else without_key(rows)
-        seen = state.read("seen", rows.select("key", F.lit(0).cast("bigint").alias("before")).schema)
-        numbered = with_place(rows, by).alias("x").join(seen.alias("y"), same_of(["key"], "x", "y"), "left")
-        place: Column = F.col("x.place") + F.coalesce("y.before", F.lit(0))
-        numbered = numbered.select("x.key", "x.value", place.alias("place"))
-        new = window_parts(in_count_windows(numbered, window), functions)
-        open_before = state.read("windows", full(new, window).schema).where("NOT full").drop("full")
-        keys = ["window_start", *kept_by(functions)]
-        parts = open_before.unionByName(new).groupBy(*keys).agg(F.sum("events").alias("events"), *merged(functions))
+    stream = coming(sources, _marked(sources, lateness_ms), columns)
+    key = stream.schema["key"] if scope == "key" else StructField("key", LongType(), False)
+    seen_before = StructType([key, StructField("before", LongType()), StructField("here", LongType())])
+
+    def finish(rows: DataFrame, state: BatchState) -> DataFrame:
+        late, closing = watermarks(rows, state, len(sources), lateness_ms)
+        at = F.col("at")
+        came = of_events(rows).where(at >= late)
+        # of the events that came with the batch before, that batch has numbered those up to what is late now
+        before = of_events(state.read(ROWS, rows.schema)).where(at >= late).unionByName(state.read("open", came.schema))
+        state.write("open", before.where(at >= closing))
+        if closing == late:  # the watermark has not moved: nothing closes
+            return state.spark.createDataFrame([], results)
+        closed = before.unionByName(came).where(at < closing).drop("at")
+        closed = closed if scope == "key" else without_key(closed)
+        counts = closed.groupBy("key").agg(F.lit(0).cast("bigint").alias("before"), F.count(F.lit(1)).alias("here"))
+        known = state.read("seen", seen_before).withColumns({"before": F.col("before") + F.col("here"), "here": F.lit(0).cast("bigint")})
+        seen = state.write("seen", known.unionByName(counts).groupBy("key").agg(F.sum("before").alias("before"), F.sum("here").alias("here")))
+        by_key = scope == "key" and (seen.agg(F.max("here")).first()[0] or 0) <= ORDERED
+        numbered = numbered_by_key(closed, seen) if by_key else numbered_by_span(closed, seen, ["key"] if scope == "key" else [])
+        whole = whole_windows(numbered, window, functions, by_key=by_key)
+        border = window_parts(border_windows(numbered, window), functions)
+        waiting = state.read("windows", full(border, window).schema).where("NOT full").drop("full")
+        parts = waiting.unionByName(border).groupBy("window_start", *kept_by(functions)).agg(F.sum("events").alias("events"), *merged(functions))
         told = state.write("windows", full(parts, window))
-        counts = rows.groupBy("key").agg(F.count(F.lit(1)).alias("before"))
-        state.write("seen", seen.unionByName(counts).groupBy("key").agg(F.sum("before").alias("before")))
-        return finished(with_ends(told.where("full"), window), functions, few=few_rows(told))
+        return whole.unionByName(finished(with_ends(told.where("full"), window), functions, few=window.size <= ORDERED))
 
-    return StreamQuery(held, finish, _results(without_key(held) if not by else held, functions))
+    results = _results(stream if scope == "key" else without_key(stream), functions)
+    return StreamQuery(stream, finish, results, waits=True)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 import panemill.plans.queries  # noqa: F401  registers functions of its own
 from panemill.functions.aggregates import Aggregate, Part, aggregate, aggregate_names, most_frequent, register_aggregate
 from panemill.functions.metrics import out_of_order
-from panemill.operators import sessions
+from panemill.operators import count_windows, sessions
 from panemill.operators.count_windows import with_place
 from panemill.operators.sessions import session_windows
 from panemill.plans import panes
@@ -20,6 +20,7 @@ from panemill.plans.panes import fixed_windows
 from panemill.plans.spec import QuerySpec, parse_windows, sliding, tumbling
 from panemill.sources.events import NO_KEY, batch_stream, decode_events, union_streams, write_batch, write_end
 from panemill.sources.shared import written
+from panemill.streaming import windows as stream_windows
 from panemill.streaming.arrival import out_of_order_stream
 from panemill.streaming.dense import with_empty_windows_of_stream
 from panemill.streaming.progress import ProgressLog
@@ -270,6 +271,64 @@ def test_count_windows_wait_for_the_watermark(spark, tmp_path):
     assert found(long_results(drained(stream))) == {(0, 0, 2, 0, NO_KEY): 10, (0, 2, 4, 0, NO_KEY): 5, (0, 4, 6, 0, NO_KEY): 9}
 
 
+def rows_of_state(stream, folder):
+    """The most rows that Spark's state holds at a time while a stream is drained."""
+    query = stream.rows.writeStream.format("noop").option("checkpointLocation", folder).trigger(availableNow=True).start()
+    query.awaitTermination()
+    return max(sum(o["numRowsTotal"] for o in p["stateOperators"]) for p in query.recentProgress)
+
+
+def test_events_and_their_values_wait_in_tables_and_not_in_the_state(spark, tmp_path):
+    folder = f"{tmp_path}/in"
+    write_batch(events(spark, " ".join(f"{t % 2},{t},{t * 7 % 101},{t % 5}" for t in range(0, 9000, 3))), folder)
+    spec = QuerySpec.parse("TUMBLING,100,0;SESSION,2,1", "MEDIAN;SUM")
+    write_end(spark, folder, closing_ms(9000, spec))
+    stream = batch_stream(spark, folder)
+    waiting = [query_stream(stream, spec), *[count_window_stream(stream, tumbling(4, 2, "COUNT"), spec.functions, scope) for scope in ("key", "global")]]
+    for i, query in enumerate(waiting):
+        assert rows_of_state(query, f"{tmp_path}/{i}") <= 2, i
+
+
+@pytest.mark.parametrize("scope", ["key", "global"])
+def test_count_windows_of_a_stream_by_spans_and_blocks(spark, tmp_path, monkeypatch, scope):
+    """Groups that are too large for one task: spans of two events, blocks of a few windows, a key that is hot."""
+    monkeypatch.setattr(stream_windows, "ORDERED", 5)
+    monkeypatch.setattr(count_windows, "SPAN_EVENTS", 2)
+    every = events(spark, " ".join(f"{t % 3},{t},{t * 7 % 11},{0 if t % 4 else t % 3}" for t in range(60)))
+    for part in ("event_ts < 20", "event_ts >= 20 AND event_ts < 45", "event_ts >= 45"):
+        write_batch(every.where(part), f"{tmp_path}/in")
+    spec = QuerySpec.parse("SLIDING,5,2,4,COUNT", "SUM;MEDIAN;AVG", scope)
+    write_end(spark, f"{tmp_path}/in", closing_ms(60, spec))
+    got = long_results(drained(count_window_stream(batch_stream(spark, f"{tmp_path}/in"), spec.windows[0], spec.functions, scope)))
+    want = found(run(every, spec))
+    assert found(got) == want and got.count() == len(want) > 60
+
+
+def test_windows_too_large_for_one_task_are_put_together_by_parts(spark, tmp_path, monkeypatch):
+    for module in (stream_windows, count_windows, panes):
+        monkeypatch.setattr(module, "ORDERED", 3)
+    every = events(spark, " ".join(f"0,{t},{t * 7 % 11},{t % 2}" for t in range(40)))
+    write_batch(every, f"{tmp_path}/in")
+    windows, spec = parse_windows("SLIDING,8,3,4,COUNT"), QuerySpec.parse("TUMBLING,10,0;SESSION,5,1", "MEDIAN;SUM")
+    write_end(spark, f"{tmp_path}/in", closing_ms(40, spec))
+    stream = batch_stream(spark, f"{tmp_path}/in")
+    assert found(long_results(drained(query_stream(stream, spec)))) == found(run(every, spec))
+    got = long_results(drained(count_window_stream(stream, windows[0], spec.functions, "global")))
+    assert found(got) == found(run(every, QuerySpec(tuple(windows), spec.functions)))
+
+
+@pytest.mark.parametrize("restarted", [False, True])
+def test_late_events_of_windows_and_sessions_that_wait(spark, tmp_path, restarted):
+    """An event is late when its window, or the session that it would begin, has closed; a stream goes on with its tables."""
+    spec, folder = QuerySpec.parse("TUMBLING,100,0;SESSION,30,1", "MEDIAN;SUM"), f"{tmp_path}/in"
+    for rows in ("0,10,1 0,450,1", "0,460,0", "0,20,1 0,340,1 0,370,5", "0,900,0"):
+        write_batch(events(spark, rows), folder)
+        if restarted or "900" in rows:
+            got = long_results(drained(query_stream(batch_stream(spark, folder), spec), f"{tmp_path}/run"))
+    want = {(0, 0, 100): (1, 1), (0, 300, 400): (5, 6), (0, 400, 500): (1, 1), (1, 10, 40): (1, 1), (1, 340, 400): (5, 6), (1, 450, 490): (1, 1)}
+    assert found(got) == {(*w, i, NO_KEY): v for w, both in want.items() for i, v in enumerate(both)} and got.count() == 12
+
+
 def test_null_keys_are_a_key(spark):
     rows = events(spark, "0,10,1,0 0,20,5,0 0,30,9,1").withColumn("key", F.when(F.col("key") > 0, F.col("key")))
     got = found(run(rows, QuerySpec.parse("TUMBLING,100,0;SESSION,50,1;TUMBLING,2,2,COUNT", "SUM;MEDIAN", "key")))
